@@ -12,6 +12,13 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op6_simhash_bktree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .simhash import hex_digits, near_duplicates
+
+    found = near_duplicates(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", hex_digits(F.col("fp")).alias("fingerprint"), "component_id")
+
+
 def op8_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mix_documents
 
@@ -19,8 +26,16 @@ def op8_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
+def op10_prefix_table_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pieces import encode_digests
+
+    return encode_digests(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op6_simhash_bktree": op6_simhash_bktree,
     "op8_entropy_mix": op8_entropy_mix,
+    "op10_prefix_table_pieces": op10_prefix_table_pieces,
 }
 
 ORACLE_SQL: dict[str, str] = {}
