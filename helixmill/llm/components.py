@@ -23,13 +23,17 @@ def connected_components(edges: DataFrame) -> DataFrame:
     while left.limit(1).count():
         seed = F.lit(len(rounds))
         by_hash = len(rounds) > 1 and len(rounds) % 2 == 0
-        order = (lambda c, s=seed: F.struct(F.xxhash64(c, s), F.col(c))) if by_hash else (lambda c: F.struct(F.lit(0).cast("long"), F.col(c)))
+
+        def order(node: str, seed=seed, by_hash=by_hash):
+            first = F.xxhash64(F.col(node), seed) if by_hash else F.lit(0).cast("long")
+            return F.struct(first.alias("first"), F.col(node).alias("node"))
+
         both = left.select("a", "b").union(left.select("b", "a"))
         best = F.least(F.min(order("b")), F.min(order("a"))).alias("best")
-        step = materialize(both.groupBy("a").agg(best).select(F.col("a").alias("node"), F.col("best").getField("col2").alias("to")), "step")
+        step = materialize(both.groupBy("a").agg(best).select(F.col("a").alias("node"), F.col("best.node").alias("to")), "step")
         rounds.append(step)
-        to = lambda end: step.select(F.col("node").alias(end), F.col("to").alias(f"to_{end}"))  # noqa: B023, E731
-        moved = left.join(to("a"), "a").join(to("b"), "b").filter("to_a <> to_b")
+        of_a, of_b = (step.select(F.col("node").alias(x), F.col("to").alias(f"to_{x}")) for x in "ab")
+        moved = left.join(of_a, "a").join(of_b, "b").filter("to_a <> to_b")
         left = materialize(moved.select(F.least("to_a", "to_b").alias("a"), F.greatest("to_a", "to_b").alias("b")).distinct(), "links")
     if not rounds:
         return left.select(F.col("a").alias("node"), F.col("b").alias("root"))
