@@ -7,11 +7,33 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import crc_bucket
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _held_out(doc_id: str, folds: int, held: int):
+    return F.coalesce(crc_bucket(F.col(doc_id), folds) == held, F.lit(False))
+
+
+def op4_zstd_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import score_documents, train_from_labels
+
+    docs = _table(spark, sf_dir, "documents")
+    scored = score_documents(docs, train_from_labels(docs, _table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", _held_out("doc_id", 4, 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op5_kneser_ney_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .langid import identify, train_from_documents
+
+    docs = _table(spark, sf_dir, "documents")
+    found = identify(docs, train_from_documents(docs))
+    return found.select("doc_id", _held_out("doc_id", 5, 0).alias("held_out"), "lang_pred", "score", "rejected")
+
+
 def op6_simhash_bktree(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .simhash import hex_digits, near_duplicates
 
@@ -33,6 +55,8 @@ def op10_prefix_table_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_zstd_toxicity": op4_zstd_toxicity,
+    "op5_kneser_ney_langid": op5_kneser_ney_langid,
     "op6_simhash_bktree": op6_simhash_bktree,
     "op8_entropy_mix": op8_entropy_mix,
     "op10_prefix_table_pieces": op10_prefix_table_pieces,
