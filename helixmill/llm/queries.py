@@ -14,6 +14,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import quality_report
+
+    return quality_report(_table(spark, sf_dir, "documents"))
+
+
 def _held_out(doc_id: str, folds: int, held: int):
     return F.coalesce(crc_bucket(F.col(doc_id), folds) == held, F.lit(False))
 
@@ -55,6 +61,7 @@ def op10_prefix_table_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_line_frequency": op1_line_frequency,
     "op4_zstd_toxicity": op4_zstd_toxicity,
     "op5_kneser_ney_langid": op5_kneser_ney_langid,
     "op6_simhash_bktree": op6_simhash_bktree,
