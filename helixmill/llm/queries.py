@@ -54,6 +54,18 @@ def op8_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
+def op9_disclosing_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import KINDS, find_personal_data, joined
+
+    found = find_personal_data(_table(spark, sf_dir, "documents"))
+
+    def count(kind: int):
+        return F.size(F.filter("spans", lambda s: s.getField("kind") == kind)).cast("long")
+
+    counts = [count(k).alias(f"n_{name}") for k, name in enumerate(KINDS[:4])]
+    return found.select("doc_id", *counts, F.sha2(joined(F.col("spans")), 256).alias("base_sha256"), joined(F.col("all_spans")).alias("spans"))
+
+
 def op10_prefix_table_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .pieces import encode_digests
 
@@ -66,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_kneser_ney_langid": op5_kneser_ney_langid,
     "op6_simhash_bktree": op6_simhash_bktree,
     "op8_entropy_mix": op8_entropy_mix,
+    "op9_disclosing_terms": op9_disclosing_terms,
     "op10_prefix_table_pieces": op10_prefix_table_pieces,
 }
 
