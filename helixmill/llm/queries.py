@@ -20,6 +20,13 @@ def op1_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_report(_table(spark, sf_dir, "documents"))
 
 
+def op3_char_cnn_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secrets import find_secrets, train_from_documents
+
+    docs = _table(spark, sf_dir, "documents")
+    return find_secrets(docs, train_from_documents(docs))
+
+
 def _held_out(doc_id: str, folds: int, held: int):
     return F.coalesce(crc_bucket(F.col(doc_id), folds) == held, F.lit(False))
 
@@ -47,6 +54,12 @@ def op6_simhash_bktree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", hex_digits(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op7_pivot_permutations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pivots import near_duplicates
+
+    return near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
 def op8_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mix_documents
 
@@ -74,9 +87,11 @@ def op10_prefix_table_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_frequency": op1_line_frequency,
+    "op3_char_cnn_secrets": op3_char_cnn_secrets,
     "op4_zstd_toxicity": op4_zstd_toxicity,
     "op5_kneser_ney_langid": op5_kneser_ney_langid,
     "op6_simhash_bktree": op6_simhash_bktree,
+    "op7_pivot_permutations": op7_pivot_permutations,
     "op8_entropy_mix": op8_entropy_mix,
     "op9_disclosing_terms": op9_disclosing_terms,
     "op10_prefix_table_pieces": op10_prefix_table_pieces,
