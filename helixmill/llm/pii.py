@@ -1,11 +1,10 @@
 """Personal data: patterns, and information-theoretic sanitisation of the terms around them.
 
 Pattern matches (email, ip, card, phone) are the protected entities. Terms near an entity are counted over the corpus:
-with n_c different contexts of the entity, n_ct of them holding the term, n_t texts holding the term and N documents,
-the term discloses log(n_ct N / (n_c n_t)) of the log(N / n_c) bits that identify the entity. A term that discloses at
-least ``threshold`` of them, in at least ``least_contexts`` different contexts, is a span of kind ``term`` wherever it
-stands in a document that holds the entity, and is generalised along with the entity. Contexts are compared as text,
-so copies count once.
+of N documents n_c hold the entity, n_ct hold the term near it, and n_t hold the term anywhere, so that the term
+discloses log(n_ct N / (n_c n_t)) of the log(N / n_c) bits that identify the entity. A term that discloses at least
+``threshold`` of them, in at least ``least_contexts`` contexts that differ as text, is a span of kind ``term`` wherever
+it stands in a document that holds the entity, and is generalised along with the entity.
 
 Everything is DataFrame functions. A match's place comes from marking all matches in the text and adding up the lengths
 of the pieces between the marks.
@@ -113,25 +112,31 @@ def joined(spans: Column) -> Column:
 
 def disclosing_terms(holders: DataFrame, docs: DataFrame, threshold: float, least_contexts: int) -> DataFrame:
     """(entity, term) pairs over the threshold: holders (_text, _spans) hold entities, docs (text) is the corpus."""
-    one = holders.select("_text", F.explode("_spans").alias("s")).select("_text", F.lower("s.value").alias("entity"), "s.start", "s.end")
+    one = holders.select("_row", "_text", F.explode("_spans").alias("s")).select("_row", "_text", F.lower("s.value").alias("entity"), "s.start", "s.end")
     left = F.substring("_text", F.greatest(F.col("start") - (CONTEXT - 1), F.lit(1)), F.least(F.col("start"), F.lit(CONTEXT)))
     right = F.substring("_text", F.col("end") + 1, F.lit(CONTEXT))
     around = F.lower(F.concat_ws("\n", F.regexp_replace(left, r"^\S+", ""), F.regexp_replace(right, r"\S+$", "")))
-    context = one.select("entity", around.alias("context")).distinct()
-    often = context.groupBy("entity").agg(F.count(F.lit(1)).alias("n_c")).filter(F.col("n_c") >= least_contexts)
-    words = F.array_distinct(F.regexp_extract_all("context", F.lit(TERM), F.lit(0)))
-    pairs = join_checked(context, materialize(often, "entities"), "entity").select("entity", "n_c", F.explode(words).alias("term"))
-    pairs = pairs.groupBy("entity", "n_c", "term").agg(F.count(F.lit(1)).alias("n_ct")).filter(F.col("n_ct") >= least_contexts)
-    pairs = materialize(pairs, "pairs")
-    terms = pairs.select("term").distinct()
+    context = materialize(one.select("_row", "entity", around.alias("context")).distinct(), "contexts")
+    counts = [F.countDistinct("_row").alias("n"), F.countDistinct("context").alias("contexts")]
+    often = context.groupBy("entity").agg(*counts).filter(F.col("contexts") >= least_contexts).select("entity", F.col("n").alias("n_c"))
+    words = context.select("_row", "entity", "context", F.explode(F.array_distinct(F.regexp_extract_all("context", F.lit(TERM), F.lit(0)))).alias("term"))
+    # A term stands in at least the documents whose contexts hold it; this bound drops common words before the corpus is searched.
+    least = words.groupBy("term").agg(F.countDistinct("_row").alias("least_t"))
+    pairs = join_checked(words, materialize(often, "entities"), "entity").groupBy("entity", "n_c", "term").agg(*counts)
+    pairs = pairs.filter(F.col("contexts") >= least_contexts).select("entity", "term", "n_c", F.col("n").alias("n_ct"))
+    total = docs.count()
+
+    def told(n_t: str) -> Column:
+        gained = F.log(F.col("n_ct") * F.lit(float(total)) / (F.col("n_c") * F.col(n_t)))
+        return gained >= threshold * F.log(F.lit(float(total)) / F.col("n_c"))
+
+    pairs = materialize(pairs.join(least, "term").filter(told("least_t")).drop("least_t"), "pairs")
     if not pairs.limit(1).count():
         return pairs.select("entity", "term")
-    total = docs.count()
     every = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))
-    seen = docs.filter(F.col("text").isNotNull()).select(F.xxhash64("text").alias("content"), F.explode(every).alias("term"))
-    known = join_checked(seen, materialize(terms, "terms"), "term").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
-    told = F.log(F.col("n_ct") * F.lit(float(total)) / (F.col("n_c") * F.col("n_t")))
-    return pairs.join(known, "term").filter(told >= threshold * F.log(F.lit(float(total)) / F.col("n_c"))).select("entity", "term")
+    terms = materialize(pairs.select("term").distinct(), "terms")
+    known = join_checked(docs.select(F.explode(every).alias("term")), terms, "term").groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
+    return pairs.join(known, "term").filter(told("n_t")).select("entity", "term")
 
 
 def term_spans(holders: DataFrame, flagged: DataFrame) -> DataFrame:
@@ -156,8 +161,8 @@ def _with_terms(found: DataFrame, docs: DataFrame, threshold: float, least_conte
 def find_personal_data(docs: DataFrame, threshold: float = 0.8, least_contexts: int = 3) -> DataFrame:
     """(doc_id, spans, all_spans): pattern spans, and these with the disclosing terms.
 
-    Defined cases: a null text is empty and has no spans; copies and repeated rows have equal spans, and add nothing to
-    the counts of contexts and texts; spans that start together are ordered by kind; other columns are ignored.
+    Defined cases: a null text is empty and has no spans; copies and repeated rows have equal spans
+    and are one context; spans that start together are ordered by kind; other columns are ignored.
     """
     text = F.coalesce("text", F.lit(""))
     found = docs.select("doc_id", "text").withColumn("_row", F.monotonically_increasing_id()).withColumn("_spans", F.explode(F.array(base_spans(text))))
