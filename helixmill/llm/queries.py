@@ -20,6 +20,12 @@ def op1_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_report(_table(spark, sf_dir, "documents"))
 
 
+def op2_compact_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .passages import near_duplicate_passages
+
+    return near_duplicate_passages(_table(spark, sf_dir, "documents"))
+
+
 def op3_char_cnn_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .secrets import find_secrets, train_from_documents
 
@@ -87,6 +93,7 @@ def op10_prefix_table_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_frequency": op1_line_frequency,
+    "op2_compact_windows": op2_compact_windows,
     "op3_char_cnn_secrets": op3_char_cnn_secrets,
     "op4_zstd_toxicity": op4_zstd_toxicity,
     "op5_kneser_ney_langid": op5_kneser_ney_langid,
