@@ -1,6 +1,473 @@
-"""The registered queries and their SQL."""
+"""The registered queries: each operator over the bound tables."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from helixmill.functions import names
+from helixmill.operators import classify, cluster, coverage, lad, ranges, seqstats, sketch, species, strain
+from helixmill.plans import bindings as b
+from helixmill.plans.oracle import ORACLE_SQL
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+
+
+def query(f):
+    QUERIES[f.__name__] = f
+    return f
+
+
+def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
+    return df.select(*[F.round(c, digits).alias(c) if t in ("double", "float") else c for c, t in df.dtypes])
+
+
+def classified(s, d) -> DataFrame:
+    return classify.classify_by_range(b.reads(s, d), b.ranges(s, d))
+
+
+# Classification
+
+
+@query
+def jn1_range_classify(s, d):
+    return classified(s, d).select("rid", "species")
+
+
+@query
+def jn1_bucketed_classify(s, d):
+    return classify.classify_by_bucket(b.reads(s, d), b.ranges(s, d)).select("rid", "species")
+
+
+@query
+def jn1b_overlap_any(s, d):
+    return classify.overlap_any(b.reads(s, d), b.ranges(s, d))
+
+
+@query
+def ag7_dup_reads(s, d):
+    return classify.unique_read_ids(classified(s, d)).select("rid", "unique_id", "species")
+
+
+@query
+def ag8_best_alignment(s, d):
+    return rounded(classify.best_alignments(b.reads(s, d)).select("read_id", "rid", "matches", "identity", "mapq", "span"))
+
+
+# Species
+
+
+@query
+def ag1_equal_len_unfiltered(s, d):
+    return species.species_bases(classified(s, d), equal_len=150, filtered=False)
+
+
+@query
+def ag1_equal_len_filtered(s, d):
+    return species.species_bases(classified(s, d), equal_len=150)
+
+
+@query
+def ag2_var_len_unfiltered(s, d):
+    return species.species_bases(classified(s, d), filtered=False)
+
+
+@query
+def ag2_var_len_filtered(s, d):
+    return species.species_bases(classified(s, d))
+
+
+@query
+def ag5_species_profile(s, d):
+    return rounded(species.species_profile(species.species_bases(classified(s, d)), b.lengths(s, d)), 9)
+
+
+@query
+def jn4_candidate_species(s, d):
+    profile = species.species_profile(species.species_bases(classified(s, d)), b.lengths(s, d))
+    return rounded(species.candidate_species(profile, b.ranges(s, d), mode=0, designated="S0, S2,S4,S6 ,S8,S10,S12,S14,None,"), 9)
+
+
+@query
+def sk2_read_report(s, d):
+    return classified(s, d).select("read_id", "mapq", "species", "read_len")
+
+
+# Ranges
+
+
+def _local_ranges(s, d):
+    return b.ranges(s, d).selectExpr("species", "cast(1 as bigint) as start", "ord % 7 + 3 as end", "is_pan", "ord")
+
+
+@query
+def rg1_rebase(s, d):
+    return ranges.rebase(_local_ranges(s, d))
+
+
+@query
+def rg2_from_counts(s, d):
+    return ranges.from_counts(b.ranges(s, d).selectExpr("species", "ord % 7 + 3 as n", "if(ord % 5 = 4, null, is_pan) as is_pan", "ord"))
+
+
+@query
+def rg3_merge_db(s, d):
+    rebased = ranges.rebase(_local_ranges(s, d))
+    second = rebased.selectExpr("concat('T', species) as species", "start", "end", "is_pan")
+    return ranges.merge_databases([rebased, second, rebased.selectExpr("concat('V', species) as species", "start", "end", "is_pan")])
+
+
+# Graph
+
+
+@query
+def gr2_node_bounds(s, d):
+    from helixmill.functions.paths import node_bounds
+
+    low, high = node_bounds(F.col("path"))
+    return b.reads(s, d).select("rid", low.alias("low"), high.alias("high"))
+
+
+@query
+def gr3_trios(s, d):
+    return coverage.walk_triples(b.walks(s, d))
+
+
+def _unique(s, d):
+    return coverage.unique_triples(coverage.walk_triples(b.walks(s, d)))
+
+
+@query
+def ag12_unique_trios(s, d):
+    return _unique(s, d)
+
+
+@query
+def gr6_trio_hap(s, d):
+    return coverage.triple_haps(_unique(s, d), b.nodes(s, d))
+
+
+def _visits(s, d):
+    return coverage.read_nodes(classified(s, d), b.nodes(s, d))
+
+
+@query
+def gr4_read_nodes(s, d):
+    return _visits(s, d)
+
+
+@query
+def ag9_node_depth(s, d):
+    return rounded(coverage.node_depth(_visits(s, d), b.nodes(s, d)))
+
+
+@query
+def ag10_node_breadth(s, d):
+    return coverage.node_breadth(_visits(s, d), b.nodes(s, d))
+
+
+def _trio_depth(s, d):
+    return coverage.triple_depth(_visits(s, d), coverage.triple_haps(_unique(s, d), b.nodes(s, d)))
+
+
+@query
+def ag11_trio_depth(s, d):
+    return rounded(_trio_depth(s, d))
+
+
+@query
+def gr7_incidence(s, d):
+    return b.walks(s, d).select("species", "hap_id", "node_id").distinct()
+
+
+@query
+def ag15_path_breadth(s, d):
+    return rounded(coverage.path_breadth(b.walks(s, d), b.nodes(s, d), coverage.node_breadth(_visits(s, d), b.nodes(s, d))))
+
+
+@query
+def gr10_shift_nodes(s, d):
+    local = b.nodes(s, d).selectExpr("species", "node_id - (node_id - 1) div 100 * 100 as node_id", "node_len")
+    return ranges.shift_nodes(local, b.ranges(s, d))
+
+
+# Strains
+
+
+@query
+def ag13_zscore_mean(s, d):
+    return rounded(strain.trimmed_mean(_trio_depth(s, d).filter("depth > 0"), ["species", "hap_id"], "depth"))
+
+
+@query
+def ff1_first_filter(s, d):
+    return rounded(strain.first_filter(_trio_depth(s, d)))
+
+
+@query
+def ff2_shift(s, d):
+    return rounded(strain.first_filter(_trio_depth(s, d), shift=True))
+
+
+def _plain_walks(s, d):
+    """One haplotype in a third of the species, two identical ones in another, two pairs of identical ones in the rest."""
+    w = b.walks(s, d).withColumn("b", F.expr("cast(substring(species, 2) as bigint)"))
+    return w.selectExpr("species", "hap_id", "pos", "node_id", "b").filter("hap_id = 'H0' or (hap_id = 'H1' and b % 3 = 2)").unionByName(
+        w.filter("(hap_id = 'H0' and b % 3 > 0) or (hap_id = 'H1' and b % 3 = 2)").selectExpr("species", "concat(hap_id, 'x') as hap_id", "pos", "node_id", "b")
+    )
+
+
+@query
+def ff3_ff4_degenerate(s, d):
+    walks = _plain_walks(s, d).drop("b")
+    depth = coverage.node_depth(_visits(s, d), b.nodes(s, d))
+    return rounded(strain.degenerate_filter(walks, depth, coverage.unique_triples(coverage.walk_triples(walks))))
+
+
+@query
+def opt1_single_path_median(s, d):
+    return rounded(lad.single_path(b.walks(s, d), coverage.node_depth(_visits(s, d), b.nodes(s, d))))
+
+
+@query
+def opt1_lad_multi(s, d):
+    return lad.fit_species(b.walks(s, d), coverage.node_depth(_visits(s, d), b.nodes(s, d)))
+
+
+@query
+def opt2_refit(s, d):
+    kept = strain.first_filter(_trio_depth(s, d)).filter("keep").select("species", "hap_id")
+    return lad.fit_species(b.walks(s, d).join(kept, ["species", "hap_id"], "left_semi"), coverage.node_depth(_visits(s, d), b.nodes(s, d)))
+
+
+def _metrics(s, d):
+    """Measures of the haplotypes, with the median of a path as its first solution."""
+    visits, nodes, walks = _visits(s, d), b.nodes(s, d), b.walks(s, d)
+    first = strain.first_filter(coverage.triple_depth(visits, coverage.triple_haps(_unique(s, d), nodes))).filter("keep").drop("keep")
+    breadth = coverage.path_breadth(walks, nodes, coverage.node_breadth(visits, nodes))
+    solved = lad.single_path(walks, coverage.node_depth(visits, nodes))
+    keys = ["species", "hap_id"]
+    return first.join(breadth, keys).join(solved, keys).select("species", "hap_id", "fraction", "mean", "path_base_cov", "first_sol")
+
+
+@query
+def sf1_second_filter(s, d):
+    return rounded(strain.second_filter(_metrics(s, d)))
+
+
+def _constrained(s, d):
+    kept = strain.second_filter(_metrics(s, d)).filter("keep").drop("keep").withColumn("second_sol", F.col("first_sol") * 0.9)
+    bases = species.species_bases(classified(s, d), filtered=False).join(b.lengths(s, d), "species", "left")
+    return strain.constrain(kept, bases.select("species", F.try_divide(F.col("bases").cast("double"), "len").alias("coverage")))
+
+
+@query
+def cn_constraints(s, d):
+    return rounded(_constrained(s, d).select("species", "hap_id", "first_sol", "second_sol", "is_rescue", "total_cov_diff"))
+
+
+@query
+def se1_strain_table(s, d):
+    metrics = _constrained(s, d).withColumn("hap_id", F.concat_ws("_", "species", "hap_id"))
+    made = b.walks(s, d).select("species", "hap_id").distinct()
+    genomes = made.select(F.concat_ws("_", "species", "hap_id").alias("hap_id"), F.concat_ws(".", "species", F.substring("hap_id", 2, 1)).alias("strain_taxid"), F.concat("species", F.lit("-"), "hap_id").alias("genome_ID"))
+    return rounded(strain.strain_table(metrics, genomes, single_cov_diff=5.0))
+
+
+# Sequences
+
+
+@query
+def ag18_species_avg_len(s, d):
+    return rounded(seqstats.mean_lengths(b.table(s, d, "documents").selectExpr("lang as species", "n_chars as length")))
+
+
+@query
+def ag19_seq_stats(s, d):
+    return rounded(seqstats.sequence_stats(b.sequences(s, d)))
+
+
+@query
+def ag20_n50_ceil(s, d):
+    lengths = b.sequences(s, d).selectExpr("genome", "cast(length(seq) as bigint) as len")
+    return seqstats.nxx(lengths, ["genome"], 0.5, "n50").join(seqstats.nxx(lengths, ["genome"], 0.9, "n90"), "genome")
+
+
+@query
+def ag20b_n50_py(s, d):
+    return rounded(seqstats.sequence_stats(b.sequences(s, d), ignore_case=False))
+
+
+@query
+def ag21_contigs(s, d):
+    return rounded(seqstats.sequence_stats(seqstats.contigs(b.sequences(s, d), 500), ignore_case=False))
+
+
+@query
+def ag22_assembly_report(s, d):
+    return rounded(seqstats.assembly_report(b.sequences(s, d)))
+
+
+@query
+def gr8_chunk_1024(s, d):
+    return seqstats.chunked(b.sequences(s, d)).select("genome", "seq_id", "node_id", "node_len", F.md5("chunk").alias("chunk_md5"))
+
+
+@query
+def ag27_genome_groups(s, d):
+    rows = b.table(s, d, "documents").selectExpr("concat_ws('-', source, lang) as species", "doc_id")
+    counted = rows.groupBy("species").agg(F.count(F.lit(1)).alias("genomes"))
+    return counted.select("species", "genomes", (F.col("genomes") > 1).cast("int").alias("is_pan"))
+
+
+# Clusters
+
+#: The bound similarities stay below the defaults for genomes, so that thresholds are passed.
+WEAK, STRONG = 20.0, 30.0
+
+
+@query
+def ag23_pair_max(s, d):
+    sim = b.similarities(s, d)
+    return cluster.pair_max(sim.unionByName(sim.selectExpr("label", "refer as query", "query as refer", "ani - 0.5 as ani"))).filter(F.col("ani") >= WEAK)
+
+
+@query
+def ag25_argmax(s, d):
+    docs = b.table(s, d, "documents")
+    return docs.groupBy("source").agg(F.max_by("doc_id", F.struct("n_chars", -F.col("doc_id"))).alias("doc_id"), F.max("n_chars").alias("n_chars"))
+
+
+def _members(s, d):
+    found = cluster.components(b.genomes(s, d), b.similarities(s, d), STRONG)
+    return found.join(b.genomes(s, d), ["label", "genome"])
+
+
+@query
+def gr12_components(s, d):
+    return _members(s, d).select("label", "genome", "component")
+
+
+@query
+def gr13_representatives(s, d):
+    return cluster.representatives(_members(s, d))
+
+
+@query
+def gr14_cliques(s, d):
+    reps = cluster.representatives(_members(s, d)).join(b.genomes(s, d), ["label", "genome"])
+    return cluster.clique_selection(reps, b.similarities(s, d), WEAK)
+
+
+@query
+def gr15_fallback(s, d):
+    chosen = b.genomes(s, d).filter("is_ref and label % 2 = 0")
+    return cluster.fallback(chosen, b.genomes(s, d))
+
+
+@query
+def gr16_complete_linkage(s, d):
+    return cluster.hierarchical(b.genomes(s, d), b.similarities(s, d), STRONG)
+
+
+def _clusters(s, d):
+    return _members(s, d).withColumnRenamed("component", "cluster")
+
+
+@query
+def gr17_medoid(s, d):
+    return cluster.medoids(_clusters(s, d), b.similarities(s, d))
+
+
+@query
+def gr18_reassign(s, d):
+    reps = cluster.medoids(_clusters(s, d), b.similarities(s, d))
+    return cluster.reassign(b.genomes(s, d), reps, b.similarities(s, d))
+
+
+@query
+def jn13_rep_pairs(s, d):
+    reps = cluster.representatives(_members(s, d)).select("label", "genome")
+    pairs = b.similarities(s, d).filter(F.col("ani") >= WEAK)
+    pairs = pairs.join(reps.withColumnRenamed("genome", "query"), ["label", "query"], "left_semi")
+    return pairs.join(reps.withColumnRenamed("genome", "refer"), ["label", "refer"], "left_semi").select("label", "query", "refer")
+
+
+@query
+def jn14_expand_clusters(s, d):
+    reps = b.genomes(s, d).filter("is_ref")
+    return cluster.expand_clusters(reps, _clusters(s, d)).select("label", "genome", "cluster")
+
+
+@query
+def sc19_filter_matrix(s, d):
+    long = b.similarities(s, d).select(F.col("query").alias("i"), F.col("refer").alias("j"), (100 - F.col("ani")).alias("dist"))
+    return rounded(cluster.filter_matrix(long, b.genomes(s, d).filter("n50 >= 500")))
+
+
+@query
+def wn7_top_m(s, d):
+    return cluster.top_by_n50(b.genomes(s, d), 5).select("label", "genome", "n50")
+
+
+@query
+def gr19_containment(s, d):
+    items = b.table(s, d, "benchmark").select("item_id", F.explode(sketch.word_grams(F.col("text"), 5)).alias("gram"))
+    corpus = b.table(s, d, "documents").select(F.explode(sketch.word_grams(F.col("text"), 5)).alias("gram"))
+    return rounded(sketch.containment(items, corpus))
+
+
+# Scalars and samples
+
+
+def _files(s, d):
+    part = b.table(s, d, "part")
+    return part.select("p_partkey", F.concat(F.lit("../genomes/GCF_"), F.col("p_partkey"), F.lit("."), F.col("p_size"), F.lit("_"), names.underscored(F.col("p_name")), F.lit("_genomic.fna.gz")).alias("path"))
+
+
+@query
+def fn2_fn3_hap_id(s, d):
+    return _files(s, d).select("p_partkey", names.hap_id(F.col("path")).alias("hap_id"))
+
+
+@query
+def fn4_file_stem(s, d):
+    return b.table(s, d, "pages").select("page_id", names.file_stem(F.col("url")).alias("stem"))
+
+
+@query
+def fn5_genome_name(s, d):
+    return _files(s, d).select("p_partkey", names.genome_name(F.col("path")).alias("genome"), names.genome_name(F.col("path"), True).alias("short_name"))
+
+
+@query
+def fn12_strain_suffix(s, d):
+    rows = b.table(s, d, "supplier").selectExpr("s_suppkey", "s_nationkey * 3 + s_suppkey % 2 as taxid")
+    return names.number_repeats(rows, "taxid", "s_suppkey", "strain_taxid").select("s_suppkey", "strain_taxid")
+
+
+@query
+def fn13_threads(s, d):
+    rows = b.table(s, d, "part").groupBy("p_size").agg(F.count(F.lit(1)).alias("n"))
+    return rows.select("p_size", "n", names.threads_for(F.col("p_size"), 1.5, 80).alias("threads"))
+
+
+@query
+def pf14_case(s, d):
+    return b.table(s, d, "part").select("p_partkey", names.first_tokens(names.underscored(F.col("p_name"))).alias("name"))
+
+
+@query
+def so4_sample(s, d):
+    rows = b.nodes(s, d).withColumn("_h", F.expr("(node_id * 48271 + 42) % 2147483647")).orderBy("_h", "node_id").limit(500)
+    return rows.orderBy("node_id").select("species", "node_id", "node_len")
+
+
+@query
+def so7_hap_index(s, d):
+    haps = b.walks(s, d).select("species", "hap_id").distinct()
+    return haps.selectExpr("species", "hap_id", "dense_rank() over (partition by species order by hap_id) - 1 as path_index")
