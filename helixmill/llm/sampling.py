@@ -12,16 +12,15 @@ SAMPLE_CHARS = 200_000
 def sample_ids(rows: DataFrame, label: str, per_label: int, labels: int) -> list[tuple]:
     """(doc_id, label) of up to ``per_label`` rows of each of the ``labels`` first label values, by smallest hash of the id.
 
-    A label may hold most rows, so a first ranking runs within 64 hash ranges of a label.
+    A label may hold most rows, so only ids whose hash is below four times the share wanted of the label are ranked.
     """
     hashed = rows.filter(F.col("doc_id").isNotNull() & F.col(label).isNotNull()).select("doc_id", label).distinct()
-    hashed = hashed.withColumn("_hash", F.xxhash64("doc_id")).withColumn("_range", F.pmod("_hash", F.lit(64)))
-    ranked = hashed
-    for keys in ([label, "_range"], [label]):
-        by = Window.partitionBy(*keys).orderBy("_hash", "doc_id")
-        ranked = ranked.withColumn("_rank", F.row_number().over(by)).filter(F.col("_rank") <= per_label).drop("_rank")
-    named = hashed.select(label).distinct().orderBy(label).limit(labels)
-    return [tuple(r) for r in ranked.join(F.broadcast(named), label).select("doc_id", label, "_hash").orderBy("_hash", "doc_id").collect()]
+    hashed = hashed.withColumn("_hash", F.shiftrightunsigned(F.xxhash64("doc_id"), 1))
+    counts = hashed.groupBy(label).count().orderBy(label).limit(labels)
+    low = hashed.join(F.broadcast(counts), label).filter(F.col("_hash") < F.lit(2.0**63) * 4 * per_label / F.col("count"))
+    by = Window.partitionBy(label).orderBy("_hash", "doc_id")
+    ranked = low.withColumn("_rank", F.row_number().over(by)).filter(F.col("_rank") <= per_label)
+    return [tuple(r) for r in ranked.select("doc_id", label, "_hash").orderBy("_hash", "doc_id").collect()]
 
 
 def sample_texts(docs: DataFrame, ids: list[tuple]) -> list[tuple[str, object]]:
