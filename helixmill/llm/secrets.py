@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow
+from .common import map_arrow, materialize
 from .sampling import sample_ids, sample_texts
 
 KINDS = ("assign", "access", "hex", "cnn")
@@ -152,7 +152,7 @@ def train(texts: list[str], recall: float = 0.95) -> CharNet | None:
 def train_from_documents(docs: DataFrame, per_class: int = 1500) -> CharNet | None:
     """Learn from at most ``per_class`` documents with a pattern finding and as many without, chosen by a hash of the id."""
     pattern = r"(?i)(?:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?[a-z0-9+/_.=-]{6}|(?-i)AKIA[A-Z0-9]{16}|[0-9a-f]{24}"
-    marked = docs.select("doc_id", F.col("text").rlike(pattern).alias("found"))
+    marked = materialize(docs.select("doc_id", F.col("text").rlike(pattern).alias("found")), "marked")
     sample = sample_texts(docs, sample_ids(marked, "found", per_class, 2))
     return train([t for t, _ in sample])
 
