@@ -21,7 +21,7 @@ def letter_grams(seq: Column, k: int) -> Column:
 
 def sketched(rows: DataFrame, grams: Column, scale: int = 1) -> DataFrame:
     """One row per distinct k-mer hash; of ``scale`` hashes one is kept, the same ones in every sketch."""
-    hashed = rows.withColumn("gram", F.explode(F.transform(grams, F.xxhash64)))
+    hashed = rows.withColumn("gram", F.explode(F.transform(grams, lambda g: F.xxhash64(g))))
     return hashed.filter(F.pmod("gram", F.lit(scale)) == 0) if scale > 1 else hashed
 
 
