@@ -2,14 +2,15 @@
 
 A window of a text is compressed with either dictionary; the bytes that the toxic one saves show how much of the
 window the toxic sample knows and the ordinary one doesn't. Both dictionaries start with the same content, trained on
-words that both samples use, so that it cancels out; behind it each holds content trained on the words that recur in
-documents of its own class and are missing from the other. The savings of a document's windows give a few features,
-and a logistic curve, fitted on documents the dictionaries haven't seen and weighted by the share of toxic documents
-among all labels, turns these into a calibrated score.
+words that both samples use, so that it cancels out; behind it each holds content trained on words whose stems are
+far more usual in documents of its own class. The savings of a document's windows give a few features,
+and a logistic curve, fitted on features from dictionaries that haven't seen the document and weighted by the share of
+toxic documents among all labels, turns these into a calibrated score.
 """
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from dataclasses import dataclass
 from functools import lru_cache
@@ -26,7 +27,10 @@ from .sampling import fit_logistic, sample_ids, sample_texts
 WINDOW = 48
 LEVEL = 9
 MIN_MATCH = 5
-SHARED_BYTES, OWN_BYTES = 1 << 16, 1536
+SHARED_BYTES, OWN_BYTES = 1 << 16, 3072
+#: Bytes of a word that tell its stem.
+STEM = 5
+LEAST_SHARE, LEAST_RATIO, LEAST_DEVIATIONS = 0.04, 3, 5
 #: Content of a trained dictionary that is a header with entropy tables.
 HEADER = 400
 N_FEATURES = 5
@@ -59,10 +63,12 @@ class ToxicModel:
 
 
 def _content(samples: list[bytes], size: int, k: int, d: int) -> bytes:
-    """Content of a dictionary trained on samples; of too few samples, their last bytes."""
+    """Content of a dictionary trained on samples; too few samples to train on are the content themselves."""
     try:
         raw = zstandard.train_dictionary(size, samples, k=k, d=d).as_bytes()[HEADER:]
     except zstandard.ZstdError:
+        raw = b""
+    if len(raw) < (size - HEADER) // 2:
         raw = b"".join(samples)
     return raw[-size:].rjust(size, b"\0")
 
@@ -74,25 +80,35 @@ def _compressor(content: bytes) -> zstandard.ZstdCompressor:
     return zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT), compression_params=params)
 
 
-def train_dictionaries(toxic: list[str], ordinary: list[str], least_share: float = 0.025) -> tuple[bytes, bytes]:
-    """Dictionaries for toxic and ordinary text; a word of a class recurs if this share of its documents has it."""
+def marked_stems(seen: list[Counter], sizes: list[int], own: int) -> set[bytes]:
+    """Stems that mark a class: in at least 4 % of its documents, three times the other's share, five deviations apart."""
+    out = set()
+    for stem, n in seen[own].items():
+        other = seen[1 - own].get(stem, 0)
+        share, rest, mean = n / sizes[own], other / sizes[1 - own], (n + other) / sum(sizes)
+        spread = math.sqrt(mean * (1 - mean) * (1 / sizes[0] + 1 / sizes[1]))
+        if n >= 3 and share >= LEAST_SHARE and share >= LEAST_RATIO * rest and share - rest >= LEAST_DEVIATIONS * spread:
+            out.add(stem)
+    return out
+
+
+def train_dictionaries(toxic: list[str], ordinary: list[str]) -> tuple[bytes, bytes]:
+    """Dictionaries for toxic and ordinary text; words are told apart by their first five bytes, so that a stem counts with all its endings."""
     split = [[t.lower().encode("utf-8", "surrogatepass").split() for t in texts] for texts in (toxic, ordinary)]
-    known = []
+    seen = []
     for docs in split:
-        seen: Counter = Counter()
+        stems: Counter = Counter()
         for words in docs:
-            seen.update(set(words))
-        known.append(seen)
+            stems.update({w[:STEM] for w in words})
+        seen.append(stems)
+    marked = [marked_stems(seen, [len(toxic), len(ordinary)], i) for i in (0, 1)]
 
     def sample(docs, keep) -> list[bytes]:
-        kept = ([w for w in words if keep(w)] for words in docs)
+        kept = ([w for w in words if keep(w[:STEM])] for words in docs)
         return [b" %b " % b" ".join(words) for words in kept if words]
 
-    shared = _content(sample(split[1], lambda w: w in known[0] and w in known[1]), SHARED_BYTES, 32, 8)
-    own = []
-    for i in (0, 1):
-        least = max(2, int(least_share * len(split[i])))
-        own.append(_content(sample(split[i], lambda w, i=i, least=least: w not in known[1 - i] and known[i][w] >= least), OWN_BYTES, 10, 6))
+    shared = _content(sample(split[1], lambda w: w in seen[0] and w not in marked[0] and w not in marked[1]), SHARED_BYTES, 32, 8)
+    own = [_content(sample(split[i], lambda w, i=i: w in marked[i]), OWN_BYTES, 10, 6) for i in (0, 1)]
     return shared + own[0], shared + own[1]
 
 
@@ -110,21 +126,24 @@ class Scorer:
         return np.array([saved.mean(), top[0], top[:3].mean(), top[: max(1, len(top) // 10)].mean(), (saved >= 4).mean()])
 
 
-def train(learn: list[tuple[str, int]], base_rate: float) -> ToxicModel:
-    """Fit on (text, 0 or 1): three fifths make the dictionaries, the rest calibrates."""
+def train(learn: list[tuple[str, int]], base_rate: float, folds: int = 3) -> ToxicModel:
+    """Fit on (text, 0 or 1). Each fold's features come from dictionaries of the other folds; the final ones use all."""
     classes = [[t for t, y in learn if y == c] for c in (1, 0)]
-    cut = [max(1, len(c) * 3 // 5) for c in classes]
-    toxic, ordinary = train_dictionaries(classes[0][: cut[0]], classes[1][: cut[1]])
-    scorer = Scorer(toxic, ordinary)
-    rest = [(t, y) for c, n, y in zip(classes, cut, (1, 0)) for t in c[n:]]
-    if not rest or not classes[0] or not classes[1]:
-        return ToxicModel(toxic, ordinary, np.zeros(N_FEATURES), np.ones(N_FEATURES), np.zeros(N_FEATURES + 1), base_rate)
-    x = np.array([scorer.features(t) for t, _ in rest])
-    y = np.array([y for _, y in rest], float)
+    if min(map(len, classes)) < folds:
+        none = np.zeros(N_FEATURES)
+        return ToxicModel(b"", b"", none, none + 1, np.zeros(N_FEATURES + 1), base_rate)
+    rows, marks = [], []
+    for fold in range(folds):
+        scorer = Scorer(*train_dictionaries(*([t for i, t in enumerate(c) if i % folds != fold] for c in classes)))
+        for texts, y in zip(classes, (1, 0)):
+            apart = texts[fold::folds]
+            rows += map(scorer.features, apart)
+            marks += [y] * len(apart)
+    x, y = np.array(rows), np.array(marks, float)
     mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-9
     share = y.mean()
-    weight = np.where(y == 1, base_rate / max(share, 1e-9), (1 - base_rate) / max(1 - share, 1e-9))
-    return ToxicModel(toxic, ordinary, mean, scale, fit_logistic((x - mean) / scale, y, weight), base_rate)
+    weight = np.where(y == 1, base_rate / share, (1 - base_rate) / (1 - share))
+    return ToxicModel(*train_dictionaries(*classes), mean, scale, fit_logistic((x - mean) / scale, y, weight), base_rate)
 
 
 @lru_cache(maxsize=2)
