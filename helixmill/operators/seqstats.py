@@ -29,7 +29,7 @@ def nxx(lengths: DataFrame, keys: list[str], share: float, name: str, ceil: bool
 
 def sequence_stats(seqs: DataFrame, ignore_case: bool = True, keys: tuple[str, ...] = ("genome",)) -> DataFrame:
     """Per genome n, total, gap, avg, n50, n90, longest, shortest, gc (percent of what isn't N)."""
-    letters = ("NnGgCc"[:2], "GgCc") if ignore_case else ("N", "GC")
+    letters = ("Nn", "GgCc") if ignore_case else ("N", "GC")
     keys = list(keys)
     each = seqs.select(*keys, F.length("seq").cast("bigint").alias("len"), _count(F.col("seq"), letters[0]).alias("_n"), _count(F.col("seq"), letters[1]).alias("_gc"))
     sums = each.groupBy(*keys).agg(
@@ -58,8 +58,7 @@ def assembly_report(seqs: DataFrame, least: int = LEAST_CONTIG) -> DataFrame:
 
 def chunked(seqs: DataFrame, width: int = CHUNK) -> DataFrame:
     """(genome, seq_id, node_id, node_len, chunk): a sequence as consecutive nodes of at most ``width`` letters, from 1."""
-    starts = F.sequence(F.lit(0), F.ceil(F.length("seq") / width).cast("int") - 1)
-    cut = F.transform(starts, lambda i: F.substring(F.col("seq"), i * width + 1, F.lit(width)))
+    cut = F.regexp_extract_all("seq", F.lit(f"(?s).{{1,{width}}}"), F.lit(0))
     each = seqs.filter(F.length("seq") > 0).select("genome", "seq_id", F.posexplode(cut).alias("_i", "chunk"))
     return each.select("genome", "seq_id", (F.col("_i") + 1).cast("bigint").alias("node_id"), F.length("chunk").cast("bigint").alias("node_len"), "chunk")
 

@@ -6,17 +6,39 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+#: Letters per block when k-mers are cut, so that a long sequence isn't searched from its start for each.
+BLOCK = 256
+
+
+def _once(value: Column, use) -> Column:
+    """``use`` of a value that is computed once per row and not for each step of a lambda."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def word_grams(text: Column, k: int) -> Column:
     """Distinct runs of k words."""
-    words = F.split(text, " ")
-    at = F.sequence(F.lit(1), F.greatest(F.size(words) - (k - 1), F.lit(1)))
-    return F.array_distinct(F.filter(F.transform(at, lambda i: F.array_join(F.slice(words, i, k), " ")), lambda g: F.size(F.split(g, " ")) == k))
+
+    def cut(words: Column) -> Column:
+        ahead = F.slice(words, 1, F.greatest(F.size(words) - (k - 1), F.lit(0)))
+        return F.array_distinct(F.transform(ahead, lambda w, i: F.concat_ws(" ", w, *[F.get(words, i + j) for j in range(1, k)])))
+
+    return _once(F.split(text, " "), cut)
 
 
 def letter_grams(seq: Column, k: int) -> Column:
-    """Distinct k-mers."""
-    at = F.sequence(F.lit(1), F.greatest(F.length(seq) - (k - 1), F.lit(1)))
-    return F.array_distinct(F.filter(F.transform(at, lambda i: F.substring(seq, i, F.lit(k))), lambda g: F.length(g) == k))
+    """Distinct k-mers; blocks of the sequence are continued by the start of the next."""
+
+    def cut(blocks: Column) -> Column:
+        wide = F.transform(blocks, lambda x, i: F.concat(x, F.coalesce(F.substring(F.get(blocks, i + 1), 1, k - 1), F.lit(""))))
+
+        def of(block: Column) -> Column:
+            last = F.length(block) - (k - 1)
+            starts = F.when(last > 0, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
+            return F.transform(starts, lambda i: F.substring(block, i, F.lit(k)))
+
+        return F.array_distinct(F.flatten(F.transform(wide, of)))
+
+    return _once(F.regexp_extract_all(seq, F.lit(f"(?s).{{1,{max(BLOCK, k)}}}"), F.lit(0)), cut)
 
 
 def sketched(rows: DataFrame, grams: Column, scale: int = 1) -> DataFrame:

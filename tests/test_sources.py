@@ -135,3 +135,16 @@ def test_stream(spark, tmp_path):
     q = stream_species_bases(stream_reads(spark, str(tmp_path / "in"), "rid string, path string, mapq int, read_len bigint"), held, str(tmp_path / "out"), str(tmp_path / "cp"))
     q.awaitTermination(60)
     assert [(r.species, r.bases) for r in spark.read.parquet(str(tmp_path / "out")).collect()] == [("A", 100)]
+
+
+def test_grams_are_the_plain_ones(spark):
+    import random
+
+    rng = random.Random(1)
+    seqs = ["".join(rng.choice("ACGT") for _ in range(n)) for n in (0, 3, 4, 5, 255, 256, 257, 259, 260, 1500)]
+    df = spark.createDataFrame([(i, s, " ".join(s[:40])) for i, s in enumerate(seqs)], "i int, seq string, text string")
+    for r in df.select("seq", "text", sketch.letter_grams(F.col("seq"), 5).alias("g"), sketch.word_grams(F.col("text"), 3).alias("w")).collect():
+        assert set(r.g) == {r.seq[k : k + 5] for k in range(len(r.seq) - 4)}
+        words = r.text.split(" ")
+        assert set(r.w) == {" ".join(words[k : k + 3]) for k in range(len(words) - 2)}
+        assert len(r.g) == len(set(r.g))
