@@ -25,8 +25,8 @@ def _norm(line: Column) -> Column:
 
 def line_keys(text: Column, host: Column) -> Column:
     """Array of (key, chars) of the distinct normalised lines that hold a word; key hashes host and line."""
-    lines = F.array_distinct(F.split(_norm_text(text), "\n"))
-    lines = F.filter(F.transform(lines, F.trim), lambda x: F.length(x) > 0)
+    lines = F.transform(F.split(_norm_text(text), "\n"), lambda x: F.trim(x))
+    lines = F.filter(F.array_distinct(lines), lambda x: F.length(x) > 0)
     key = lambda x: F.xxhash64(F.coalesce(host, F.lit("")), host.isNull(), x)
     return F.transform(lines, lambda x: F.struct(key(x).alias("key"), F.length(x).alias("chars")))
 
@@ -80,7 +80,7 @@ def document_counts(docs: DataFrame) -> DataFrame:
         "n_repeat_words",
         ((F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))).alias("base_failed"),
         line_keys(text, F.col("source")).alias("lines"),
-        F.xxhash64(text).alias("content"),
+        F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long").alias("content"),
     )
 
 

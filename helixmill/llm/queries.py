@@ -104,4 +104,31 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_prefix_table_pieces": op10_prefix_table_pieces,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op1_line_frequency": r"""
+        with d as (select doc_id, source, coalesce(text, '') as text, ('0x' || substr(md5(coalesce(text, '')), 1, 15))::bigint as content from documents),
+        w as (select doc_id, regexp_extract_all(text, '[^\x20\x09-\x0D]+') as w from d),
+        win as (select doc_id, i, count(*) over (partition by doc_id, a, b, c) as n from
+            (select doc_id, i, w[i] as a, w[i + 1] as b, w[i + 2] as c from (select doc_id, w, unnest(range(1, len(w) - 1)) as i from w))),
+        rep as (select doc_id, count(distinct p)::bigint as n_repeat_words from (select doc_id, unnest([i, i + 1, i + 2]) as p from win where n > 1) group by 1),
+        dup as (select doc_id, (count(*) - count(distinct line))::bigint as n_dup_lines from (select doc_id, unnest(string_split(text, chr(10))) as line from d)
+            where regexp_matches(line, '[^\x20\x09-\x0D]') group by 1),
+        line as (select distinct doc_id, source, content, trim(line) as line from (select doc_id, source, content,
+            unnest(string_split(lower(regexp_replace(regexp_replace(text, '[0-9]+', '0', 'g'), '[\x20\x09\x0B-\x0D]+', ' ', 'g')), chr(10))) as line from d) where trim(line) <> ''),
+        shared as (select source, line, min(content) as keeper from line group by 1, 2 having count(distinct content) > 20),
+        total as (select doc_id, sum(length(line))::bigint as total from line group by 1),
+        gone as (select doc_id, sum(length(l.line))::bigint as removed from line l join shared s on s.line = l.line and s.source is not distinct from l.source where content <> keeper group by 1),
+        base as (select d.doc_id, len(w.w)::bigint as n_words, length(array_to_string(w.w, ''))::bigint as word_chars, len(regexp_extract_all(d.text, '[#*$%&|<>]'))::bigint as n_symbols,
+            coalesce(n_dup_lines, 0)::bigint as n_dup_lines, coalesce(n_repeat_words, 0)::bigint as n_repeat_words, coalesce(total, 0) as total, coalesce(removed, 0)::bigint as removed_chars
+            from d join w using (doc_id) left join dup using (doc_id) left join rep using (doc_id) left join total using (doc_id) left join gone using (doc_id))
+        select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed,
+            not (n_words < 50 or 100 * n_repeat_words > 50 * n_words) and total - removed_chars >= total * 0.5 as kept, removed_chars from base""",
+    "op7_pivot_permutations": """
+        with recursive v as (select vec_id, label, embedding::double[] as e from embeddings where label is not null and len(embedding) > 0 and list_count(embedding) = len(embedding)
+            and len(list_filter(embedding, lambda x: not isfinite(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+        link as (select a.vec_id as a, b.vec_id as b from v a join v b on a.label = b.label and len(a.e) = len(b.e) and a.vec_id <> b.vec_id
+            where list_dot_product(a.e, b.e) / sqrt(list_dot_product(a.e, a.e) * list_dot_product(b.e, b.e)) >= 0.93),
+        reach as (select vec_id as a, vec_id as r from embeddings union select link.b, reach.r from reach join link on link.a = reach.a)
+        select vec_id, (select count(*) from link where a = vec_id) as n_links, least_id as component_id, vec_id = least_id as kept
+            from embeddings join (select a, min(r) as least_id from reach group by 1) on a = vec_id""",
+}

@@ -176,3 +176,40 @@ def test_queries(spark, name):
 def test_entry_has_the_pipeline():
     assert entry.queries()["pipeline"] is corpus_pipeline.run
     assert [name for name, _ in corpus_pipeline.STAGES] == ["toxicity", "simhash", "personal_data", "mixing", "tokens"]
+
+
+@needs_tables
+def test_line_rule_matches_its_sql_at_a_low_limit(spark):
+    import duckdb
+
+    from helixmill.llm.quality import quality_report
+
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from '{SF}/documents.parquet'")
+    want = con.sql(entry.oracle_sql()["op1_line_frequency"].replace("> 20)", "> 1)")).fetchall()
+    got = [tuple(r) for r in quality_report(spark.read.parquet(f"{SF}/documents.parquet"), max_docs=1).collect()]
+    assert sorted(got) == sorted(want)
+    assert any(r[-1] > 0 for r in got)
+
+
+def test_vector_sql_finds_the_same_links(spark, tmp_path):
+    import duckdb
+
+    from helixmill.llm.pivots import near_duplicates
+
+    rng = np.random.default_rng(9)
+    rows = []
+    for label in (0, 1, None):
+        for _ in range(30):
+            x = rng.standard_normal(24)
+            rows += [(label, (x + s * rng.standard_normal(24)).astype(np.float32).tolist()) for s in (0.0, 0.1, 0.15)]
+    rows += [(0, None), (0, []), (1, [0.0] * 24), (1, [float("nan")] * 24)]
+    table = [(i, e, label) for i, (label, e) in enumerate(rows)]
+    spark.createDataFrame(table, "vec_id bigint, embedding array<float>, label int").coalesce(1).write.parquet(f"{tmp_path}/e")
+    con = duckdb.connect()
+    con.sql(f"create view embeddings as select * from '{tmp_path}/e/*.parquet'")
+    want = con.sql(entry.oracle_sql()["op7_pivot_permutations"]).fetchall()
+    got = [tuple(r) for r in near_duplicates(spark.read.parquet(f"{tmp_path}/e")).collect()]
+    assert sum(r[1] for r in want) > 60
+    assert sum(r[1] for r in got) >= 0.9 * sum(r[1] for r in want)
+    assert len(set(got) & set(want)) >= 0.9 * len(want)
