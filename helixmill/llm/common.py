@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -17,6 +19,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
 
 _own_dir: list[str] = []
+_written: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -28,7 +31,9 @@ def shared_dir(spark: SparkSession) -> str:
     if not (master == "local" or master.startswith("local[")):
         raise ValueError("spark.checkpoint.dir must name a shared folder on a cluster")
     if not _own_dir:
-        _own_dir.append("file://" + tempfile.mkdtemp(prefix="helixmill-"))
+        folder = tempfile.mkdtemp(prefix="helixmill-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        _own_dir.append(f"file://{folder}")
     return _own_dir[0]
 
 
@@ -37,9 +42,18 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def remove_materialized(spark: SparkSession) -> None:
+    """Delete what ``materialize`` wrote in this process; frames built on it can't be read afterwards."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    while _written:
+        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
+        path.getFileSystem(conf).delete(path, True)
+
+
 def word_count(text: Column) -> Column:
     """Number of words of a text as long; 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
@@ -61,8 +75,6 @@ def global_rank(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     Rows are dealt out by range, numbered within each range, and shifted by the sizes of the ranges before.
     """
     dealt = materialize(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "ranged")
-    from pyspark.sql import Window
-
     sizes = dealt.groupBy("_range").agg(F.count(F.lit(1)).alias("_rows"))
     before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select("_range", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_start"))
