@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -19,10 +21,13 @@ def _cut(df: DataFrame) -> DataFrame:
     spark: SparkSession = df.sparkSession
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
             raise ValueError("spark.checkpoint.dir must name a shared folder on a cluster")
         if not _own:
-            _own.append("file://" + tempfile.mkdtemp(prefix="helixmill-"))
+            folder = tempfile.mkdtemp(prefix="helixmill-")
+            atexit.register(shutil.rmtree, folder, ignore_errors=True)
+            _own.append(f"file://{folder}")
         base = _own[0]
     path = f"{base.rstrip('/')}/round-{uuid.uuid4().hex}"
     df.write.parquet(path)
