@@ -131,4 +131,37 @@ ORACLE_SQL: dict[str, str] = {
         reach as (select vec_id as a, vec_id as r from embeddings union select link.b, reach.r from reach join link on link.a = reach.a)
         select vec_id, (select count(*) from link where a = vec_id) as n_links, least_id as component_id, vec_id = least_id as kept
             from embeddings join (select a, min(r) as least_id from reach group by 1) on a = vec_id""",
+    "op9_disclosing_terms": r"""
+        with d as (select doc_id, translate(coalesce(text, ''), chr(1) || chr(2), chr(3) || chr(3)) as text, coalesce(text, '') as raw from documents),
+        rule as (select * from (values (0, 'email', '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+'), (1, 'ip', '[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)'),
+            (2, 'card', '[0-9]([\x20-]?[0-9])+'), (3, 'phone', '\+[0-9][\x20().0-9-]+[0-9]')) as t (k, kind, rx)),
+        mark as (select doc_id, k, kind, string_split(case k when 0 then regexp_replace(text, '([A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+)', chr(1) || '\1' || chr(2), 'g')
+            when 1 then regexp_replace(text, '([0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+))', chr(1) || '\1' || chr(2), 'g')
+            when 2 then regexp_replace(text, '([0-9]([\x20-]?[0-9])+)', chr(1) || '\1' || chr(2), 'g')
+            else regexp_replace(text, '(\+[0-9][\x20().0-9-]+[0-9])', chr(1) || '\1' || chr(2), 'g') end, chr(1)) as p from d, rule),
+        piece as (select doc_id, k, kind, unnest(p) as piece, generate_subscripts(p, 1) as i from mark where len(p) > 1),
+        found as (select doc_id, k, kind, i, split_part(piece, chr(2), 1) as value, coalesce(sum(length(piece) - (i > 1)::int) over (partition by doc_id, k order by i rows between unbounded preceding and 1 preceding), 0)::bigint as s from piece),
+        span as (select doc_id, k, kind, value, s, s + length(value) as e, regexp_replace(value, '[^0-9]', '', 'g') as g from found where i > 1),
+        ok as (select * from span where k = 0
+            or (k = 1 and len(list_filter(string_split(value, '.'), lambda x: length(ltrim(x, '0')) > 3 or coalesce(try_cast(ltrim(x, '0') as int), 0) > 255)) = 0)
+            or (k = 2 and length(g) between 14 and 19 and list_sum(list_transform(range(0, length(g)), lambda i: case when i % 2 = 0 then g[length(g) - i]::int when g[length(g) - i]::int > 4 then g[length(g) - i]::int * 2 - 9 else g[length(g) - i]::int * 2 end)) % 10 = 0)
+            or (k = 3 and length(g) between 10 and 15)),
+        ctx as (select distinct doc_id, lower(value) as entity, lower(regexp_replace(substr(raw, greatest(s - 159, 1), least(s, 160)), '^\S+', '') || chr(10) || regexp_replace(substr(raw, e + 1, 160), '\S+$', '')) as context from ok join d using (doc_id)),
+        often as (select entity, count(distinct doc_id) as n_c from ctx group by 1 having count(distinct context) >= 3),
+        word as (select doc_id, entity, context, unnest(list_distinct(regexp_extract_all(context, '[\p{L}][\p{L}\p{N}''-]{3,}'))) as term from ctx),
+        pair as (select entity, term, n_c, count(distinct doc_id) as n_ct from word join often using (entity) group by 1, 2, 3 having count(distinct context) >= 3),
+        corpus as (select unnest(list_distinct(regexp_extract_all(lower(text), '[\p{L}][\p{L}\p{N}''-]{3,}'))) as term from documents),
+        known as (select term, count(*) as n_t from corpus where term in (select term from pair) group by 1),
+        least as (select term, count(distinct doc_id) as least_t from word group by 1),
+        flagged as (select entity, term from pair join known using (term) join least using (term), (select count(*)::double as n from documents) where ln(n_ct * n / (n_c * greatest(n_t, least_t))) >= 0.8 * ln(n / n_c)),
+        asked as (select distinct doc_id, term from (select distinct doc_id, lower(value) as entity from ok) join flagged using (entity)),
+        run as (select doc_id, string_split(regexp_replace(text, '([\p{L}\p{N}''-]+)', chr(1) || '\1' || chr(2), 'g'), chr(1)) as p from d where doc_id in (select doc_id from asked)),
+        token as (select doc_id, split_part(piece, chr(2), 1) as value, i, coalesce(sum(length(piece) - (i > 1)::int) over (partition by doc_id order by i rows between unbounded preceding and 1 preceding), 0)::bigint as s from (select doc_id, unnest(p) as piece, generate_subscripts(p, 1) as i from run)),
+        term as (select t.doc_id, t.s, t.s + length(value) as e from token t join asked a on a.doc_id = t.doc_id and a.term = lower(t.value) where i > 1
+            and not exists (select 1 from ok where ok.doc_id = t.doc_id and ok.s < t.s + length(t.value) and t.s < ok.e)),
+        base as (select doc_id, count(*) filter (where k = 0) as n_email, count(*) filter (where k = 1) as n_ip, count(*) filter (where k = 2) as n_card, count(*) filter (where k = 3) as n_phone,
+            string_agg(kind || ':' || s || ':' || e, ',' order by s, k) as spans from ok group by 1),
+        every as (select doc_id, string_agg(kind || ':' || s || ':' || e, ',' order by s, k) as spans from (select doc_id, k, kind, s, e from ok union all select doc_id, 4, 'term', s, e from term) group by 1)
+        select doc_id, coalesce(n_email, 0) as n_email, coalesce(n_ip, 0) as n_ip, coalesce(n_card, 0) as n_card, coalesce(n_phone, 0) as n_phone, sha256(coalesce(base.spans, '')) as base_sha256, coalesce(every.spans, '') as spans
+            from documents left join base using (doc_id) left join every using (doc_id)""",
 }

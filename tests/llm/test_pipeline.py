@@ -213,3 +213,22 @@ def test_vector_sql_finds_the_same_links(spark, tmp_path):
     assert sum(r[1] for r in want) > 60
     assert sum(r[1] for r in got) >= 0.9 * sum(r[1] for r in want)
     assert len(set(got) & set(want)) >= 0.9 * len(want)
+
+
+def test_personal_data_matches_its_sql(spark, tmp_path):
+    import duckdb
+
+    from tests.llm.test_native import HARD
+
+    rng = random.Random(8)
+    parts = ["a", "b1", "@", ".", "-", "+", " ", "_", "192.168.1.1", "4539578763621486", "23", "+1 555 123 4567", "é", "\n", "x@y.z", "\x01"]
+    texts = [*HARD, *("".join(rng.choice(parts) for _ in range(rng.randrange(60))) for _ in range(200)), *(invented(rng, 30) for _ in range(100))]
+    texts += [f"{invented(rng, 30)} Zebulon wrote to zeb@mail.org {invented(rng, 30)}, zebulon" for _ in range(4)]
+    rows = [(i, t) for i, t in enumerate(texts)]
+    (tmp_path / "sf").mkdir()
+    spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1).write.parquet(f"{tmp_path}/sf/documents.parquet")
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from '{tmp_path}/sf/documents.parquet/*.parquet'")
+    got = [tuple(r) for r in entry.queries()["op9_disclosing_terms"](spark, f"{tmp_path}/sf").collect()]
+    assert sorted(got) == sorted(con.sql(entry.oracle_sql()["op9_disclosing_terms"]).fetchall())
+    assert sum("term:" in r[-1] for r in got) == 4
