@@ -88,14 +88,17 @@ def crc_bucket(doc_id: Column, buckets: int) -> Column:
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(buckets))
 
 
-def map_arrow(df: DataFrame, func: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: T.StructType | str) -> DataFrame:
-    """Apply a function of one Arrow batch to every batch."""
+#: Rows of a batch that a function gets at a time; what it makes of them is passed on before the next.
+SLICE_ROWS = 512
+
+
+def map_arrow(df: DataFrame, func: Callable[[pa.RecordBatch], pa.RecordBatch], schema: T.StructType | str) -> DataFrame:
+    """Apply a function of one Arrow batch to all rows, a bounded number at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = func(batch)
-            if made is not None:
-                yield made
+            for start in range(0, batch.num_rows, SLICE_ROWS):
+                yield func(batch.slice(start, SLICE_ROWS))
 
     return df.mapInArrow(run, schema)
 

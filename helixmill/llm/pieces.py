@@ -42,7 +42,7 @@ class Remembered(dict):
 class PieceCodec:
     """Encoder and decoder of one model. Caches hold at most ``cache_rows`` chunks and pairs each."""
 
-    def __init__(self, model: bytes, cache_rows: int = 300_000):
+    def __init__(self, model: bytes, cache_rows: int = 200_000):
         from sentencepiece import sentencepiece_model_pb2
 
         proto = sentencepiece_model_pb2.ModelProto()
@@ -190,7 +190,7 @@ def encode_texts(docs: DataFrame, model_path: str | None = None) -> DataFrame:
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         own = codec(model)
         coded = [own.encode(text.as_py()) for text in batch.column(1)]
-        ids = pa.array([np.frombuffer(x, "<u4").astype(np.int32) for x in coded], pa.list_(pa.int32()))
+        ids = pa.array([np.frombuffer(x, "<i4") for x in coded], pa.list_(pa.int32()))
         return pa.record_batch({"doc_id": batch.column(0), "token_ids": ids, "decoded": pa.array([own.decode(x).decode("utf-8", "replace") for x in coded], pa.string())})
 
     kind = docs.schema["doc_id"].dataType.simpleString()
