@@ -115,7 +115,7 @@ def disclosing_terms(holders: DataFrame, docs: DataFrame, threshold: float, leas
     one = holders.select("_row", "_text", F.explode("_spans").alias("s")).select("_row", "_text", F.lower("s.value").alias("entity"), "s.start", "s.end")
     left = F.substring("_text", F.greatest(F.col("start") - (CONTEXT - 1), F.lit(1)), F.least(F.col("start"), F.lit(CONTEXT)))
     right = F.substring("_text", F.col("end") + 1, F.lit(CONTEXT))
-    around = F.lower(F.concat_ws("\n", F.regexp_replace(left, r"^\S+", ""), F.regexp_replace(right, r"\S+$", "")))
+    around = F.lower(F.concat_ws("\n", F.regexp_replace(left, r"^\S+", ""), F.regexp_replace(right, r"\S+\z", "")))
     context = materialize(one.select("_row", "entity", around.alias("context")).distinct(), "contexts")
     counts = [F.countDistinct("_row").alias("n"), F.countDistinct("context").alias("contexts")]
     often = context.groupBy("entity").agg(*counts).filter(F.col("contexts") >= least_contexts).select("entity", F.col("n").alias("n_c"))

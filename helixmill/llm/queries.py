@@ -146,7 +146,7 @@ ORACLE_SQL: dict[str, str] = {
             or (k = 1 and len(list_filter(string_split(value, '.'), lambda x: length(ltrim(x, '0')) > 3 or coalesce(try_cast(ltrim(x, '0') as int), 0) > 255)) = 0)
             or (k = 2 and length(g) between 14 and 19 and list_sum(list_transform(range(0, length(g)), lambda i: case when i % 2 = 0 then g[length(g) - i]::int when g[length(g) - i]::int > 4 then g[length(g) - i]::int * 2 - 9 else g[length(g) - i]::int * 2 end)) % 10 = 0)
             or (k = 3 and length(g) between 10 and 15)),
-        ctx as (select distinct doc_id, lower(value) as entity, lower(regexp_replace(substr(raw, greatest(s - 159, 1), least(s, 160)), '^\S+', '') || chr(10) || regexp_replace(substr(raw, e + 1, 160), '\S+$', '')) as context from ok join d using (doc_id)),
+        ctx as (select distinct doc_id, lower(value) as entity, lower(regexp_replace(substr(raw, greatest(s - 159, 1), least(s, 160)), '^\S+', '') || chr(10) || regexp_replace(substr(raw, e + 1, 160), '\S+\z', '')) as context from ok join d using (doc_id)),
         often as (select entity, count(distinct doc_id) as n_c from ctx group by 1 having count(distinct context) >= 3),
         word as (select doc_id, entity, context, unnest(list_distinct(regexp_extract_all(context, '[\p{L}][\p{L}\p{N}''-]{3,}'))) as term from ctx),
         pair as (select entity, term, n_c, count(distinct doc_id) as n_ct from word join often using (entity) group by 1, 2, 3 having count(distinct context) >= 3),
