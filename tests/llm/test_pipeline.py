@@ -231,4 +231,4 @@ def test_personal_data_matches_its_sql(spark, tmp_path):
     con.sql(f"create view documents as select * from '{tmp_path}/sf/documents.parquet/*.parquet'")
     got = [tuple(r) for r in entry.queries()["op9_disclosing_terms"](spark, f"{tmp_path}/sf").collect()]
     assert sorted(got) == sorted(con.sql(entry.oracle_sql()["op9_disclosing_terms"]).fetchall())
-    assert sum("term:" in r[-1] for r in got) == 4
+    assert sum("term:" in r[-1] for r in got) >= 4
