@@ -24,10 +24,10 @@ from pyspark.sql import functions as F
 from .common import crc_bucket, map_arrow
 from .sampling import fit_logistic, sample_ids, sample_texts
 
-WINDOW = 48
-LEVEL = 9
+WINDOW = 96
+LEVEL = 6
 MIN_MATCH = 5
-SHARED_BYTES, OWN_BYTES = 1 << 16, 3072
+SHARED_BYTES, OWN_BYTES = 1 << 18, 3072
 #: Bytes of a word that tell its stem.
 STEM = 5
 LEAST_SHARE, LEAST_RATIO, LEAST_DEVIATIONS = 0.04, 3, 5
@@ -37,7 +37,7 @@ N_FEATURES = 5
 
 
 def windows(text: str | None) -> list[bytes]:
-    """Runs of whole words of at least 48 bytes (the last may be shorter), each between spaces."""
+    """Runs of whole words of at least 96 bytes (the last may be shorter), each between spaces."""
     words = (text or "").lower().encode("utf-8", "surrogatepass").split()
     if not words:
         return []
@@ -52,7 +52,7 @@ def windows(text: str | None) -> list[bytes]:
 
 @dataclass
 class ToxicModel:
-    """Dictionaries, scaling and logistic weights; some 130 KB whatever the corpus."""
+    """Dictionaries, scaling and logistic weights; some 520 KB whatever the corpus."""
 
     toxic: bytes
     ordinary: bytes
