@@ -8,7 +8,8 @@ one aggregation of the (source, size) histogram, all sums are exact decimals, so
 
 Rates become whole copies by systematic rounding: inside a source documents are ordered by size class, and running sums
 of the rates in fixed point decide where a copy falls, so the words a source takes stay within about one document of
-the target. Size classes with many documents are split into blocks that round by themselves.
+the target. Size classes with many documents are split into blocks that round by themselves. A few documents per source
+then gain or lose a copy to close the rest of the gap.
 """
 
 from __future__ import annotations
@@ -108,6 +109,8 @@ def mix_sources(
     block: int = 256,
     tolerance: float = 1e-7,
     max_steps: int = 80,
+    repairs: int = 4,
+    near: float = 0.001,
 ) -> DataFrame:
     """Copies of every document that bring each source's words to its target.
 
@@ -154,7 +157,31 @@ def mix_sources(
     start = F.when(F.col("_block") == 0, F.col("_start")).otherwise(F.pmod(F.xxhash64("sid", "_class", "_block"), F.lit(UNIT)))
     placed = placed.withColumn("_upto", F.sum("_units").over(inner) + start)
     copies = F.shiftright(F.col("_upto"), UNIT_BITS) - F.shiftright(F.col("_upto") - F.col("_units"), UNIT_BITS)
-    return placed.select(*docs.columns, "source_size", "target", "rate", copies.cast("long").alias("copies"))
+    rounded = placed.select(*docs.columns, "sid", "source_size", "target", "rate", copies.cast("long").alias("copies"))
+    return _repaired(rounded, cap, repairs, near).drop("sid")
+
+
+def _repaired(rounded: DataFrame, cap: int, repairs: int, near: float) -> DataFrame:
+    """Close what rounding left: per pass and source, the largest document that fits into the gap gains or loses a copy.
+
+    A pass is one aggregation with a row per source; sources within ``near`` of their target are left alone.
+    """
+    rounded = materialize(rounded.withColumn("_id", F.monotonically_increasing_id()), "copies")
+    changes = None
+    for _ in range(repairs):
+        current = rounded.withColumn("_delta", F.lit(0)) if changes is None else join_checked(rounded, changes, "_id", "left").fillna(0, ["_delta"])
+        taken = F.sum((F.col("copies") + F.col("_delta")) * F.col("size"))
+        gaps = current.groupBy("sid").agg((F.max("target") - taken).alias("_gap"), F.max("target").alias("_t"))
+        gaps = materialize(gaps.filter((F.abs("_gap") >= 1) & (F.abs("_gap") > near * F.col("_t"))).select("sid", "_gap"), "gaps")
+        open_ = join_checked(current.filter("_delta = 0 and size > 0"), gaps, "sid").filter(F.col("size") <= F.abs("_gap"))
+        open_ = open_.filter(F.when(F.col("_gap") > 0, F.col("copies") < cap).otherwise(F.col("copies") > 0))
+        best = open_.groupBy("sid").agg(F.max(F.struct("size", F.xxhash64("doc_id").alias("h"), "_id", F.signum("_gap").cast("int").alias("s"))).alias("b"))
+        found = materialize(best.select(F.col("b._id").alias("_id"), F.col("b.s").alias("_delta")), "changes")
+        if not found.limit(1).count():
+            break
+        changes = found if changes is None else materialize(changes.union(found), "changes")
+    done = rounded.withColumn("_delta", F.lit(0)) if changes is None else join_checked(rounded, changes, "_id", "left").fillna(0, ["_delta"])
+    return done.withColumn("copies", (F.col("copies") + F.col("_delta")).cast("long")).drop("_id", "_delta")
 
 
 def mix_documents(docs: DataFrame, **options) -> DataFrame:
