@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from helixmill.shipping import ensure_shipped
+
 WEAK_ANI, STRONG_ANI = 95.0, 99.9
 _own: list[str] = []
 
@@ -118,6 +120,7 @@ def clique_selection(reps: DataFrame, edges: DataFrame, least: float) -> DataFra
         chosen = next((c for c in cliques if refs & set(c)), cliques[0])
         return pd.DataFrame({"label": frame.label.iloc[0], "genome": chosen})
 
+    ensure_shipped(rows.sparkSession)
     return rows.groupBy("label").applyInPandas(select, "label int, genome bigint")
 
 
@@ -157,6 +160,7 @@ def hierarchical(genomes: DataFrame, edges: DataFrame, cutoff: float, method: st
         dist[a, b] = dist[b, a] = 100 - pairs.ani.to_numpy(float)
         return pd.DataFrame({"label": frame.label.iloc[0], "genome": names, "cluster": linkage_clusters(dist, 100 - cutoff, method).astype("int64")})
 
+    ensure_shipped(rows.sparkSession)
     return rows.groupBy("label").applyInPandas(cluster, "label int, genome bigint, cluster bigint")
 
 

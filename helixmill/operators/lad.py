@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from helixmill.shipping import ensure_shipped
+
 EPS = 1e-9
 
 
@@ -72,6 +74,7 @@ def fit_species(walks: DataFrame, depth: DataFrame) -> DataFrame:
     Only nodes with depth on some walk count; the objective is their mean absolute deviation. A species with many
     reads is no larger here than its distinct sets of paths and depths.
     """
+    ensure_shipped(walks.sparkSession)
     sets = walks.select("species", "node_id", "hap_id").distinct().groupBy("species", "node_id").agg(F.array_sort(F.collect_set("hap_id")).alias("haps"))
     used = sets.join(depth.filter("depth > 0").select("species", "node_id", "depth"), ["species", "node_id"])
     cells = used.groupBy("species", "haps", "depth").agg(F.count(F.lit(1)).alias("n"))

@@ -16,7 +16,7 @@ PARTS = VIEWS | {
         from (select species, bases / len as cov from c_bases_f left join b_len using (species))""",
     "c_local": """select species, 1::bigint as "start", ord % 7 + 3 as "end", is_pan, ord from b_range""",
     "c_rebased": """select species, ("start" + o)::bigint as "start", ("end" + o)::bigint as "end", is_pan from (select *, coalesce(sum("end") over (order by is_pan desc, ord rows between unbounded preceding and 1 preceding), 0) as o from c_local)""",
-    "c_v0": "select rid, species, len(ids) as n, read_end - read_start as span, read_start, read_end, unnest(ids) as node_id, generate_subscripts(ids, 1) - 1 as pos from b_class where species <> 'U'",
+    "c_v0": "select rid, species, len(ids) as n, read_end - read_start as span, read_start, read_end, unnest(ids) as node_id, (generate_subscripts(ids, 1) - 1)::int as pos from b_class where species <> 'U'",
     "c_v1": "select v.*, node_len, case when pos = 0 then node_len - read_start else node_len end as ahead from c_v0 v join b_node using (species, node_id) where n > 1 or span >= 0",
     "c_v2": "select *, coalesce(sum(ahead) over (partition by species, rid order by pos rows between unbounded preceding and 1 preceding), 0) as seen from c_v1",
     "c_visit": """select rid, species, pos, node_id, node_len,
@@ -168,7 +168,7 @@ _FINAL = {
     "fn13_threads": """select p_size, count(*) as n, least(ceil((case when p_size < 5 then 8 when p_size <= 10 then 16 when p_size <= 25 then 32 when p_size <= 50 then 48 else 64 end) * 1.5), 80)::int as threads from part group by 1""",
     "pf14_case": "select p_partkey, array_to_string(string_split(replace(p_name, ' ', '_'), '_')[1:2], '_') as name from part",
     "so4_sample": "select species, node_id, node_len from b_node order by (node_id * 48271 + 42) % 2147483647, node_id limit 500",
-    "so7_hap_index": "select species, hap_id, dense_rank() over (partition by species order by hap_id) - 1 as path_index from (select distinct species, hap_id from b_walk)",
+    "so7_hap_index": "select species, hap_id, (dense_rank() over (partition by species order by hap_id) - 1)::int as path_index from (select distinct species, hap_id from b_walk)",
 }
 
 
