@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from helixmill.shipping import ensure_shipped
+
 #: A word is a run of code points that are not ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
@@ -100,6 +102,7 @@ def map_arrow(df: DataFrame, func: Callable[[pa.RecordBatch], pa.RecordBatch], s
             for start in range(0, batch.num_rows, SLICE_ROWS):
                 yield func(batch.slice(start, SLICE_ROWS))
 
+    ensure_shipped(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 

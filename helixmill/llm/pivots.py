@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from helixmill.shipping import ensure_shipped
+
 from .common import join_checked, materialize
 from .components import connected_components
 from .simhash import local_roots
@@ -150,6 +152,7 @@ def _verify(threshold: float):
 def link_vectors(classes: DataFrame, threshold: float) -> DataFrame:
     """(cid, peer, links): classes (cid, group, embedding, copies) that have links, a spanning peer and counted links."""
     spark = classes.sparkSession
+    ensure_shipped(spark)
     sample = classes.orderBy(F.xxhash64("embedding"), "cid").limit(SAMPLE).select("embedding").collect()
     pivots = far_apart([np.asarray(r[0], np.float64) for r in sample], PIVOTS)
     fields = "cid long, key long, low long, high long, own_low long, own_high long"

@@ -19,6 +19,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from helixmill.shipping import ensure_shipped
+
 from .common import join_checked, map_arrow, materialize
 from .components import connected_components
 
@@ -159,6 +161,7 @@ def _tree_links(radius: int):
 
 def link_fingerprints(prints: DataFrame, shard_rows: int = 1024, rows_per_task: int = 500_000) -> DataFrame:
     """Links (a, b) that connect just the distinct fingerprints ``fp`` connected by steps of 2 or fewer bits."""
+    ensure_shipped(prints.sparkSession)
     radius = 2
     n = prints.count()
     parts = next((p for p, most in ((3, 1 << 24), (4, 1 << 35)) if n <= most), 5)
