@@ -19,7 +19,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import global_rank, join_checked, materialize, word_count
+from .common import global_rank, join_checked, materialize, union_all, word_count
 
 #: Rates are held as multiples of 2**-30.
 UNIT_BITS = 30
@@ -109,7 +109,7 @@ def mix_sources(
     block: int = 256,
     tolerance: float = 1e-7,
     max_steps: int = 80,
-    repairs: int = 4,
+    repairs: int = 6,
     near: float = 0.001,
 ) -> DataFrame:
     """Copies of every document that bring each source's words to its target.
@@ -164,24 +164,31 @@ def mix_sources(
 def _repaired(rounded: DataFrame, cap: int, repairs: int, near: float) -> DataFrame:
     """Close what rounding left: per pass and source, the largest document that fits into the gap gains or loses a copy.
 
-    A pass is one aggregation with a row per source; sources within ``near`` of their target are left alone.
+    Passes read one candidate of each source and size; a source within ``near`` of its target is left alone.
     """
     rounded = materialize(rounded.withColumn("_id", F.monotonically_increasing_id()), "copies")
-    changes = None
+    one = F.struct(F.xxhash64("doc_id").alias("h"), "_id")
+    spare = [F.max(F.when(F.col("copies") < cap, one)).alias("up"), F.max(F.when(F.col("copies") > 0, one)).alias("down")]
+    candidates = materialize(rounded.filter("size > 0").groupBy("sid", "size").agg(*spare), "candidates")
+    is_open = (F.abs("gap") >= 1) & (F.abs("gap") > near * F.col("goal"))
+    gaps = rounded.groupBy("sid").agg((F.max("target") - F.sum(F.col("copies") * F.col("size"))).alias("gap"), F.max("target").alias("goal"))
+    gaps = materialize(gaps.filter(is_open).withColumn("below", F.lit(None).cast("long")), "gaps")
+    changes: list[DataFrame] = []
     for _ in range(repairs):
-        current = rounded.withColumn("_delta", F.lit(0)) if changes is None else join_checked(rounded, changes, "_id", "left").fillna(0, ["_delta"])
-        taken = F.sum((F.col("copies") + F.col("_delta")) * F.col("size"))
-        gaps = current.groupBy("sid").agg((F.max("target") - taken).alias("_gap"), F.max("target").alias("_t"))
-        gaps = materialize(gaps.filter((F.abs("_gap") >= 1) & (F.abs("_gap") > near * F.col("_t"))).select("sid", "_gap"), "gaps")
-        open_ = join_checked(current.filter("_delta = 0 and size > 0"), gaps, "sid").filter(F.col("size") <= F.abs("_gap"))
-        open_ = open_.filter(F.when(F.col("_gap") > 0, F.col("copies") < cap).otherwise(F.col("copies") > 0))
-        best = open_.groupBy("sid").agg(F.max(F.struct("size", F.xxhash64("doc_id").alias("h"), "_id", F.signum("_gap").cast("int").alias("s"))).alias("b"))
-        found = materialize(best.select(F.col("b._id").alias("_id"), F.col("b.s").alias("_delta")), "changes")
+        fits = join_checked(candidates, gaps, "sid").filter((F.col("size") <= F.abs("gap")) & (F.col("below").isNull() | (F.col("size") < F.col("below"))))
+        chosen = F.when(F.col("gap") > 0, F.col("up._id")).otherwise(F.col("down._id"))
+        fits = fits.withColumn("_id", chosen).filter("_id is not null")
+        best = fits.groupBy("sid").agg(F.max(F.struct("size", "_id", F.signum("gap").cast("long").alias("s"))).alias("b"))
+        found = materialize(best.select("sid", F.col("b.size").alias("size"), F.col("b._id").alias("_id"), F.col("b.s").alias("_delta")), "changes")
         if not found.limit(1).count():
             break
-        changes = found if changes is None else materialize(changes.union(found), "changes")
-    done = rounded.withColumn("_delta", F.lit(0)) if changes is None else join_checked(rounded, changes, "_id", "left").fillna(0, ["_delta"])
-    return done.withColumn("copies", (F.col("copies") + F.col("_delta")).cast("long")).drop("_id", "_delta")
+        changes.append(found.select("_id", "_delta"))
+        left = gaps.join(found, "sid").select("sid", (F.col("gap") - F.col("_delta") * F.col("size")).alias("gap"), "goal", F.col("size").alias("below"))
+        gaps = materialize(left.filter(is_open), "gaps")
+    if not changes:
+        return rounded.drop("_id")
+    done = join_checked(rounded, union_all(changes), "_id", "left")
+    return done.withColumn("copies", (F.col("copies") + F.coalesce("_delta", F.lit(0))).cast("long")).drop("_id", "_delta")
 
 
 def mix_documents(docs: DataFrame, **options) -> DataFrame:
