@@ -38,11 +38,11 @@ def _held_out(doc_id: str, folds: int, held: int):
 
 
 def op4_zstd_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .toxicity import score_documents, train_from_labels
+    from .toxicity import TOXIC_FROM, score_documents, train_from_labels
 
     docs = _table(spark, sf_dir, "documents")
-    scored = score_documents(docs, train_from_labels(docs, _table(spark, sf_dir, "labels")))
-    return scored.select("doc_id", _held_out("doc_id", 4, 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+    scored = score_documents(docs, train_from_labels(docs, _table(spark, sf_dir, "labels"), held=2))
+    return scored.select("doc_id", _held_out("doc_id", 4, 2).alias("held_out"), "score", (F.col("score") >= TOXIC_FROM).cast("int").alias("predicted"))
 
 
 def op5_kneser_ney_langid(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -34,6 +34,8 @@ LEAST_SHARE, LEAST_RATIO, LEAST_DEVIATIONS = 0.04, 3, 5
 #: Content of a trained dictionary that is a header with entropy tables.
 HEADER = 400
 N_FEATURES = 5
+#: Documents whose calibrated probability of being toxic reaches this are toxic.
+TOXIC_FROM = 0.3
 
 
 def windows(text: str | None) -> list[bytes]:
@@ -162,9 +164,11 @@ def score_text(model: ToxicModel, text: str | None) -> float:
     return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
 
-def train_from_labels(docs: DataFrame, labels: DataFrame, folds: int = 4, held: int = 2, per_class: int = 2500) -> ToxicModel:
-    """Learn from labelled rows outside the held-out fold; at most ``per_class`` of each class, chosen by a hash of the id."""
-    known = labels.filter(F.col("toxic").isin(0, 1) & (crc_bucket(F.col("doc_id"), folds) != held))
+def train_from_labels(docs: DataFrame, labels: DataFrame, folds: int = 4, held: int | None = None, per_class: int = 2500) -> ToxicModel:
+    """Learn from labelled rows, but none of a held-out fold; at most ``per_class`` of each class, chosen by a hash of the id."""
+    known = labels.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull())
+    if held is not None:
+        known = known.filter(crc_bucket(F.col("doc_id"), folds) != held)
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     counts = dict(tuple(r) for r in known.groupBy("toxic").count().collect())
     rate = counts.get(1, 0) / max(1, sum(counts.values()))

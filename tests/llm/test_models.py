@@ -195,3 +195,20 @@ def test_token_digests(spark, library):
         assert r.decoded_sha256 == hashlib.sha256(library[0].decode(ids).encode()).hexdigest()
     assert {tuple(r.token_ids) for r in pieces.encode_texts(df).collect() if r.doc_id == 3} == {tuple(library[0].encode("a", add_bos=True, add_eos=True))}
     assert pieces.encode_digests(df.limit(0)).count() == 0
+
+
+def test_toxicity_stage_learns_all_labels_and_drops_what_op4_marks(spark, tmp_path):
+    import zlib
+
+    import corpus_pipeline
+
+    made, labels = toxic_rows(n=400)
+    ids = [i for i in range(4000) if zlib.crc32(str(i).encode()) % 4 == 2][:400]
+    docs = spark.createDataFrame([(i, t) for i, (_, t) in zip(ids, made)], "doc_id bigint, text string").coalesce(1)
+    known = spark.createDataFrame([(i, 1, y) for i, (_, _, y) in zip(ids, labels)], "doc_id bigint, quality int, toxic int")
+    known.write.parquet(f"{tmp_path}/labels.parquet")
+    kept = {r.doc_id for r in corpus_pipeline.toxicity(spark, docs, str(tmp_path)).collect()}
+    toxic = {i for i, (_, _, y) in zip(ids, labels) if y}
+    assert len(kept & toxic) <= 0.1 * len(toxic)
+    scored = toxicity.score_documents(docs, toxicity.train_from_labels(docs, known)).collect()
+    assert kept == {r.doc_id for r in scored if r.score < 0.3}
