@@ -224,11 +224,13 @@ def cross_entropies(model: LanguageModel, texts: list[str | None]) -> np.ndarray
     return np.where(sizes[:, None] > 0, -sums / np.maximum(sizes, 1)[:, None], np.inf)
 
 
-def train_from_documents(docs: DataFrame, folds: int = 5, held: int = 0, per_language: int = 300, languages: int = 200) -> LanguageModel:
-    """Learn from labelled documents outside the held-out fold: at most ``per_language`` each of ``languages`` languages."""
+def train_from_documents(docs: DataFrame, folds: int = 5, held: int = 0, per_language: int = 300) -> LanguageModel:
+    """Learn from labelled documents outside the held-out fold: all languages, at most ``per_language`` of each, fewer if there are over 200."""
     known = docs.filter(F.col("lang").isNotNull() & (crc_bucket(F.col("doc_id"), folds) != held))
+    languages = known.select("lang").distinct().count()
+    per_language = min(per_language, max(10, 200 * per_language // max(1, languages)))
     samples: dict[str, list[str]] = {}
-    for text, lang in sample_texts(docs, sample_ids(known, "lang", per_language, languages)):
+    for text, lang in sample_texts(docs, sample_ids(known, "lang", per_language)):
         if len(normal_codes(text)) >= ORDER:
             samples.setdefault(lang, []).append(text)
     return train(samples)

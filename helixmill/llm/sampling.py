@@ -5,19 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import join_checked
+
 #: Longer texts are not taken into a sample; scoring reads whole texts of any length.
 SAMPLE_CHARS = 200_000
 
 
-def sample_ids(rows: DataFrame, label: str, per_label: int, labels: int) -> list[tuple]:
-    """(doc_id, label) of up to ``per_label`` rows of each of the ``labels`` first label values, by smallest hash of the id.
+def sample_ids(rows: DataFrame, label: str, per_label: int, labels: int | None = None) -> list[tuple]:
+    """(doc_id, label) of up to ``per_label`` rows of each label value, or of the ``labels`` first, by smallest hash of the id.
 
     A label may hold most rows, so only ids whose hash is below four times the share wanted of the label are ranked.
     """
     hashed = rows.filter(F.col("doc_id").isNotNull() & F.col(label).isNotNull()).select("doc_id", label).distinct()
     hashed = hashed.withColumn("_hash", F.shiftrightunsigned(F.xxhash64("doc_id"), 1))
-    counts = hashed.groupBy(label).count().orderBy(label).limit(labels)
-    low = hashed.join(F.broadcast(counts), label).filter(F.col("_hash") < F.lit(2.0**63) * 4 * per_label / F.col("count"))
+    counts = hashed.groupBy(label).count()
+    counts = counts if labels is None else counts.orderBy(label).limit(labels)
+    low = join_checked(hashed, counts, label).filter(F.col("_hash") < F.lit(2.0**63) * 4 * per_label / F.col("count"))
     by = Window.partitionBy(label).orderBy("_hash", "doc_id")
     ranked = low.withColumn("_rank", F.row_number().over(by)).filter(F.col("_rank") <= per_label)
     return [tuple(r) for r in ranked.select("doc_id", label, "_hash").orderBy("_hash", "doc_id").collect()]

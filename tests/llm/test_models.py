@@ -212,3 +212,13 @@ def test_toxicity_stage_learns_all_labels_and_drops_what_op4_marks(spark, tmp_pa
     assert len(kept & toxic) <= 0.1 * len(toxic)
     scored = toxicity.score_documents(docs, toxicity.train_from_labels(docs, known)).collect()
     assert kept == {r.doc_id for r in scored if r.score < 0.3}
+
+
+def test_every_language_is_learned_however_many(spark):
+    from helixmill.llm import langid
+
+    names = [f"l{i:03d}" for i in range(230)]
+    letters = [chr(0x4E00 + 20 * i) + chr(0x4E01 + 20 * i) for i in range(230)]
+    rows = [(4 * i + k, f"{a * 3} {a[::-1] * 2} {a * (k + 1)} " * 4, x) for i, (x, a) in enumerate(zip(names, letters)) for k in range(4)]
+    model = langid.train_from_documents(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"), folds=1000, held=999)
+    assert model.languages == names
