@@ -61,6 +61,19 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def packed(docs: DataFrame) -> Column:
+    """``own``, all columns of a caller's table in one struct, so that no name clashes; ``own.*`` brings them back."""
+    return F.struct(*(F.col("`{}`".format(c.replace("`", "``"))) for c in docs.columns)).alias("own")
+
+
+def numbered(docs: DataFrame, label: str, **more: Column) -> DataFrame:
+    """(row, own, ...): a number of each row that later reads agree on, and its columns in one struct."""
+    whole = docs.select(F.monotonically_increasing_id().alias("row"), packed(docs))
+    for name, value in more.items():
+        whole = whole.select("*", value.alias(name))
+    return materialize(whole, label)
+
+
 def small_enough(df: DataFrame, rows: int) -> bool:
     """Whether a frame has at most ``rows`` rows, read no further than needed to tell."""
     return df.limit(rows + 1).count() <= rows

@@ -114,15 +114,16 @@ def mix_sources(
 ) -> DataFrame:
     """Copies of every document that bring each source's words to its target.
 
-    Takes (doc_id, source, size) and keeps all other columns, so a caller can carry a key. Returns these with
-    ``source_size``, ``target``, ``rate`` and ``copies`` (0 to ``cap``).
+    Takes (doc_id, source, size) and, if a caller needs a key of its own, ``row``. Returns these with ``source_size``,
+    ``target``, ``rate`` and ``copies`` (0 to ``cap``).
 
     Defined cases: a null size counts as 0; a source without words has target 0; documents without words get no copy;
     a null source is a source of its own; ties and repeated rows are rounded one after the other; an empty input gives
-    an empty result. Columns named like an output column must not be passed.
+    an empty result. Other columns are ignored, so that their names can't clash.
     """
     size_class = F.when(F.col("size") > 0, F.floor(F.log2(F.col("size").cast("double")) * 8)).otherwise(-1).cast("int")
-    docs = docs.withColumn("size", F.coalesce(F.col("size"), F.lit(0)).cast("long"))
+    key = ["row"] if "row" in docs.columns else []
+    docs = docs.select(*key, "doc_id", "source", F.coalesce(F.col("size"), F.lit(0)).cast("long").alias("size"))
     raw = materialize(docs.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n")), "sizes")
     sources = materialize(
         source_targets(raw.groupBy("source").agg(F.sum(F.col("n") * F.col("size")).alias("source_size")), weights, cap), "targets"

@@ -17,7 +17,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_checked, materialize
+from .common import join_checked, materialize, numbered
 
 KINDS = ("email", "ip", "card", "phone", "term")
 #: A match may start where no run of its first class is under way, or where the match before ended. Possessive
@@ -32,7 +32,7 @@ OPEN, CLOSE, OTHER = "\x01", "\x02", "\x03"
 SPANS = "array<struct<start:int,kind:int,end:int,value:string>>"
 #: Code points on either side of an entity that are its context.
 CONTEXT = 160
-TERM = r"[\p{L}][\p{L}\p{N}'-]{3,}"
+TERM = r"[\p{L}][\p{L}\p{N}'-]+"
 
 
 def _digits(value: Column) -> Column:
@@ -115,7 +115,10 @@ def disclosing_terms(holders: DataFrame, docs: DataFrame, threshold: float, leas
     one = holders.select("_row", "_text", F.explode("_spans").alias("s")).select("_row", "_text", F.lower("s.value").alias("entity"), "s.start", "s.end")
     left = F.substring("_text", F.greatest(F.col("start") - (CONTEXT - 1), F.lit(1)), F.least(F.col("start"), F.lit(CONTEXT)))
     right = F.substring("_text", F.col("end") + 1, F.lit(CONTEXT))
-    around = F.lower(F.concat_ws("\n", F.regexp_replace(left, r"^\S+", ""), F.regexp_replace(right, r"\S+\z", "")))
+    # Where the context ends inside the text its outer word may be cut, and isn't counted.
+    left = F.when(F.col("start") > CONTEXT, F.regexp_replace(left, r"^\S+", "")).otherwise(left)
+    right = F.when(F.col("end") + CONTEXT < F.length("_text"), F.regexp_replace(right, r"\S+\z", "")).otherwise(right)
+    around = F.lower(F.concat_ws("\n", left, right))
     context = materialize(one.select("_row", "entity", around.alias("context")).distinct(), "contexts")
     counts = [F.countDistinct("_row").alias("n"), F.countDistinct("context").alias("contexts")]
     often = context.groupBy("entity").agg(*counts).filter(F.col("contexts") >= least_contexts).select("entity", F.col("n").alias("n_c"))
@@ -140,22 +143,22 @@ def disclosing_terms(holders: DataFrame, docs: DataFrame, threshold: float, leas
 
 
 def term_spans(holders: DataFrame, flagged: DataFrame) -> DataFrame:
-    """(_row, _terms): spans of the flagged terms in the documents that hold their entity, outside other spans."""
+    """(_row, _spans, _terms): spans of the flagged terms in the documents that hold their entity, outside other spans."""
     entity = holders.select("_row", F.explode(F.array_distinct(F.transform("_spans", lambda s: F.lower(s.getField("value"))))).alias("entity"))
     terms = join_checked(entity, flagged, "entity").groupBy("_row").agg(F.array_sort(F.collect_set("term")).alias("_words"))
     rows = holders.join(terms, "_row")
     pattern = F.concat(F.lit(r"(?iu)(?<![\p{L}\p{N}'-])(?:"), F.array_join("_words", "|"), F.lit(r")(?![\p{L}\p{N}'-])"))
     rows = rows.select("_row", "_spans", F.explode(F.array(marked_spans(F.col("_text"), pattern, KINDS.index("term"), None))).alias("_found"))
     free = lambda s: ~F.exists("_spans", lambda b: (b.getField("start") < s.getField("end")) & (s.getField("start") < b.getField("end")))
-    return rows.select("_row", F.filter("_found", free).alias("_terms"))
+    return rows.select("_row", "_spans", F.filter("_found", free).alias("_terms"))
 
 
-def _with_terms(found: DataFrame, docs: DataFrame, threshold: float, least_contexts: int) -> DataFrame:
-    """``found`` (_row, _text, _spans, ...) with ``_all``, the spans and the term spans."""
+def _all_spans(found: DataFrame, docs: DataFrame, threshold: float, least_contexts: int) -> DataFrame:
+    """(_row, _all): of the rows of ``found`` (_row, _text, _spans) with term spans, these and the spans in order."""
     holders = found.filter(F.size("_spans") > 0).select("_row", "_text", "_spans")
     flagged = materialize(disclosing_terms(holders, docs, threshold, least_contexts), "flagged")
     terms = term_spans(holders, flagged)
-    return found.join(terms, "_row", "left").withColumn("_all", F.sort_array(F.concat("_spans", F.coalesce("_terms", F.array().cast(SPANS)))))
+    return terms.select("_row", F.sort_array(F.concat("_spans", "_terms")).alias("_all"))
 
 
 def find_personal_data(docs: DataFrame, threshold: float = 0.8, least_contexts: int = 3) -> DataFrame:
@@ -167,7 +170,8 @@ def find_personal_data(docs: DataFrame, threshold: float = 0.8, least_contexts:
     text = F.coalesce("text", F.lit(""))
     found = docs.select("doc_id", "text").withColumn("_row", F.monotonically_increasing_id()).withColumn("_spans", F.explode(F.array(base_spans(text))))
     found = materialize(found.select("_row", "doc_id", F.when(F.size("_spans") > 0, F.col("text")).alias("_text"), "_spans"), "found")
-    return _with_terms(found, docs.select("text"), threshold, least_contexts).select("doc_id", F.col("_spans").alias("spans"), F.col("_all").alias("all_spans"))
+    every = _all_spans(found, docs.select("text"), threshold, least_contexts)
+    return found.join(every, "_row", "left").select("doc_id", F.col("_spans").alias("spans"), F.coalesce("_all", "_spans").alias("all_spans"))
 
 
 def sanitized(text: Column, spans: Column) -> Column:
@@ -187,9 +191,16 @@ def sanitized(text: Column, spans: Column) -> Column:
 
 
 def sanitize_documents(docs: DataFrame, threshold: float = 0.8, least_contexts: int = 3) -> DataFrame:
-    """The documents, all columns, with personal data and disclosing terms generalised in the text."""
-    own = docs.columns
-    spans = F.explode(F.array(base_spans(F.coalesce("text", F.lit("")))))
-    whole = docs.withColumn("_row", F.monotonically_increasing_id()).withColumn("_spans", spans)
-    whole = materialize(whole.withColumn("_text", F.when(F.size("_spans") > 0, F.col("text"))), "found")
-    return _with_terms(whole, docs.select("text"), threshold, least_contexts).withColumn("text", sanitized(F.col("text"), F.col("_all"))).select(*own)
+    """The documents, all columns as they are, with personal data and disclosing terms generalised in the text.
+
+    Defined cases: a null text stays null; an empty text and one without personal data stay as they are to the byte;
+    spans that overlap become one tag, that of the first; copies are sanitised alike; very long texts are read whole;
+    columns of any name are carried unchanged; an empty input gives an empty result.
+    """
+    text = F.col("own.text")
+    spans = F.explode(F.array(base_spans(F.coalesce(text, F.lit("")))))
+    whole = numbered(docs, "found", _spans=spans).withColumnRenamed("row", "_row")
+    held = whole.select("_row", F.when(F.size("_spans") > 0, text).alias("_text"), "_spans")
+    found = _all_spans(held, docs.select("text"), threshold, least_contexts)
+    told = whole.join(found, "_row", "left").withColumn("_all", F.coalesce("_all", "_spans"))
+    return told.select(F.col("own").withField("text", sanitized(text, F.col("_all"))).alias("own")).select("own.*")

@@ -1,9 +1,8 @@
 """Quality rules: counts within a document, and lines that too many documents of a host share.
 
 Lines are normalised (case, digits, spacing) and hashed together with their host. A line that more than ``max_docs``
-different documents of a host hold is boilerplate and is removed from all of them but one, the keeper, so that no line
-vanishes altogether; copies of one text count as one document. A document whose remaining lines hold less than
-``least_left`` of its line characters is depleted and rejected. All of it is DataFrame functions.
+distinct documents of a host hold is boilerplate and is removed from all of them. A document whose remaining lines hold
+less than ``least_left`` of its line characters is depleted and rejected. All of it is DataFrame functions.
 """
 
 from __future__ import annotations
@@ -11,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, join_checked, materialize
+from .common import WORD, join_checked, materialize, numbered
 
 
 def _held(name: str, value: Column) -> Column:
@@ -80,50 +79,54 @@ def document_counts(docs: DataFrame) -> DataFrame:
         "n_repeat_words",
         ((F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))).alias("base_failed"),
         line_keys(text, F.col("source")).alias("lines"),
-        F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long").alias("content"),
     )
 
 
 def frequent_lines(counted: DataFrame, max_docs: int) -> DataFrame:
-    """(key, keeper) of the lines that more than ``max_docs`` different texts of a host hold; keeper is the content hash of one."""
-    held = counted.select("content", F.explode("lines.key").alias("key")).distinct()
-    shared = held.groupBy("key").agg(F.count(F.lit(1)).alias("docs"), F.min("content").alias("keeper"))
-    return shared.filter(F.col("docs") > max_docs).select("key", "keeper")
+    """(key) of the lines that more than ``max_docs`` distinct documents (doc_id) of a host hold."""
+    held = counted.select("doc_id", F.explode("lines.key").alias("key")).distinct()
+    return held.groupBy("key").agg(F.count(F.lit(1)).alias("docs")).filter(F.col("docs") > max_docs).select("key")
+
+
+def _removed(counted: DataFrame, shared: DataFrame) -> DataFrame:
+    """(row, removed, keys): characters and keys of the lines above the limit in each row that has some."""
+    lines = counted.select("row", F.explode("lines").alias("line")).select("row", "line.key", "line.chars")
+    return join_checked(lines, shared, "key").groupBy("row").agg(F.sum("chars").alias("removed"), F.collect_set("key").alias("keys"))
+
+
+def _kept(least_left: float) -> Column:
+    total = F.aggregate("lines.chars", F.lit(0).cast("long"), lambda a, b: a + b)
+    return ~F.col("base_failed") & ((total - F.coalesce("removed", F.lit(0))) >= total * least_left)
 
 
 def quality_report(docs: DataFrame, max_docs: int = 20, least_left: float = 0.5) -> DataFrame:
     """Per document its counts, ``removed_chars`` and the verdict ``kept``.
 
-    Defined cases: a null text is empty and fails the base rules; a null source is a host of its own; repeated rows
-    and copies of a text are one document when lines are counted and share their verdict; an empty input gives an
-    empty result. Other columns are ignored, so their names cannot clash.
+    Defined cases: a null text is empty and fails the base rules; a null source is a host of its own; rows that repeat
+    a doc_id are one document when lines are counted, and null ids together one; copies under other ids are documents
+    of their own; very long texts are read whole; an empty input gives an empty result. Other columns are ignored.
     """
     rows = docs.select("doc_id", "text", "source")
     counted = materialize(document_counts(rows).drop("text", "source").withColumn("row", F.monotonically_increasing_id()), "counted")
     shared = materialize(frequent_lines(counted, max_docs), "frequent")
-    lines = counted.select("row", "content", F.explode("lines").alias("line")).select("row", "content", "line.key", "line.chars")
-    removed = join_checked(lines, shared, "key").filter("content <> keeper").groupBy("row").agg(F.sum("chars").alias("removed"))
-    total = F.aggregate("lines.chars", F.lit(0).cast("long"), lambda a, b: a + b)
-    judged = counted.join(removed, "row", "left").withColumn("removed_chars", F.coalesce("removed", F.lit(0)).cast("long"))
-    kept = ~F.col("base_failed") & ((total - F.col("removed_chars")) >= total * least_left)
-    return judged.select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "removed_chars"
-    )
+    judged = counted.join(_removed(counted, shared).drop("keys"), "row", "left")
+    judged = judged.withColumn("kept", _kept(least_left)).withColumn("removed_chars", F.coalesce("removed", F.lit(0)).cast("long"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "removed_chars")
 
 
 def clean_documents(docs: DataFrame, max_docs: int = 20, least_left: float = 0.5) -> DataFrame:
-    """The documents that pass, all columns, without the lines above the limit."""
-    own = docs.columns
-    whole = materialize(docs.withColumn("_row", F.monotonically_increasing_id()), "whole")
-    counted = materialize(document_counts(whole.select("_row", "text", "source")).drop("text", "source"), "counted")
+    """The documents that pass, all columns as they are, their text without the lines above the limit.
+
+    Defined cases: those of ``quality_report``; a text that loses no line stays as it is to the byte; columns of any
+    name are carried unchanged; an empty input gives an empty result.
+    """
+    whole = numbered(docs, "whole")
+    counted = materialize(document_counts(whole.select("row", "own.doc_id", "own.text", "own.source")).drop("text", "source"), "counted")
     shared = materialize(frequent_lines(counted, max_docs), "frequent")
-    lines = counted.select("_row", "content", F.explode("lines").alias("line")).select("_row", "content", "line.key", "line.chars")
-    gone = join_checked(lines, shared, "key").filter("content <> keeper")
-    gone = gone.groupBy("_row").agg(F.sum("chars").alias("_removed"), F.collect_set("key").alias("_keys"))
-    total = F.aggregate("lines.chars", F.lit(0).cast("long"), lambda a, b: a + b)
-    good = counted.join(gone, "_row", "left").filter(~F.col("base_failed") & ((total - F.coalesce("_removed", F.lit(0))) >= total * least_left))
-    host = F.col("source")
+    good = counted.join(_removed(counted, shared), "row", "left").filter(_kept(least_left)).select("row", "keys")
+    host, text = F.col("own.source"), F.col("own.text")
     key = lambda x: F.xxhash64(F.coalesce(host, F.lit("")), host.isNull(), _norm(x))
-    left = F.array_join(F.filter(F.split("text", "\n"), lambda x: ~F.array_contains(F.col("_keys"), key(x))), "\n")
-    joined = whole.join(good.select("_row", "_keys"), "_row")
-    return joined.withColumn("text", F.when(F.col("_keys").isNull(), F.col("text")).otherwise(left)).select(*own)
+    left = F.array_join(F.filter(F.split(text, "\n"), lambda x: ~F.array_contains(F.col("keys"), key(x))), "\n")
+    cleaned = F.when(F.col("keys").isNull(), text).otherwise(left)
+    joined = whole.join(good, "row").select(F.col("own").withField("text", cleaned).alias("own"))
+    return joined.select("own.*")

@@ -106,18 +106,18 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op1_line_frequency": r"""
-        with d as (select doc_id, source, coalesce(text, '') as text, ('0x' || substr(md5(coalesce(text, '')), 1, 15))::bigint as content from documents),
+        with d as (select doc_id, source, coalesce(text, '') as text from documents),
         w as (select doc_id, regexp_extract_all(text, '[^\x20\x09-\x0D]+') as w from d),
         win as (select doc_id, i, count(*) over (partition by doc_id, a, b, c) as n from
             (select doc_id, i, w[i] as a, w[i + 1] as b, w[i + 2] as c from (select doc_id, w, unnest(range(1, len(w) - 1)) as i from w))),
         rep as (select doc_id, count(distinct p)::bigint as n_repeat_words from (select doc_id, unnest([i, i + 1, i + 2]) as p from win where n > 1) group by 1),
         dup as (select doc_id, (count(*) - count(distinct line))::bigint as n_dup_lines from (select doc_id, unnest(string_split(text, chr(10))) as line from d)
             where regexp_matches(line, '[^\x20\x09-\x0D]') group by 1),
-        line as (select distinct doc_id, source, content, trim(line) as line from (select doc_id, source, content,
+        line as (select distinct doc_id, source, trim(line) as line from (select doc_id, source,
             unnest(string_split(lower(regexp_replace(regexp_replace(text, '[0-9]+', '0', 'g'), '[\x20\x09\x0B-\x0D]+', ' ', 'g')), chr(10))) as line from d) where trim(line) <> ''),
-        shared as (select source, line, min(content) as keeper from line group by 1, 2 having count(distinct content) > 20),
+        shared as (select source, line from line group by 1, 2 having count(distinct doc_id) > 20),
         total as (select doc_id, sum(length(line))::bigint as total from line group by 1),
-        gone as (select doc_id, sum(length(l.line))::bigint as removed from line l join shared s on s.line = l.line and s.source is not distinct from l.source where content <> keeper group by 1),
+        gone as (select doc_id, sum(length(l.line))::bigint as removed from line l join shared s on s.line = l.line and s.source is not distinct from l.source group by 1),
         base as (select d.doc_id, len(w.w)::bigint as n_words, length(array_to_string(w.w, ''))::bigint as word_chars, len(regexp_extract_all(d.text, '[#*$%&|<>]'))::bigint as n_symbols,
             coalesce(n_dup_lines, 0)::bigint as n_dup_lines, coalesce(n_repeat_words, 0)::bigint as n_repeat_words, coalesce(total, 0) as total, coalesce(removed, 0)::bigint as removed_chars
             from d join w using (doc_id) left join dup using (doc_id) left join rep using (doc_id) left join total using (doc_id) left join gone using (doc_id))
@@ -146,11 +146,11 @@ ORACLE_SQL: dict[str, str] = {
             or (k = 1 and len(list_filter(string_split(value, '.'), lambda x: length(ltrim(x, '0')) > 3 or coalesce(try_cast(ltrim(x, '0') as int), 0) > 255)) = 0)
             or (k = 2 and length(g) between 14 and 19 and list_sum(list_transform(range(0, length(g)), lambda i: case when i % 2 = 0 then g[length(g) - i]::int when g[length(g) - i]::int > 4 then g[length(g) - i]::int * 2 - 9 else g[length(g) - i]::int * 2 end)) % 10 = 0)
             or (k = 3 and length(g) between 10 and 15)),
-        ctx as (select distinct doc_id, lower(value) as entity, lower(regexp_replace(substr(raw, greatest(s - 159, 1), least(s, 160)), '^\S+', '') || chr(10) || regexp_replace(substr(raw, e + 1, 160), '\S+\z', '')) as context from ok join d using (doc_id)),
+        ctx as (select distinct doc_id, lower(value) as entity, lower(case when s > 160 then regexp_replace(substr(raw, s - 159, 160), '^\S+', '') else substr(raw, 1, s) end || chr(10) || case when e + 160 < length(raw) then regexp_replace(substr(raw, e + 1, 160), '\S+\z', '') else substr(raw, e + 1, 160) end) as context from ok join d using (doc_id)),
         often as (select entity, count(distinct doc_id) as n_c from ctx group by 1 having count(distinct context) >= 3),
-        word as (select doc_id, entity, context, unnest(list_distinct(regexp_extract_all(context, '[\p{L}][\p{L}\p{N}''-]{3,}'))) as term from ctx),
+        word as (select doc_id, entity, context, unnest(list_distinct(regexp_extract_all(context, '[\p{L}][\p{L}\p{N}''-]+'))) as term from ctx),
         pair as (select entity, term, n_c, count(distinct doc_id) as n_ct from word join often using (entity) group by 1, 2, 3 having count(distinct context) >= 3),
-        corpus as (select unnest(list_distinct(regexp_extract_all(lower(text), '[\p{L}][\p{L}\p{N}''-]{3,}'))) as term from documents),
+        corpus as (select unnest(list_distinct(regexp_extract_all(lower(text), '[\p{L}][\p{L}\p{N}''-]+'))) as term from documents),
         known as (select term, count(*) as n_t from corpus where term in (select term from pair) group by 1),
         least as (select term, count(distinct doc_id) as least_t from word group by 1),
         flagged as (select entity, term from pair join known using (term) join least using (term), (select count(*)::double as n from documents) where ln(n_ct * n / (n_c * greatest(n_t, least_t))) >= 0.8 * ln(n / n_c)),

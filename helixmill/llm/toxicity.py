@@ -21,7 +21,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_bucket, map_arrow
+from .common import crc_bucket, map_arrow, packed
 from .sampling import fit_logistic, sample_ids, sample_texts
 
 WINDOW = 96
@@ -193,13 +193,16 @@ def score_documents(docs: DataFrame, model: ToxicModel) -> DataFrame:
 
 
 def keep_ordinary(docs: DataFrame, model: ToxicModel, threshold: float) -> DataFrame:
-    """The documents that score below the threshold, all columns as they are."""
+    """The documents that score below the threshold, all columns as they are, whatever their names.
+
+    Defined cases: those of ``score_documents``; an empty input gives an empty result.
+    """
     shipped = docs.sparkSession.sparkContext.broadcast(model)
-    at = docs.columns.index("text")
+    whole = docs.select(packed(docs))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         own = shipped.value
-        kept = [score_text(own, t.as_py()) < threshold for t in batch.column(at)]
+        kept = [score_text(own, t.as_py()) < threshold for t in batch.column(0).field("text")]
         return batch.filter(pa.array(kept, pa.bool_()))
 
-    return map_arrow(docs, run, docs.schema)
+    return map_arrow(whole, run, whole.schema).select("own.*")

@@ -9,16 +9,18 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from helixmill.llm import mixing, pii, quality
 
 WORD = "[^\x20\x09-\x0d]+"
-DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint, row string, size string, target string, kept string, _row string"
+CLASH = ("row", "own", "size", "target", "kept", "keys", "removed", "_row", "_text", "_spans", "_all", "copies", "a.b", "`")
+DOCS = T.StructType([T.StructField(n, k) for n, k in (("doc_id", T.LongType()), ("text", T.StringType()), ("lang", T.StringType()), ("source", T.StringType()), ("n_chars", T.LongType()), *((n, T.StringType()) for n in CLASH))])
 
 
 def docs_of(spark, rows):
     """Documents with extra columns of clashing names."""
-    return spark.createDataFrame([(i, t, "en", s, 0, "x", "x", "x", "x", "x") for i, t, s in rows], DOCS)
+    return spark.createDataFrame([(i, t, "en", s, 0, *(f"own {n}" for n in CLASH)) for i, t, s in rows], DOCS)
 
 
 def counts(text):
@@ -51,33 +53,36 @@ def test_lines_of_a_host(spark):
     rng = random.Random(2)
     line = lambda n: " ".join("".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(n))
     boiler = "\n".join(line(30) for _ in range(4))
-    rows = [(i, boiler + "\n" + line(12), "h") for i in range(8)]  # depleted but for one
+    rows = [(i, boiler + "\n" + line(12), "h") for i in range(8)]  # depleted
     rows += [(20 + i, boiler.split("\n")[0].upper() + "\n" + line(60), "h") for i in range(3)]  # lose a line
     rows += [(30, boiler + "\n" + line(12), "other"), (31, line(80), None), (32, line(80), None)]
-    rows += [(40 + i, rows[0][1], "h") for i in range(5)]  # copies of one text
-    rows += [(32, rows[-6][1], None)]
+    copied = line(60)
+    rows += [(40 + i, copied, "h") for i in range(6)]  # copies count as documents
+    rows += [(50, line(80), "h")] * 9  # and repeated rows don't
+    rows += [(32, rows[13][1], None)]
+    assert rows[-1][1] == dict((i, t) for i, t, _ in rows)[32]
     got = defaultdict(list)
     for r in quality.quality_report(docs_of(spark, rows), max_docs=5).collect():
         got[r.doc_id].append(r)
     kept = {i for i, found in got.items() if found[0].kept}
-    family = [i for i in range(8) if i in kept]
-    assert len(family) == 1
-    assert {20, 21, 22, 30, 31, 32} <= kept
-    assert all((40 + i in kept) == (0 in kept) for i in range(5))
-    assert sum(got[20 + i][0].removed_chars > 0 for i in range(3)) >= 2
-    assert len(got[32]) == 2
+    assert kept == {20, 21, 22, 30, 31, 32, 50}
+    assert all(got[20 + i][0].removed_chars == len(boiler.split("\n")[0]) for i in range(3))
+    assert (len(got[32]), len(got[50])) == (2, 9)
     clean = quality.clean_documents(docs_of(spark, rows), max_docs=5)
     assert clean.columns == docs_of(spark, rows).columns
     texts = {r.doc_id: r.text for r in clean.collect()}
+    assert all(r[2:] == ("en", r.source, 0, *(f"own {n}" for n in CLASH)) for r in clean.collect())
     assert set(texts) == kept
     assert texts[31] == dict((i, t) for i, t, _ in rows)[31]
-    assert len(texts[20].split("\n")) == (1 if got[20][0].removed_chars else 2)
+    assert texts[20] == dict((i, t) for i, t, _ in rows)[20].split("\n")[1]
 
 
 def test_empty_tables(spark):
     none = docs_of(spark, [])
     assert quality.quality_report(none).count() == 0
+    assert quality.clean_documents(none).collect() == []
     assert pii.find_personal_data(none).count() == 0
+    assert pii.sanitize_documents(none).collect() == []
     assert mixing.mix_documents(none).count() == 0
 
 
@@ -184,10 +189,19 @@ def test_disclosing_terms(spark):
     assert got[2000] == set()
     assert all(got[3000 + i] == set() for i in range(6))
     assert got[4000] == set()
-    clean = {r.doc_id: r.text for r in pii.sanitize_documents(docs_of(spark, rows)).collect()}
+    rows += [(None, None, "s"), (5000, "", None), (5001, "Al zeb@mail.org", "s"), (5002, f"{line()} Al writes zeb@mail.org", "s"), (5003, f"Al, zeb@mail.org {line()}", "s")]
+    rows += [(6000, f"{line() * 4000} Zebulon zeb@mail.org", "s")]
+    got = disclosing(spark, rows)
+    assert got[5001] == {"al"}  # short, and first in the text
+    made = pii.sanitize_documents(docs_of(spark, rows))
+    assert made.columns == docs_of(spark, rows).columns
+    assert all(tuple(r)[5:] == tuple(f"own {n}" for n in CLASH) for r in made.collect())
+    clean = {r.doc_id: r.text for r in made.collect()}
+    assert (clean[None], clean[5000], clean[5001]) == (None, "", "[TERM] [EMAIL]")
+    assert clean[6000].endswith("[TERM] [EMAIL]")
     assert "zebulon" not in clean[1000].lower()
     assert "[EMAIL]" in clean[1000]
-    assert clean[4000] == rows[-1][1]
+    assert clean[4000] == "nothing about Zebulon here"
 
 
 @settings(max_examples=20, deadline=None)
