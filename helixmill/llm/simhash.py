@@ -98,27 +98,31 @@ class Forest:
         order = np.argsort(keys_)
         self.keys, self.kids = keys_[order], kids_[order]
 
-    def within(self, radius: int) -> tuple[np.ndarray, np.ndarray]:
-        """All ordered pairs of different members of a shard within the radius."""
-        asks, nodes = np.arange(len(self.values)), self.root
+    def search(self, asks: np.ndarray, nodes: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs (place in asks, member) within the radius, each ask searched for in the tree of its root in ``nodes``.
+
+        By the triangle inequality only edges whose key differs from the ask's distance by at most the radius are
+        followed; these are neighbours in the sorted edges.
+        """
+        who = np.arange(len(asks))
         left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        while len(asks):
-            gap = np.bitwise_count(self.values[asks] ^ self.values[nodes]).astype(np.int64)
-            hit = (gap <= radius) & (asks != nodes)
-            left.append(asks[hit])
+        while len(who):
+            gap = np.bitwise_count(asks[who] ^ self.values[nodes]).astype(np.int64)
+            hit = gap <= radius
+            left.append(who[hit])
             right.append(nodes[hit])
-            next_asks, next_nodes = [], []
-            for edge in range(-radius, radius + 1):
-                key = nodes * (BITS + 1) + gap + edge
-                ok = (gap + edge >= 0) & (gap + edge <= BITS)
-                place = np.searchsorted(self.keys, key)
-                ok &= place < len(self.keys)
-                ok[ok] = self.keys[place[ok]] == key[ok]
-                next_asks.append(asks[ok])
-                next_nodes.append(self.kids[place[ok]])
-            asks, nodes = np.concatenate(next_asks), np.concatenate(next_nodes)
+            base = nodes * (BITS + 1)
+            low = np.searchsorted(self.keys, base + np.maximum(gap - radius, 0))
+            n = np.searchsorted(self.keys, base + np.minimum(gap + radius, BITS), side="right") - low
+            who = np.repeat(who, n)
+            nodes = self.kids[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n - low, n)]
         return np.concatenate(left), np.concatenate(right)
 
+    def within(self, radius: int) -> tuple[np.ndarray, np.ndarray]:
+        """All ordered pairs of different members of a shard within the radius."""
+        left, right = self.search(self.values, self.root, radius)
+        return left[left != right], right[left != right]
+
 
 def local_roots(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
     """Smallest reachable index of each of n items."""
