@@ -217,3 +217,75 @@ def test_passages(spark):
     assert got[53].class_id == 52
     assert got[40].dup_words >= 280
     assert passages.near_duplicate_passages(docs_of(spark, [])).count() == 0
+
+
+def plain_links(texts):
+    """Pairs of texts, and texts with themselves, that share 46 shingles of which 0.8 agree, a word of shift allowed: all offsets tried."""
+    grams = [[tuple(t[i : i + 5]) for i in range(len(t) - 4)] for t in texts]
+    ids = {}
+    sh = [np.array([ids.setdefault(g, len(ids)) for g in x], np.int64) for x in grams]
+    links = set()
+    for i, a in enumerate(sh):
+        for j in range(i + 1):
+            b = sh[j]
+            if not len(np.intersect1d(a, b)):
+                continue
+            for d in range(-len(b) + 1, len(a)):
+                if i == j and abs(d) < passages.SHORTEST:
+                    continue
+                at = np.arange(max(0, d), min(len(a), len(b) + d))
+                same = np.zeros(len(at), bool)
+                for shift in (-1, 0, 1):
+                    k = at - d + shift
+                    ok = (k >= 0) & (k < len(b))
+                    same[ok] |= a[at[ok]] == b[k[ok]]
+                sums = np.r_[0, np.cumsum(same)]
+                if len(at) >= passages.SHORTEST and (sums[passages.SHORTEST :] - sums[: -passages.SHORTEST]).max() >= 0.8 * passages.SHORTEST:
+                    links.add((j, i))
+                    break
+    return links
+
+
+def test_links_and_repeats_against_all_offsets(spark):
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(6))
+    text = lambda n: [word() for _ in range(n)]
+    texts = []
+    for size, many in ((60, 5), (80, 3), (55, 2), (300, 4)):
+        passage = text(size)
+        for _ in range(many):
+            own = list(passage)
+            if size != 60:
+                own[rng.randrange(8, size - 8)] = word()  # near-copies of each other
+            texts.append(text(rng.randrange(60)) + own + text(rng.randrange(60)))
+    nine, left = text(9), [text(50) for _ in range(6)]
+    texts += [text(30) + nine + text(30) for _ in range(25)]  # nine words in unlike surroundings
+    texts += [text(20) + x[:25] + nine + x[25:] + text(20) for x in left for _ in range(2)]  # and in like ones
+    again = text(60)
+    texts += [text(10) + again + text(50) + again + text(5) + again, text(400), text(40) * 5]
+    links = plain_links(texts)
+    want = [sum(i in x and x[0] != x[1] for x in links) for i in range(len(texts))]
+    got = {r.doc_id: r for r in passages.near_duplicate_passages(docs_of(spark, [(i, " ".join(t)) for i, t in enumerate(texts)])).collect()}
+    found = [got[i].n_links for i in range(len(texts))]
+    # Edits next to each other in a passage of just 50 words may leave no window in common; all else is found.
+    assert sum(min(a, b) for a, b in zip(found, want)) >= 0.95 * sum(want)
+    assert [a >= b for a, b in zip(found, want)].count(False) <= 2
+    groups = [4] * 5 + [2] * 3 + [1] * 2 + [3] * 4 + [0] * 25 + [1] * 12 + [0] * 3
+    assert all(a <= b for a, b in zip(found, groups))  # and only texts of one group are linked
+    assert found[:5] == want[:5] == [4] * 5
+    repeats = [i for i in range(len(texts)) if (i, i) in links]
+    assert [i for i in got if got[i].n_repeats] == repeats
+    assert got[len(texts) - 3].n_repeats == 2
+    assert len(got[len(texts) - 3].spans.split(",")) in (2, 3)
+
+
+def test_finer_keys_meet_in_like_surroundings():
+    rng = np.random.default_rng(12)
+    met = 0
+    for _ in range(300):
+        a = rng.integers(1, 1 << 62, 200).astype(np.uint64)
+        b = rng.integers(1, 1 << 62, 200).astype(np.uint64)
+        start = int(rng.integers(75, 100))
+        b[start - 20 : start + 26] = a[start - 20 : start + 26]
+        met += (passages.finer_keys(a, np.array([start])) == passages.finer_keys(b, np.array([start]))).any()
+    assert met == 300
