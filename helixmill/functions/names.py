@@ -44,6 +44,26 @@ def underscored(name: Column) -> Column:
     return F.replace(name, F.lit(" "), F.lit("_"))
 
 
+# Share of a read that must align, by the kind of reads; others take the caller's.
+PRECISE_CLIPPING = {"clr": 0.75, "ontr9": 0.75, "ontr10": 0.8, "hifi": 0.9}
+
+
+def precise_clipping(kind: str, otherwise: float = 0.66) -> float:
+    return PRECISE_CLIPPING.get(kind, otherwise)
+
+
+def version_at_least(have: Column, want: Column) -> Column:
+    """Whether a dotted version reaches another; a missing or unreadable part is 0."""
+
+    def parts(version: Column) -> Column:
+        return F.transform(F.split(version, r"\."), lambda x: F.coalesce(x.try_cast("int"), F.lit(0)))
+
+    a, b = parts(have), parts(want)
+    width = F.greatest(F.size(a), F.size(b))
+    pad = lambda x: F.slice(F.concat(x, F.array_repeat(F.lit(0), width)), 1, width)
+    return pad(a) >= pad(b)
+
+
 def last_field(tag: Column) -> Column:
     """What follows the last colon of a tag."""
     return F.element_at(F.split(tag, ":"), -1)

@@ -2,38 +2,15 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from helixmill.operators.cut import cut
 from helixmill.shipping import ensure_shipped
 
 WEAK_ANI, STRONG_ANI = 95.0, 99.9
-_own: list[str] = []
-
-
-def _cut(df: DataFrame) -> DataFrame:
-    """Write and reread, so that loops don't grow the plan: in spark.checkpoint.dir, or locally in tests."""
-    spark: SparkSession = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        master = spark.sparkContext.master
-        if not (master == "local" or master.startswith("local[")):
-            raise ValueError("spark.checkpoint.dir must name a shared folder on a cluster")
-        if not _own:
-            folder = tempfile.mkdtemp(prefix="helixmill-")
-            atexit.register(shutil.rmtree, folder, ignore_errors=True)
-            _own.append(f"file://{folder}")
-        base = _own[0]
-    path = f"{base.rstrip('/')}/round-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
 
 
 def pair_max(edges: DataFrame) -> DataFrame:
@@ -45,20 +22,35 @@ def pair_max(edges: DataFrame) -> DataFrame:
 def components(genomes: DataFrame, edges: DataFrame, least: float) -> DataFrame:
     """(label, genome, component): connected components of the edges of at least ``least``; the smallest genome names one.
 
-    Labels halve their distance to the smallest genome by following pointers after each round of neighbour minima.
+    Each round points a genome to the smallest among itself and its neighbours and rewrites the edges over the genomes
+    pointed to, so the graph shrinks until no edge is left; every other later round orders by a hash of the id, which
+    keeps chains short. Genomes without edges take no part.
     """
-    strong = edges.filter(F.col("ani") >= least)
-    both = _cut(strong.select("query", "refer").union(strong.select("refer", "query")).distinct().toDF("a", "b"))
-    state = _cut(genomes.select("label", "genome", F.col("genome").alias("component")))
-    while True:
-        near = both.join(state.select(F.col("genome").alias("b"), "component"), "b").groupBy("a").agg(F.min("component").alias("_near"))
-        hooked = state.join(near, state["genome"] == near["a"], "left").select("label", "genome", F.least("component", F.coalesce("_near", "component")).alias("component"), F.col("component").alias("_was"))
-        hooked = _cut(hooked)
-        far = hooked.select(F.col("genome").alias("component"), F.col("component").alias("_far"))
-        jumped = _cut(hooked.join(far, "component", "left").select("label", "genome", F.least("component", "_far").alias("component"), "_was"))
-        state = jumped.drop("_was")
-        if not jumped.filter("component <> _was").limit(1).count():
-            return state
+    strong = edges.filter((F.col("ani") >= least) & (F.col("query") != F.col("refer")))
+    left = cut(strong.select(F.least("query", "refer").alias("a"), F.greatest("query", "refer").alias("b")).distinct())
+    found: DataFrame | None = None
+    turn = 0
+    while left.limit(1).count():
+        mixed = F.xxhash64("b", F.lit(turn)) if turn % 2 and turn > 1 else F.lit(0)
+        own = F.xxhash64("a", F.lit(turn)) if turn % 2 and turn > 1 else F.lit(0)
+        both = left.select("a", "b").union(left.select("b", "a"))
+        near = F.min(F.struct(mixed.cast("long").alias("o"), F.col("b").alias("id")))
+        best = both.groupBy("a").agg(F.least(near, F.min(F.struct(own.cast("long").alias("o"), F.col("a").alias("id")))).alias("best"))
+        step = cut(best.select(F.col("a").alias("genome"), F.col("best.id").alias("to")))
+        if found is None:
+            found = step
+        else:
+            found = found.join(step.withColumnRenamed("genome", "_g").withColumnRenamed("to", "_to"), F.col("to") == F.col("_g"), "left").select("genome", F.coalesce("_to", "to").alias("to"))
+        ends = {x: step.select(F.col("genome").alias(x), F.col("to").alias(f"to_{x}")) for x in "ab"}
+        moved = left.join(ends["a"], "a").join(ends["b"], "b").filter("to_a <> to_b")
+        left = cut(moved.select(F.least("to_a", "to_b").alias("a"), F.greatest("to_a", "to_b").alias("b")).distinct())
+        turn += 1
+    if found is None:
+        return genomes.select("label", "genome", F.col("genome").alias("component"))
+    found = cut(found)
+    smallest = found.groupBy("to").agg(F.min("genome").alias("component"))
+    named = found.join(smallest, "to").select("genome", "component")
+    return genomes.select("label", "genome").join(named, "genome", "left").select("label", "genome", F.coalesce("component", "genome").alias("component"))
 
 
 def representatives(members: DataFrame) -> DataFrame:
@@ -105,23 +97,28 @@ def maximal_cliques(edges: list[tuple], vertices: list) -> list[list]:
 
 def clique_selection(reps: DataFrame, edges: DataFrame, least: float) -> DataFrame:
     """(label, genome): per label the largest clique of representatives whose pairs reach ``least``, of those with the
-    reference genome if there is one. Groups hold at most the representatives of a label."""
+    reference genome if there is one. A clique lies in one connected component, so a task holds one component of a label."""
     weak = edges.filter(F.col("ani") >= least)
     held = reps.select("label", "genome", "is_ref")
     left = weak.join(held.select("label", F.col("genome").alias("query")), ["label", "query"], "left_semi")
-    pairs = left.join(held.select("label", F.col("genome").alias("refer")), ["label", "refer"], "left_semi")
-    rows = held.select("label", "genome", F.lit(None).cast("bigint").alias("other"), "is_ref").union(pairs.select("label", F.col("query"), F.col("refer"), F.lit(False)))
+    pairs = cut(left.join(held.select("label", F.col("genome").alias("refer")), ["label", "refer"], "left_semi").select("label", "query", "refer", "ani"))
+    member = components(held, pairs, least).select("label", "genome", "component").join(held, ["label", "genome"])
+    linked = pairs.join(member.select(F.col("genome").alias("query"), "component"), "query")
+    rows = member.select("label", "component", "genome", F.lit(None).cast("bigint").alias("other"), "is_ref")
+    rows = rows.union(linked.select("label", "component", F.col("query"), F.col("refer"), F.lit(False)))
 
     def select(frame: pd.DataFrame) -> pd.DataFrame:
         alone = frame[frame.other.isna()]
         links = [(int(a), int(b)) for a, b in frame[frame.other.notna()][["genome", "other"]].itertuples(index=False)]
         refs = set(alone[alone.is_ref].genome.astype(int))
         cliques = maximal_cliques(links, sorted(alone.genome.astype(int)))
-        chosen = next((c for c in cliques if refs & set(c)), cliques[0])
-        return pd.DataFrame({"label": frame.label.iloc[0], "genome": chosen})
+        best = [cliques[0]] + [c for c in cliques if refs & set(c)][:1]
+        return pd.DataFrame({"label": frame.label.iloc[0], "with_ref": [False, True][: len(best)], "clique": best})
 
     ensure_shipped(rows.sparkSession)
-    return rows.groupBy("label").applyInPandas(select, "label int, genome bigint")
+    found = rows.groupBy("label", "component").applyInPandas(select, "label int, with_ref boolean, clique array<bigint>")
+    order = F.struct(F.col("with_ref").cast("int"), F.size("clique"), F.transform("clique", lambda x: -x))
+    return found.groupBy("label").agg(F.max_by("clique", order).alias("clique")).select("label", F.explode("clique").alias("genome"))
 
 
 def linkage_clusters(dist: np.ndarray, height: float, method: str = "complete") -> np.ndarray:
@@ -145,12 +142,22 @@ def linkage_clusters(dist: np.ndarray, height: float, method: str = "complete")
 
 
 def hierarchical(genomes: DataFrame, edges: DataFrame, cutoff: float, method: str = "complete") -> DataFrame:
-    """(label, genome, cluster): linkage clusters cut at distance 100 - cutoff; pairs without a similarity are 100 apart.
+    """(label, genome, cluster): linkage clusters cut at distance 100 - cutoff, each named by its smallest genome; pairs without a similarity are 100 apart.
 
-    A label's genomes must fit a matrix in a task; single linkage at any size is ``components`` at the cutoff.
+    Complete linkage joins only genomes that are all within the cutoff, so its clusters lie inside the components of such
+    pairs, and a task holds one component's matrix; single linkage is ``components`` at the cutoff, at any size. Average
+    linkage may join components, and a task holds a label's matrix.
     """
-    rows = genomes.select("label", "genome", F.lit(None).cast("bigint").alias("other"), F.lit(None).cast("double").alias("ani"))
-    rows = rows.union(edges.select("label", "query", "refer", "ani"))
+    if method == "single":
+        return components(genomes, edges, cutoff).withColumnRenamed("component", "cluster")
+    member = components(genomes, edges, cutoff) if method == "complete" else genomes.withColumn("component", F.lit(0).cast("bigint"))
+    member = cut(member.select("label", "genome", "component"))
+    alone = member.groupBy("label", "component").agg(F.count(F.lit(1)).alias("n")).filter("n > 1" if method == "complete" else "n > 0")
+    member = member.join(alone.select("label", "component"), ["label", "component"], "left_semi")
+    side = lambda name: member.select("label", F.col("genome").alias(name), F.col("component").alias(f"{name}_c"))
+    inside = edges.join(side("query"), ["label", "query"]).join(side("refer"), ["label", "refer"]).filter("query_c = refer_c")
+    rows = member.select("label", "component", "genome", F.lit(None).cast("bigint").alias("other"), F.lit(None).cast("double").alias("ani"))
+    rows = rows.union(inside.select("label", "query_c", "query", "refer", "ani"))
 
     def cluster(frame: pd.DataFrame) -> pd.DataFrame:
         names = np.sort(frame[frame.other.isna()].genome.to_numpy(np.int64))
@@ -158,10 +165,13 @@ def hierarchical(genomes: DataFrame, edges: DataFrame, cutoff: float, method: st
         pairs = frame[frame.other.notna()]
         a, b = np.searchsorted(names, pairs.genome.to_numpy(np.int64)), np.searchsorted(names, pairs.other.to_numpy(np.int64))
         dist[a, b] = dist[b, a] = 100 - pairs.ani.to_numpy(float)
-        return pd.DataFrame({"label": frame.label.iloc[0], "genome": names, "cluster": linkage_clusters(dist, 100 - cutoff, method).astype("int64")})
+        number = linkage_clusters(dist, 100 - cutoff, method)
+        return pd.DataFrame({"label": frame.label.iloc[0], "genome": names, "cluster": names[np.unique(number, return_index=True)[1]][number]})
 
     ensure_shipped(rows.sparkSession)
-    return rows.groupBy("label").applyInPandas(cluster, "label int, genome bigint, cluster bigint")
+    found = rows.groupBy("label", "component").applyInPandas(cluster, "label int, genome bigint, cluster bigint")
+    rest = genomes.select("label", "genome", F.col("genome").alias("cluster")).join(member, ["label", "genome"], "left_anti")
+    return found.union(rest)
 
 
 def medoids(members: DataFrame, edges: DataFrame) -> DataFrame:
@@ -184,6 +194,38 @@ def reassign(genomes: DataFrame, reps: DataFrame, edges: DataFrame) -> DataFrame
     return near.select("label", "genome", "rep").union(reps.select("label", "genome", F.col("genome").alias("rep")))
 
 
+def cluster_lists(members: DataFrame) -> DataFrame:
+    """(label, cluster, genomes, size): each cluster's genomes in order, large clusters first."""
+    listed = members.groupBy("label", "cluster").agg(F.array_sort(F.collect_list("genome")).alias("genomes"))
+    return listed.withColumn("size", F.size("genomes")).orderBy("label", F.desc("size"), "cluster")
+
+
+def with_reference(labels: DataFrame, genomes: DataFrame) -> DataFrame:
+    """(label, reference) of each label: its reference genome, the smallest if there are several, or null."""
+    refs = genomes.filter("is_ref").groupBy("label").agg(F.min("genome").alias("reference"))
+    return labels.select("label").distinct().join(refs, "label", "left")
+
+
+def linkage_conditions(members: DataFrame, edges: DataFrame, cutoff: float) -> DataFrame:
+    """(label, genomes, compact, mergeable): whether all pairs inside clusters reach the cutoff, and how many pairs of
+    clusters could still be joined because all pairs across reach it; what complete linkage must leave is true and 0."""
+    strong = edges.filter(F.col("ani") >= cutoff)
+    side = lambda name: members.select("label", F.col("genome").alias(name), F.col("cluster").alias(f"{name}_c"))
+    known = strong.join(side("query"), ["label", "query"]).join(side("refer"), ["label", "refer"])
+    between = known.groupBy("label", F.least("query_c", "refer_c").alias("a"), F.greatest("query_c", "refer_c").alias("b")).agg(F.count(F.lit(1)).alias("n"))
+    sizes = members.groupBy("label", "cluster").agg(F.count(F.lit(1)).alias("size"))
+    inside = sizes.join(between.filter("a = b").select("label", F.col("a").alias("cluster"), "n"), ["label", "cluster"], "left")
+    told = inside.groupBy("label").agg(F.sum("size").alias("genomes"), F.every(F.coalesce("n", F.lit(0)) * 2 == F.col("size") * (F.col("size") - 1)).alias("compact"))
+    of = lambda x: sizes.select("label", F.col("cluster").alias(x), F.col("size").alias(f"size_{x}"))
+    open_ = between.filter("a <> b").join(of("a"), ["label", "a"]).join(of("b"), ["label", "b"]).filter("n = size_a * size_b")
+    return told.join(open_.groupBy("label").agg(F.count(F.lit(1)).alias("mergeable")), "label", "left").fillna(0, ["mergeable"])
+
+
+def longest_per_group(rows: DataFrame, group: str, name: str, length: str) -> DataFrame:
+    """(group, name, length) of the row with the greatest length of each group, of equals the smallest name."""
+    return rows.groupBy(group).agg(F.max_by(name, F.struct(length, -F.col(name))).alias(name), F.max(length).alias(length))
+
+
 def expand_clusters(reps: DataFrame, members: DataFrame) -> DataFrame:
     """All members of the clusters of the chosen representatives."""
     chosen = members.join(reps.select("label", "genome"), ["label", "genome"], "left_semi").select("label", "cluster").distinct()

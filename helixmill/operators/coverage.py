@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from helixmill.functions.paths import path_nodes, triple
+from helixmill.operators.cut import cut
 
 USED = ("rid", "species", "path", "read_start", "read_end")
 
@@ -37,6 +38,48 @@ def read_nodes(reads: DataFrame, nodes: DataFrame) -> DataFrame:
     return each.select("rid", "species", "pos", "node_id", "node_len", "bases", (visit == 1).alias("first"), low.alias("low"), high.alias("high"))
 
 
+def visit_sums(visits: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What depth, breadth and triple depth need of the visits, summed in one pass and kept: reads are gone through once.
+
+    Of nodes (species, node_id, low, bases, high): what first visits aligned and the longest interval, per start of
+    intervals. Of three nodes in a row (species, a, b, c, bases): what first visits aligned to them.
+    """
+    read = Window.partitionBy("species", "rid").orderBy("pos")
+    first = F.first(F.when(F.col("first"), F.col("bases")), ignorenulls=True).over(Window.partitionBy("species", "rid", "node_id"))
+    steps = visits.withColumn("_own", first)
+    for k in (1, 2):
+        steps = steps.withColumn(f"_n{k}", F.lead("node_id", k).over(read)).withColumn(f"_o{k}", F.lead("_own", k).over(read))
+    none = F.lit(None).cast("bigint")
+
+    def part(three: bool, a, b, c, low, bases, high):
+        return F.struct(F.lit(three).alias("three"), a.alias("a"), b.alias("b"), c.alias("c"), *(x.cast("bigint").alias(n) for x, n in ((low, "low"), (bases, "bases"), (high, "high"))))
+
+    spans = F.col("high") > F.col("low")
+    node = part(False, F.col("node_id"), none, none, F.when(spans, F.col("low")), F.when(F.col("first"), F.col("bases")), F.when(spans, F.col("high")))
+    a, b, c = triple(F.col("node_id"), F.col("_n1"), F.col("_n2"))
+    three = part(True, a, b, c, none, F.col("_own") + F.col("_o1") + F.col("_o2"), none)
+    rows = steps.select("species", F.explode(F.when(F.col("_n2").isNull(), F.array(node)).otherwise(F.array(node, three))).alias("s")).select("species", "s.*")
+    sums = cut(rows.groupBy("species", "three", "a", "b", "c", "low").agg(F.sum("bases").alias("bases"), F.max("high").alias("high")))
+    nodes = sums.filter(~F.col("three")).select("species", F.col("a").alias("node_id"), "low", "bases", "high")
+    return nodes, sums.filter("three").select("species", "a", "b", "c", "bases")
+
+
+def depth_of_sums(node_sums: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``node_depth`` from the sums of ``visit_sums``."""
+    return node_depth(node_sums.withColumn("first", F.lit(True)), nodes)
+
+
+def breadth_of_sums(node_sums: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``node_breadth`` from the sums of ``visit_sums``."""
+    return node_breadth(node_sums, nodes)
+
+
+def triple_depth_of_sums(triple_sums: DataFrame, haps: DataFrame) -> DataFrame:
+    """``triple_depth`` from the sums of ``visit_sums``."""
+    out = haps.join(triple_sums, ["species", "a", "b", "c"], "left").withColumn("bases", F.coalesce("bases", F.lit(0)))
+    return out.withColumn("depth", F.try_divide("bases", "trio_len"))
+
+
 def node_depth(visits: DataFrame, nodes: DataFrame) -> DataFrame:
     """(species, node_id, node_len, bases, depth) of every node of the graph."""
     sums = visits.filter("first").groupBy("species", "node_id").agg(F.sum("bases").alias("bases"))
@@ -64,6 +107,17 @@ def walk_triples(walks: DataFrame) -> DataFrame:
     return ahead.filter("_c is not null").select("species", "hap_id", "pos", *triple(F.col("node_id"), F.col("_b"), F.col("_c")))
 
 
+def incidence(walks: DataFrame) -> DataFrame:
+    """(species, hap_id, node_id): which nodes a haplotype visits, however often."""
+    return walks.select("species", "hap_id", "node_id").distinct()
+
+
+def path_index(walks: DataFrame) -> DataFrame:
+    """(species, hap_id, path_index): haplotypes of a species numbered in the order of their names."""
+    order = Window.partitionBy("species").orderBy("hap_id")
+    return walks.select("species", "hap_id").distinct().withColumn("path_index", F.row_number().over(order) - 1)
+
+
 def unique_triples(triples: DataFrame) -> DataFrame:
     """(species, a, b, c, hap_id) of triples that occur once in all walks of the species."""
     return triples.groupBy("species", "a", "b", "c").agg(F.count(F.lit(1)).alias("_n"), F.min("hap_id").alias("hap_id")).filter("_n = 1").drop("_n")
@@ -86,8 +140,7 @@ def triple_depth(visits: DataFrame, haps: DataFrame) -> DataFrame:
         steps = steps.withColumn(f"_n{k}", F.lead("node_id", k).over(read)).withColumn(f"_o{k}", F.lead("_own", k).over(read))
     seen = steps.filter("_n2 is not null").select("species", *triple(F.col("node_id"), F.col("_n1"), F.col("_n2")), (F.col("_own") + F.col("_o1") + F.col("_o2")).alias("_bases"))
     sums = seen.groupBy("species", "a", "b", "c").agg(F.sum("_bases").alias("bases"))
-    out = haps.join(sums, ["species", "a", "b", "c"], "left").withColumn("bases", F.coalesce("bases", F.lit(0)))
-    return out.withColumn("depth", F.try_divide("bases", "trio_len"))
+    return triple_depth_of_sums(sums, haps)
 
 
 def path_breadth(walks: DataFrame, nodes: DataFrame, breadth: DataFrame) -> DataFrame:

@@ -18,8 +18,51 @@ from helixmill.shipping import ensure_shipped
 EPS = 1e-9
 
 
+def lower_median(depth: np.ndarray, weight: np.ndarray) -> float:
+    """The smallest depth that at least half of the weight doesn't exceed."""
+    order = np.argsort(depth, kind="stable")
+    return float(depth[order][np.searchsorted(np.cumsum(weight[order]), weight.sum() / 2)])
+
+
+def path_blocks(incidence: np.ndarray) -> list[np.ndarray]:
+    """Paths that share nodes, directly or over others, together."""
+    shared = incidence.T.astype(float) @ incidence > 0
+    root = np.arange(len(shared))
+    for _ in root:
+        new = np.array([root[near].min() if near.any() else i for i, near in enumerate(shared)], int)
+        if (new == root).all():
+            break
+        root = new
+    return [np.flatnonzero(root == r) for r in np.unique(root)]
+
+
 def fit_paths(incidence: np.ndarray, depth: np.ndarray, weight: np.ndarray) -> np.ndarray:
     """x for an incidence matrix (nodes by paths) of zeros and ones; 0 for a path without nodes."""
+    return fit_with_gap(incidence, depth, weight)[0]
+
+
+def fit_with_gap(incidence: np.ndarray, depth: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, float]:
+    """x, and by how much its objective exceeds that of a feasible dual solution: 0 proves it optimal.
+
+    Paths that share no node are fitted apart; a path of its own takes the lower median of its depths.
+    """
+    x, gap = np.zeros(incidence.shape[1]), 0.0
+    for block in path_blocks(incidence):
+        on = incidence[:, block].any(axis=1)
+        a, d, w = incidence[np.ix_(on, block)], depth[on], weight[on]
+        if not len(d):
+            continue
+        if len(block) == 1:
+            x[block] = lower_median(d, w)
+            continue
+        x[block], dual = _simplex(a, d, w)
+        feasible = (np.abs(dual) <= w + EPS).all() and (a.T @ dual <= EPS * w.sum()).all()
+        gap += objective(a, d, w, x[block]) - float(d @ dual) if feasible else np.inf
+    return x, gap
+
+
+def _simplex(incidence: np.ndarray, depth: np.ndarray, weight: np.ndarray, steps: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """x and the dual solution; raises if the steps don't come to an end."""
     n, p = incidence.shape
     columns = np.hstack([incidence.T.astype(float), np.eye(p)])
     gain = np.concatenate([depth, np.zeros(p)])
@@ -29,7 +72,8 @@ def fit_paths(incidence: np.ndarray, depth: np.ndarray, weight: np.ndarray) -> n
     value = low.copy()
     value[basis] = incidence.T.astype(float) @ weight
     stalled = 0
-    for _ in range(50 * (n + p) + 100):
+    steps = 50 * (n + p) + 100 if steps is None else steps
+    for _ in range(steps):
         inverse = np.linalg.inv(columns[:, basis])
         price = gain[basis] @ inverse
         reduced = gain - price @ columns
@@ -39,7 +83,7 @@ def fit_paths(incidence: np.ndarray, depth: np.ndarray, weight: np.ndarray) -> n
         # The largest reduced cost enters; after steps that don't move, the first one, so that the method ends.
         enter = int(np.argmax(wish > EPS)) if stalled > p + 5 else int(np.argmax(wish))
         if wish[enter] <= EPS:
-            break
+            return np.maximum(price, 0), value[:n]
         sign = -1.0 if at_high[enter] else 1.0
         change = -sign * (inverse @ columns[:, enter])
         room = np.full(p, np.inf)
@@ -61,7 +105,7 @@ def fit_paths(incidence: np.ndarray, depth: np.ndarray, weight: np.ndarray) -> n
         value[out] = high[out] if at_high[out] else low[out]
         basis[leave] = enter
         at_high[enter] = False
-    return np.maximum(gain[basis] @ np.linalg.inv(columns[:, basis]), 0)
+    raise RuntimeError(f"no optimum within {steps} steps for {p} paths over {n} kinds of nodes")
 
 
 def objective(incidence: np.ndarray, depth: np.ndarray, weight: np.ndarray, x: np.ndarray) -> float:
@@ -69,10 +113,11 @@ def objective(incidence: np.ndarray, depth: np.ndarray, weight: np.ndarray, x: n
 
 
 def fit_species(walks: DataFrame, depth: DataFrame) -> DataFrame:
-    """(species, hap_id, x, objective): walks (species, hap_id, node_id) and depths (species, node_id, depth).
+    """(species, hap_id, x, objective, gap): walks (species, hap_id, node_id) and depths (species, node_id, depth).
 
-    Only nodes with depth on some walk count; the objective is their mean absolute deviation. A species with many
-    reads is no larger here than its distinct sets of paths and depths.
+    Only nodes with depth on some walk count; the objective is their mean absolute deviation, and ``gap`` what a dual
+    solution proves it may exceed the optimum by. A species with many reads is no larger here than its distinct sets of
+    paths and depths.
     """
     ensure_shipped(walks.sparkSession)
     sets = walks.select("species", "node_id", "hap_id").distinct().groupBy("species", "node_id").agg(F.array_sort(F.collect_set("hap_id")).alias("haps"))
@@ -87,10 +132,10 @@ def fit_species(walks: DataFrame, depth: DataFrame) -> DataFrame:
         for row, haps in enumerate(frame.haps):
             matrix[row, [at[h] for h in haps]] = 1
         d, w = frame.depth.to_numpy(float), frame.n.to_numpy(float)
-        x = fit_paths(matrix, d, w)
-        return pd.DataFrame({"species": frame.species.iloc[0], "hap_id": names, "x": x, "objective": objective(matrix, d, w, x) / w.sum()})
+        x, gap = fit_with_gap(matrix, d, w)
+        return pd.DataFrame({"species": frame.species.iloc[0], "hap_id": names, "x": x, "objective": objective(matrix, d, w, x) / w.sum(), "gap": gap / w.sum()})
 
-    return cells.groupBy("species").applyInPandas(solve, "species string, hap_id string, x double, objective double")
+    return cells.groupBy("species").applyInPandas(solve, "species string, hap_id string, x double, objective double, gap double")
 
 
 def single_path(walks: DataFrame, depth: DataFrame) -> DataFrame:

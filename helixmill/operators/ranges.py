@@ -8,6 +8,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def genome_groups(genomes: DataFrame) -> DataFrame:
+    """(species, genomes, is_pan): how many genomes a species has, and whether they make a pangenome."""
+    counted = genomes.groupBy("species").agg(F.count(F.lit(1)).alias("genomes"))
+    return counted.withColumn("is_pan", (F.col("genomes") > 1).cast("int"))
+
+
 def rebase(local: DataFrame) -> DataFrame:
     """Shift ranges (species, start, end, is_pan, ord) by the ends before them, pangenomes first, then by ``ord``."""
     before = Window.partitionBy(F.lit(1)).orderBy(F.desc("is_pan"), "ord").rowsBetween(Window.unboundedPreceding, -1)

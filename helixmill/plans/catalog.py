@@ -181,7 +181,7 @@ def ag11_trio_depth(s, d):
 
 @query
 def gr7_incidence(s, d):
-    return b.walks(s, d).select("species", "hap_id", "node_id").distinct()
+    return coverage.incidence(b.walks(s, d))
 
 
 @query
@@ -233,15 +233,26 @@ def opt1_single_path_median(s, d):
     return rounded(lad.single_path(b.walks(s, d), coverage.node_depth(_visits(s, d), b.nodes(s, d))))
 
 
+def _proved(fits):
+    """Fits with what proves them: no solution below zero, and no gap to a feasible dual solution."""
+    return fits.select("species", "hap_id", (F.col("x") >= 0).alias("feasible"), F.abs(F.round("gap", 6)).alias("gap"))
+
+
 @query
 def opt1_lad_multi(s, d):
-    return lad.fit_species(b.walks(s, d), coverage.node_depth(_visits(s, d), b.nodes(s, d)))
+    return _proved(lad.fit_species(b.walks(s, d), coverage.node_depth(_visits(s, d), b.nodes(s, d))))
+
+
+@query
+def opt1_lad_pair(s, d):
+    fits = lad.fit_species(b.walks(s, d).filter("hap_id in ('H0', 'H1')"), coverage.node_depth(_visits(s, d), b.nodes(s, d)))
+    return rounded(fits.groupBy("species").agg(F.max("objective").alias("objective")))
 
 
 @query
 def opt2_refit(s, d):
     kept = strain.first_filter(_trio_depth(s, d)).filter("keep").select("species", "hap_id")
-    return lad.fit_species(b.walks(s, d).join(kept, ["species", "hap_id"], "left_semi"), coverage.node_depth(_visits(s, d), b.nodes(s, d)))
+    return _proved(lad.fit_species(b.walks(s, d).join(kept, ["species", "hap_id"], "left_semi"), coverage.node_depth(_visits(s, d), b.nodes(s, d))))
 
 
 def _metrics(s, d):
@@ -259,23 +270,62 @@ def sf1_second_filter(s, d):
     return rounded(strain.second_filter(_metrics(s, d)))
 
 
-def _constrained(s, d):
-    kept = strain.second_filter(_metrics(s, d)).filter("keep").drop("keep").withColumn("second_sol", F.col("first_sol") * 0.9)
-    bases = species.species_bases(classified(s, d), filtered=False).join(b.lengths(s, d), "species", "left")
-    return strain.constrain(kept, bases.select("species", F.try_divide(F.col("bases").cast("double"), "len").alias("coverage")))
+def _strain_walks(s, d):
+    """By species in turn: one haplotype; two without a common node; two identical ones; two of two nodes each."""
+    n = b.nodes(s, d).selectExpr("species", "node_id", "cast(substring(species, 2) as bigint) % 4 as kind", "(node_id - 1) % 100 as k")
+    haps = n.selectExpr("species", "node_id", """explode(filter(array(
+        if(kind in (0, 2) or (kind = 1 and k < 45) or (kind = 3 and k < 2), 'H0', null),
+        if(kind = 2 or (kind = 1 and k >= 45) or (kind = 3 and k between 2 and 3), 'H1', null)), h -> h is not null)) as hap_id""")
+    return haps.selectExpr("species", "hap_id", "cast(row_number() over (partition by species, hap_id order by node_id) as int) - 1 as pos", "node_id")
+
+
+def _strain_input(s, d):
+    reads = classified(s, d)
+    bases = species.species_bases(reads, filtered=False).join(b.lengths(s, d), "species", "left")
+    return reads, b.nodes(s, d), _strain_walks(s, d), bases.select("species", F.try_divide(F.col("bases").cast("double"), "len").alias("coverage"))
+
+
+def _strain_genomes(s, d):
+    made = _strain_walks(s, d).select("species", "hap_id").distinct()
+    return made.select(F.concat_ws("_", "species", "hap_id").alias("hap_id"), F.concat_ws(".", "species", F.substring("hap_id", 2, 1)).alias("strain_taxid"), F.concat("species", F.lit("-"), "hap_id").alias("genome_ID"))
+
+
+def _strain_named(s, d):
+    return strain.strain_metrics(*_strain_input(s, d)).withColumn("hap_id", F.concat_ws("_", "species", "hap_id"))
+
+
+@query
+def ou1_strain_metrics(s, d):
+    return rounded(strain.strain_metrics(*_strain_input(s, d)))
+
+
+@query
+def ou2_strain_profile(s, d):
+    reads, nodes, walks, cov = _strain_input(s, d)
+    walks = walks.withColumn("hap_id", F.concat_ws("_", "species", "hap_id"))
+    return strain.strain_profile(reads, nodes, walks, cov, _strain_genomes(s, d), digits=4)
 
 
 @query
 def cn_constraints(s, d):
-    return rounded(_constrained(s, d).select("species", "hap_id", "first_sol", "second_sol", "is_rescue", "total_cov_diff"))
+    return rounded(_strain_named(s, d).filter("second_sol is not null").select("species", "hap_id", "first_sol", "second_sol", "is_rescue", "total_cov_diff"))
 
 
 @query
 def se1_strain_table(s, d):
-    metrics = _constrained(s, d).withColumn("hap_id", F.concat_ws("_", "species", "hap_id"))
-    made = b.walks(s, d).select("species", "hap_id").distinct()
-    genomes = made.select(F.concat_ws("_", "species", "hap_id").alias("hap_id"), F.concat_ws(".", "species", F.substring("hap_id", 2, 1)).alias("strain_taxid"), F.concat("species", F.lit("-"), "hap_id").alias("genome_ID"))
-    return rounded(strain.strain_table(metrics, genomes, single_cov_diff=5.0))
+    return rounded(strain.strain_table(_strain_named(s, d), _strain_genomes(s, d), single_cov_diff=5.0))
+
+
+@query
+def sk4_unfiltered(s, d):
+    return rounded(strain.unfiltered_table(_strain_named(s, d), _strain_genomes(s, d)))
+
+
+@query
+def pf10_min_depth(s, d):
+    walks = _strain_walks(s, d)
+    depth = coverage.node_depth(_visits(s, d), b.nodes(s, d))
+    return rounded(strain.degenerate_filter(walks, depth, coverage.unique_triples(coverage.walk_triples(walks)), min_depth=2.0))
 
 
 # Sequences
@@ -320,8 +370,7 @@ def gr8_chunk_1024(s, d):
 @query
 def ag27_genome_groups(s, d):
     rows = b.table(s, d, "documents").selectExpr("concat_ws('-', source, lang) as species", "doc_id")
-    counted = rows.groupBy("species").agg(F.count(F.lit(1)).alias("genomes"))
-    return counted.select("species", "genomes", (F.col("genomes") > 1).cast("int").alias("is_pan"))
+    return ranges.genome_groups(rows)
 
 
 # Clusters
@@ -338,8 +387,7 @@ def ag23_pair_max(s, d):
 
 @query
 def ag25_argmax(s, d):
-    docs = b.table(s, d, "documents")
-    return docs.groupBy("source").agg(F.max_by("doc_id", F.struct("n_chars", -F.col("doc_id"))).alias("doc_id"), F.max("n_chars").alias("n_chars"))
+    return cluster.longest_per_group(b.table(s, d, "documents"), "source", "doc_id", "n_chars")
 
 
 def _members(s, d):
@@ -374,6 +422,11 @@ def gr16_complete_linkage(s, d):
     return cluster.hierarchical(b.genomes(s, d), b.similarities(s, d), STRONG)
 
 
+@query
+def gr16_linkage_conditions(s, d):
+    return cluster.linkage_conditions(gr16_complete_linkage(s, d), b.similarities(s, d), STRONG)
+
+
 def _clusters(s, d):
     return _members(s, d).withColumnRenamed("component", "cluster")
 
@@ -403,6 +456,16 @@ def jn14_expand_clusters(s, d):
     return cluster.expand_clusters(reps, _clusters(s, d)).select("label", "genome", "cluster")
 
 
+@query
+def ag24_cluster_lists(s, d):
+    return cluster.cluster_lists(_clusters(s, d)).withColumn("genomes", F.array_join("genomes", ","))
+
+
+@query
+def jn15_reference(s, d):
+    return cluster.with_reference(b.genomes(s, d), b.genomes(s, d).filter("label % 3 > 0"))
+
+
 @query
 def sc19_filter_matrix(s, d):
     long = b.similarities(s, d).select(F.col("query").alias("i"), F.col("refer").alias("j"), (100 - F.col("ani")).alias("dist"))
@@ -463,11 +526,20 @@ def pf14_case(s, d):
 
 @query
 def so4_sample(s, d):
-    rows = b.nodes(s, d).withColumn("_h", F.expr("(node_id * 48271 + 42) % 2147483647")).orderBy("_h", "node_id").limit(500)
-    return rows.orderBy("node_id").select("species", "node_id", "node_len")
+    return rounded(strain.sample_nodes(coverage.node_depth(_visits(s, d), b.nodes(s, d)), most=20).select("species", "node_id", "depth"))
 
 
 @query
 def so7_hap_index(s, d):
-    haps = b.walks(s, d).select("species", "hap_id").distinct()
-    return haps.selectExpr("species", "hap_id", "dense_rank() over (partition by species order by hap_id) - 1 as path_index")
+    return coverage.path_index(b.walks(s, d))
+
+
+@query
+def fn11_versions(s, d):
+    have = F.concat_ws(".", F.col("p_size") % 4, F.col("p_partkey") % 11, F.when(F.col("p_size") % 3 > 0, F.lit("x")))
+    return b.table(s, d, "part").select("p_partkey", names.version_at_least(have, F.lit("2.3")).alias("enough"))
+
+
+from helixmill.plans import files  # noqa: E402
+
+QUERIES |= files.QUERIES

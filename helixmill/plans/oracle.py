@@ -51,10 +51,6 @@ PARTS = VIEWS | {
         coalesce(mean <> 0 and first_sol <> 0 and divergence > 0.46 and divergence <= 0.6 and fraction * path_base_cov >= 0.85, false) as is_rescue
         from (select *, case when mean <> 0 then round(abs(first_sol - mean) / (first_sol + mean), 2) end as divergence from c_metrics)""",
     "c_cov": "select species, bases / len as coverage from (select species, sum(read_len)::bigint as bases from b_class where species <> 'U' group by 1) left join b_len using (species)",
-    "c_con0": "select j.*, coverage, case when is_rescue then least(first_sol, first_sol * 0.9) else first_sol * 0.9 end as s2 from c_judged j left join c_cov using (species) where keep",
-    "c_con": """select species, hap_id, fraction, mean, path_base_cov, first_sol, divergence, is_rescue, abs(tot - coverage) / ((tot + coverage) / 2) as total_cov_diff,
-        case when top > 1.05 * coverage and not is_rescue then s2 * coverage / tot else s2 end as second_sol
-        from (select *, sum(coalesce(s2, 0)) over (partition by species) as tot, max(s2) over (partition by species) as top from c_con0)""",
     "c_plain": """select species, hap_id, pos, node_id from b_walk where hap_id = 'H0' or (hap_id = 'H1' and substr(species, 2)::bigint % 3 = 2)
         union all select species, hap_id || 'x', pos, node_id from b_walk where (hap_id = 'H0' and substr(species, 2)::bigint % 3 > 0) or (hap_id = 'H1' and substr(species, 2)::bigint % 3 = 2)""",
     "c_pmean": "select species, round(avg(depth) filter (where depth > 0), 2) as m from c_depth group by 1",
@@ -77,6 +73,50 @@ PARTS = VIEWS | {
 }
 
 
+#: The bound strains: the parts on walks once more, over walks whose best fits are unique.
+_MOVED = ("b_walk", "c_trio", "c_unique", "c_triohap", "c_triodepth", "c_zmean", "c_share", "c_first", "c_pathcov", "c_single")
+
+
+def _moved(text: str) -> str:
+    return re.sub(r"\b(" + "|".join(_MOVED) + r")\b", lambda m: "s" + m[0][1:], text)
+
+
+PARTS |= {
+    "s_walk": """select species, hap_id, (row_number() over (partition by species, hap_id order by node_id) - 1)::int as pos, node_id from
+        (select species, node_id, substr(species, 2)::bigint % 4 as kind, (node_id - 1) % 100 as k, unnest(['H0', 'H1']) as hap_id from b_node)
+        where kind = 2 or (kind = 0 and hap_id = 'H0') or (kind = 1 and (hap_id = 'H0') = (k < 45)) or (kind = 3 and k < 4 and (hap_id = 'H0') = (k < 2))""",
+    **{"s" + name[1:]: _moved(PARTS[name]) for name in _MOVED[1:]},
+    "s_cov": "select * from c_cov where coverage is not null",
+    "s_path": "select species, hap_id, list(node_id order by pos) as p from s_walk group by 1, 2",
+    "s_kind": """select species, n, f, n = 1 or species not in (select species from s_unique) as plain, n = 1 or paths = 1 as single
+        from (select species, count(*) as n, count(distinct p) as paths, min(hap_id) as f from s_path group by 1)""",
+    "s_possible": """select f.species, f.hap_id, f.fraction, f.mean, false as plain from s_first f join s_kind using (species) where not plain and share >= 0.3
+        union all select species, f, null, coalesce(m, 0.0), true from s_kind left join c_pmean using (species) where plain and single
+        union all select k.species, p.hap_id, null, null, true from s_kind k join s_path p using (species) where plain and not single""",
+    "s_solved": """select p.species, p.hap_id, p.fraction, p.mean, p.plain, path_base_cov, coalesce(first_sol, 0.0) as first_sol,
+        case when mean <> 0 then round(abs(coalesce(first_sol, 0.0) - mean) / (coalesce(first_sol, 0.0) + mean), 2) end as gap from s_possible p left join s_pathcov using (species, hap_id) left join s_single using (species, hap_id)""",
+    "s_judged": """select *, not plain and coalesce(mean <> 0 and first_sol <> 0 and gap > 0.46 and gap <= 0.6 and fraction * path_base_cov >= 0.85, false) as is_rescue,
+        not plain and coalesce(mean <> 0 and first_sol <> 0 and (gap <= 0.46 or (gap <= 0.6 and fraction * path_base_cov >= 0.85)), false) as keep from s_solved""",
+    "s_every": """select h.species, h.hap_id, coalesce(j.fraction, f.fraction) as fraction, j.mean, j.path_base_cov, j.first_sol, case when not plain or j.mean > 0 then gap end as divergence, coverage,
+        coalesce(is_rescue, false) as is_rescue, case when plain then (case when j.mean is null or j.mean > 0 then j.first_sol end) when keep then j.first_sol end as s2
+        from (select distinct species, hap_id from s_walk) h join s_cov using (species) left join s_judged j using (species, hap_id) left join (select f.* from s_first f join s_kind using (species) where not plain) f using (species, hap_id)""",
+    "s_con": """select species, hap_id, fraction, mean, path_base_cov, first_sol, divergence, is_rescue, abs(tot - coverage) / ((tot + coverage) / 2) as total_cov_diff, size,
+        case when top > 1.05 * coverage and not is_rescue then s2 * coverage / tot else s2 end as second_sol
+        from (select *, sum(coalesce(s2, 0)) over (partition by species) as tot, max(s2) over (partition by species) as top, count(*) over (partition by species) as size from s_every)""",
+    "c_pair": """select species, a, b, depth as d, count(*) as n from (select species, node_id, max((hap_id = 'H0')::int) as a, max((hap_id = 'H1')::int) as b from b_walk where hap_id in ('H0', 'H1') group by 1, 2)
+        join c_depth using (species, node_id) where depth > 0 group by 1, 2, 3, 4""",
+}
+
+
+def _table(limit: float | None, digits: int) -> str:
+    """The strain report of the bound strains."""
+    rows = "s_con" if limit is None else f"(select * from s_con where (size > 1 or total_cov_diff <= {limit}) and second_sol >= 0 and second_sol <> 0)"
+    value = lambda name, to: f"round({name}, {digits}) as {to}"
+    return f"""select species as species_taxid, species || '.' || substr(hap_id, 2, 1) as strain_taxid, species || '-' || hap_id as "genome_ID", {value("second_sol", "predicted_coverage")},
+        {value("second_sol / sum(second_sol) over ()", "predicted_abundance")}, {value("path_base_cov", "path_base_cov")}, {value("fraction", "unique_trio_fraction")}, {value("mean", "uniq_trio_cov_mean")},
+        {value("first_sol", "first_sol")}, {value("divergence", "strain_cov_diff")}, {value("total_cov_diff", "total_cov_diff")} from {rows}"""
+
+
 def _stats(rows: str, keys: str, n_letters: str, gc_letters: str, ceil: str) -> str:
     """Sequence statistics of rows (keys, seq)."""
     return f"""with s as ({rows}), l as (select {keys}, length(seq)::bigint as len, length(regexp_replace(seq, '[^{n_letters}]', '', 'g')) as nn, length(regexp_replace(seq, '[^{gc_letters}]', '', 'g')) as gc from s),
@@ -129,11 +169,19 @@ _FINAL = {
         where (haps = 1 or p.species not in (select species from c_ptrio where n = 1)) and (not (haps = 1 or paths = 1) or p.hap_id = f)""",
     "opt1_single_path_median": "select species, hap_id, round(first_sol, 6) as first_sol from c_single",
     "sf1_second_filter": """select species, hap_id, fraction, round(mean, 6) as mean, round(path_base_cov, 6) as path_base_cov, round(first_sol, 6) as first_sol, divergence, keep, is_rescue from c_judged""",
-    "cn_constraints": "select species, hap_id, round(first_sol, 6) as first_sol, round(second_sol, 6) as second_sol, is_rescue, round(total_cov_diff, 6) as total_cov_diff from c_con",
-    "se1_strain_table": """select species as species_taxid, species || '.' || substr(hap_id, 2, 1) as strain_taxid, species || '-' || hap_id as "genome_ID", round(second_sol, 6) as predicted_coverage,
-        round(second_sol / sum(second_sol) over (), 6) as predicted_abundance, round(path_base_cov, 6) as path_base_cov, fraction as unique_trio_fraction, round(mean, 6) as uniq_trio_cov_mean,
-        round(first_sol, 6) as first_sol, divergence as strain_cov_diff, round(total_cov_diff, 6) as total_cov_diff
-        from (select *, count(*) over (partition by species) as size from c_con) where (size > 1 or total_cov_diff <= 5.0) and second_sol >= 0 and second_sol <> 0""",
+    "cn_constraints": """select species, species || '_' || hap_id as hap_id, round(first_sol, 6) as first_sol, round(second_sol, 6) as second_sol, is_rescue, round(total_cov_diff, 6) as total_cov_diff from s_con where second_sol is not null""",
+    "se1_strain_table": _table(5.0, 6),
+    "sk4_unfiltered": _table(None, 6),
+    "ou1_strain_metrics": """select species, hap_id, round(fraction, 6) as fraction, round(mean, 6) as mean, round(path_base_cov, 6) as path_base_cov, round(first_sol, 6) as first_sol, divergence,
+        round(second_sol, 6) as second_sol, is_rescue, round(total_cov_diff, 6) as total_cov_diff from s_con""",
+    "ou2_strain_profile": _table(0.2, 4),
+    "pf10_min_depth": """select k.species, p.hap_id, case when single then coalesce(m, 0.0) end as mean from s_kind k join s_path p using (species)
+        left join (select species, round(avg(depth) filter (where depth > 2), 2) as m from c_depth group by 1) using (species) where plain and (not single or p.hap_id = f)""",
+    "opt1_lad_multi": "select distinct species, hap_id, true as feasible, 0.0::double as gap from b_walk join c_depth using (species, node_id) where depth > 0",
+    "opt2_refit": """select distinct species, hap_id, true as feasible, 0.0::double as gap from b_walk join c_depth using (species, node_id) join (select species, hap_id from c_share where share >= 0.3) using (species, hap_id) where depth > 0""",
+    "opt1_lad_pair": """, line as (select distinct species, a, b, d from c_pair union all select distinct species, 1, 0, 0.0 from c_pair union all select distinct species, 0, 1, 0.0 from c_pair),
+        meet as (select distinct p.species, (p.d * q.b - q.d * p.b) / (p.a * q.b - p.b * q.a) as x, (p.a * q.d - q.a * p.d) / (p.a * q.b - p.b * q.a) as y from line p join line q using (species) where p.a * q.b - p.b * q.a <> 0)
+        select species, round(min(o), 6) as objective from (select species, x, y, sum(n * abs(a * x + b * y - d)) / sum(n) as o from meet join c_pair using (species) where x >= -1e-9 and y >= -1e-9 group by 1, 2, 3) group by 1""",
     "ag18_species_avg_len": "select lang as species, round(avg(n_chars), 6) as len from documents group by 1",
     "ag19_seq_stats": _stats(_SEQ, "genome", "Nn", "GgCc", "ceil"),
     "ag20_n50_ceil": f"select genome, n50, n90 from ({_stats(_SEQ, 'genome', 'Nn', 'GgCc', 'ceil')})",
@@ -167,17 +215,73 @@ _FINAL = {
         from (select s_suppkey, s_nationkey * 3 + s_suppkey % 2 as t from supplier)""",
     "fn13_threads": """select p_size, count(*) as n, least(ceil((case when p_size < 5 then 8 when p_size <= 10 then 16 when p_size <= 25 then 32 when p_size <= 50 then 48 else 64 end) * 1.5), 80)::int as threads from part group by 1""",
     "pf14_case": "select p_partkey, array_to_string(string_split(replace(p_name, ' ', '_'), '_')[1:2], '_') as name from part",
-    "so4_sample": "select species, node_id, node_len from b_node order by (node_id * 48271 + 42) % 2147483647, node_id limit 500",
+    "so4_sample": """select species, node_id, round(depth, 6) as depth from (select *, row_number() over (partition by species order by (node_id * 48271 + 42) % 2147483647, node_id) as r from c_depth where depth > 0) where r <= 20""",
     "so7_hap_index": "select species, hap_id, (dense_rank() over (partition by species order by hap_id) - 1)::int as path_index from (select distinct species, hap_id from b_walk)",
 }
 
 
+_FINAL |= {
+    "gr14_cliques": """, rep as (select label, genome, is_ref from c_reps join b_genome using (label, genome)), edge as (select label, query as a, refer as b from b_sim where ani >= 20
+            and query in (select genome from rep) and refer in (select genome from rep)),
+        k2 as (select label, [a, b] as c from edge), k3 as (select k.label, list_append(c, y.b) as c from k2 k join edge x on x.a = c[1] join edge y on y.a = c[2] and y.b = x.b),
+        k4 as (select k.label, list_append(c, z.b) as c from k3 k join edge x on x.a = c[1] join edge y on y.a = c[2] and y.b = x.b join edge z on z.a = c[3] and z.b = x.b),
+        k5 as (select k.label, list_append(c, z.b) as c from k4 k join edge x on x.a = c[1] join edge y on y.a = c[2] and y.b = x.b join edge z on z.a = c[3] and z.b = x.b join edge w on w.a = c[4] and w.b = x.b),
+        k as (select label, [genome] as c from rep union all select * from k2 union all select * from k3 union all select * from k4 union all select * from k5),
+        best as (select label, c, row_number() over (partition by label order by len(list_filter(c, lambda x: list_contains(refs, x))) > 0 desc, len(c) desc, c) as r from k join (select label, list(genome) filter (where is_ref) as refs from rep group by 1) using (label))
+        select label, unnest(c) as genome from best where r = 1""",
+    "gr16_linkage_conditions": "select label, count(*) as genomes, true as compact, 0::bigint as mergeable from b_genome group by 1",
+    "ag24_cluster_lists": "select label, component as cluster, array_to_string(list(genome order by genome), ',') as genomes, count(*)::int as size from c_comp group by 1, 2",
+    "jn15_reference": "select label, min(genome) filter (where is_ref and label % 3 > 0) as reference from b_genome group by 1",
+    "fn11_versions": "select p_partkey, (p_size % 4, p_partkey % 11) >= (2, 3) as enough from part",
+    "sc1_sk10_genomes_info": "select * from c_info",
+    "sc2_species_range": """select species, "start", "end", is_pan from b_range""",
+    "sc3_gaf": "select * from c_gaf",
+    "sc4_gaf_columns": "select read_id, path, mapq, read_len from c_gaf",
+    "sc5_gaf_zero": "select * replace (coalesce(read_len, 0) as read_len) from c_gaf",
+    "sc6_long_gaf": "select rid, read_id, mapq, matches, round(identity, 6) as identity, span from b_read where rid is not null",
+    "sk9_filtered_gaf": """select read_id, mapq, matches, round(identity, 6) as identity, span from (select *, row_number() over (partition by read_id order by rid) as k from
+        (select *, rank() over (partition by read_id order by matches desc, identity desc) as best from b_read) where best = 1 and mapq > 20 and span > 1000) where k = 1""",
+    "sc7_species_lengths": "select * from b_len",
+    "sc8_sk2_read_classes": "select read_id, mapq, species, read_len from b_class",
+    "sc9_sk3_species_report": "select species_taxid, round(predicted_abundance, 9) as predicted_abundance, round(predicted_coverage, 9) as predicted_coverage from c_profile",
+    "sk5_rounded_report": "select species_taxid, round(predicted_abundance, 2) as predicted_abundance, round(predicted_coverage, 2) as predicted_coverage from c_profile",
+    "sc10_gfa_nodes": "select species, local as node_id, node_len from c_local_node",
+    "sc10_gfa_walks": "select species, hap_id, pos, local as node_id from b_walk join c_local_node using (species, node_id)",
+    "sc11_gfa_oriented": "select species, hap_id, pos, local as node_id from b_walk join c_local_node using (species, node_id)",
+    "sc11_graph_ranges": """select species, min(local) as "start", max(local) as "end", (any_value(h) > 1)::int as is_pan from c_local_node left join (select species, count(distinct hap_id) as h from b_walk group by 1) using (species) group by 1""",
+    "sc12_sk7_stored_graph": "select * from b_node where species in ('S1', 'S3', 'S4')",
+    "rg4_merge_graphs": "select species, node_id, node_len + (species in ('S1', 'S2'))::int as node_len from b_node",
+    "sc13_sk11_fasta": "select source || '_x#0#' || doc_id as seq_id, upper(md5(text)) as seq from documents where text is not null",
+    "sk8_linear_gfa": """with q as (select source as genome, doc_id as seq_id, regexp_replace(text, '[^a-z]', 'a', 'g') as seq from documents where doc_id % 10 = 0), n as (select *, ceil(length(seq) / 1024.0)::bigint as n from q where length(seq) > 0),
+        line as (select 'H	VN:Z:1.1' as value from q union all select 'S	' || i || '	' || substr(seq, (i - 1) * 1024 + 1, 1024) from (select *, unnest(range(1, n + 1)) as i from n)
+            union all select 'L	' || i || '	+	' || (i + 1) || '	+	0M' from (select *, unnest(range(1, n)) as i from n)
+            union all select 'W	' || genome || '	0	' || seq_id || '	0	' || length(seq) || '	>' || array_to_string(range(1, n + 1), '>') from n)
+        select value[1] as kind, count(*) as lines, sum(length(value))::bigint as chars from line group by 1""",
+    "sc15_assembly_summary": """select p_partkey::varchar as taxid, (p_partkey // 100)::varchar as species_taxid, p_name as organism, 'Complete Genome' as level, p_size % 5 = 0 as is_ref, 'GCF_' || p_partkey || '_genomic.fna' as file
+        from part where p_size % 2 = 0 and p_partkey // 100 in (1, 2, 3) and p_partkey % 3 = 0""",
+    "sc16_gtdb": "select distinct 'GCF_' || p_partkey as accession, replace(p_name, ' ', '_') as species, 'Complete Genome' as level, 'A' || p_size as assembly, p_name as organism from part",
+    "sc17_ani_pairs": "select query::varchar as query, refer::varchar as refer, ani from b_sim where ani >= 10",
+    "sc18_ani_matrix": """select replace(a.n_name, ' ', '_') as i, replace(b.n_name, ' ', '_') as j, case when a.n_nationkey = b.n_nationkey then 0.0::double else (50 - (greatest(a.n_nationkey, b.n_nationkey) * 7 + least(a.n_nationkey, b.n_nationkey) * 3) % 50)::double end as dist from nation a, nation b""",
+    "sc20_genome_stats": "select p_partkey::bigint as n, (p_size * 500000)::bigint as gap, (p_partkey % 4)::bigint as n50 from part where p_partkey % 4 > 0 and p_size < 20",
+    "sc21_listing": """select (14 + sum(length(species || "start") + 2))::bigint as length from b_range""",
+    "jn11_with_info": """select 'GCF_' || (p_partkey + 50) as "genome_ID", p_size as n50, i.* exclude ("genome_ID") from part left join c_info i on i."genome_ID" = 'GCF_' || (p_partkey + 50)""",
+    "pf13_in_set": """select i.* from c_info i where "genome_ID" in (select 'GCF_' || p_partkey from part where p_size > 25)""",
+}
+
+PARTS |= {
+    "c_info": """select 'GCF_' || p_partkey as "genome_ID", (p_partkey // 100) || '.' || (p_partkey % 100) || '0' as strain_taxid, (p_partkey // 100)::varchar as species_taxid, p_name as organism_name, '/g/GCF_' || p_partkey || '.fna' as id from part""",
+    "c_gaf": """select rid as read_id, case when k % 11 > 0 then read_len end as read_len, case when k % 7 > 0 then path end as path, 9::bigint as path_len, read_start::bigint as read_start, read_end::bigint as read_end, mapq::bigint as mapq
+        from (select *, ((read_end % 77) + 77) % 77 as k from b_read)""",
+    "c_local_node": "select *, row_number() over (partition by species order by node_id) as local from b_node",
+}
+
+
 def _compose(final: str) -> str:
     """The parts that a query needs, in order, then the query; its own ``with`` is joined to them."""
     needed: set[str] = set()
 
     def add(text: str) -> None:
-        for name in re.findall(r"\b[bc]_\w+", text):
+        for name in re.findall(r"\b[bcs]_\w+", text):
             if name in PARTS and name not in needed:
                 needed.add(name)
                 add(PARTS[name])
@@ -187,7 +291,7 @@ def _compose(final: str) -> str:
     if not parts:
         return final
     head = "with recursive" if "c_reach" in needed else "with"
-    own = re.match(r"\s*with\s+", final)
+    own = re.match(r"\s*(with\s+|,)", final)
     return f"{head} {parts}, {final[own.end() :]}" if own else f"{head} {parts} {final}"
 
 

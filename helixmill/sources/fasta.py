@@ -9,8 +9,11 @@ from helixmill.functions.names import basename, file_stem
 
 
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:
-    """(file, seq_id, seq): ids end at the first white space, lines of a sequence are joined."""
-    records = spark.read.text(path, lineSep=">").select(F.input_file_name().alias("file"), "value").filter("value <> ''")
+    """(file, seq_id, seq): ids end at the first white space, lines of a sequence are joined.
+
+    A record starts at a > that starts a line; further ones are part of the header or sequence.
+    """
+    records = spark.read.text(path, lineSep="\n>").select(F.input_file_name().alias("file"), F.regexp_replace("value", "^>", "").alias("value")).filter("trim(value) <> ''")
     head = F.regexp_extract("value", r"^[^\r\n]*", 0)
     body = F.regexp_replace(F.substring(F.col("value"), F.length(head) + 1, F.length("value")), r"\s", "")
     return records.select(basename(F.col("file")).alias("file"), F.element_at(F.split(head, r"\s"), 1).alias("seq_id"), body.alias("seq"))

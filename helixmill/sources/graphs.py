@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,10 +12,14 @@ def read_gfa(spark: SparkSession, path: str, first_node: int = 0, orient: bool =
     """Nodes (species, node_id, node_len) and walks (species, hap_id, pos, node_id) of GFA files named by species.
 
     Node ids are local, from 1, after subtracting ``first_node``. Walk and path lines of a haplotype follow each other
-    in file order; with ``orient`` a line whose first step is reversed is read backwards.
+    in file order; with ``orient`` a line whose first step is reversed is read backwards. Files are read line by line; a
+    line's place is its block's start and its number there. Files may also lie in folders ``species=<name>``.
     """
-    text = spark.read.text(path, wholetext=True).select(F.regexp_replace(F.element_at(F.split(F.input_file_name(), "/"), -1), r"\.gfa$", "").alias("species"), F.posexplode(F.split("value", "\n")).alias("line", "value"))
-    f = text.select("species", "line", F.split("value", "\t").alias("f"))
+    named = F.regexp_extract("_file", r"/species=([^/]+)/", 1)
+    species = F.when(named != "", named).otherwise(F.regexp_replace(F.element_at(F.split("_file", "/"), -1), r"\.gfa$", ""))
+    line = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("n"))
+    text = spark.read.schema("value string").text(path).select(F.col("_metadata.file_path").alias("_file"), line.alias("line"), "value")
+    f = text.select(species.alias("species"), "line", F.split("value", "\t").alias("f"))
     nodes = f.filter((F.element_at("f", 1) == "S") & (F.length(F.get("f", F.lit(2))) > 0))
     nodes = nodes.select("species", (F.element_at("f", 2).cast("bigint") - first_node).alias("node_id"), F.length(F.get("f", F.lit(2))).cast("bigint").alias("node_len"))
     is_walk, is_path = F.element_at("f", 1) == "W", F.element_at("f", 1) == "P"
@@ -26,6 +32,23 @@ def read_gfa(spark: SparkSession, path: str, first_node: int = 0, orient: bool =
     return nodes, whole.select("species", "hap_id", F.posexplode("ids").alias("pos", "node_id"))
 
 
+def check_consecutive(nodes: DataFrame) -> DataFrame:
+    """The nodes (species, node_id, node_len), once it is sure that each species' ids run from 1 without gap or repeat."""
+    per = nodes.groupBy("species").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("node_id").alias("ids"), F.min("node_id").alias("low"), F.max("node_id").alias("high"))
+    bad = per.filter("low <> 1 or high <> n or ids <> n").orderBy("species").limit(5).collect()
+    if bad:
+        raise ValueError(f"node ids don't run from 1 without gap or repeat: {', '.join(r.species for r in bad)}")
+    return nodes
+
+
+def merge_graphs(frames: list[DataFrame]) -> DataFrame:
+    """Node or walk tables of several databases; of a species that several hold the last one's."""
+    tagged = [f.withColumn("_at", F.lit(i)) for i, f in enumerate(frames)]
+    every = reduce(DataFrame.unionByName, tagged)
+    last = every.groupBy("species").agg(F.max("_at").alias("_at"))
+    return every.join(last, ["species", "_at"], "left_semi").drop("_at")
+
+
 def graph_ranges(nodes: DataFrame, walks: DataFrame) -> DataFrame:
     """(species, start, end, is_pan): local node range of a species, and whether it has several haplotypes."""
     haps = walks.groupBy("species").agg(F.count_distinct("hap_id").alias("_h"))

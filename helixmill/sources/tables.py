@@ -55,8 +55,11 @@ def ani_matrix(spark: SparkSession, path: str) -> DataFrame:
 
     The first line holds the number of rows; a row holds a name and its similarities to all rows before it.
     """
-    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\r?\n")).alias("line", "value")).filter("line > 0 and value <> ''")
-    rows = lines.select((F.col("line") - 1).alias("at"), F.split("value", r"[\t ]+").alias("f"))
+    place = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("n"))
+    lines = spark.read.text(path).select(place.alias("line"), F.split(F.trim("value"), r"[\t ]+").alias("f")).filter("f[0] <> ''")
+    rows = lines.select("line", "f", (F.size("f") - 1).alias("at"))  # a row's number is how many values it holds
+    head = rows.filter("at = 0").agg(F.min("line").alias("line"))
+    rows = rows.join(F.broadcast(head), "line", "left_anti").select("at", "f")
     names = rows.select("at", F.element_at("f", 1).alias("name"))
     cells = rows.select(F.element_at("f", 1).alias("i"), F.posexplode(F.slice("f", 2, F.size("f"))).alias("at", "v")).filter("v <> ''")
     low = cells.join(names, "at").select("i", F.col("name").alias("j"), (100 - F.expr("try_cast(v as double)")).alias("dist"))
@@ -83,12 +86,30 @@ def gtdb_metadata(spark: SparkSession, path: str) -> DataFrame:
     return raw.select(accession.alias("accession"), F.replace(species, F.lit(" "), F.lit("_")).alias("species"), F.col("_c48").alias("level"), F.col("_c49").alias("assembly"), F.col("_c65").alias("organism")).distinct()
 
 
+def with_info(genomes: DataFrame, info: DataFrame) -> DataFrame:
+    """Genomes (genome_ID, ...) beside their line of a genome list, whether there is one or not."""
+    return genomes.join(info, "genome_ID", "left")
+
+
+def in_set(info: DataFrame, genomes: DataFrame) -> DataFrame:
+    """Lines of a genome list whose genome is in a set (genome_ID)."""
+    return info.join(genomes.select("genome_ID"), "genome_ID", "left_semi")
+
+
 def existing_files(rows: DataFrame, listing: DataFrame) -> DataFrame:
     """Rows whose ``file``, plain or compressed, is in a listing (path)."""
     names = listing.select(F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.gz$", "").alias("file")).distinct()
     return rows.join(names, "file", "left_semi")
 
 
+def only_file(spark: SparkSession, path: str, pattern: str) -> str:
+    """The one file of a folder that matches; none or several are an error."""
+    found = [r.path for r in list_files(spark, path, pattern).select("path").limit(2).collect()]
+    if len(found) != 1:
+        raise ValueError(f"{'no file' if not found else 'more than one file'} matches {pattern} in {path}")
+    return found[0]
+
+
 def list_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     """(path, length) of the files of a folder."""
     return spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path).select("path", "length")

@@ -80,3 +80,44 @@ def test_components_of_a_chain(spark):
     edges = spark.createDataFrame([(0, i, i + 1, 99.95) for i in range(n - 1)], "label int, query bigint, refer bigint, ani double")
     got = {r.genome: r.component for r in cluster.components(genomes, edges, 99.9).collect()}
     assert got == {i: (0 if i < n else n) for i in range(n + 1)}
+
+
+@pytest.mark.parametrize("seed", range(30))
+def test_a_dual_solution_proves_each_fit(seed):
+    rng = np.random.default_rng(100 + seed)
+    n, p = int(rng.integers(2, 40)), int(rng.integers(1, 7))
+    a = (rng.random((n, p)) < 0.5).astype(float)
+    d, w = rng.random(n) * 9, rng.integers(1, 4, n).astype(float)
+    x, gap = lad.fit_with_gap(a, d, w)
+    assert gap == pytest.approx(0, abs=1e-7)
+    worse = x + rng.random(p)
+    assert lad.objective(a, d, w, x) <= lad.objective(a, d, w, worse) + 1e-9
+
+
+def test_a_solver_without_an_end_says_so():
+    with pytest.raises(RuntimeError, match="no optimum within 1 steps"):
+        lad._simplex(np.array([[1.0, 1], [1, 0], [0, 1]]), np.array([3.0, 1, 5]), np.ones(3), steps=1)
+
+
+def test_linkage_inside_components_is_linkage_of_all(spark):
+    rng = np.random.default_rng(3)
+    points = rng.random((24, 2)) * 12
+    pairs = [(0, i, j, float(100 - np.linalg.norm(points[i] - points[j]))) for i, j in combinations(range(24), 2)]
+    genomes = spark.createDataFrame([(0, i) for i in range(24)], "label int, genome bigint")
+    edges = spark.createDataFrame(pairs, "label int, query bigint, refer bigint, ani double")
+    dist = np.linalg.norm(points[:, None] - points[None], axis=2)
+    for method in ("single", "complete", "average"):
+        want = cluster.linkage_clusters(dist, 3.0, method)
+        got = {r.genome: r.cluster for r in cluster.hierarchical(genomes, edges, 97.0, method).collect()}
+        assert [[i for i in range(24) if got[i] == c] for c in sorted(set(got.values()))] == [np.flatnonzero(want == k).tolist() for k in sorted(set(want), key=lambda k: np.flatnonzero(want == k)[0])]
+        assert all(c == min(i for i in got if got[i] == c) for c in got.values())
+
+
+def test_sample_is_per_species_and_only_above_the_limit(spark):
+    from helixmill.operators import strain
+
+    rows = [(s, n, float(n % 3)) for s, many in (("a", 3000), ("b", 30)) for n in range(many)]
+    got = strain.sample_nodes(spark.createDataFrame(rows, "species string, node_id bigint, depth double"), most=500).collect()
+    assert sum(r.species == "a" for r in got) == 500
+    assert sum(r.species == "b" for r in got) == 20
+    assert all(r.depth > 0 for r in got)

@@ -148,3 +148,40 @@ def test_grams_are_the_plain_ones(spark):
         words = r.text.split(" ")
         assert set(r.w) == {" ".join(words[k : k + 3]) for k in range(len(words) - 2)}
         assert len(r.g) == len(set(r.g))
+
+
+def test_headers_may_hold_the_sign_of_a_record(spark, tmp_path):
+    (tmp_path / "a.fna").write_text(">c1 a->b >c\nAC>GT\n>c2\n\nGG\r\nG\n\n>c3 empty\n")
+    assert sorted((r.seq_id, r.seq) for r in fasta.read_fasta(spark, str(tmp_path / "a.fna")).collect()) == [("c1", "AC>GT"), ("c2", "GGG"), ("c3", "")]
+
+
+def test_node_ids_must_be_consecutive(spark, tmp_path):
+    (tmp_path / "good.gfa").write_text("S\t1\tA\nS\t2\tC\n")
+    assert graphs.check_consecutive(graphs.read_gfa(spark, str(tmp_path / "good.gfa"))[0]).count() == 2
+    for lines in ("S\t1\tA\nS\t3\tC\n", "S\t2\tA\nS\t3\tC\n", "S\t1\tA\nS\t1\tC\n"):
+        (tmp_path / "bad.gfa").write_text(lines)
+        with pytest.raises(ValueError, match="bad"):
+            graphs.check_consecutive(graphs.read_gfa(spark, str(tmp_path / "*.gfa"))[0])
+
+
+def test_a_walk_of_a_large_file_follows_its_lines(spark, tmp_path):
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        lines = [f"S\t{i}\tA" for i in range(1, 1001)] + [f"W\th\t0\tc{i}\t0\t2\t>{i}>{i + 1}" for i in range(1, 1000, 2)]
+        (tmp_path / "sp.gfa").write_text("\n".join(lines))
+        nodes, walks = graphs.read_gfa(spark, str(tmp_path / "sp.gfa"))
+        assert nodes.rdd.getNumPartitions() > 3
+        assert [r.node_id for r in walks.orderBy("pos").collect()] == list(range(1, 1001))
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_exactly_one_file(spark, tmp_path):
+    for name in ("a.gfa", "b.gfa", "c.txt"):
+        (tmp_path / name).write_text("x")
+    assert tables.only_file(spark, str(tmp_path), "*.txt").endswith("c.txt")
+    for pattern in ("*.gfa", "*.bin"):
+        with pytest.raises(ValueError):
+            tables.only_file(spark, str(tmp_path), pattern)
