@@ -11,8 +11,14 @@ import zipfile
 from pyspark.sql import SparkSession
 
 
+#: Bytes of rows that a Python function gets at a time, unless the session says otherwise: rows may be long texts.
+BATCH = ("spark.sql.execution.arrow.maxBytesPerBatch", "4m")
+
+
 def ensure_shipped(spark: SparkSession) -> None:
-    """Send the package's source to the executors, once a session, unless PYTHONPATH already holds it."""
+    """Send the package's source to the executors, once a session, unless PYTHONPATH already holds it; bound their batches."""
+    if spark.conf.get(BATCH[0], None) is None:
+        spark.conf.set(*BATCH)
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     context = spark.sparkContext
     if root in os.environ.get("PYTHONPATH", "").split(os.pathsep) or getattr(context, "_helixmill_shipped", False):
