@@ -14,6 +14,9 @@ from __future__ import annotations
 
 import hashlib
 import re
+import sys
+from array import array
+from collections import Counter
 from functools import lru_cache
 
 import ahocorasick
@@ -25,24 +28,43 @@ from .common import map_arrow
 
 META = "▁"
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
+NEVER = float("-inf")
 
 
 class Remembered(dict):
-    """A dict that computes what it doesn't have."""
+    """A dict that computes what it doesn't have and forgets all when it holds ``most`` bytes; long keys it never keeps."""
 
-    def __init__(self, compute):
+    ENTRY, LONGEST = 200, 64
+
+    def __init__(self, compute, most: int):
         super().__init__()
-        self.compute = compute
+        self.compute, self.most, self.held = compute, most, 0
 
     def __missing__(self, key):
-        made = self[key] = self.compute(key)
+        made = self.compute(key)
+        if len(key) <= self.LONGEST:
+            if self.held >= self.most:
+                self.clear()
+                self.held = 0
+            self.held += self.ENTRY + 5 * len(key)
+            self[key] = made
         return made
 
 
+def apart(joined: set[str], pieces) -> tuple[set[str], set[str]]:
+    """The characters that pieces join, letters and all that some piece joins to these, and the rest."""
+    beside = {pair for piece in pieces for pair in zip(piece, piece[1:])}
+    word = {c for c in joined if c.isalpha()}
+    other = joined - word
+    while moved := {c for c in other if any((c, x) in beside or (x, c) in beside for x in word)}:
+        word, other = word | moved, other - moved
+    return word, other
+
+
 class PieceCodec:
-    """Encoder and decoder of one model. Caches hold at most ``cache_rows`` chunks and pairs each."""
+    """Encoder and decoder of one model. What it remembers takes at most some ``cache_bytes``, a third for pairs."""
 
-    def __init__(self, model: bytes, cache_rows: int = 200_000):
+    def __init__(self, model: bytes, cache_bytes: int = 48 << 20):
         from sentencepiece import sentencepiece_model_pb2
 
         proto = sentencepiece_model_pb2.ModelProto()
@@ -55,7 +77,6 @@ class PieceCodec:
             or kinds - {NORMAL, UNKNOWN, CONTROL, BYTE}
         ):
             raise ValueError("only BPE models with byte fallback, a dummy prefix and no other normalisation are supported")
-        self.cache_rows = cache_rows
         self.ids = {p.piece: i for i, p in enumerate(proto.pieces) if p.type == NORMAL}
         self.scores = {p.piece: p.score for p in proto.pieces if p.type == NORMAL}
         self.byte_ids = [0] * 256
@@ -73,47 +94,98 @@ class PieceCodec:
                 self.surface.append(p.piece.replace(META, " ").encode())
         named = {p.piece: i for i, p in enumerate(proto.pieces) if p.type == CONTROL}
         self.begin, self.end = named[train.bos_piece], named[train.eos_piece]
+        longer = sorted((p for p in self.ids if len(p) > 1), key=lambda p: -self.scores[p])
+        often = Counter(self.scores[p] for p in longer)
+        #: How pieces begin that share their score with others, so that places decide between them.
+        self.tied = {p[:2] for p in longer if often[self.scores[p]] > 1}
+        #: When a piece is merged: characters are there from the start, then the highest score first.
+        self.time = {p: i for i, p in enumerate([p for p in self.ids if len(p) == 1] + longer)}
+        #: What each piece is merged from last.
+        self.halves: dict[str, tuple[str, str]] = {}
         self.automaton = ahocorasick.Automaton()
         for piece in self.ids:
-            if self._merge(piece) == [piece]:  # else merges never produce it
+            made = self._merge(piece, stop=2)
+            if len(piece) == 1 or len(made) == 2 and made[0] + made[1] in self.scores:  # else merges never produce it
                 self.automaton.add_word(piece, piece)
+                if len(piece) > 1:
+                    self.halves[piece] = (made[0], made[1])
         self.automaton.make_automaton()
         joined = {c for piece in self.ids if len(piece) > 1 for c in piece} - {META}
         inside = any(META in piece.lstrip(META) for piece in self.ids)
-        letters = "".join(map(re.escape, sorted(joined)))
-        #: Chunks that no piece reaches across: white space leads a chunk, a character of no longer piece stands alone.
-        self.chunks = re.compile(f"(?s)[{META}{letters}]+|." if inside else f"(?s){META}+[{letters}]*|[{letters}]+|.").findall
-        self.compatible = Remembered(self._compatible)
-        self.encoded = Remembered(self._encode_chunk)
-
-    def _merge(self, text: str) -> list[str]:
-        """What merging the characters of a short text leaves."""
-        parts, scores = list(text), self.scores
-        while len(parts) > 1:
-            best, at = None, -1
-            for i in range(len(parts) - 1):
-                score = scores.get(parts[i] + parts[i + 1])
-                if score is not None and (best is None or score > best):
-                    best, at = score, i
-            if best is None:
+        word, other = ("".join(map(re.escape, sorted(x))) or META for x in apart(joined, self.ids))
+        #: Chunks that no piece reaches across: white space leads a chunk, words and punctuation are apart if no piece
+        #: joins them, and a character of no longer piece stands alone.
+        self.chunks = re.compile(f"(?s)[{META}{word}{other}]+|." if inside else f"(?s){META}+(?:[{word}]+|[{other}]+)?|[{word}]+|[{other}]+|.").findall
+        self.compatible = Remembered(self._compatible, cache_bytes // 3)
+        self.encoded = Remembered(self._encode_chunk, cache_bytes * 2 // 3)
+
+    def _merge(self, text: str, border: int = 0, stop: int = 1) -> list[str]:
+        """What merging the characters of a short text down to ``stop`` parts leaves; nothing if a merge reaches across the border."""
+        parts, find = list(text), self.scores.get
+        scores = [find(x + y, NEVER) for x, y in zip(parts, parts[1:])]
+        while len(parts) > stop:
+            best = max(scores)
+            if best == NEVER:
                 break
+            at = scores.index(best)  # of equals the leftmost
+            if at + 1 == border:
+                return []
+            if at + 1 < border:
+                border -= 1
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            del scores[at]
+            if at:
+                scores[at - 1] = find(parts[at - 1] + parts[at], NEVER)
+            if at < len(scores):
+                scores[at] = find(parts[at] + parts[at + 1], NEVER)
         return parts
 
     def _compatible(self, pair: tuple[str, str]) -> bool:
-        return self._merge(pair[0] + pair[1]) == [*pair]
+        """Whether two pieces side by side stay as they are.
+
+        Their last merges are undone one by one, the latest first; wherever the two pieces that then meet have a merge
+        of their own that comes before what was undone, it would have been made instead.
+        """
+        a, b = pair
+        time, halves = self.time, self.halves
+        both = a + b
+        if a not in time or b not in time or any(x in both for x in self.tied):  # a character that is no piece, or ties
+            return len(self._merge(both, len(a))) == 2
+        limit = len(time) + 1
+        while True:
+            if time.get(a + b, limit) < limit:
+                return False
+            if time[a] > time[b]:
+                limit = time[a]
+                if a in halves:
+                    a = halves[a][1]
+                    continue
+                limit, whole = time[b] + 1, b
+                b = halves[b][0] if b in halves else b
+                if b == whole:
+                    return True
+            else:
+                limit = time[b] + 1
+                if b in halves:
+                    b = halves[b][0]
+                    continue
+                limit, whole = time[a], a
+                a = halves[a][1] if a in halves else a
+                if a == whole:
+                    return True
 
     def _encode_chunk(self, chunk: str) -> bytes:
         """Ids of a chunk as little-endian uint32."""
         last: list[str | None] = [None] * (len(chunk) + 1)  # by length of the prefix
-        compatible = self.compatible
+        compatible, found = self.compatible, -1
         for end, piece in self.automaton.iter(chunk):
-            end += 1
-            if last[end] is None:
-                start = end - len(piece)
-                before = last[start] or (chunk[start - 1] if start else None)
-                if before is None or compatible[before, piece]:
-                    last[end] = piece
+            if end == found:
+                continue
+            start = end + 1 - len(piece)
+            if start and not compatible[last[start] or chunk[start - 1], piece]:
+                continue
+            last[end + 1] = piece
+            found = end
         ids: list[int] = []
         at = len(chunk)
         while at:
@@ -124,17 +196,16 @@ class PieceCodec:
             else:
                 ids.append(self.ids[piece])
                 at -= len(piece)
-        ids.reverse()
-        return np.array(ids, "<u4").tobytes()
+        packed = array("I", reversed(ids))
+        if sys.byteorder == "big":
+            packed.byteswap()
+        return packed.tobytes()
 
     def encode(self, text: str | None) -> bytes:
         """Ids of a text with begin and end, as little-endian uint32."""
         body = b""
         if text:
             body = b"".join(map(self.encoded.__getitem__, self.chunks(META + text.replace(" ", META))))
-            for cache in (self.encoded, self.compatible):
-                if len(cache) > self.cache_rows:
-                    cache.clear()
         return self.begin.to_bytes(4, "little") + body + self.end.to_bytes(4, "little")
 
     def decode(self, ids: bytes) -> bytes:
@@ -166,7 +237,11 @@ def read_model(path: str | None = None) -> bytes:
 
 
 def encode_digests(docs: DataFrame, model_path: str | None = None) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256) per document; null texts count as empty."""
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) per document.
+
+    Defined cases: a null text is empty and has the begin and end ids only; repeated rows have equal digests; very long
+    texts and words are encoded whole; an empty input gives an empty result; other columns are ignored.
+    """
     model = read_model(model_path)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -184,7 +259,10 @@ def encode_digests(docs: DataFrame, model_path: str | None = None) -> DataFrame:
 
 
 def encode_texts(docs: DataFrame, model_path: str | None = None) -> DataFrame:
-    """(doc_id, token_ids, decoded): the ids themselves and the text they decode to."""
+    """(doc_id, token_ids, decoded): the ids themselves and the text they decode to.
+
+    Defined cases: those of ``encode_digests``; bytes that decode to no UTF-8 become U+FFFD one by one, as in the library.
+    """
     model = read_model(model_path)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:

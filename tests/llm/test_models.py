@@ -293,9 +293,25 @@ def test_hard_texts(library):
 
 
 def test_small_caches_change_nothing(library):
-    own = pieces.PieceCodec(pieces.read_model(), cache_rows=3)
-    for text in ["some words and some more words", "other words", "some words"]:
+    own = pieces.PieceCodec(pieces.read_model(), cache_bytes=2000)
+    for text in ["some words and some more words", "other words", "some words", "x" * 5000 + " (a.b) -> c?!" * 50]:
         assert own.encode(text) == library[1].encode(text)
+        assert max(own.encoded.held, own.compatible.held) <= 2000
+        assert max(map(len, own.encoded)) <= 64
+
+
+def test_pairs_are_compatible_if_they_merge_to_themselves(library):
+    own = library[1]
+    rng = random.Random(9)
+    names = sorted(own.halves, key=len)
+    some = [rng.choice(names) for _ in range(4000)] + [rng.choice(names[:3000]) for _ in range(4000)] + rng.choices("aeinst▁.,", k=2000)
+    for a, b in zip(some, rng.sample(some, len(some))):
+        assert own._compatible((a, b)) == (own._merge(a + b) == [a, b]), (a, b)
+
+
+def test_words_and_punctuation_are_apart_only_if_no_piece_joins_them():
+    assert pieces.apart(set("ab.,!"), ["ab", "..", ",!"]) == ({"a", "b"}, {".", ",", "!"})
+    assert pieces.apart(set("ab.,!"), ["a.", "..", ".,"]) == ({"a", "b", ".", ","}, {"!"})
 
 
 def test_bytes_that_are_no_text(library):
