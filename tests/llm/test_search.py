@@ -279,6 +279,23 @@ def test_links_and_repeats_against_all_offsets(spark):
     assert len(got[len(texts) - 3].spans.split(",")) in (2, 3)
 
 
+def test_runs_of_a_key_are_thinned_and_nothing_else():
+    rng = np.random.default_rng(13)
+    for _ in range(100):
+        n = int(rng.integers(0, 60))
+        owner, key = np.sort(rng.integers(0, 3, n)), rng.integers(0, 3, n).astype(np.uint64)
+        at = np.sort(rng.choice(900, n, replace=False))
+        kept = set(passages.spaced(owner, key, at).tolist())
+        for i in range(n):
+            own = [j for j in range(n) if (owner[j], key[j]) == (owner[i], key[i])]
+            near = [j for j in own if j in kept and abs(at[j] - at[i]) < passages.SHORTEST]
+            assert near
+            place = own.index(i)
+            lone = all(abs(at[own[j]] - at[i]) >= passages.SHORTEST for j in (place - 1, place + 1) if 0 <= j < len(own))
+            edge = any(not 0 <= j < len(own) or abs(at[own[j]] - at[i]) >= passages.SHORTEST for j in (place - 1, place + 1))
+            assert i in kept or not (lone or edge)
+
+
 def test_finer_keys_meet_in_like_surroundings():
     rng = np.random.default_rng(12)
     met = 0
