@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import shutil
 import tempfile
 import uuid
@@ -22,6 +23,7 @@ SPACE = r"[\x20\x09-\x0D]+"
 
 _own_dir: list[str] = []
 _written: list[str] = []
+_scopes: list[list[str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -43,17 +45,47 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     """Cut the lineage: write ``df`` as Parquet to the shared folder and read it back."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    if not _written:
+        atexit.register(_remove_at_exit, spark)
     _written.append(path)
+    if _scopes:
+        _scopes[-1].append(path)
+    df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def remove_materialized(spark: SparkSession) -> None:
-    """Delete what ``materialize`` wrote in this process; frames built on it can't be read afterwards."""
+def settled(spark: SparkSession, label: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """What ``build`` returns, materialised, without the tables that it materialised on the way: these are deleted."""
+    _scopes.append([])
+    try:
+        frame = build()
+    except BaseException:
+        _delete(spark, _scopes.pop())
+        raise
+    inner = _scopes.pop()
+    try:
+        return materialize(frame, label)
+    finally:
+        _delete(spark, inner)
+
+
+def _delete(spark: SparkSession, paths: list[str]) -> None:
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    while _written:
-        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
+    for name in paths:
+        path = jvm.org.apache.hadoop.fs.Path(name)
         path.getFileSystem(conf).delete(path, True)
+        if name in _written:
+            _written.remove(name)
+
+
+def remove_materialized(spark: SparkSession) -> None:
+    """Delete what ``materialize`` wrote in this process; frames built on it can't be read afterwards."""
+    _delete(spark, list(_written))
+
+
+def _remove_at_exit(spark: SparkSession) -> None:
+    with contextlib.suppress(Exception):  # the session may have been stopped
+        remove_materialized(spark)
 
 
 def word_count(text: Column) -> Column:

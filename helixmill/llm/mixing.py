@@ -19,7 +19,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import global_rank, join_checked, materialize, union_all, word_count
+from .common import global_rank, join_checked, materialize, settled, union_all, word_count
 
 #: Rates are held as multiples of 2**-30.
 UNIT_BITS = 30
@@ -121,6 +121,10 @@ def mix_sources(
     a null source is a source of its own; ties and repeated rows are rounded one after the other; an empty input gives
     an empty result. Other columns are ignored, so that their names can't clash.
     """
+    return settled(docs.sparkSession, "mixed", lambda: _mixed(docs, weights, cap, block, tolerance, max_steps, repairs, near))
+
+
+def _mixed(docs: DataFrame, weights: tuple[int, ...], cap: int, block: int, tolerance: float, max_steps: int, repairs: int, near: float) -> DataFrame:
     size_class = F.when(F.col("size") > 0, F.floor(F.log2(F.col("size").cast("double")) * 8)).otherwise(-1).cast("int")
     key = ["row"] if "row" in docs.columns else []
     docs = docs.select(*key, "doc_id", "source", F.coalesce(F.col("size"), F.lit(0)).cast("long").alias("size"))
@@ -195,4 +199,4 @@ def _repaired(rounded: DataFrame, cap: int, repairs: int, near: float) -> DataFr
 def mix_documents(docs: DataFrame, **options) -> DataFrame:
     """``mix_sources`` over documents (doc_id, text, source, ...); sizes are words of the whole text."""
     sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"))
-    return mix_sources(materialize(sized, "sized"), **options)
+    return settled(docs.sparkSession, "mixed", lambda: mix_sources(materialize(sized, "sized"), **options))

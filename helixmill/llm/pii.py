@@ -17,7 +17,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_checked, materialize, numbered
+from .common import join_checked, materialize, numbered, settled
 
 KINDS = ("email", "ip", "card", "phone", "term")
 #: A match may start where no run of its first class is under way, or where the match before ended. Possessive
@@ -156,9 +156,12 @@ def term_spans(holders: DataFrame, flagged: DataFrame) -> DataFrame:
 def _all_spans(found: DataFrame, docs: DataFrame, threshold: float, least_contexts: int) -> DataFrame:
     """(_row, _all): of the rows of ``found`` (_row, _text, _spans) with term spans, these and the spans in order."""
     holders = found.filter(F.size("_spans") > 0).select("_row", "_text", "_spans")
-    flagged = materialize(disclosing_terms(holders, docs, threshold, least_contexts), "flagged")
-    terms = term_spans(holders, flagged)
-    return terms.select("_row", F.sort_array(F.concat("_spans", "_terms")).alias("_all"))
+
+    def spans() -> DataFrame:
+        flagged = materialize(disclosing_terms(holders, docs, threshold, least_contexts), "flagged")
+        return term_spans(holders, flagged).select("_row", F.sort_array(F.concat("_spans", "_terms")).alias("_all"))
+
+    return settled(docs.sparkSession, "all_spans", spans)
 
 
 def find_personal_data(docs: DataFrame, threshold: float = 0.8, least_contexts: int = 3) -> DataFrame:

@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 import corpus_pipeline
@@ -67,6 +68,7 @@ def test_stages(spark, folder, tmp_path):
         if name != "tokens":
             assert docs.columns == COLUMNS
     start = [tuple(r) for r in spark.read.parquet(f"{folder}/documents.parquet").collect()]
+    from tests.llm.test_nearcopies import grams
 
     model = toxicity.train_from_labels(spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet"))
     want = [r for r in start if toxicity.score_text(model, r[1]) < corpus_pipeline.TOXIC_FROM]
@@ -77,8 +79,8 @@ def test_stages(spark, folder, tmp_path):
     assert sum(r in want for r in toxic) <= 0.1 * len(toxic)
     assert sum(r in want for r in clean) >= 0.95 * len(clean)
 
-    fp = [simhash.fingerprint(r[1]) for r in want]
-    groups = classes(len(want), [(i, j) for i in range(len(want)) for j in range(i) if (fp[i] ^ fp[j]).bit_count() <= 2])
+    sets = [grams(r[1]) for r in want]
+    groups = classes(len(want), [(i, j) for i in range(len(want)) for j in range(i) if 9 * len(sets[i] & sets[j]) >= 4 * (len(sets[i]) + len(sets[j]))])
     group_of = {str(r): g for r, g in zip(want, groups)}
     left = [tuple(r) for r in seen["simhash"].collect()]
     assert sorted(group_of[str(r)] for r in left) == sorted(set(groups))
@@ -111,6 +113,26 @@ def test_stages(spark, folder, tmp_path):
     assert all(r.decoded == library.decode(list(r.token_ids)) for r in coded)
 
 
+@pytest.mark.parametrize("rows", [0, 320])
+def test_stages_carry_columns_of_any_name(spark, folder, rows, tmp_path):
+    clash = ("row", "own", "_row", "_text", "_keys", "size", "copies", "same", "first", "key", "hub", "score", "label", "toxic", "a.b")
+    docs = spark.read.parquet(f"{folder}/documents.parquet").orderBy("doc_id", "text").limit(rows)
+    for n in clash:
+        docs = docs.withColumn(n, F.concat(F.lit(f"{n} "), F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))))
+    columns = docs.columns
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, folder)
+        docs.write.parquet(f"{tmp_path}/{name}")
+        docs = spark.read.parquet(f"{tmp_path}/{name}")
+        assert docs.columns == columns
+        for r in docs.collect():
+            assert all(r[n] == f"{n} {'-' if r.doc_id is None else r.doc_id}" for n in clash)
+    assert (docs.count() > 0) == (rows > 0)
+    coded = corpus_pipeline.STAGES[-1][1](spark, docs, folder)
+    assert coded.columns == ["doc_id", "token_ids", "decoded"]
+    assert coded.count() == docs.count()
+
+
 def test_run_agrees_with_stages(spark, folder):
     first = corpus_pipeline.run(spark, folder).select("doc_id", "token_ids").collect()
     again = corpus_pipeline.run(spark, folder).select("doc_id", "token_ids").collect()
