@@ -1,13 +1,17 @@
 """Embedding near-duplicates through a pivot-permutation index.
 
-Each vector is described by its nearest reference points. Vectors of a label that share at least three of their six
-nearest pivots are candidates: the inverted lists are kept per three pivots, so a list is short however long the lists
-of single pivots get, and the number of lists two vectors share tells their shared-pivot count. Candidates are verified
-by cosine in double precision, block by block, and only per-vector link counts and spanning links leave a task. A pair
-is counted in the list of its three smallest shared pivots only.
+Each vector is described by the order of its nearest reference points. Inverted lists are kept per three pivots, so that
+a list is short however long the lists of single pivots get; two vectors of a label are candidates if they share three
+pivots that rank high for both (the ranks of the three add up to RANKS at most), and are verified by cosine in double
+precision, block by block. Only link counts and spanning links leave a task. A pair is counted in one of its lists.
+
+Vectors of one description that lie within half the threshold's angle of a common one, the leader, are a cell: all of
+them link with each other, whatever their number. Lists hold cells. Two cells whose leaders' angle and radii decide it
+link as a whole or not at all; else the members of one are put to the leader and radius of the other, and only those
+that this leaves open meet its members. So a dense group costs its size and not its square.
 
 Pivots come from a documented sample: of the 1,024 distinct vectors with the smallest hashes, 128 that lie far apart, so
-that a dense cluster doesn't supply many pivots whose order is noise. Every vector is indexed.
+that a dense group supplies one pivot and not many whose order is noise. Every vector is indexed.
 """
 
 from __future__ import annotations
@@ -22,12 +26,18 @@ from pyspark.sql import functions as F
 
 from helixmill.shipping import ensure_shipped
 
-from .common import join_checked, materialize
+from .common import join_checked, materialize, union_all
 from .components import connected_components
 from .simhash import local_roots
 
 SAMPLE, PIVOTS, NEAREST, SHARED = 1024, 128, 6, 3
+#: Ranks count from 0; of the 20 threes of six pivots those up to this sum are listed.
+RANKS = 9
 BLOCK = 512
+#: Rounds in which the vectors of a description that are in no cell yet get another leader.
+LEADERS = 3
+#: Angles this near to a bound are decided by the vectors themselves.
+CLOSE = 1e-7
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
 
 
@@ -40,81 +50,113 @@ def _vectors(column: pa.Array) -> list[np.ndarray]:
     return [np.asarray(x, np.float64) for x in column.to_numpy(zero_copy_only=False)]
 
 
-def far_apart(rows: list[np.ndarray], n: int) -> np.ndarray:
-    """Up to n of the vectors, each the one least similar to those before; zero-padded to one length."""
+def far_apart(rows: list[np.ndarray], n: int, alike: float = 0.8) -> np.ndarray:
+    """Up to n of the vectors, each the one least similar to those before, none ``alike``; zero-padded to one length.
+
+    Two pivots inside one dense group would put the group's vectors in an order that is noise.
+    """
     width = max(map(len, rows), default=0)
     if not rows:
         return np.zeros((0, 0))
     x = np.stack([np.pad(r, (0, width - len(r))) for r in rows])
     x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
     chosen, nearest = [0], x @ x[0]
-    while len(chosen) < min(n, len(x)):
+    while len(chosen) < min(n, len(x)) and nearest.min() < alike:
         chosen.append(int(np.argmin(nearest)))
         nearest = np.maximum(nearest, x @ x[chosen[-1]])
     return x[chosen]
 
 
-def _index(pivots: np.ndarray):
-    """Rows (cid, key, high, low): one for each three of a vector's nearest pivots, with the bits of all of them."""
+def threes(near: int) -> np.ndarray:
+    """The places of the pivots that lists are kept for, three each, in a description of ``near`` pivots."""
+    chosen = [c for c in combinations(range(near), min(SHARED, near)) if sum(c) <= RANKS]
+    return np.array(chosen, np.int64).reshape(-1, min(SHARED, near))
+
+
+def list_keys(group: np.ndarray, order: np.ndarray, near: int) -> np.ndarray:
+    """The keys of each description's lists; ``order`` holds a pivot per byte, the nearest in the lowest."""
+    pivots = (order[:, None] >> np.uint64(8) * np.arange(near, dtype=np.uint64)) & np.uint64(255)
+    out = []
+    for places in threes(near):
+        key = group
+        for pivot in np.sort(pivots[:, places], axis=1).T:
+            key = _mixed(key * np.uint64(257) + pivot + np.uint64(1))
+        out.append(key)
+    return np.stack(out, axis=1) if out else np.zeros((len(order), 0), np.uint64)
+
+
+def _describe(pivots: np.ndarray):
+    """(cid, group, embedding) -> (cid, group, order): the nearest pivots in order, one per byte."""
     width = pivots.shape[1] if len(pivots) else 0
     unit = pivots / np.maximum(np.linalg.norm(pivots, axis=1, keepdims=True), 1e-300)
     near = min(NEAREST, len(pivots))
-    triples = list(combinations(range(near), min(SHARED, near)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cid, group, rows = np.asarray(batch.column(0)), np.asarray(batch.column(1)).view(np.uint64), _vectors(batch.column(2))
-            if not len(rows):
-                continue
+            rows = _vectors(batch.column(2))
             x = np.zeros((len(rows), width))
             for i, row in enumerate(rows):  # vectors of another length are compared with pivots as far as both go
-                x[i, : len(row)] = row[:width]
-            top = np.sort(np.argsort(-(x @ unit.T), axis=1, kind="stable")[:, :near], axis=1).astype(np.uint64)
-            bits = np.uint64(1) << (top % np.uint64(64))
-            low, high = ((bits * (top // np.uint64(64) == np.uint64(k))).sum(axis=1, dtype=np.uint64) for k in (0, 1))
-            for triple in triples:
-                key = group
-                for place in triple:
-                    key = _mixed(key + top[:, place] + np.uint64(1))
-                chosen = [(bits[:, list(triple)] * (top[:, list(triple)] // np.uint64(64) == np.uint64(k))).sum(axis=1, dtype=np.uint64) for k in (0, 1)]
-                yield pa.record_batch({n: pa.array(v.view(np.int64)) for n, v in (("cid", cid), ("key", key), ("low", low), ("high", high), ("own_low", chosen[0]), ("own_high", chosen[1]))})
+                x[i, : min(len(row), width)] = row[:width]
+            top = np.argsort(-(x @ unit.T), axis=1, kind="stable")[:, :near].astype(np.uint64)
+            order = (top << np.uint64(8) * np.arange(near, dtype=np.uint64)).sum(axis=1, dtype=np.uint64) if near else np.zeros(len(rows), np.uint64)
+            yield pa.record_batch({"cid": batch.column(0), "group": batch.column(1), "order": pa.array(order.view(np.int64))})
+
+    return run, near
 
-    return run
 
+def _units(column: pa.Array) -> np.ndarray:
+    """Unit vectors as rows, shorter ones padded."""
+    rows = _vectors(column)
+    wide = max(map(len, rows), default=0)
+    x = np.stack([np.pad(v, (0, wide - len(v))) for v in rows]) if rows else np.zeros((0, wide))
+    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
 
-def _lowest(low: np.ndarray, high: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The n lowest set bits of 128-bit values."""
-    out_low, out_high = np.zeros_like(low), np.zeros_like(high)
-    for _ in range(n):
-        bit_low = low & (~low + np.uint64(1))
-        bit_high = np.where(low == 0, high & (~high + np.uint64(1)), np.uint64(0))
-        out_low |= bit_low
-        out_high |= bit_high
-        low, high = low & ~bit_low, high & ~bit_high
-    return out_low, out_high
 
+def _cosines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (..., embedding, other) of vectors of one length -> the rows without these and with their cosine."""
+    for batch in batches:
+        a, b = (_vectors(batch.column(n)) for n in ("embedding", "other"))
+        cosine = np.array([x @ y / np.sqrt((x @ x) * (y @ y)) for x, y in zip(a, b)], float)
+        rest = [n for n in batch.schema.names if n not in ("embedding", "other")]
+        yield pa.record_batch({**{n: batch.column(n) for n in rest}, "cosine": pa.array(cosine)})
 
-def _verify(threshold: float):
-    """Groups of rows (key, first, second, block, cid, group, copies, bits, vector): links between and within two blocks."""
+
+def _verify(threshold: float, near: int):
+    """Rows by list and pair of blocks (key, first, second, block, cell, group, order, weight, radius, embedding) ->
+    (cell, peer, links) of links as a whole, and (cell, peer, null) of pairs of cells that their members must decide."""
+    angle = float(np.arccos(threshold))
 
     def linked(t: dict[str, np.ndarray], x: np.ndarray) -> pa.RecordBatch | None:
-        similar = x @ x.T >= threshold
-        np.fill_diagonal(similar, False)
-        similar &= t["group"][:, None] == t["group"][None, :]
+        similar = x @ x.T
+        near_by = similar >= np.cos(min(angle + 2 * t["radius"].max() + CLOSE, np.pi))
+        np.fill_diagonal(near_by, False)
+        near_by &= t["group"][:, None] == t["group"][None, :]
         if t["first"][0] != t["second"][0]:
-            similar &= t["block"][:, None] != t["block"][None, :]
-        a, b = np.nonzero(similar)
+            near_by &= t["block"][:, None] != t["block"][None, :]
+        a, b = np.nonzero(near_by)
         if not len(a):
             return None
-        low, high = (t[k].view(np.uint64) for k in ("low", "high"))
-        own = _lowest(low[a] & low[b], high[a] & high[b], SHARED)
-        first = (own[0] == t["own_low"].view(np.uint64)[a]) & (own[1] == t["own_high"].view(np.uint64)[a])
-        weight = np.bincount(a[first], weights=t["copies"][b[first]], minlength=len(x)).astype(np.int64)
-        root = local_roots(len(x), a, b)
-        at = np.unique(a)
-        return pa.record_batch({"cid": pa.array(t["cid"][at]), "peer": pa.array(t["cid"][root[at]]), "links": pa.array(weight[at])})
-
-    names = ("key", "first", "second", "block", "cid", "group", "copies", "low", "high", "own_low", "own_high")
+        keys = list_keys(t["group"].view(np.uint64), t["order"].view(np.uint64), near)
+        mine = np.zeros(len(a), bool)
+        for start in range(0, len(a), 1 << 14):
+            ka, kb = keys[a[start : start + (1 << 14)]], keys[b[start : start + (1 << 14)]]
+            both = np.where((ka[:, :, None] == kb[:, None, :]).any(axis=2), ka, np.uint64(2**64 - 1))
+            mine[start : start + (1 << 14)] = both.min(axis=1) == t["key"][:1].view(np.uint64)
+        a, b = a[mine], b[mine]  # each pair in one list only
+        reach = t["radius"][a] + t["radius"][b]
+        cosine = similar[a, b]
+        apart = np.arccos(np.clip(cosine, -1, 1))
+        whole = np.where(reach == 0, cosine >= threshold, apart + reach <= angle - CLOSE)
+        open_ = ~whole & (reach > 0) & (apart - reach <= angle + CLOSE) & (t["cell"][a] < t["cell"][b])
+        wa, wb = a[whole], b[whole]
+        links = np.bincount(wa, weights=t["weight"][wb], minlength=len(x)).astype(np.int64)
+        root, at = local_roots(len(x), wa, wb), np.unique(wa)
+        cell = np.concatenate([t["cell"][at], t["cell"][a[open_]]])
+        peer = np.concatenate([t["cell"][root[at]], t["cell"][b[open_]]])
+        told = pa.array(np.concatenate([links[at], np.zeros(open_.sum(), np.int64)]), mask=np.r_[np.zeros(len(at), bool), np.ones(open_.sum(), bool)])
+        return pa.record_batch({"cell": pa.array(cell), "peer": pa.array(peer), "links": told})
+
+    names = ("key", "first", "second", "block", "cell", "group", "order", "weight", "radius")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
@@ -126,19 +168,16 @@ def _verify(threshold: float):
             last = len(new) if final else len(new) - 1
             vectors = table.column("embedding").combine_chunks()
             for s, e in zip(new[:last], ends[:last]):
-                if e - s < 2:
-                    continue
-                x = _vectors(vectors[int(s) : int(e)])
-                wide = max(map(len, x))
-                x = np.stack([np.pad(v, (0, wide - len(v))) for v in x])
-                x /= np.linalg.norm(x, axis=1, keepdims=True)
-                made = linked({k: v[s:e] for k, v in t.items()}, x)
-                if made is not None:
-                    yield made
+                if e - s > 1:
+                    made = linked({k: v[s:e] for k, v in t.items()}, _units(vectors[int(s) : int(e)]))
+                    if made is not None:
+                        yield made
             rest.append(None if final or not len(new) else table.slice(int(new[-1])))
 
         rest: list = []
         for batch in batches:
+            if not batch.num_rows:
+                continue
             table = pa.Table.from_batches([batch])
             held = table if held is None else pa.concat_tables([held, table])
             yield from groups(held, False)
@@ -149,22 +188,80 @@ def _verify(threshold: float):
     return run
 
 
-def link_vectors(classes: DataFrame, threshold: float) -> DataFrame:
-    """(cid, peer, links): classes (cid, group, embedding, copies) that have links, a spanning peer and counted links."""
+def _cells(described: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
+    """(cid, cell, cosine): each class's cell, named by its leader, and its cosine with the leader."""
+    half = float(np.cos(np.arccos(threshold) / 2 - CLOSE))
+    left, found = described, []
+    for _ in range(LEADERS):
+        leaders = left.groupBy("group", "order").agg(F.min("cid").alias("cell"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("group", "order", "cell")
+        leaders = materialize(leaders, "leaders")
+        if not leaders.limit(1).count():
+            break
+        named = join_checked(left, leaders, ["group", "order"]).select("cid", "cell")
+        of = classes.select("cid", "embedding")
+        both = named.join(of, "cid").join(of.select(F.col("cid").alias("cell"), F.col("embedding").alias("other")), "cell")
+        told = materialize(both.select("cid", "cell", "embedding", "other").mapInArrow(_cosines, "cid long, cell long, cosine double"), "cosines")
+        inside = told.filter((F.col("cosine") >= half) | (F.col("cid") == F.col("cell")))
+        found.append(inside)
+        left = materialize(left.join(inside.select("cid"), "cid", "left_anti"), "left")
+    return union_all([left.select("cid", F.col("cid").alias("cell"), F.lit(1.0).alias("cosine")), *found])
+
+
+def link_vectors(classes: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """Links of the classes (cid, group, embedding, copies): (cid, links) counted, and (a, b) that connect the same classes."""
     spark = classes.sparkSession
     ensure_shipped(spark)
     sample = classes.orderBy(F.xxhash64("embedding"), "cid").limit(SAMPLE).select("embedding").collect()
-    pivots = far_apart([np.asarray(r[0], np.float64) for r in sample], PIVOTS)
-    fields = "cid long, key long, low long, high long, own_low long, own_high long"
-    keyed = materialize(classes.select("cid", "group", "embedding").mapInArrow(_index(pivots), fields), "pivot_lists")
+    run, near = _describe(far_apart([np.asarray(r[0], np.float64) for r in sample], PIVOTS))
+    described = materialize(classes.select("cid", "group", "embedding").mapInArrow(run, "cid long, group long, order long"), "described")
+    member = materialize(_cells(described, classes, threshold), "cells")
+    angle = F.acos(F.least(F.greatest("cosine", F.lit(-1.0)), F.lit(1.0)))
+    weighed = member.join(classes.select("cid", "copies"), "cid")
+    own = weighed.groupBy("cell").agg(F.sum("copies").alias("weight"), F.max(F.when(F.col("cid") == F.col("cell"), 0.0).otherwise(angle)).alias("radius"))
+    cells = materialize(own.join(described.withColumnRenamed("cid", "cell"), "cell").join(classes.select(F.col("cid").alias("cell"), "embedding"), "cell"), "weighed")
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cell, group, order = (np.asarray(batch.column(i)) for i in range(3))
+            for key in list_keys(group.view(np.uint64), order.view(np.uint64), near).T:
+                yield pa.record_batch({"cell": pa.array(cell), "key": pa.array(np.ascontiguousarray(key).view(np.int64))})
+
+    keyed = materialize(cells.select("cell", "group", "order").mapInArrow(listed, "cell long, key long"), "pivot_lists")
     lists = materialize(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "lists")
     rows = join_checked(keyed, lists, "key").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("cell"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    cells = rows.select("cid", "key", F.least("block", "other").alias("first"), F.greatest("block", "other").alias("second"), "block", "low", "high", "own_low", "own_high")
+    pairs = rows.select("cell", "key", F.least("block", "other").alias("first"), F.greatest("block", "other").alias("second"), "block")
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    full = cells.join(classes, "cid").repartition(tasks, "key", "first", "second").sortWithinPartitions("key", "first", "second")
-    return full.mapInArrow(_verify(threshold), "cid long, peer long, links long")
+    full = pairs.join(cells, "cell").repartition(tasks, "key", "first", "second").sortWithinPartitions("key", "first", "second")
+    found = materialize(full.mapInArrow(_verify(threshold, near), "cell long, peer long, links long"), "vector_links")
+    whole = found.filter("links is not null")
+    inside = weighed.join(own.select("cell", "weight"), "cell").join(whole.groupBy("cell").agg(F.sum("links").alias("links")), "cell", "left")
+    counts = inside.select("cid", (F.col("weight") - F.col("copies") + F.coalesce("links", F.lit(0))).alias("links"))
+    edges = whole.select(F.col("cell").alias("a"), F.col("peer").alias("b")).union(member.select("cid", "cell"))
+    open_ = found.filter("links is null").select("cell", "peer")
+    if open_.limit(1).count():
+        more, links = _decided(open_.union(open_.select("peer", "cell")), weighed, cells, classes, threshold)
+        counts, edges = counts.union(more), edges.union(links)
+    return counts, edges
+
+
+def _decided(open_: DataFrame, weighed: DataFrame, cells: DataFrame, classes: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """Links of the members of each cell with another cell (cell, peer), both ways round: counted, and (a, b)."""
+    angle = float(np.arccos(threshold))
+    of = classes.select("cid", "embedding")
+    asked = open_.join(weighed.select("cid", "cell"), "cell").join(of, "cid")
+    asked = asked.join(cells.select(F.col("cell").alias("peer"), "weight", "radius", F.col("embedding").alias("other")), "peer")
+    told = materialize(asked.select("cid", "peer", "weight", "radius", "embedding", "other").mapInArrow(_cosines, "cid long, peer long, weight long, radius double, cosine double"), "asked")
+    apart = F.acos(F.least(F.greatest("cosine", F.lit(-1.0)), F.lit(1.0)))
+    whole = told.filter(apart + F.col("radius") <= angle - CLOSE)
+    unsure = told.filter((apart + F.col("radius") > angle - CLOSE) & (apart - F.col("radius") <= angle + CLOSE)).select("cid", "peer")
+    both = unsure.join(weighed.select(F.col("cid").alias("to"), F.col("cell").alias("peer"), "copies"), "peer").join(of, "cid")
+    both = both.join(of.select(F.col("cid").alias("to"), F.col("embedding").alias("other")), "to")
+    exact = materialize(both.select("cid", "to", "copies", "embedding", "other").mapInArrow(_cosines, "cid long, to long, copies long, cosine double"), "exact")
+    exact = exact.filter(F.col("cosine") >= threshold)
+    counts = whole.select("cid", F.col("weight").alias("links")).union(exact.select("cid", F.col("copies").alias("links")))
+    return counts, whole.select(F.col("cid").alias("a"), F.col("peer").alias("b")).union(exact.select("cid", "to"))
 
 
 def near_duplicates(embeddings: DataFrame, threshold: float = 0.93) -> DataFrame:
@@ -180,8 +277,8 @@ def near_duplicates(embeddings: DataFrame, threshold: float = 0.93) -> DataFrame
     good = rows.filter("usable")
     classes = good.groupBy("label", "embedding").agg(F.min("vec_id").alias("first"), F.count(F.lit(1)).alias("copies"))
     classes = materialize(classes.withColumn("group", F.xxhash64("label", F.size("embedding"))).withColumn("cid", F.monotonically_increasing_id()), "classes")
-    links = materialize(link_vectors(classes.select("cid", "group", "embedding", "copies"), threshold), "vector_links")
-    roots = connected_components(links.select(F.col("cid").alias("a"), F.col("peer").alias("b")))
+    links, edges = link_vectors(classes.select("cid", "group", "embedding", "copies"), threshold)
+    roots = connected_components(edges.select("a", "b"))
     member = roots.select(F.col("node").alias("cid"), "root")
     least = classes.join(member, "cid").groupBy("root").agg(F.min("first").alias("least"))
     counts = links.groupBy("cid").agg(F.sum("links").alias("links"))

@@ -306,3 +306,39 @@ def test_finer_keys_meet_in_like_surroundings():
         b[start - 20 : start + 26] = a[start - 20 : start + 26]
         met += (passages.finer_keys(a, np.array([start])) == passages.finer_keys(b, np.array([start]))).any()
     assert met == 300
+
+
+def brute_links(x, threshold=0.93):
+    x = x / np.linalg.norm(x, axis=1, keepdims=True)
+    close = x @ x.T >= threshold
+    np.fill_diagonal(close, False)
+    return close
+
+
+@pytest.mark.parametrize("noise", [(0.01, 0.02), (0.02, 0.1), (0.05, 0.3)])
+def test_a_dense_group_of_vectors(spark, noise):
+    """Cells whose members link as a whole, cells that their radii leave open, and vectors of their own."""
+    rng = np.random.default_rng(21)
+    base = rng.standard_normal((3, 24))
+    x = np.concatenate([b + s * rng.standard_normal((120, 24)) for b in base for s in noise] + [rng.standard_normal((80, 24))])
+    x = np.concatenate([x, x[:40]])  # copies
+    close = brute_links(x)
+    table = [(i, v.tolist(), 0) for i, v in enumerate(x)]
+    got = {r.vec_id: r for r in pivots.near_duplicates(spark.createDataFrame(table, "vec_id bigint, embedding array<double>, label int")).collect()}
+    found = np.array([got[i].n_links for i in range(len(x))])
+    assert (found <= close.sum(axis=1)).all()
+    assert found.sum() >= 0.97 * close.sum()
+    cls = classes(len(x), list(zip(*np.nonzero(close))))
+    assert np.mean([got[i].component_id == cls[i] for i in range(len(x))]) >= 0.97
+
+
+def test_lists_need_pivots_that_rank_high_for_both():
+    a = sum(p << 8 * i for i, p in enumerate((5, 9, 2, 7, 11, 40)))
+    b = sum(p << 8 * i for i, p in enumerate((9, 5, 2, 60, 61, 62)))
+    c = sum(p << 8 * i for i, p in enumerate((50, 51, 52, 11, 40, 7)))
+    keys = pivots.list_keys(np.ones(3, np.uint64), np.array([a, b, c], np.uint64), 6)
+    assert keys.shape == (3, len(pivots.threes(6)))
+    assert len(np.intersect1d(keys[0], keys[1])) == 1  # 2, 5 and 9, in whatever order
+    assert len(np.intersect1d(keys[0], keys[2])) == 0  # 7, 11 and 40 rank low
+    other = pivots.list_keys(np.full(1, 2, np.uint64), np.array([a], np.uint64), 6)
+    assert len(np.intersect1d(keys[0], other[0])) == 0
