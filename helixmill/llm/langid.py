@@ -64,6 +64,7 @@ class LanguageModel:
 
     languages: list[str]
     keys: list[np.ndarray]
+    contexts: list[np.ndarray]
     logp: list[np.ndarray]
     backoff: list[np.ndarray]
     floor: np.ndarray
@@ -106,7 +107,7 @@ def train(samples: dict[str, list[str]]) -> LanguageModel:
     languages = sorted(samples)
     cuts = {x: max(1, len(samples[x]) * 4 // 5) for x in languages}
     counted = [_counts(samples[x][: cuts[x]], ORDER) for x in languages]
-    keys, logp, backoff = [], [], []
+    keys, contexts, logp, backoff = [], [], [], []
     vocabulary = max(1, len(np.unique(np.concatenate([c[0][0][:, 0] for c in counted])))) if languages else 1
     floor = np.full(len(languages), -np.log(vocabulary + 1.0))
     for n in range(1, ORDER + 1):
@@ -115,7 +116,8 @@ def train(samples: dict[str, list[str]]) -> LanguageModel:
         for grams, _ in (c[n - 1] for c in counted):
             origin[np.searchsorted(union, grams[:, 0])] = grams
         table = np.zeros((len(union), len(languages)), np.float64)
-        context_keys = keys[n - 2] if n > 1 else np.zeros(1, np.uint64)
+        # The spaces that lead a text are contexts, but end no n-gram.
+        context_keys = np.unique(origin[:, 1]) if n > 1 else np.zeros(1, np.uint64)
         weights = np.zeros((len(context_keys), len(languages)))
         for at, language in enumerate(counted):
             grams, count = language[n - 1]
@@ -125,26 +127,25 @@ def train(samples: dict[str, list[str]]) -> LanguageModel:
                 count = np.bincount(place[there], minlength=len(grams)).astype(float)
             once, twice = float((count == 1).sum()), float((count == 2).sum())
             discount = min(0.95, max(0.1, once / (once + 2 * twice))) if once else 0.5
-            place, there = _lookup(context_keys, grams[:, 1])
+            place, _ = _lookup(context_keys, grams[:, 1])
             total = np.bincount(place, weights=count, minlength=len(context_keys))
             kinds = np.bincount(place, weights=(count > 0).astype(float), minlength=len(context_keys))
             gamma = np.where(total > 0, discount * kinds / np.maximum(total, 1), 1.0)
             weights[:, at] = gamma
             lower = np.full(len(union), np.exp(floor[at]))
-            where_context, has_context = np.zeros(len(union), np.int64), np.ones(len(union), bool)
             if n > 1:
                 suffix, _ = _lookup(keys[n - 2], origin[:, 2])
                 lower = np.exp(logp[n - 2][suffix, at])
-                where_context, has_context = _lookup(context_keys, origin[:, 1])
+            where_context, _ = _lookup(context_keys, origin[:, 1])
             own = np.zeros(len(union))
             mine = np.searchsorted(union, grams[:, 0])
             own[mine] = np.maximum(count - discount, 0) / np.maximum(total[place], 1)
-            back = np.where(has_context, gamma[where_context], 1.0)
-            table[:, at] = np.log(np.maximum(own + back * lower, 1e-12))
+            table[:, at] = np.log(np.maximum(own + gamma[where_context] * lower, 1e-12))
         keys.append(union)
+        contexts.append(context_keys)
         logp.append(table.astype(np.float32))
         backoff.append(np.log(np.maximum(weights, 1e-12)).astype(np.float32))
-    model = LanguageModel(languages, keys, logp, backoff, floor.astype(np.float32), np.array([0.0, 8.0]), float("inf"))
+    model = LanguageModel(languages, keys, contexts, logp, backoff, floor.astype(np.float32), np.array([0.0, 8.0]), float("inf"))
     rest = [(t, i) for i, x in enumerate(languages) for t in (samples[x][cuts[x] :] or samples[x])]
     entropy = cross_entropies(model, [t for t, _ in rest])
     usable = np.isfinite(entropy).all(axis=1) if len(rest) else np.zeros(0, bool)
@@ -180,7 +181,7 @@ def log_probabilities(model: LanguageModel, codes: np.ndarray) -> np.ndarray:
             return out
         if n > 1:
             before = np.maximum(left - 1, 0)
-            place, there = _lookup(model.keys[n - 2], keys[n - 2][before])
+            place, there = _lookup(model.contexts[n - 1], keys[n - 2][before])
             out[left[there]] += model.backoff[n - 1][place[there]]
         else:
             out[left] += model.backoff[0][0] + model.floor

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -58,6 +59,58 @@ def test_probabilities_sum_to_one():
         assert 0.9 < total <= 1.0 + 1e-3
 
 
+def plain_kneser_ney(texts, vocabulary):
+    """Interpolated Kneser-Ney by the definition, over tuples of codes."""
+    order = langid.ORDER
+    grams = [Counter() for _ in range(order + 1)]
+    for text in texts:
+        codes = tuple(langid.normal_codes(text).tolist())
+        for at in range(order - 1, len(codes)):
+            for n in range(1, order + 1):
+                grams[n][codes[at - n + 1 : at + 1]] += 1
+    counts = {order: dict(grams[order])}
+    for n in range(order - 1, 0, -1):
+        left = defaultdict(set)
+        for g in grams[n + 1]:
+            left[g[1:]].add(g[0])
+        counts[n] = {g: len(left[g]) for g in grams[n]}
+    discount, total, kinds = {}, {}, {}
+    for n, held in counts.items():
+        once, twice = (sum(c == k for c in held.values()) for k in (1, 2))
+        discount[n] = min(0.95, max(0.1, once / (once + 2 * twice))) if once else 0.5
+        total[n], kinds[n] = Counter(), Counter()
+        for g, c in held.items():
+            total[n][g[:-1]] += c
+            kinds[n][g[:-1]] += c > 0
+
+    def probability(gram):
+        n = len(gram)
+        if not n:
+            return 1 / (vocabulary + 1)
+        rest, context = probability(gram[1:]), gram[:-1]
+        if not total[n][context]:
+            return rest
+        return max(counts[n].get(gram, 0) - discount[n], 0) / total[n][context] + discount[n] * kinds[n][context] / total[n][context] * rest
+
+    return probability
+
+
+def test_models_against_plain_kneser_ney():
+    rng = random.Random(2)
+    samples = {x: [invented(rng, SYLLABLES[x], 30) for _ in range(5)] for x in ("aa", "bb")}
+    model = langid.train(samples)
+    vocabulary = len({c for x in samples.values() for t in x[:4] for c in langid.normal_codes(t)[langid.ORDER - 1 :].tolist()})
+    asked = [invented(rng, SYLLABLES["aa"], 12), invented(rng, SYLLABLES["cc"], 12), "zzz 日本 the der"]
+    for at, lang in enumerate(("aa", "bb")):
+        plain = plain_kneser_ney(samples[lang][:4], vocabulary)
+        for text in asked:
+            codes = langid.normal_codes(text)
+            got = langid.log_probabilities(model, codes)[langid.ORDER - 1 :, at]
+            want = [np.log(plain(tuple(codes[k - langid.ORDER + 1 : k + 1].tolist()))) for k in range(langid.ORDER - 1, len(codes))]
+            assert got == pytest.approx(want, abs=2e-4)
+            assert langid.cross_entropies(model, [text])[0, at] == pytest.approx(-np.mean(want), abs=2e-4)
+
+
 def toxic_rows(seed=0, n=600):
     rng = random.Random(seed)
     bad = ["scumbag", "worthless", "pathetic"]

@@ -128,6 +128,34 @@ def test_mixing(spark):
         assert abs(taken[s] - want[s]) <= min(2 * largest[s], 30) + 0.01 * want[s]
 
 
+def test_tilts_solve_the_dual(spark):
+    """Rates against a plain bisection of each source's constraint."""
+    import math
+
+    rng = random.Random(4)
+    rows = [(i, " ".join(["w"] * rng.choice([1, 3, 10, 40, 200])), rng.choice("aabbbbcd")) for i in range(900)]
+    rows += [(5000, "w " * 100_000, "b"), (5001, None, "c")]
+    got = mixing.mix_documents(docs_of(spark, rows)).collect()
+    for source in "abcd":
+        own = [r for r in got if r.source == source and r.size > 0]
+        size, target = sum(r.size for r in own), own[0].target
+        mean, most = size / len(own), max(r.size for r in own)
+        if target >= 3 * size * (1 - 1e-12):
+            assert all(r.rate == 3 for r in own)
+            continue
+
+        def taken(lam, own=own, mean=mean):
+            return sum(r.size * min(3.0, math.exp(min(lam * r.size / mean, 5.0))) for r in own)
+
+        low, high = -200.0 * most, 200.0 * most
+        for _ in range(200):
+            mid = (low + high) / 2
+            low, high = (mid, high) if taken(mid) < target else (low, mid)
+        for r in own:
+            assert r.rate == pytest.approx(min(3.0, math.exp(min(high * r.size / mean, 5.0))), rel=1e-3, abs=1e-6)
+        assert sum(r.rate * r.size for r in own) == pytest.approx(target, rel=1e-5)
+
+
 BASE = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
     "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
