@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 #: Letters per block when k-mers are cut, so that a long sequence isn't searched from its start for each.
 BLOCK = 256
+#: k-mers of items up to this many are broadcast.
+BROADCAST_GRAMS = 500_000
 
 
 def _once(value: Column, use) -> Column:
@@ -50,9 +52,12 @@ def sketched(rows: DataFrame, grams: Column, scale: int = 1) -> DataFrame:
 def containment(items: DataFrame, corpus: DataFrame, k: int | None = None) -> DataFrame:
     """(item_id, grams, shared, containment, ani): share of an item's k-mers (item_id, gram) found in the corpus (gram).
 
-    With the k-mer length the average nucleotide identity follows as containment ** (1/k).
+    Of the corpus only k-mers that some item has are kept before any of it moves; the items' are broadcast if a count
+    finds them few. With the k-mer length the average nucleotide identity follows as containment ** (1/k).
     """
-    known = corpus.select("gram").distinct().withColumn("_hit", F.lit(1))
+    asked = items.select("gram").distinct()
+    few = asked.limit(BROADCAST_GRAMS + 1).count() <= BROADCAST_GRAMS
+    known = corpus.select("gram").join(F.broadcast(asked) if few else asked, "gram", "left_semi").distinct().withColumn("_hit", F.lit(1))
     sums = items.select("item_id", "gram").distinct().join(known, "gram", "left").groupBy("item_id").agg(F.count(F.lit(1)).alias("grams"), F.count("_hit").alias("shared"))
     share = F.col("shared") / F.col("grams")
     out = sums.withColumn("containment", share)
