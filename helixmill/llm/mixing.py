@@ -15,6 +15,7 @@ then gain or lose a copy to close the rest of the gap.
 from __future__ import annotations
 
 import math
+import warnings
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -99,6 +100,9 @@ def solve_tilts(hist: DataFrame, sources: DataFrame, cap: int, tolerance: float,
             ),
             "tilts",
         )
+    else:
+        if missed := state.filter(~F.col("done")).count():
+            warnings.warn(f"{missed} sources miss their targets after {max_steps} Newton steps", stacklevel=2)
     return state
 
 

@@ -174,7 +174,7 @@ def find_personal_data(docs: DataFrame, threshold: float = 0.8, least_contexts:
     found = docs.select("doc_id", "text").withColumn("_row", F.monotonically_increasing_id()).withColumn("_spans", F.explode(F.array(base_spans(text))))
     found = materialize(found.select("_row", "doc_id", F.when(F.size("_spans") > 0, F.col("text")).alias("_text"), "_spans"), "found")
     every = _all_spans(found, docs.select("text"), threshold, least_contexts)
-    return found.join(every, "_row", "left").select("doc_id", F.col("_spans").alias("spans"), F.coalesce("_all", "_spans").alias("all_spans"))
+    return join_checked(found, every, "_row", "left").select("doc_id", F.col("_spans").alias("spans"), F.coalesce("_all", "_spans").alias("all_spans"))
 
 
 def sanitized(text: Column, spans: Column) -> Column:
@@ -205,5 +205,5 @@ def sanitize_documents(docs: DataFrame, threshold: float = 0.8, least_contexts:
     whole = numbered(docs, "found", _spans=spans).withColumnRenamed("row", "_row")
     held = whole.select("_row", F.when(F.size("_spans") > 0, text).alias("_text"), "_spans")
     found = _all_spans(held, docs.select("text"), threshold, least_contexts)
-    told = whole.join(found, "_row", "left").withColumn("_all", F.coalesce("_all", "_spans"))
+    told = join_checked(whole, found, "_row", "left").withColumn("_all", F.coalesce("_all", "_spans"))
     return told.select(F.col("own").withField("text", sanitized(text, F.col("_all"))).alias("own")).select("own.*")
