@@ -50,10 +50,11 @@ def _vectors(column: pa.Array) -> list[np.ndarray]:
     return [np.asarray(x, np.float64) for x in column.to_numpy(zero_copy_only=False)]
 
 
-def far_apart(rows: list[np.ndarray], n: int, alike: float = 0.8) -> np.ndarray:
-    """Up to n of the vectors, each the one least similar to those before, none ``alike``; zero-padded to one length.
+def far_apart(rows: list[np.ndarray], n: int, alike: float = 0.8, least: int = 16) -> np.ndarray:
+    """Up to n of the vectors, each the one least similar to those before, zero-padded to one length.
 
-    Two pivots inside one dense group would put the group's vectors in an order that is noise.
+    Beyond the first ``least`` none is ``alike`` to another: two pivots inside one dense group would put the group's
+    vectors in an order that is noise.
     """
     width = max(map(len, rows), default=0)
     if not rows:
@@ -61,7 +62,7 @@ def far_apart(rows: list[np.ndarray], n: int, alike: float = 0.8) -> np.ndarray:
     x = np.stack([np.pad(r, (0, width - len(r))) for r in rows])
     x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
     chosen, nearest = [0], x @ x[0]
-    while len(chosen) < min(n, len(x)) and nearest.min() < alike:
+    while len(chosen) < min(n, len(x)) and (len(chosen) < least or nearest.min() < alike):
         chosen.append(int(np.argmin(nearest)))
         nearest = np.maximum(nearest, x @ x[chosen[-1]])
     return x[chosen]
