@@ -29,6 +29,7 @@ from .common import map_arrow
 META = "▁"
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
 NEVER = float("-inf")
+CACHE_BYTES = 48 << 20
 
 
 class Remembered(dict):
@@ -64,7 +65,7 @@ def apart(joined: set[str], pieces) -> tuple[set[str], set[str]]:
 class PieceCodec:
     """Encoder and decoder of one model. What it remembers takes at most some ``cache_bytes``, a third for pairs."""
 
-    def __init__(self, model: bytes, cache_bytes: int = 48 << 20):
+    def __init__(self, model: bytes, cache_bytes: int = CACHE_BYTES):
         from sentencepiece import sentencepiece_model_pb2
 
         proto = sentencepiece_model_pb2.ModelProto()
@@ -219,9 +220,9 @@ class PieceCodec:
         return raw
 
 
-@lru_cache(maxsize=2)
-def codec(model: bytes) -> PieceCodec:
-    return PieceCodec(model)
+@lru_cache(maxsize=1)
+def codec(model: bytes, cache_bytes: int = CACHE_BYTES) -> PieceCodec:
+    return PieceCodec(model, cache_bytes)
 
 
 def default_model() -> str:
@@ -258,7 +259,7 @@ def encode_digests(docs: DataFrame, model_path: str | None = None) -> DataFrame:
     return map_arrow(docs.select("doc_id", "text"), run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
-def encode_texts(docs: DataFrame, model_path: str | None = None) -> DataFrame:
+def encode_texts(docs: DataFrame, model_path: str | None = None, cache_bytes: int = CACHE_BYTES) -> DataFrame:
     """(doc_id, token_ids, decoded): the ids themselves and the text they decode to.
 
     Defined cases: those of ``encode_digests``; bytes that decode to no UTF-8 become U+FFFD one by one, as in the library.
@@ -266,7 +267,7 @@ def encode_texts(docs: DataFrame, model_path: str | None = None) -> DataFrame:
     model = read_model(model_path)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        own = codec(model)
+        own = codec(model, cache_bytes)
         coded = [own.encode(text.as_py()) for text in batch.column(1)]
         ids = pa.array([np.frombuffer(x, "<i4") for x in coded], pa.list_(pa.int32()))
         return pa.record_batch({"doc_id": batch.column(0), "token_ids": ids, "decoded": pa.array([own.decode(x).decode("utf-8", "replace") for x in coded], pa.string())})
