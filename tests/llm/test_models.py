@@ -183,7 +183,7 @@ def test_candidates(parts):
     for m in re.finditer(f"{TOKEN}+", text):
         end = m.end() + len(re.match("={0,2}", text[m.end() :])[0])
         mixed = len(m[0]) >= 8 and any(c in "0123456789" for c in m[0])
-        value = len(m[0]) >= 6 and re.search("""[:=]\\x20*["']?$""", text[: m.start()])
+        value = len(m[0]) >= 6 and re.search("""[:=]\\x20*["']?\\Z""", text[: m.start()])
         if mixed or len(m[0]) >= 12 or value:
             want[m.start()] = end
     assert dict(secrets.candidates(text)) == want
