@@ -29,29 +29,41 @@ from .common import map_arrow
 META = "▁"
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
 NEVER = float("-inf")
-CACHE_BYTES = 48 << 20
+CACHE_BYTES = 128 << 20
+PAIR = 20  # bits of a piece id in the number of a pair
 
 
 class Remembered(dict):
-    """A dict that computes what it doesn't have and forgets all when it holds ``most`` bytes; long keys it never keeps."""
+    """A dict that computes what it doesn't have and forgets all when it holds ``most`` bytes.
 
-    ENTRY, LONGEST = 200, 64
+    ``weigh`` estimates the bytes of a key's entry; what weighs nothing is never kept.
+    """
 
-    def __init__(self, compute, most: int):
+    def __init__(self, compute, weigh, most: int):
         super().__init__()
-        self.compute, self.most, self.held = compute, most, 0
+        self.compute, self.weigh, self.most, self.held = compute, weigh, most, 0
 
     def __missing__(self, key):
         made = self.compute(key)
-        if len(key) <= self.LONGEST:
+        if weight := self.weigh(key):
             if self.held >= self.most:
                 self.clear()
                 self.held = 0
-            self.held += self.ENTRY + 5 * len(key)
+            self.held += weight
             self[key] = made
         return made
 
 
+def weigh_chunk(chunk: str) -> int:
+    """Bytes of a chunk and its ids in a dict; long chunks seldom come again and aren't kept."""
+    return 200 + 5 * len(chunk) if len(chunk) <= 64 else 0
+
+
+def weigh_pair(pair: int) -> int:
+    """Bytes of a number and a truth value in a dict."""
+    return 120
+
+
 def apart(joined: set[str], pieces) -> tuple[set[str], set[str]]:
     """The characters that pieces join, letters and all that some piece joins to these, and the rest."""
     beside = {pair for piece in pieces for pair in zip(piece, piece[1:])}
@@ -79,6 +91,7 @@ class PieceCodec:
         ):
             raise ValueError("only BPE models with byte fallback, a dummy prefix and no other normalisation are supported")
         self.ids = {p.piece: i for i, p in enumerate(proto.pieces) if p.type == NORMAL}
+        self.names = [p.piece for p in proto.pieces]
         self.scores = {p.piece: p.score for p in proto.pieces if p.type == NORMAL}
         self.byte_ids = [0] * 256
         self.surface: list[bytes] = []
@@ -107,7 +120,7 @@ class PieceCodec:
         for piece in self.ids:
             made = self._merge(piece, stop=2)
             if len(piece) == 1 or len(made) == 2 and made[0] + made[1] in self.scores:  # else merges never produce it
-                self.automaton.add_word(piece, piece)
+                self.automaton.add_word(piece, (self.ids[piece], len(piece)))
                 if len(piece) > 1:
                     self.halves[piece] = (made[0], made[1])
         self.automaton.make_automaton()
@@ -117,8 +130,8 @@ class PieceCodec:
         #: Chunks that no piece reaches across: white space leads a chunk, words and punctuation are apart if no piece
         #: joins them, and a character of no longer piece stands alone.
         self.chunks = re.compile(f"(?s)[{META}{word}{other}]+|." if inside else f"(?s){META}+(?:[{word}]+|[{other}]+)?|[{word}]+|[{other}]+|.").findall
-        self.compatible = Remembered(self._compatible, cache_bytes // 3)
-        self.encoded = Remembered(self._encode_chunk, cache_bytes * 2 // 3)
+        self.compatible = Remembered(self._compatible_ids, weigh_pair, cache_bytes // 3)
+        self.encoded = Remembered(self._encode_chunk, weigh_chunk, cache_bytes * 2 // 3)
 
     def _merge(self, text: str, border: int = 0, stop: int = 1) -> list[str]:
         """What merging the characters of a short text down to ``stop`` parts leaves; nothing if a merge reaches across the border."""
@@ -141,6 +154,9 @@ class PieceCodec:
                 scores[at] = find(parts[at] + parts[at + 1], NEVER)
         return parts
 
+    def _compatible_ids(self, pair: int) -> bool:
+        return self._compatible((self.names[pair >> PAIR], self.names[pair & (1 << PAIR) - 1]))
+
     def _compatible(self, pair: tuple[str, str]) -> bool:
         """Whether two pieces side by side stay as they are.
 
@@ -177,14 +193,18 @@ class PieceCodec:
 
     def _encode_chunk(self, chunk: str) -> bytes:
         """Ids of a chunk as little-endian uint32."""
-        last: list[str | None] = [None] * (len(chunk) + 1)  # by length of the prefix
-        compatible, found = self.compatible, -1
-        for end, piece in self.automaton.iter(chunk):
+        last: list[int | None] = [None] * (len(chunk) + 1)  # by length of the prefix
+        compatible, names, found = self.compatible, self.names, -1
+        for end, (piece, length) in self.automaton.iter(chunk):
             if end == found:
                 continue
-            start = end + 1 - len(piece)
-            if start and not compatible[last[start] or chunk[start - 1], piece]:
-                continue
+            if start := end + 1 - length:
+                before = last[start]
+                if before is None:  # a character that is no piece
+                    if not self._compatible((chunk[start - 1], names[piece])):
+                        continue
+                elif not compatible[before << PAIR | piece]:
+                    continue
             last[end + 1] = piece
             found = end
         ids: list[int] = []
@@ -195,8 +215,8 @@ class PieceCodec:
                 ids.extend(self.byte_ids[b] for b in reversed(chunk[at - 1].encode("utf-8", "surrogatepass")))
                 at -= 1
             else:
-                ids.append(self.ids[piece])
-                at -= len(piece)
+                ids.append(piece)
+                at -= len(names[piece])
         packed = array("I", reversed(ids))
         if sys.byteorder == "big":
             packed.byteswap()
