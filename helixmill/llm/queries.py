@@ -91,6 +91,25 @@ def op10_prefix_table_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_digests(_table(spark, sf_dir, "documents"))
 
 
+def op11_pruned_graphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .neighbours import nearest
+
+    rows = _table(spark, sf_dir, "embeddings")
+    return nearest(rows, rows.filter("vec_id % 100 = 0"))
+
+
+def op12_event_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .alignment import align
+
+    return align(_table(spark, sf_dir, "documents"))
+
+
+def op13_term_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .divergence import audit
+
+    return audit(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_frequency": op1_line_frequency,
     "op2_compact_windows": op2_compact_windows,
@@ -102,6 +121,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_entropy_mix": op8_entropy_mix,
     "op9_disclosing_terms": op9_disclosing_terms,
     "op10_prefix_table_pieces": op10_prefix_table_pieces,
+    "op11_pruned_graphs": op11_pruned_graphs,
+    "op12_event_sweep": op12_event_sweep,
+    "op13_term_dictionary": op13_term_dictionary,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -164,4 +186,27 @@ ORACLE_SQL: dict[str, str] = {
         every as (select doc_id, string_agg(kind || ':' || s || ':' || e, ',' order by s, k) as spans from (select doc_id, k, kind, s, e from ok union all select doc_id, 4, 'term', s, e from term) group by 1)
         select doc_id, coalesce(n_email, 0) as n_email, coalesce(n_ip, 0) as n_ip, coalesce(n_card, 0) as n_card, coalesce(n_phone, 0) as n_phone, sha256(coalesce(base.spans, '')) as base_sha256, coalesce(every.spans, '') as spans
             from documents left join base using (doc_id) left join every using (doc_id)""",
+    # The nearest by brute force: on small tables a shard's search finds all of them.
+    "op11_pruned_graphs": """
+        with v as (select distinct vec_id, embedding::double[] as e from embeddings where vec_id is not null and len(embedding) > 0 and list_count(embedding) = len(embedding)
+            and len(list_filter(embedding, lambda x: not isfinite(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+        far as (select q.vec_id as query_id, c.vec_id, sqrt(list_reduce(list_transform(range(1, len(q.e) + 1), lambda i: (c.e[i] - q.e[i]) * (c.e[i] - q.e[i])), lambda a, b: a + b)) as score
+            from v q join v c on len(q.e) = len(c.e) and q.vec_id <> c.vec_id where q.vec_id % 100 = 0),
+        near as (select query_id, vec_id, min(score) as score from far group by 1, 2)
+        select query_id, rank, vec_id, score from (select query_id, (row_number() over (partition by query_id order by score, vec_id))::int as rank, vec_id, score from near) where rank <= 10""",
+    "op13_term_dictionary": r"""
+        with d as (select row_number() over () as r, coalesce(text,'') as text, coalesce(lang,'') as lang, coalesce(source,'') as source from documents),
+        word as (select r, lang, source, translate(unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as term from d),
+        kept as (select lang, term from word group by 1, 2 having count(distinct r) >= 3),
+        grp as (select distinct lang, source from d),
+        cnt as (select lang, source, term, count(*)::hugeint as n from word semi join kept using (lang, term) group by 1, 2, 3),
+        size as (select lang, (select count(*) from kept where kept.lang = l.lang)::hugeint as v from (select distinct lang from d) l),
+        total as (select lang, source, coalesce(sum(n), 0)::hugeint as total from grp left join cnt using (lang, source) group by 1, 2),
+        p as (select lang, source, term, coalesce(n, 0) as n, 1 + (1000000000 * (coalesce(n, 0) + 1)) // (total + v) as p from total join size using (lang) join kept using (lang) left join cnt using (lang, source, term)),
+        q as (select lang, term, 1 + (1000000000 * (sum(n) + 1)) // (max(t) + max(v)) as q from p join (select lang, sum(total)::hugeint as t from total group by 1) using (lang) join size using (lang) group by 1, 2),
+        pair as (select a.lang, a.source, b.source as item, coalesce(sum((a.p - b.p) * (a.p - b.p) // b.p), 0) as value from p a join p b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by 1, 2, 3),
+        pairs as (select g.lang, g.source, h.source as item, coalesce(value, 0)::bigint as value from grp g join grp h on g.lang = h.lang and g.source <> h.source left join pair on pair.lang = g.lang and pair.source = g.source and pair.item = h.source),
+        terms as (select lang, source, term as item, ((p - q) * (p - q) // q)::bigint as value from p join q using (lang, term) where n > 0 and p > q)
+        select lang, source, 'pair' as part, item, value, row_number() over (partition by lang, source order by value desc, item)::int as rank from pairs
+        union all select * from (select lang, source, 'term' as part, item, value, row_number() over (partition by lang, source order by value desc, item)::int as rank from terms) where rank <= 200""",
 }
