@@ -7,11 +7,13 @@ import contextlib
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 _own: list[str] = []
 _written: list[str] = []
+_scopes: list[list[str]] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -29,23 +31,52 @@ def shared_folder(spark: SparkSession) -> str:
     return _own[0]
 
 
+def scratch_path(spark: SparkSession, label: str) -> str:
+    """A new path in the shared folder, deleted with its scope, by ``remove_cuts`` or when the process ends normally."""
+    path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    if not _written:
+        atexit.register(_remove_at_exit, spark)
+    _written.append(path)
+    if _scopes:
+        _scopes[-1].append(path)
+    return path
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write and reread, so that loops don't grow the plan and shared parts are computed once: in spark.checkpoint.dir, or locally in tests."""
     spark: SparkSession = df.sparkSession
-    path = f"{shared_folder(spark)}/round-{uuid.uuid4().hex}"
-    if not _written:
-        atexit.register(_remove_at_exit, spark)
+    path = scratch_path(spark, "round")
     df.write.parquet(path)
-    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def remove_cuts(spark: SparkSession) -> None:
-    """Delete what ``cut`` wrote in this process; frames built on it can't be read afterwards."""
+def settled(spark: SparkSession, build: Callable[[], DataFrame]) -> DataFrame:
+    """What ``build`` returns; if it wrote tables on the way they are deleted, and the result is the one table left."""
+    _scopes.append([])
+    try:
+        frame = build()
+    except BaseException:
+        _delete(spark, _scopes.pop())
+        raise
+    inner = _scopes.pop()
+    try:
+        return cut(frame) if inner else frame
+    finally:
+        _delete(spark, inner)
+
+
+def _delete(spark: SparkSession, paths: list[str]) -> None:
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    while _written:
-        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
+    for name in paths:
+        path = jvm.org.apache.hadoop.fs.Path(name)
         path.getFileSystem(conf).delete(path, True)
+        if name in _written:
+            _written.remove(name)
+
+
+def remove_cuts(spark: SparkSession) -> None:
+    """Delete what ``cut`` wrote in this process; frames built on it can't be read afterwards."""
+    _delete(spark, list(_written))
 
 
 def _remove_at_exit(spark: SparkSession) -> None:

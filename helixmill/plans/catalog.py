@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from helixmill.functions import names
 from helixmill.operators import classify, cluster, coverage, lad, ranges, seqstats, sketch, species, strain
+from helixmill.operators.cut import settled
 from helixmill.plans import bindings as b
 from helixmill.plans.oracle import ORACLE_SQL
+from helixmill.sources import fasta
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
 
@@ -18,7 +20,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 
 def query(f):
-    QUERIES[f.__name__] = f
+    """Register a query; tables that it writes on the way are deleted once its rows are written."""
+    QUERIES[f.__name__] = lambda s, d: settled(s, lambda: f(s, d))
     return f
 
 
@@ -92,6 +95,18 @@ def jn4_candidate_species(s, d):
     return rounded(species.candidate_species(profile, b.ranges(s, d), mode=0, designated="S0, S2,S4,S6 ,S8,S10,S12,S14,None,"), 9)
 
 
+@query
+def pf5_pangenomes(s, d):
+    profile = species.species_profile(species.species_bases(classified(s, d), filtered=False), b.lengths(s, d))
+    return rounded(species.candidate_species(profile, b.ranges(s, d), mode=1), 9)
+
+
+@query
+def pf5_all_species(s, d):
+    profile = species.species_profile(species.species_bases(classified(s, d), filtered=False), b.lengths(s, d))
+    return rounded(species.candidate_species(profile, b.ranges(s, d), mode=2, least=0.05), 9)
+
+
 @query
 def sk2_read_report(s, d):
     return classified(s, d).select("read_id", "mapq", "species", "read_len")
@@ -507,6 +522,26 @@ def fn5_genome_name(s, d):
     return _files(s, d).select("p_partkey", names.genome_name(F.col("path")).alias("genome"), names.genome_name(F.col("path"), True).alias("short_name"))
 
 
+@query
+def sc14_fasta_suffix(s, d):
+    ends = F.get(F.array(*[F.lit(x) for x in (".fa", ".fna.gz", ".fasta", ".fasta.gz", ".faa", ".fna.zip", "fna", ".fa.gz")]), F.col("p_size") % 8)
+    return b.table(s, d, "part").select("p_partkey", names.is_fasta(F.concat(F.lit("/g/GCF_"), "p_partkey", ends)).alias("fasta"))
+
+
+@query
+def pf17_long_scaffolds(s, d):
+    seqs = b.sequences(s, d).select(F.concat_ws(" ", "seq_id", F.when(F.col("seq_id") % 7 == 0, F.lit("a Plasmid"))).alias("seq_id"), "seq")
+    return fasta.long_scaffolds(seqs, 1000).select("seq_id", F.length("seq").alias("letters"))
+
+
+@query
+def fn14_precise_clipping(s, d):
+    kinds = [*names.PRECISE_CLIPPING, "other"]
+    least = F.get(F.array(*[F.lit(names.precise_clipping(k)) for k in kinds]), F.col("m"))
+    reads = b.reads(s, d).select("rid", "identity", F.pmod(F.col("read_start"), F.lit(len(kinds))).alias("m"))
+    return reads.filter(F.col("identity") >= least + 0.1).select("rid")
+
+
 @query
 def fn12_strain_suffix(s, d):
     rows = b.table(s, d, "supplier").selectExpr("s_suppkey", "s_nationkey * 3 + s_suppkey % 2 as taxid")
@@ -540,6 +575,6 @@ def fn11_versions(s, d):
     return b.table(s, d, "part").select("p_partkey", names.version_at_least(have, F.lit("2.3")).alias("enough"))
 
 
-from helixmill.plans import files  # noqa: E402
+from helixmill.plans import fast, files  # noqa: E402
 
-QUERIES |= files.QUERIES
+QUERIES |= files.QUERIES | fast.QUERIES

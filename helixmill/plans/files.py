@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from helixmill.operators import classify, seqstats, species
-from helixmill.operators.cut import shared_folder
+from helixmill.operators.cut import scratch_path, settled
 from helixmill.plans import bindings as b
 from helixmill.sources import fasta, gaf, graphs, sinks, tables
 
@@ -17,12 +16,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 
 def query(f):
-    QUERIES[f.__name__] = f
+    """Register a query; the files that it writes on the way are deleted once its rows are written."""
+    QUERIES[f.__name__] = lambda s, d: settled(s, lambda: f(s, d))
     return f
 
 
 def _path(s) -> str:
-    return f"{shared_folder(s)}/files-{uuid.uuid4().hex}"
+    return scratch_path(s, "files")
 
 
 def _lines(s, frame: DataFrame, value, **options) -> str:

@@ -1,4 +1,4 @@
-"""The three ways the library is used from end to end: build a database, profile a sample, thin out redundant genomes.
+"""The ways the library is used from end to end: build a database, profile a sample, thin out redundant genomes, and fast mode.
 
 A database is a folder: ``species_range.txt``, ``species_genomes_stats.txt`` and ``genomes_info.txt``, and the graphs as
 Parquet by species in ``nodes`` and ``walks``, with node ids local to a species.
@@ -10,9 +10,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from helixmill.functions.names import basename, hap_id
-from helixmill.operators import classify, cluster, ranges, species, strain
+from helixmill.operators import classify, cluster, index, ranges, sketch, species, strain
 from helixmill.operators.cut import cut
-from helixmill.sources import gaf, graphs, sinks, tables
+from helixmill.sources import fasta, gaf, graphs, sinks, tables
 
 
 def build_database(spark: SparkSession, graph_files: str, info: DataFrame, lengths: DataFrame, out: str) -> DataFrame:
@@ -91,3 +91,30 @@ def thin_out(
     chosen = cut(tables.in_set(info, genomes.join(kept, ["label", "genome"], "left_semi")))
     sinks.write_tsv(chosen, f"{out}/genomes_info.txt", single=True)
     return chosen
+
+
+#: K-mer length and scale of genome sketches, and the identity that keeps a genome.
+SKETCH_K, SKETCH_SCALE, SKETCH_ANI = 31, 200, 99.0
+
+
+def _canonical_grams(seq):
+    """k-mers of a sequence, each or its reverse complement, whichever comes first; those with other letters are left out."""
+    both = F.transform(sketch.letter_grams(F.upper(seq), SKETCH_K), lambda g: F.least(g, F.reverse(F.translate(g, "ACGT", "TGCA"))))
+    return F.filter(both, lambda g: ~g.rlike("[^ACGT]"))
+
+
+def index_genomes(spark: SparkSession, genome_files: str, out: str, scale: int = SKETCH_SCALE, buckets: int = index.BUCKETS) -> None:
+    """Store the sketches of genome files by file name, for ``fast_filter`` of any number of samples."""
+    seqs = fasta.read_fasta(spark, genome_files).select(F.col("file").alias("genome"), "seq")
+    index.write_index(index.sketch(seqs, _canonical_grams(F.col("seq")), scale).select("genome", "gram"), out, SKETCH_K, scale, buckets)
+
+
+def fast_filter(spark: SparkSession, stored: str, reads: str, info: DataFrame, out: str, least: float = SKETCH_ANI, scale: int | None = None) -> DataFrame:
+    """Write and return the genome list with the genomes that a sample's reads (FASTQ) hold, for the database to be built from."""
+    held = index.open_index(spark, stored)
+    sample = index.sketch(fasta.read_bases(spark, reads), _canonical_grams(F.col("seq")), held.scale if scale is None else scale).select("gram")
+    found = cut(index.genomes_in_sample(held, sample, scale))
+    named = info.withColumn("_file", basename(F.col("id")))
+    kept = named.join(found.filter(F.col("ani") >= least).select(F.col("genome").alias("_file")), "_file", "left_semi").select(*info.columns)
+    sinks.write_tsv(kept, f"{out}/genomes_info.txt", single=True)
+    return kept

@@ -211,6 +211,13 @@ _FINAL = {
     "fn2_fn3_hap_id": f"select p_partkey, {_SHORT.format('base')} as hap_id from (select p_partkey, regexp_replace(base, '\\.[^.]*$', '') as base from c_file)",
     "fn4_file_stem": r"select page_id, case when b like '_%.%' then regexp_replace(b, '\.[^.]*$', '') else b end as stem from (select page_id, string_split(url, '/')[-1] as b from pages)",
     "fn5_genome_name": rf"select p_partkey, regexp_replace(base, '_genomic\.fna(\.gz)?$', '') as genome, {_SHORT.format('base')} as short_name from c_file",
+    "sc14_fasta_suffix": """select p_partkey, regexp_matches(['.fa', '.fna.gz', '.fasta', '.fasta.gz', '.faa', '.fna.zip', 'fna', '.fa.gz'][p_size % 8 + 1], '\\.(fa|fna|fasta)(\\.gz)?$') as fasta from part""",
+    "pf17_long_scaffolds": """select doc_id || case when doc_id % 7 = 0 then ' a Plasmid' else '' end as seq_id, length(text) as letters from documents where length(text) >= 1000 and doc_id % 7 <> 0""",
+    "fn14_precise_clipping": """select rid from b_read where identity >= [0.75, 0.75, 0.8, 0.9, 0.66][read_start % 5 + 1]::double + 0.1::double""",
+    "pf5_pangenomes": """select species, round(predicted_abundance, 9) as predicted_abundance, round(predicted_coverage, 9) as predicted_coverage, "start", "end" from c_every join b_range using (species) where predicted_abundance > 1e-4 and is_pan = 1""",
+    "pf5_all_species": """select species, round(predicted_abundance, 9) as predicted_abundance, round(predicted_coverage, 9) as predicted_coverage, "start", "end" from c_every join b_range using (species) where predicted_abundance > 0.05""",
+    "gr19_stored_index": "select genome, grams, shared, round(containment, 6) as containment, round(100 * pow(containment, 0.2), 6) as ani from c_sketched",
+    "fast_filter": """select 'G' || item_id as "genome_ID", genome as id from benchmark join c_sketched on genome = '/g/' || item_id || '.fna' where 100 * pow(containment, 0.2) >= 60""",
     "fn12_strain_suffix": """select s_suppkey, case when count(*) over (partition by t) > 1 then t || '.' || row_number() over (partition by t order by s_suppkey) else t::varchar end as strain_taxid
         from (select s_suppkey, s_nationkey * 3 + s_suppkey % 2 as t from supplier)""",
     "fn13_threads": """select p_size, count(*) as n, least(ceil((case when p_size < 5 then 8 when p_size <= 10 then 16 when p_size <= 25 then 32 when p_size <= 50 then 48 else 64 end) * 1.5), 80)::int as threads from part group by 1""",
@@ -239,7 +246,7 @@ _FINAL |= {
     "sc4_gaf_columns": "select read_id, path, mapq, read_len from c_gaf",
     "sc5_gaf_zero": "select * replace (coalesce(read_len, 0) as read_len) from c_gaf",
     "sc6_long_gaf": "select rid, read_id, mapq, matches, round(identity, 6) as identity, span from b_read where rid is not null",
-    "sk9_filtered_gaf": """select read_id, mapq, matches, round(identity, 6) as identity, span from (select *, row_number() over (partition by read_id order by rid) as k from
+    "sk9_filtered_gaf": """select read_id, mapq, matches, round(identity, 6) as identity, span from (select *, row_number() over (partition by read_id order by concat_ws(chr(9), span, '+', path, '9', read_start, read_end, matches, '4', mapq, rid)) as k from
         (select *, rank() over (partition by read_id order by matches desc, identity desc) as best from b_read) where best = 1 and mapq > 20 and span > 1000) where k = 1""",
     "sc7_species_lengths": "select * from b_len",
     "sc8_sk2_read_classes": "select read_id, mapq, species, read_len from b_class",
@@ -269,6 +276,10 @@ _FINAL |= {
 }
 
 PARTS |= {
+    "c_every": """select species, cov / sum(cov) over () as predicted_abundance, cov as predicted_coverage from (select species, bases / len as cov from
+        (select species, sum(read_len)::bigint as bases from b_class where species <> 'U' group by 1) left join b_len using (species))""",
+    "c_low": "select *, ('0x' || substr(md5(gram), 1, 15))::bigint < 1152921504606846976 // 4 as low from (select gram from c_igram union select gram from c_dgram)",
+    "c_sketched": """select '/g/' || item_id || '.fna' as genome, count(*) as grams, count(d.gram) as shared, count(d.gram) / count(*) as containment from c_igram i join c_low using (gram) left join c_dgram d on d.gram = i.gram where low group by 1""",
     "c_info": """select 'GCF_' || p_partkey as "genome_ID", (p_partkey // 100) || '.' || (p_partkey % 100) || '0' as strain_taxid, (p_partkey // 100)::varchar as species_taxid, p_name as organism_name, '/g/GCF_' || p_partkey || '.fna' as id from part""",
     "c_gaf": """select rid as read_id, case when k % 11 > 0 then read_len end as read_len, case when k % 7 > 0 then path end as path, 9::bigint as path_len, read_start::bigint as read_start, read_end::bigint as read_end, mapq::bigint as mapq
         from (select *, ((read_end % 77) + 77) % 77 as k from b_read)""",

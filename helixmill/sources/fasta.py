@@ -34,3 +34,8 @@ def merged_lines(seqs: DataFrame) -> DataFrame:
 def long_scaffolds(seqs: DataFrame, least: int, names: Column | None = None) -> DataFrame:
     """Sequences of at least ``least`` letters whose name doesn't say plasmid."""
     return seqs.filter((F.length("seq") >= least) & ~F.lower(names if names is not None else F.col("seq_id")).contains("plasmid"))
+
+
+def read_bases(spark: SparkSession, path: str) -> DataFrame:
+    """(seq): the letters of reads in FASTQ files, plain or gzipped: lines of nucleotide letters only, which no quality line is in practice."""
+    return spark.read.text(path).select(F.upper("value").alias("seq")).filter(F.col("seq").rlike("^[ACGTUN]+$"))
