@@ -4,8 +4,8 @@ The elements of a text are its five-word shingles. Under a hash function each sh
 smallest hash on top), and its subtree spans the compact window: all subsequences inside it that hold the shingle
 share that min-hash. Only windows wide enough for the shortest passage (50 words) are kept, some two per passage length
 and hash function. Windows of two texts meet if their minima and the shingles next to these agree; the interval join
-keeps pairs whose windows reach far enough to both sides for a common passage, and the shingles around are compared, one
-word of shift allowed, until 0.8 of a passage's shingles agree.
+keeps pairs whose windows reach far enough to both sides for a common passage, and the words around are fetched from both
+texts and compared shingle by shingle in 64 bits, one word of shift allowed: 0.8 of some passage's shingles must agree.
 
 Among the windows that meet at a key the first one serves as the hub the others are compared with, so that work and links
 grow with the number of windows and not with its square. Windows that don't agree with their hub meet again, dealt to
@@ -35,6 +35,8 @@ HASHES = 4
 SIMILAR = 0.8
 #: Shingles on either side of a minimum that must agree for windows to meet, and that are compared afterwards.
 NEAR, FAR = 2, 45
+#: Places whose surroundings are fetched and compared together.
+STRETCH = 96
 #: Windows that don't agree with their hub meet again by FINER min-hashes of HALF shingles on either side of the minimum.
 FINER, HALF = 3, 20
 #: Spans of a text that overlap by so many words belong to one passage.
@@ -198,18 +200,33 @@ def _around(shingle_hashes: np.ndarray, place: np.ndarray) -> np.ndarray:
     return np.lib.stride_tricks.sliding_window_view(np.concatenate([none, shingle_hashes, none]), 2 * FAR + 1)[place]
 
 
-def _surroundings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(content, text, places) -> one row per place with a byte for each shingle around it, 0 where none is."""
+def word_edges(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Where the words of a text begin and end, in bytes."""
+    word = ~_SPACE[np.frombuffer(raw, np.uint8)]
+    edge = np.diff(word.astype(np.int8), prepend=0, append=0)
+    return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+
+
+#: How many stretches an excerpt spans: a window's own one, and of a hub, which meets others at any offset, two.
+SPANS = (1, 2)
+
+
+def _excerpts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(content, text, asked (kind, stretch)) -> (content, kind, stretch, first, words): the words around a stretch, from word ``first`` on."""
     for batch in batches:
         for i in range(batch.num_rows):
-            sh, _ = shingles([batch.column(1)[i].as_py().encode("utf-8", "surrogatepass")])
-            low = np.where(sh > 0, np.maximum((sh >> np.uint64(20)).astype(np.uint8), 1), 0).astype(np.uint8)
-            every = np.asarray(batch.column(2)[i].values, np.int64)
-            for start in range(0, len(every), 4096):
-                place = every[start : start + 4096]
+            raw = batch.column(1)[i].as_py().encode("utf-8", "surrogatepass").lower()
+            starts, ends = word_edges(raw)
+            asked = batch.column(2)[i].values
+            kinds, stretches = (np.asarray(asked.field(n), np.int64) for n in ("kind", "stretch"))
+            for at in range(0, len(kinds), 1024):
+                kind, stretch = kinds[at : at + 1024], stretches[at : at + 1024]
+                first = np.clip(stretch * STRETCH - FAR, 0, len(starts) - 1)
+                last = np.clip((stretch + np.take(SPANS, kind)) * STRETCH + FAR + WIDTH - 1, 1, len(starts)) - 1
+                words = [raw[starts[f] : ends[max(f, e)]] for f, e in zip(first, last)]
                 yield pa.record_batch({
-                    "content": pa.array(np.full(len(place), batch.column(0)[i].as_py(), np.int64)), "place": pa.array(place.astype(np.int32)),
-                    "around": pa.array([x.tobytes() for x in _around(low, place)], pa.binary()),
+                    "content": pa.array(np.full(len(kind), batch.column(0)[i].as_py(), np.int64)), "kind": pa.array(kind.astype(np.int32)),
+                    "stretch": pa.array(stretch.astype(np.int32)), "first": pa.array(first.astype(np.int32)), "words": pa.array(words, pa.binary()),
                 })
 
 
@@ -242,39 +259,65 @@ def _finer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     })
 
 
-def agreeing_passage(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For rows of surrounding bytes: whether some SHORTEST shingles agree by SIMILAR, and the first and last agreeing place there."""
+def agreeing_passages(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For rows of aligned shingles, 0 where none is: (row, first, last) of each run of places where passages agree.
+
+    A shingle agrees if the other side has it here or one place aside; SHORTEST shingles in a row are a passage if
+    SIMILAR of them agree. Runs begin and end with a shingle that agrees.
+    """
     same = (a == b) & (a > 0)
     same[:, 1:] |= (a[:, 1:] == b[:, :-1]) & (a[:, 1:] > 0)
     same[:, :-1] |= (a[:, :-1] == b[:, 1:]) & (a[:, :-1] > 0)
     sums = np.concatenate([np.zeros((len(a), 1), np.int32), np.cumsum(same, axis=1, dtype=np.int32)], axis=1)
-    runs = sums[:, SHORTEST:] - sums[:, :-SHORTEST]
-    good = runs >= SIMILAR * SHORTEST
-    ok = good.any(axis=1)
-    first = good.argmax(axis=1)
-    last = good.shape[1] - 1 - good[:, ::-1].argmax(axis=1) + SHORTEST - 1
-    inside = np.arange(same.shape[1])[None, :]
-    twice = same.copy()  # a byte may agree by chance, so the ends need two in a row
-    twice[:, 1:-1] &= same[:, :-2] | same[:, 2:]
-    held = twice & (inside >= first[:, None]) & (inside <= last[:, None])
-    return ok, held.argmax(axis=1), held.shape[1] - 1 - held[:, ::-1].argmax(axis=1)
+    good = sums[:, SHORTEST:] - sums[:, :-SHORTEST] >= SIMILAR * SHORTEST
+    edge = np.diff(good.astype(np.int8), axis=1, prepend=0, append=0)
+    row, first = np.nonzero(edge == 1)
+    last = np.nonzero(edge == -1)[1] + SHORTEST - 2
+    places = np.arange(same.shape[1])
+    ahead = np.minimum.accumulate(np.where(same, places, same.shape[1])[:, ::-1], axis=1)[:, ::-1]
+    behind = np.maximum.accumulate(np.where(same, places, -1), axis=1)
+    return row, ahead[row, first], behind[row, last]
+
+
+def aligned(excerpts: list[bytes], first: np.ndarray, begin: np.ndarray, width: int) -> np.ndarray:
+    """Rows of the shingles at places from ``begin`` on, of excerpts that start at word ``first``."""
+    sh, at = shingles(excerpts)
+    out = np.zeros((len(excerpts), width), np.uint64)
+    for i, skip in enumerate((first - begin).tolist()):
+        some = sh[at[i] + max(0, -skip) : at[i + 1]][: width - max(0, skip)]
+        out[i, max(0, skip) : max(0, skip) + len(some)] = some
+    return out
+
+
+def _in_steps(row: np.ndarray, low: np.ndarray, high: np.ndarray, step: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs longer than a step in pieces: where a text repeats itself at an offset, each time is a place of its own."""
+    size = high - low + 1
+    pieces = size // step + (size % step >= SHORTEST)
+    pieces = np.where(size <= step, 1, pieces)
+    at = np.repeat(np.arange(len(row)), pieces)
+    begin = low[at] + (np.arange(len(at)) - np.repeat(np.cumsum(pieces) - pieces, pieces)) * step[at]
+    return row[at], begin, np.minimum(high[at], begin + step[at] - 1)
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs (content, place, around, other, other_place, other_around) -> (content, other, begin, end, other_begin, other_end) in words."""
+    """Pairs (content, stretch, first, words, other, offset, other_first, other_words) -> (content, other, begin, end, other_begin, other_end) in words."""
+    width = STRETCH + 2 * FAR
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, 2 * FAR + 1) for i in (2, 5))
-        ok, first, last = agreeing_passage(a, b)
-        at = np.flatnonzero(ok)
-        place, other = (np.asarray(batch.column(i), np.int64)[at] for i in (1, 4))
-        span = lambda p: (np.maximum(p - FAR + first[at], 0), p - FAR + last[at] + WIDTH)  # noqa: B023, E731
-        (s, e), (t, f) = span(place), span(other)
-        yield pa.record_batch({
-            "content": batch.column(0).take(pa.array(at)), "other": batch.column(3).take(pa.array(at)),
-            "begin": pa.array(s), "end": pa.array(e), "other_begin": pa.array(t), "other_end": pa.array(f),
-        })
+        for start in range(0, batch.num_rows, 512):
+            some = batch.slice(start, 512)
+            number = lambda n: np.asarray(some.column(n), np.int64)  # noqa: B023, E731
+            begin = number("stretch") * STRETCH - FAR
+            offset = number("offset")
+            a = aligned(some.column("words").to_pylist(), number("first"), begin, width)
+            b = aligned(some.column("other_words").to_pylist(), number("other_first"), begin - offset, width)
+            row, low, high = agreeing_passages(a, b)
+            itself = np.asarray(some.column("content")) == np.asarray(some.column("other"))
+            row, low, high = _in_steps(row, low, high, np.where(itself[row], np.abs(offset[row]), width))
+            s, e = begin[row] + low, begin[row] + high + WIDTH
+            yield pa.record_batch({
+                "content": some.column("content").take(pa.array(row)), "other": some.column("other").take(pa.array(row)),
+                "begin": pa.array(s), "end": pa.array(e), "other_begin": pa.array(np.maximum(s - offset[row], 0)), "other_end": pa.array(e - offset[row]),
+            })
 
 
 WINDOW = "content long, key long, place int, reach_left short, reach_right short"
@@ -298,22 +341,24 @@ def _with_hubs(windows: DataFrame, label: str) -> DataFrame:
 def _compared(read: DataFrame, met: DataFrame) -> DataFrame:
     """Passages that windows share with their hubs.
 
-    The interval join: windows that reach far enough around the hub's. Of those of two texts at one offset, the first
-    and the last of each stretch of a passage's length are compared. In one text the places must be a passage apart.
+    The interval join: windows that reach far enough around the hub's. All windows of two texts at one offset whose
+    places lie in one stretch are one comparison. In one text the places must be a passage apart.
     """
     offset = F.col("place") - F.col("at")
     reach = F.least("reach_left", "l") + F.least("reach_right", "r") + 1 >= SHORTEST
     apart = (F.col("content") != F.col("hub")) | (F.abs(offset) >= SHORTEST)
-    near = met.filter(reach & apart)
-    pairs = near.groupBy("content", F.col("hub").alias("other"), offset.alias("offset"), F.expr(f"place div {SHORTEST}")).agg(F.array(F.min("place"), F.max("place")).alias("ends"))
-    pairs = pairs.select("content", "other", "offset", F.explode(F.array_distinct("ends")).alias("place"))
-    pairs = materialize(pairs.select("content", "place", "other", (F.col("place") - F.col("offset")).alias("other_place")), "pairs")
-    asked = pairs.select("content", "place").union(pairs.select("other", "other_place")).distinct()
-    lists = asked.groupBy("content").agg(F.collect_list("place").alias("places"))
-    around = materialize(_texts_with(read, lists).select("content", "text", "places").mapInArrow(lean(_surroundings), "content long, place int, around binary"), "around")
-    other = around.select(F.col("content").alias("other"), F.col("place").alias("other_place"), F.col("around").alias("other_around"))
-    both = pairs.join(around, ["content", "place"]).join(other, ["other", "other_place"])
-    both = both.select("content", "place", "around", "other", "other_place", "other_around")
+    stretch = F.expr(f"cast(place div {STRETCH} as int)")
+    pairs = met.filter(reach & apart).select("content", F.col("hub").alias("other"), offset.alias("offset"), stretch.alias("stretch")).distinct()
+    beside = F.floor((F.col("stretch") * STRETCH - F.col("offset")) / STRETCH).cast("int")
+    pairs = materialize(pairs.withColumn("other_stretch", beside), "pairs")
+    asked = pairs.select("content", F.struct(F.lit(0).alias("kind"), "stretch").alias("a")).union(pairs.select("other", F.struct(F.lit(1), "other_stretch")))
+    lists = asked.groupBy("content").agg(F.collect_set("a").alias("asked"))
+    told = _texts_with(read, lists).select("content", "text", "asked").mapInArrow(lean(_excerpts), "content long, kind int, stretch int, first int, words binary")
+    told = materialize(told, "excerpts", compression="zstd")
+    own = told.filter("kind = 0").select("content", "stretch", "first", "words")
+    other = told.filter("kind = 1").select(F.col("content").alias("other"), F.col("stretch").alias("other_stretch"), F.col("first").alias("other_first"), F.col("words").alias("other_words"))
+    both = pairs.join(own, ["content", "stretch"]).join(other, ["other", "other_stretch"])
+    both = both.select("content", "stretch", "first", "words", "other", "offset", "other_first", "other_words")
     return materialize(both.mapInArrow(lean(_compare), PASSAGE), "passages")
 
 
@@ -321,7 +366,15 @@ def repeated_passages(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Numbered documents (row, doc_id, content), and links (content, other, begin, end, other_begin, other_end) between passages."""
     ensure_shipped(docs.sparkSession)
     rows = docs.select("doc_id", "text").withColumn("content", F.when(F.col("text").isNotNull(), F.xxhash64("text")))
-    numbered = materialize(rows.select("doc_id", "content"), "contents")
+    again = F.when(F.col("text").isNotNull(), F.xxhash64(F.lit(1), "text"))
+    numbered = materialize(rows.select("doc_id", "content", again.alias("again")), "contents")
+    # Texts are told apart by 128 bits: those that share the first 64 and not the others go by the others.
+    clash = numbered.groupBy("content").agg(F.min("again").alias("a"), F.max("again").alias("b")).filter("a <> b").select("content", F.lit(True).alias("clash"))
+    if clash.limit(1).count():
+        clash = materialize(clash, "clashes")
+        rows = join_checked(rows, clash, "content", "left").withColumn("content", F.when(F.col("clash"), again).otherwise(F.col("content"))).drop("clash")
+        numbered = join_checked(numbered, clash, "content", "left").select("doc_id", F.when(F.col("clash"), F.col("again")).otherwise(F.col("content")).alias("content"))
+    numbered = numbered.select("doc_id", "content")
     read = rows.filter(F.col("text").isNotNull()).select("content", "text")
     windows = materialize(read.mapInArrow(lean(_windows), WINDOW), "windows")
     met = _with_hubs(windows, "met")

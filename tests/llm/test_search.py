@@ -279,6 +279,71 @@ def test_links_and_repeats_against_all_offsets(spark):
     assert len(got[len(texts) - 3].spans.split(",")) in (2, 3)
 
 
+def random_words(rng, n):
+    return ["".join(rng.choices("abcdefghijklmnop", k=6)) for _ in range(n)]
+
+
+def test_a_common_run_shorter_than_a_passage_links_nothing(spark):
+    rng = random.Random(21)
+    run = random_words(rng, 40)
+    rows = [(i, " ".join(random_words(rng, 60) + run + random_words(rng, 60))) for i in range(300)]
+    got = passages.near_duplicate_passages(docs_of(spark, rows)).collect()
+    assert all(r.n_links == 0 and r.class_id == r.doc_id and r.spans == "" for r in got)
+
+
+def test_runs_of_any_length_and_edited_passages_by_the_rule(spark):
+    rng = random.Random(22)
+    texts = []
+    for size in range(36, 61):
+        run = random_words(rng, size)
+        texts += [random_words(rng, 50) + run + random_words(rng, 50) for _ in range(2)]
+    for edits in (1, 2, 3):
+        for _ in range(4):
+            passage = random_words(rng, 70)
+            near = list(passage)
+            for at in rng.sample(range(70), edits):
+                near[at] = random_words(rng, 1)[0]
+            texts += [random_words(rng, 30) + x + random_words(rng, 30) for x in (passage, near)]
+    want = {x for x in plain_links(texts) if x[0] != x[1]}
+    got = {r.doc_id: r.class_id for r in passages.near_duplicate_passages(docs_of(spark, [(i, " ".join(t)) for i, t in enumerate(texts)])).collect()}
+    found = {(got[i], i) for i in got if got[i] != i}
+    assert found <= want  # nothing but what the rule links
+    assert not want - found or all(b >= 50 for _, b in want - found)  # whole runs are all found,
+    assert len(want - found) <= 2  # and edits leave a common window but for a few
+
+
+def test_agreeing_passages_are_runs_of_places():
+    rng = np.random.default_rng(23)
+    for _ in range(200):
+        a = rng.integers(1, 1 << 60, (1, 150), dtype=np.uint64)
+        b = np.where(rng.random((1, 150)) < rng.choice([0.1, 0.2, 0.3]), rng.integers(1, 1 << 60, (1, 150), dtype=np.uint64), a)
+        b[0, rng.integers(0, 150) :] = 1
+        same = [x == y or x in (b[0, max(0, i - 1)], b[0, min(149, i + 1)]) for i, (x, y) in enumerate(zip(a[0], b[0]))]
+        good = [sum(same[i : i + passages.SHORTEST]) >= 0.8 * passages.SHORTEST for i in range(150 - passages.SHORTEST + 1)]
+        want, i = [], 0
+        while i < len(good):
+            if good[i]:
+                j = i
+                while j + 1 < len(good) and good[j + 1]:
+                    j += 1
+                inside = [k for k in range(i, j + passages.SHORTEST) if same[k]]
+                want.append((0, inside[0], inside[-1]))
+                i = j
+            i += 1
+        assert list(zip(*(x.tolist() for x in passages.agreeing_passages(a, b)))) == want
+
+
+def test_texts_whose_hashes_clash_are_told_apart(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    rng = random.Random(24)
+    one, two = (" ".join(random_words(rng, 60)) for _ in range(2))
+    plain = passages.F.xxhash64
+    monkeypatch.setattr(passages.F, "xxhash64", lambda *c: F.lit(7).cast("bigint") if [x for x in c if isinstance(x, str)] == ["text"] and len(c) == 1 else plain(*c))
+    got = {r.doc_id: (r.class_id, r.copies) for r in passages.near_duplicate_passages(docs_of(spark, [(1, one), (2, two), (3, one)])).collect()}
+    assert got == {1: (1, 2), 2: (2, 1), 3: (1, 2)}
+
+
 def test_runs_of_a_key_are_thinned_and_nothing_else():
     rng = np.random.default_rng(13)
     for _ in range(100):
