@@ -8,14 +8,22 @@ same paths and depth are one column with their number as weight; that is summed
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from helixmill.operators.cut import cut
+from helixmill.operators.scan import dealt_by_size
 from helixmill.shipping import ensure_shipped
 
 EPS = 1e-9
+#: Steps after which the inverse of the basis is computed anew.
+REFRESH = 64
+#: Cells of a species that one task takes; a larger species is fitted by refinement, and so many of all species need no dealing.
+MOST_CELLS = 50_000
 
 
 def lower_median(depth: np.ndarray, weight: np.ndarray) -> float:
@@ -73,8 +81,10 @@ def _simplex(incidence: np.ndarray, depth: np.ndarray, weight: np.ndarray, steps
     value[basis] = incidence.T.astype(float) @ weight
     stalled = 0
     steps = 50 * (n + p) + 100 if steps is None else steps
-    for _ in range(steps):
-        inverse = np.linalg.inv(columns[:, basis])
+    inverse = np.eye(p)
+    for done in range(steps):
+        if done % REFRESH == REFRESH - 1:
+            inverse = np.linalg.inv(columns[:, basis])
         price = gain[basis] @ inverse
         reduced = gain - price @ columns
         reduced[basis] = 0
@@ -83,9 +93,18 @@ def _simplex(incidence: np.ndarray, depth: np.ndarray, weight: np.ndarray, steps
         # The largest reduced cost enters; after steps that don't move, the first one, so that the method ends.
         enter = int(np.argmax(wish > EPS)) if stalled > p + 5 else int(np.argmax(wish))
         if wish[enter] <= EPS:
+            if done and done % REFRESH != REFRESH - 1:  # confirmed with an inverse of its own
+                inverse = np.linalg.inv(columns[:, basis])
+                value[basis] = inverse @ -(np.delete(columns, basis, axis=1) @ np.delete(value, basis))
+                price = gain[basis] @ inverse
+                reduced = gain - price @ columns
+                reduced[basis] = 0
+                if np.where(at_high, -reduced, reduced).max() > EPS:
+                    continue
             return np.maximum(price, 0), value[:n]
         sign = -1.0 if at_high[enter] else 1.0
-        change = -sign * (inverse @ columns[:, enter])
+        turned = inverse @ columns[:, enter]
+        change = -sign * turned
         room = np.full(p, np.inf)
         up, down = change > EPS, change < -EPS
         room[up] = (high[basis][up] - value[basis][up]) / change[up]
@@ -105,6 +124,9 @@ def _simplex(incidence: np.ndarray, depth: np.ndarray, weight: np.ndarray, steps
         value[out] = high[out] if at_high[out] else low[out]
         basis[leave] = enter
         at_high[enter] = False
+        pivot = inverse[leave] / turned[leave]
+        inverse -= np.outer(turned, pivot)
+        inverse[leave] = pivot
     raise RuntimeError(f"no optimum within {steps} steps for {p} paths over {n} kinds of nodes")
 
 
@@ -112,30 +134,70 @@ def objective(incidence: np.ndarray, depth: np.ndarray, weight: np.ndarray, x: n
     return float(weight @ np.abs(incidence @ x - depth))
 
 
-def fit_species(walks: DataFrame, depth: DataFrame) -> DataFrame:
+FITTED = "species string, hap_id string, x double, objective double, gap double"
+
+
+def incidence_of(sets) -> tuple[list[str], np.ndarray]:
+    """The paths named in lists of paths, in order, and the matrix of zeros and ones of lists by paths."""
+    names = sorted({h for haps in sets for h in haps})
+    at = {h: i for i, h in enumerate(names)}
+    matrix = np.zeros((len(sets), len(names)))
+    for row, haps in enumerate(sets):
+        matrix[row, [at[h] for h in haps]] = 1
+    return names, matrix
+
+
+def path_cells(walks: DataFrame, depth: DataFrame) -> DataFrame:
+    """(species, haps, depth, n): how many nodes of a depth lie on just these paths."""
+    sets = walks.select("species", "node_id", "hap_id").distinct().groupBy("species", "node_id").agg(F.array_sort(F.collect_set("hap_id")).alias("haps"))
+    used = sets.join(depth.filter("depth > 0").select("species", "node_id", "depth"), ["species", "node_id"])
+    return used.groupBy("species", "haps", "depth").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _solved(frame: pd.DataFrame) -> pd.DataFrame:
+    frame = frame.assign(_key=[",".join(h) for h in frame.haps]).sort_values(["_key", "depth"])
+    names, matrix = incidence_of(list(frame.haps))
+    d, w = frame.depth.to_numpy(float), frame.n.to_numpy(float)
+    x, gap = fit_with_gap(matrix, d, w)
+    return pd.DataFrame({"species": frame.species.iloc[0], "hap_id": names, "x": x, "objective": objective(matrix, d, w, x) / w.sum(), "gap": gap / w.sum()})
+
+
+def _one_after_another(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows sorted by species -> the fits, a species at a time."""
+    held: list[pd.DataFrame] = []
+    for frame in frames:
+        for _, part in frame.groupby("species", sort=False):
+            if held and held[-1].species.iloc[0] != part.species.iloc[0]:
+                yield _solved(pd.concat(held))
+                held = []
+            held.append(part)
+    if held:
+        yield _solved(pd.concat(held))
+
+
+def fit_species(walks: DataFrame, depth: DataFrame, most_cells: int = MOST_CELLS) -> DataFrame:
     """(species, hap_id, x, objective, gap): walks (species, hap_id, node_id) and depths (species, node_id, depth).
 
     Only nodes with depth on some walk count; the objective is their mean absolute deviation, and ``gap`` what a dual
     solution proves it may exceed the optimum by. A species with many reads is no larger here than its distinct sets of
-    paths and depths.
+    paths and depths. Species are dealt to tasks by their number of these cells, the largest first; one of more than
+    ``most_cells`` is fitted by refinement, with its cells spread over all tasks.
     """
-    ensure_shipped(walks.sparkSession)
-    sets = walks.select("species", "node_id", "hap_id").distinct().groupBy("species", "node_id").agg(F.array_sort(F.collect_set("hap_id")).alias("haps"))
-    used = sets.join(depth.filter("depth > 0").select("species", "node_id", "depth"), ["species", "node_id"])
-    cells = used.groupBy("species", "haps", "depth").agg(F.count(F.lit(1)).alias("n"))
-
-    def solve(frame: pd.DataFrame) -> pd.DataFrame:
-        names = sorted({h for haps in frame.haps for h in haps})
-        at = {h: i for i, h in enumerate(names)}
-        frame = frame.assign(_key=[",".join(h) for h in frame.haps]).sort_values(["_key", "depth"])
-        matrix = np.zeros((len(frame), len(names)))
-        for row, haps in enumerate(frame.haps):
-            matrix[row, [at[h] for h in haps]] = 1
-        d, w = frame.depth.to_numpy(float), frame.n.to_numpy(float)
-        x, gap = fit_with_gap(matrix, d, w)
-        return pd.DataFrame({"species": frame.species.iloc[0], "hap_id": names, "x": x, "objective": objective(matrix, d, w, x) / w.sum(), "gap": gap / w.sum()})
-
-    return cells.groupBy("species").applyInPandas(solve, "species string, hap_id string, x double, objective double, gap double")
+    spark = walks.sparkSession
+    ensure_shipped(spark)
+    cells = cut(path_cells(walks, depth))
+    sizes = cut(cells.groupBy("species").agg(F.count(F.lit(1)).alias("cells")))
+    most, every = sizes.agg(F.max("cells"), F.sum("cells")).first()
+    if (every or 0) <= most_cells:
+        return cells.groupBy("species").applyInPandas(_solved, FITTED)
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = cut(dealt_by_size(sizes.filter(F.col("cells") <= most_cells), "species", "cells", tasks))
+    fits = cells.join(dealt, "species").repartitionById(tasks, "task").sortWithinPartitions("species").drop("task").mapInPandas(_one_after_another, FITTED)
+    if most > most_cells:
+        from helixmill.operators.refine import fit_large
+
+        fits = fits.union(fit_large(cells.join(sizes.filter(F.col("cells") > most_cells), "species", "left_semi")))
+    return fits
 
 
 def single_path(walks: DataFrame, depth: DataFrame) -> DataFrame:

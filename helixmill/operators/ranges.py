@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from helixmill.operators.scan import running_total
+
 
 def genome_groups(genomes: DataFrame) -> DataFrame:
     """(species, genomes, is_pan): how many genomes a species has, and whether they make a pangenome."""
@@ -16,24 +18,21 @@ def genome_groups(genomes: DataFrame) -> DataFrame:
 
 def rebase(local: DataFrame) -> DataFrame:
     """Shift ranges (species, start, end, is_pan, ord) by the ends before them, pangenomes first, then by ``ord``."""
-    before = Window.partitionBy(F.lit(1)).orderBy(F.desc("is_pan"), "ord").rowsBetween(Window.unboundedPreceding, -1)
-    shift = F.coalesce(F.sum("end").over(before), F.lit(0))
-    return local.withColumn("_shift", shift).select("species", (F.col("start") + F.col("_shift")).alias("start"), (F.col("end") + F.col("_shift")).alias("end"), "is_pan")
+    moved = running_total(local, [F.desc("is_pan"), F.asc("ord")], "end", "_shift")
+    return moved.select("species", (F.col("start") + F.col("_shift")).alias("start"), (F.col("end") + F.col("_shift")).alias("end"), "is_pan")
 
 
 def from_counts(counts: DataFrame) -> DataFrame:
     """Consecutive ranges of ``n`` nodes per species, by ``ord``; species without a flag are left out and take no ids."""
-    running = Window.partitionBy(F.lit(1)).orderBy("ord").rowsBetween(Window.unboundedPreceding, 0)
-    known = counts.filter(F.col("is_pan").isNotNull()).withColumn("_end", F.sum("n").over(running))
-    return known.select("species", (F.col("_end") - F.col("n") + 1).alias("start"), F.col("_end").alias("end"), "is_pan")
+    known = running_total(counts.filter(F.col("is_pan").isNotNull()), [F.asc("ord")], "n", "_before")
+    return known.select("species", (F.col("_before") + 1).alias("start"), (F.col("_before") + F.col("n")).alias("end"), "is_pan")
 
 
 def merge_databases(databases: list[DataFrame]) -> DataFrame:
     """Ranges of several databases one after the other, each shifted by the last ends of those before."""
     tagged = [db.withColumn("_db", F.lit(i)) for i, db in enumerate(databases)]
     every = reduce(DataFrame.unionByName, tagged)
-    before = Window.partitionBy(F.lit(1)).orderBy("_db").rowsBetween(Window.unboundedPreceding, -1)
-    shifts = every.groupBy("_db").agg(F.max("end").alias("_last")).withColumn("_shift", F.coalesce(F.sum("_last").over(before), F.lit(0)))
+    shifts = running_total(every.groupBy("_db").agg(F.max("end").alias("_last")), [F.asc("_db")], "_last", "_shift")
     moved = every.join(F.broadcast(shifts.select("_db", "_shift")), "_db")  # a row per database
     return moved.select("species", (F.col("start") + F.col("_shift")).alias("start"), (F.col("end") + F.col("_shift")).alias("end"), "is_pan")
 

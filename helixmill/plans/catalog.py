@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from helixmill.functions import names
-from helixmill.operators import classify, cluster, coverage, lad, ranges, seqstats, sketch, species, strain
+from helixmill.operators import classify, cluster, coverage, lad, ranges, refine, seqstats, sketch, species, strain
 from helixmill.operators.cut import settled
 from helixmill.plans import bindings as b
 from helixmill.plans.oracle import ORACLE_SQL
@@ -264,6 +264,14 @@ def opt1_lad_pair(s, d):
     return rounded(fits.groupBy("species").agg(F.max("objective").alias("objective")))
 
 
+@query
+def opt1_lad_refined(s, d):
+    """The fit of two haplotypes per species with no species in one task: intervals of depth, refined until none is open."""
+    cells = lad.path_cells(b.walks(s, d).filter("hap_id in ('H0', 'H1')"), coverage.node_depth(_visits(s, d), b.nodes(s, d)))
+    fits = refine.fit_large(cells)
+    return rounded(fits.groupBy("species").agg(F.max("objective").alias("objective"), F.abs(F.round(F.max("gap"), 6)).alias("gap")))
+
+
 @query
 def opt2_refit(s, d):
     kept = strain.first_filter(_trio_depth(s, d)).filter("keep").select("species", "hap_id")

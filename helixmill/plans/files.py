@@ -157,6 +157,19 @@ def _graph_files(s, d, back: bool = False) -> str:
     return f"{path}/species=*"
 
 
+def _split_walks(s, d) -> str:
+    """Node and walk lines by species; a walk takes a line for every five steps, and haplotypes' lines are mixed."""
+    n = b.nodes(s, d).withColumn("local", F.expr("row_number() over (partition by species order by node_id)"))
+    s_lines = n.select("species", F.lit(-1).cast("bigint").alias("at"), F.lit("").alias("hap_id"), _tabbed(F.lit("S"), F.col("local"), F.expr("repeat('A', cast(node_len as int))")).alias("value"))
+    w = b.walks(s, d).join(n.select("species", "node_id", "local"), ["species", "node_id"])
+    few = w.groupBy("species", "hap_id", F.expr("cast(pos div 5 as bigint)").alias("at")).agg(F.array_sort(F.collect_list(F.struct("pos", "local"))).alias("five"))
+    steps = F.concat(F.lit(">"), F.array_join(F.transform("five", lambda x: x.getField("local").cast("string")), ">"))
+    w_lines = few.select("species", "at", "hap_id", _tabbed(F.lit("W"), "hap_id", F.lit("0"), F.lit("c"), F.lit("0"), F.lit("9"), steps).alias("value"))
+    path = _path(s)
+    s_lines.union(w_lines).repartition("species").sortWithinPartitions("species", "at", "hap_id").select("species", "value").write.partitionBy("species").text(path)
+    return f"{path}/species=*"
+
+
 def _steps(walks: DataFrame) -> DataFrame:
     return walks.select("species", "hap_id", "pos", "node_id")
 
@@ -172,6 +185,11 @@ def sc10_gfa_walks(s, d):
     return _steps(graphs.read_gfa(s, _graph_files(s, d), orient=False)[1])
 
 
+@query
+def sc10_long_walks(s, d):
+    return _steps(graphs.read_gfa(s, _split_walks(s, d), orient=False)[1])
+
+
 @query
 def sc11_gfa_oriented(s, d):
     return _steps(graphs.read_gfa(s, _graph_files(s, d, back=True))[1])

@@ -6,12 +6,13 @@ Parquet by species in ``nodes`` and ``walks``, with node ids local to a species.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from helixmill.functions.names import basename, hap_id
 from helixmill.operators import classify, cluster, index, ranges, sketch, species, strain
 from helixmill.operators.cut import cut
+from helixmill.operators.scan import numbered
 from helixmill.sources import fasta, gaf, graphs, sinks, tables
 
 
@@ -72,14 +73,12 @@ def thin_out(
     Genomes (genome_ID, species_taxid, id, ...) of a species that similarities (query, refer, ani, by file name) of at
     least ``strong`` connect are one; of its representatives the largest set stays whose pairs all reach ``weak``, with the
     reference genome (genome_ID) if there is one; a species without any similar pair keeps its reference or longest N50.
-    Ids of genomes and species are dealt on the driver's side of one small table, the genome list.
     """
     named = info.select("genome_ID", "species_taxid", basename(F.col("id")).alias("file")).join(stats.select("file", "n50"), "file", "left")
     refs = (references.select("genome_ID").distinct() if references is not None else info.select("genome_ID").limit(0)).withColumn("_ref", F.lit(True))
-    listed = Window.partitionBy(F.lit(1))  # a row per genome of the list
-    genomes = named.join(refs, "genome_ID", "left").select(
-        "genome_ID", "file", F.coalesce("n50", F.lit(0)).cast("bigint").alias("n50"), F.coalesce("_ref", F.lit(False)).alias("is_ref"),
-        F.dense_rank().over(listed.orderBy("species_taxid")).cast("int").alias("label"), F.row_number().over(listed.orderBy("genome_ID")).cast("bigint").alias("genome"),
+    labels = numbered(info.select("species_taxid").distinct(), [F.asc("species_taxid")], "label")
+    genomes = numbered(named.join(labels, "species_taxid"), [F.asc("genome_ID"), F.asc("file")], "genome").join(refs, "genome_ID", "left").select(
+        "genome_ID", "file", F.coalesce("n50", F.lit(0)).cast("bigint").alias("n50"), F.coalesce("_ref", F.lit(False)).alias("is_ref"), F.col("label").cast("int").alias("label"), "genome",
     )
     genomes = cut(genomes)
     side = lambda x: genomes.select(F.col("file").alias(x), F.col("genome").alias(f"_{x}"), F.col("label").alias(f"_{x}_label"))

@@ -182,6 +182,9 @@ _FINAL = {
     "opt1_lad_pair": """, line as (select distinct species, a, b, d from c_pair union all select distinct species, 1, 0, 0.0 from c_pair union all select distinct species, 0, 1, 0.0 from c_pair),
         meet as (select distinct p.species, (p.d * q.b - q.d * p.b) / (p.a * q.b - p.b * q.a) as x, (p.a * q.d - q.a * p.d) / (p.a * q.b - p.b * q.a) as y from line p join line q using (species) where p.a * q.b - p.b * q.a <> 0)
         select species, round(min(o), 6) as objective from (select species, x, y, sum(n * abs(a * x + b * y - d)) / sum(n) as o from meet join c_pair using (species) where x >= -1e-9 and y >= -1e-9 group by 1, 2, 3) group by 1""",
+    "opt1_lad_refined": """, line as (select distinct species, a, b, d from c_pair union all select distinct species, 1, 0, 0.0 from c_pair union all select distinct species, 0, 1, 0.0 from c_pair),
+        meet as (select distinct p.species, (p.d * q.b - q.d * p.b) / (p.a * q.b - p.b * q.a) as x, (p.a * q.d - q.a * p.d) / (p.a * q.b - p.b * q.a) as y from line p join line q using (species) where p.a * q.b - p.b * q.a <> 0)
+        select species, round(min(o), 6) as objective, 0.0::double as gap from (select species, x, y, sum(n * abs(a * x + b * y - d)) / sum(n) as o from meet join c_pair using (species) where x >= -1e-9 and y >= -1e-9 group by 1, 2, 3) group by 1""",
     "ag18_species_avg_len": "select lang as species, round(avg(n_chars), 6) as len from documents group by 1",
     "ag19_seq_stats": _stats(_SEQ, "genome", "Nn", "GgCc", "ceil"),
     "ag20_n50_ceil": f"select genome, n50, n90 from ({_stats(_SEQ, 'genome', 'Nn', 'GgCc', 'ceil')})",
@@ -254,6 +257,7 @@ _FINAL |= {
     "sk5_rounded_report": "select species_taxid, round(predicted_abundance, 2) as predicted_abundance, round(predicted_coverage, 2) as predicted_coverage from c_profile",
     "sc10_gfa_nodes": "select species, local as node_id, node_len from c_local_node",
     "sc10_gfa_walks": "select species, hap_id, pos, local as node_id from b_walk join c_local_node using (species, node_id)",
+    "sc10_long_walks": "select species, hap_id, pos, local as node_id from b_walk join c_local_node using (species, node_id)",
     "sc11_gfa_oriented": "select species, hap_id, pos, local as node_id from b_walk join c_local_node using (species, node_id)",
     "sc11_graph_ranges": """select species, min(local) as "start", max(local) as "end", (any_value(h) > 1)::int as is_pan from c_local_node left join (select species, count(distinct hap_id) as h from b_walk group by 1) using (species) group by 1""",
     "sc12_sk7_stored_graph": "select * from b_node where species in ('S1', 'S3', 'S4')",

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from helixmill.operators.cut import cut
+
 
 def read_gfa(spark: SparkSession, path: str, first_node: int = 0, orient: bool = True) -> tuple[DataFrame, DataFrame]:
     """Nodes (species, node_id, node_len) and walks (species, hap_id, pos, node_id) of GFA files named by species.
@@ -28,8 +30,26 @@ def read_gfa(spark: SparkSession, path: str, first_node: int = 0, orient: bool =
     back = F.when(is_walk, steps.startswith("<")).otherwise(F.element_at(F.split(steps, ","), 1).endswith("-"))
     ids = F.transform(F.regexp_extract_all(steps, F.lit(r"(\d+)"), F.lit(1)), lambda x: x.cast("bigint") - first_node)
     lines = f.filter(is_walk | is_path).select("species", "line", hap.alias("hap_id"), (F.when(back, F.reverse(ids)).otherwise(ids) if orient else ids).alias("ids"))
-    whole = lines.groupBy("species", "hap_id").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("line", "ids"))), lambda x: x.getField("ids"))).alias("ids"))
-    return nodes, whole.select("species", "hap_id", F.posexplode("ids").alias("pos", "node_id"))
+    return nodes, _placed(lines)
+
+
+#: Lines of walks up to this many are placed by a broadcast.
+BROADCAST_LINES = 200_000
+
+
+def _placed(lines: DataFrame) -> DataFrame:
+    """Steps (species, hap_id, pos, node_id) of walk lines (species, line, hap_id, ids).
+
+    A first pass takes the lines' lengths only; their sums along each haplotype say where a second pass puts the steps,
+    so that no walk is put together anywhere.
+    """
+    along = Window.partitionBy("species", "hap_id").orderBy("line").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = lines.select("species", "hap_id", "line", F.size("ids").cast("bigint").alias("n"))
+    starts = cut(sizes.select("species", "hap_id", "line", F.coalesce(F.sum("n").over(along), F.lit(0)).alias("start")))
+    few = starts.limit(BROADCAST_LINES + 1).count() <= BROADCAST_LINES
+    both = lines.join(F.broadcast(starts) if few else starts, ["species", "hap_id", "line"])
+    steps = both.select("species", "hap_id", "start", F.posexplode("ids").alias("at", "node_id"))
+    return steps.select("species", "hap_id", (F.col("start") + F.col("at")).cast("int").alias("pos"), "node_id")
 
 
 def check_consecutive(nodes: DataFrame) -> DataFrame:

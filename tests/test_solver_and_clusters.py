@@ -4,8 +4,9 @@ from itertools import combinations, product
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from helixmill.operators import cluster, lad
+from helixmill.operators import cluster, lad, refine, scan
 
 
 def best_objective(a, d, w):
@@ -47,6 +48,87 @@ def test_fit_species(spark):
     assert got == pytest.approx({"h1": 3, "h2": 2})
 
 
+def planted_cells(rng, species, paths, cells):
+    """Cells of species with planted abundances and noise, depths mostly distinct."""
+    rows = []
+    for s in range(species):
+        x = rng.integers(1, 30, paths)
+        for _ in range(cells):
+            on = np.flatnonzero(rng.random(paths) < 0.5)
+            if len(on):
+                depth = float(max(0.1, x[on].sum() + rng.choice([0.0, rng.normal(0, 3), rng.normal(0, 20)])))
+                rows.append((f"s{s}", [f"h{h}" for h in on], depth, int(rng.integers(1, 4))))
+    return rows
+
+
+@pytest.mark.parametrize("paths", [1, 2, 5])
+def test_refinement_reaches_the_optimum_of_a_single_task(spark, paths, monkeypatch):
+    rng = np.random.default_rng(paths)
+    rows = planted_cells(rng, 3, paths, 1500)
+    cells = spark.createDataFrame(rows, "species string, haps array<string>, depth double, n bigint")
+    sizes = []
+    plain = refine.intervals
+    monkeypatch.setattr(refine, "intervals", lambda c, k: (sizes.append(plain(c, k).groupBy("species").count().agg({"count": "max"}).first()[0]), plain(c, k))[1])
+    fits = refine.fit_large(cells).collect()
+    for s in {r[0] for r in rows}:
+        own = [r for r in rows if r[0] == s]
+        names, matrix = lad.incidence_of([r[1] for r in own])
+        d, w = np.array([r[2] for r in own]), np.array([r[3] for r in own], float)
+        want = lad.objective(matrix, d, w, lad.fit_paths(matrix, d, w))
+        x = {r.hap_id: r.x for r in fits if r.species == s}
+        assert lad.objective(matrix, d, w, np.array([x[n] for n in names])) == pytest.approx(want, rel=1e-9)
+        told = next(r for r in fits if r.species == s)
+        assert told.objective * w.sum() == pytest.approx(want, rel=1e-9)
+        assert abs(told.gap) < 1e-7
+    assert max(sizes) < 0.5 * len(rows) / 3  # of 1,500 cells a task holds the intervals only
+
+
+def test_species_of_any_size_are_fitted_alike(spark):
+    rng = np.random.default_rng(8)
+    walks, depth = [], []
+    for s, n in (("big", 400), ("mid", 60), ("a", 20), ("b", 20), ("c", 3)):
+        for node in range(n):
+            on = [h for h in ("h1", "h2", "h3") if rng.random() < 0.6]
+            walks += [(s, h, node) for h in on]
+            depth.append((s, node, float(rng.normal(20, 5) * max(1, len(on)))))
+    walks = spark.createDataFrame(walks, "species string, hap_id string, node_id bigint")
+    depth = spark.createDataFrame(depth, "species string, node_id bigint, depth double")
+    plain = {(r.species, r.hap_id): r.objective for r in lad.fit_species(walks, depth).collect()}
+    for most in (0, 30, 100):
+        got = {(r.species, r.hap_id): r.objective for r in lad.fit_species(walks, depth, most_cells=most).collect()}
+        assert got == pytest.approx(plain, rel=1e-9)
+
+
+def test_no_task_has_over_twice_the_mean(spark):
+    rng = np.random.default_rng(9)
+    for tasks in (1, 4, 7):
+        sizes = [(f"s{i}", int(n)) for i, n in enumerate((1000 / (1 + np.arange(300)) ** 0.8).astype(int))]
+        rng.shuffle(sizes)
+        mean = sum(int(n) for _, n in sizes) / tasks
+        frame = spark.createDataFrame([(k, int(n)) for k, n in sizes], "species string, cells bigint")
+        dealt = {r.species: r.task for r in scan.dealt_by_size(frame, "species", "cells", tasks).collect()}
+        assert len(dealt) == 300
+        loads = [sum(int(n) for k, n in sizes if dealt[k] == t) for t in range(tasks)]
+        assert max(loads) <= 2 * max(mean, 1000 / 2)
+        assert set(dealt.values()) <= set(range(tasks))
+
+
+@pytest.mark.parametrize("parts", [1, 5])
+def test_running_totals(spark, parts):
+    rng = np.random.default_rng(parts)
+    rows = [(int(k), int(v) if v else None) for k, v in zip(rng.permutation(200), rng.integers(0, 9, 200))]
+    frame = spark.createDataFrame(rows, "k bigint, v bigint").repartition(parts)
+    want, before = {}, 0
+    for k, v in sorted(rows, reverse=True):
+        want[k] = before
+        before += v or 0
+    totals = scan.running_total(frame, [F.desc("k")], "v", "before")
+    assert {r.k: r.before for r in totals.collect()} == want
+    assert "SinglePartition" not in totals._jdf.queryExecution().executedPlan().toString()
+    assert [r.n for r in scan.numbered(frame, [F.asc("k")], "n").orderBy("k").collect()] == list(range(1, 201))
+    assert scan.running_total(frame.limit(0), [F.asc("k")], "v", "before").count() == 0
+
+
 @pytest.mark.parametrize("seed", range(10))
 def test_cliques(seed):
     rng = np.random.default_rng(seed)
