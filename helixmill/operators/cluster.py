@@ -175,13 +175,15 @@ def hierarchical(genomes: DataFrame, edges: DataFrame, cutoff: float, method: st
 
 
 def medoids(members: DataFrame, edges: DataFrame) -> DataFrame:
-    """(label, cluster, genome): of one or two members the first, else the one with the least mean distance to the others."""
+    """(label, cluster, genome): of one or two members the first, else the one with the least mean distance to the others; pairs without a similarity are 100 apart."""
     both = edges.select("label", "query", "refer", "ani").union(edges.select("label", "refer", "query", "ani"))
     own = members.select("label", F.col("genome").alias("query"), "cluster")
     other = members.select("label", F.col("genome").alias("refer"), F.col("cluster").alias("_c"))
     inside = both.join(own, ["label", "query"]).join(other, ["label", "refer"]).filter("cluster = _c")
-    mean = inside.groupBy("label", "cluster", "query").agg(F.round(F.avg(100 - F.col("ani")), 6).alias("_d"))
+    known = inside.groupBy("label", "cluster", "query").agg(F.sum(100 - F.col("ani")).alias("_sum"), F.count(F.lit(1)).alias("_k"))
     sizes = members.groupBy("label", "cluster").agg(F.count(F.lit(1)).alias("_n"), F.min("genome").alias("_first"))
+    others = F.col("_n") - 1
+    mean = known.join(sizes, ["label", "cluster"]).withColumn("_d", F.round((F.col("_sum") + 100 * (others - F.col("_k"))) / others, 6))
     best = mean.groupBy("label", "cluster").agg(F.min_by("query", F.struct("_d", "query")).alias("_best"))
     return sizes.join(best, ["label", "cluster"], "left").select("label", "cluster", F.when(F.col("_n") <= 2, F.col("_first")).otherwise(F.col("_best")).alias("genome"))
 

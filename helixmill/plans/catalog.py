@@ -329,6 +329,19 @@ def ou2_strain_profile(s, d):
     return strain.strain_profile(reads, nodes, walks, cov, _strain_genomes(s, d), digits=4)
 
 
+@query
+def ou3_shared_paths(s, d):
+    """The strain driver over two haplotypes that share nodes: how many pass the first filter, and how well their first solutions fit."""
+    reads, nodes, _, cov = _strain_input(s, d)
+    walks = b.walks(s, d).filter("hap_id in ('H0', 'H1')")
+    first = strain.strain_metrics(reads, nodes, walks, cov).filter("first_sol is not null").select("species", "hap_id", "first_sol")
+    haps = first.groupBy("species").agg(F.count(F.lit(1)).alias("haps"))
+    fitted = walks.join(first, ["species", "hap_id"]).groupBy("species", "node_id").agg(F.sum("first_sol").alias("x"))
+    depth = coverage.node_depth(_visits(s, d), nodes).filter("depth > 0")
+    gaps = fitted.join(depth, ["species", "node_id"]).groupBy("species").agg(F.avg(F.abs(F.col("x") - F.col("depth"))).alias("objective"))
+    return rounded(haps.join(gaps, "species"))
+
+
 @query
 def cn_constraints(s, d):
     return rounded(_strain_named(s, d).filter("second_sol is not null").select("species", "hap_id", "first_sol", "second_sol", "is_rescue", "total_cov_diff"))
@@ -583,6 +596,6 @@ def fn11_versions(s, d):
     return b.table(s, d, "part").select("p_partkey", names.version_at_least(have, F.lit("2.3")).alias("enough"))
 
 
-from helixmill.plans import fast, files  # noqa: E402
+from helixmill.plans import fast, files, uses  # noqa: E402
 
-QUERIES |= files.QUERIES | fast.QUERIES
+QUERIES |= files.QUERIES | fast.QUERIES | uses.QUERIES

@@ -1,4 +1,4 @@
-"""The ways the library is used from end to end: build a database, profile a sample, thin out redundant genomes, and fast mode.
+"""The ways the library is used from end to end: build and merge databases, profile a sample, thin out redundant genomes, and fast mode.
 
 A database is a folder: ``species_range.txt``, ``species_genomes_stats.txt`` and ``genomes_info.txt``, and the graphs as
 Parquet by species in ``nodes`` and ``walks``, with node ids local to a species.
@@ -6,13 +6,14 @@ Parquet by species in ``nodes`` and ``walks``, with node ids local to a species.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from helixmill.functions.names import basename, hap_id
 from helixmill.operators import classify, cluster, index, ranges, sketch, species, strain
 from helixmill.operators.cut import cut
 from helixmill.operators.scan import numbered
+from helixmill.plans.resume import Manifest, Stage, publish
 from helixmill.sources import fasta, gaf, graphs, sinks, tables
 
 
@@ -32,36 +33,94 @@ def build_database(spark: SparkSession, graph_files: str, info: DataFrame, lengt
     return placed
 
 
+def merge_databases(spark: SparkSession, folders: list[str], out: str) -> DataFrame:
+    """Write one database from several, whose ranges follow each other; of a species that several hold the last graph stays.
+
+    Genome lists and lengths are put under each other as they are; returns the ranges.
+    """
+    held = [tables.species_range(spark, f"{f}/species_range.txt") for f in folders]
+    placed = cut(ranges.merge_databases(held))
+    sinks.write_tsv(placed.orderBy("start"), f"{out}/species_range.txt", header=False, single=True)
+    lengths = ranges.merge_rows([tables.species_lengths(spark, f"{f}/species_genomes_stats.txt") for f in folders])
+    sinks.write_tsv(lengths.select("species", "len"), f"{out}/species_genomes_stats.txt", header=False, single=True)
+    info = ranges.merge_rows([tables.genomes_info(spark, f"{f}/genomes_info.txt") for f in folders])
+    sinks.write_tsv(info.select("genome_ID", "strain_taxid", "species_taxid", "organism_name", "id"), f"{out}/genomes_info.txt")
+    for part in ("nodes", "walks"):
+        graphs.write_graph(graphs.merge_graphs([graphs.read_graph(spark, f"{f}/{part}") for f in folders]), f"{out}/{part}")
+    return placed
+
+
 def profile_sample(
     spark: SparkSession, alignments: str, database: str, out: str, long_reads: bool = False, species_only: bool = False, filtered: bool = True,
-    mode: int = 2, designated: str | None = None, least: float = 1e-4, min_cov: float = 0.0, single_cov_diff: float = strain.SINGLE_COV_DIFF, digits: int | None = 2, **options,
+    mode: int = 2, designated: str | None = None, least: float = 1e-4, min_cov: float = 0.0, single_cov_diff: float = strain.SINGLE_COV_DIFF, digits: int | None = 2,
+    resume: Manifest | None = None, **options,
 ) -> tuple[DataFrame, DataFrame | None]:
     """Species and strain reports of an alignment file against a database, written to ``out`` and returned.
 
     Long reads first go down to their best alignment, which is written too. ``mode``, ``designated`` and ``least``
-    choose the species that are resolved to strains; ``options`` go to ``strain_metrics``.
+    choose the species that are resolved to strains; ``options`` go to ``strain_metrics``. With a manifest, stages that
+    are on record for these files and options aren't run again: after a break, with other options of a later stage, or
+    for strains after a run for species only.
     """
+
+    def kept(name: str, made_from: list[str], build, **chosen) -> Stage:
+        return Stage(cut(build()), "") if resume is None else resume.stage(name, made_from, chosen, build)
+
+    files = lambda *paths: "" if resume is None else resume.files(*paths)
+    told = files(alignments)
     if long_reads:
-        best = classify.best_alignments(gaf.read_long_gaf(spark, alignments))
-        sinks.write_lines(best.select(F.col("line").alias("value")), f"{out}/filtered.gaf")
-        alignments = f"{out}/filtered.gaf"
+        best = kept("best", [told], lambda: classify.best_alignments(gaf.read_long_gaf(spark, alignments)).select(F.col("line").alias("value")))
+        sinks.write_lines(best.rows, f"{out}/filtered.gaf")
+        alignments, told = f"{out}/filtered.gaf", best.key
     held = cut(tables.species_range(spark, f"{database}/species_range.txt"))
-    reads = gaf.read_gaf(spark, alignments).withColumn("rid", F.monotonically_increasing_id())
-    reads = cut(classify.classify_by_range(reads, held))
-    sinks.write_read_report(reads, f"{out}/reads_classification.tsv")
-    found = species.species_profile(species.species_bases(reads, filtered=filtered), tables.species_lengths(spark, f"{database}/species_genomes_stats.txt"))
-    found = cut(found)
-    sinks.write_species_report(found.orderBy(F.desc_nulls_last("predicted_abundance"), "species_taxid"), f"{out}/species_abundance.txt")
+    of_ranges = files(f"{database}/species_range.txt")
+    reads = kept("reads", [told, of_ranges], lambda: classify.classify_by_range(gaf.read_gaf(spark, alignments).withColumn("rid", F.monotonically_increasing_id()), held))
+    sinks.write_read_report(reads.rows, f"{out}/reads_classification.tsv")
+    lengths = tables.species_lengths(spark, f"{database}/species_genomes_stats.txt")
+    found = kept("species", [reads.key, files(f"{database}/species_genomes_stats.txt")], lambda: species.species_profile(species.species_bases(reads.rows, filtered=filtered), lengths), filtered=filtered)
+    sinks.write_species_report(found.rows.orderBy(F.desc_nulls_last("predicted_abundance"), "species_taxid"), f"{out}/species_abundance.txt")
     if species_only:
-        return found, None
-    chosen = cut(species.candidate_species(found, held, mode, designated, least))
-    graph = [ranges.shift_nodes(graphs.read_graph(spark, f"{database}/{part}").join(chosen.select("species"), "species", "left_semi"), held) for part in ("nodes", "walks")]
-    metrics = cut(strain.strain_metrics(reads, *graph, chosen.select("species", F.col("predicted_coverage").alias("coverage")), **options))
+        return found.rows, None
+    chosen = cut(species.candidate_species(found.rows, held, mode, designated, least))
+
+    def metrics_of() -> DataFrame:
+        graph = [ranges.shift_nodes(graphs.read_graph(spark, f"{database}/{part}").join(chosen.select("species"), "species", "left_semi"), held) for part in ("nodes", "walks")]
+        return strain.strain_metrics(reads.rows, *graph, chosen.select("species", F.col("predicted_coverage").alias("coverage")), **options)
+
+    graph_files = files(f"{database}/nodes", f"{database}/walks")
+    metrics = kept("metrics", [reads.key, found.key, graph_files], metrics_of, mode=mode, designated=designated, least=least, **options).rows
     info = tables.genomes_info(spark, f"{database}/genomes_info.txt").select(hap_id(F.col("id")).alias("hap_id"), "strain_taxid", "genome_ID")
     sinks.write_strain_report(strain.unfiltered_table(metrics, info), f"{out}/ori_strain_abundance.txt")
     strains = cut(strain.strain_table(metrics, info, min_cov, single_cov_diff, digits))
     sinks.write_strain_report(strains.orderBy(F.desc("predicted_abundance")), f"{out}/strain_abundance.txt")
-    return found, strains
+    return found.rows, strains
+
+
+def publish_reports(spark: SparkSession, out: str, prefix: str) -> list[str]:
+    """Copy the reports that a profile has written to ``<prefix>_species_abundance.txt`` and ``<prefix>_strains_abundance.txt``."""
+    jvm = spark.sparkContext._jvm
+    done = []
+    for report, name in (("species_abundance.txt", "species_abundance.txt"), ("strain_abundance.txt", "strains_abundance.txt")):
+        where = jvm.org.apache.hadoop.fs.Path(f"{out}/{report}")
+        if where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
+            publish(spark, f"{out}/{report}", f"{prefix}_{name}")
+            done.append(f"{prefix}_{name}")
+    return done
+
+
+def _listed_genomes(info: DataFrame) -> DataFrame:
+    """(genome_ID, file, label, genome): the genome list with numbers for species and genomes, in the order of their ids."""
+    named = info.select("genome_ID", "species_taxid", basename(F.col("id")).alias("file"))
+    labels = numbered(named.select("species_taxid").distinct(), [F.asc("species_taxid")], "label")
+    every = numbered(named.join(labels, "species_taxid"), [F.asc("genome_ID"), F.asc("file")], "genome")
+    return every.select("genome_ID", "file", F.col("label").cast("int").alias("label"), "genome")
+
+
+def _listed_pairs(pairs: DataFrame, genomes: DataFrame) -> DataFrame:
+    """Similarities (query, refer, ani, by file name) within a species, by the list's numbers."""
+    side = lambda x: genomes.select(F.col("file").alias(x), F.col("genome").alias(f"_{x}"), F.col("label").alias(f"_{x}_label"))
+    edges = pairs.join(side("query"), "query").join(side("refer"), "refer").filter("_query_label = _refer_label")
+    return cluster.pair_max(edges.select(F.col("_query_label").alias("label"), F.col("_query").alias("query"), F.col("_refer").alias("refer"), "ani"))
 
 
 def thin_out(
@@ -74,16 +133,10 @@ def thin_out(
     least ``strong`` connect are one; of its representatives the largest set stays whose pairs all reach ``weak``, with the
     reference genome (genome_ID) if there is one; a species without any similar pair keeps its reference or longest N50.
     """
-    named = info.select("genome_ID", "species_taxid", basename(F.col("id")).alias("file")).join(stats.select("file", "n50"), "file", "left")
     refs = (references.select("genome_ID").distinct() if references is not None else info.select("genome_ID").limit(0)).withColumn("_ref", F.lit(True))
-    labels = numbered(info.select("species_taxid").distinct(), [F.asc("species_taxid")], "label")
-    genomes = numbered(named.join(labels, "species_taxid"), [F.asc("genome_ID"), F.asc("file")], "genome").join(refs, "genome_ID", "left").select(
-        "genome_ID", "file", F.coalesce("n50", F.lit(0)).cast("bigint").alias("n50"), F.coalesce("_ref", F.lit(False)).alias("is_ref"), F.col("label").cast("int").alias("label"), "genome",
-    )
-    genomes = cut(genomes)
-    side = lambda x: genomes.select(F.col("file").alias(x), F.col("genome").alias(f"_{x}"), F.col("label").alias(f"_{x}_label"))
-    edges = pairs.join(side("query"), "query").join(side("refer"), "refer").filter("_query_label = _refer_label")
-    edges = cut(cluster.pair_max(edges.select(F.col("_query_label").alias("label"), F.col("_query").alias("query"), F.col("_refer").alias("refer"), "ani")))
+    told = _listed_genomes(info).join(stats.select("file", "n50"), "file", "left").join(refs, "genome_ID", "left")
+    genomes = cut(told.select("genome_ID", "file", F.coalesce("n50", F.lit(0)).cast("bigint").alias("n50"), F.coalesce("_ref", F.lit(False)).alias("is_ref"), "label", "genome"))
+    edges = cut(_listed_pairs(pairs, genomes))
     members = cluster.components(genomes, edges, strong).join(genomes, ["label", "genome"])
     reps = cut(cluster.representatives(members).join(genomes, ["label", "genome"]))
     kept = cluster.fallback(cluster.clique_selection(reps, edges, weak), genomes)
@@ -92,6 +145,33 @@ def thin_out(
     return chosen
 
 
+def thin_out_by_linkage(
+    spark: SparkSession, info: DataFrame, pairs: DataFrame, out: str, cutoff: float = 99.0, method: str = "complete", most: int | None = None, expand: bool = False,
+) -> DataFrame:
+    """Write and return the genome list of one genome per linkage cluster of each species, cut at an identity.
+
+    A cluster's genome is its first if it has one or two, else the one with the least mean distance to the others; at
+    most ``most`` clusters of a species stay, the largest first. ``expand`` returns all genomes of these clusters, each
+    genome moved to the cluster whose representative is nearest to it. Genomes without a similarity are 100 apart.
+    """
+    genomes = cut(_listed_genomes(info))
+    edges = cut(_listed_pairs(pairs, genomes))
+    members = cut(cluster.hierarchical(genomes, edges, cutoff, method))
+    reps = cut(cluster.medoids(members, edges))
+    if most is not None:
+        sizes = members.groupBy("label", "cluster").agg(F.count(F.lit(1)).alias("_n"))
+        rank = F.row_number().over(Window.partitionBy("label").orderBy(F.desc("_n"), "cluster"))
+        reps = cut(reps.join(sizes, ["label", "cluster"]).withColumn("_r", rank).filter(F.col("_r") <= most).drop("_r", "_n"))
+    kept = reps.select("label", "genome")
+    if expand:
+        own = members.join(reps.select("label", "cluster", F.col("genome").alias("rep")), ["label", "cluster"]).select("label", "genome")
+        near = cluster.reassign(genomes, reps, edges).select("label", "genome")
+        kept = own.union(near).distinct()
+    chosen = cut(tables.in_set(info, genomes.join(kept, ["label", "genome"], "left_semi")))
+    sinks.write_tsv(chosen, f"{out}/genomes_info.txt", single=True)
+    return chosen
+
+
 #: K-mer length and scale of genome sketches, and the identity that keeps a genome.
 SKETCH_K, SKETCH_SCALE, SKETCH_ANI = 31, 200, 99.0
 

@@ -103,10 +103,19 @@ PARTS |= {
     "s_con": """select species, hap_id, fraction, mean, path_base_cov, first_sol, divergence, is_rescue, abs(tot - coverage) / ((tot + coverage) / 2) as total_cov_diff, size,
         case when top > 1.05 * coverage and not is_rescue then s2 * coverage / tot else s2 end as second_sol
         from (select *, sum(coalesce(s2, 0)) over (partition by species) as tot, max(s2) over (partition by species) as top, count(*) over (partition by species) as size from s_every)""",
+    "t_walk": "select * from b_walk where hap_id in ('H0', 'H1')",
     "c_pair": """select species, a, b, depth as d, count(*) as n from (select species, node_id, max((hap_id = 'H0')::int) as a, max((hap_id = 'H1')::int) as b from b_walk where hap_id in ('H0', 'H1') group by 1, 2)
         join c_depth using (species, node_id) where depth > 0 group by 1, 2, 3, 4""",
 }
 
+#: The strain parts over two haplotypes that share nodes.
+_SHARED = ("trio", "unique", "triohap", "triodepth", "zmean", "share", "first", "path", "kind", "possible")
+PARTS |= {f"t_{name}": re.sub(rf"\bs_(walk|{'|'.join(_SHARED)})\b", r"t_\1", PARTS[f"s_{name}"]) for name in _SHARED}
+PARTS |= {
+    "t_node": """select species, a, b, depth as d, count(*) as n from (select species, node_id, max((hap_id = 'H0')::int) as a, max((hap_id = 'H1')::int) as b from t_walk join t_possible using (species, hap_id) group by 1, 2)
+        join c_depth using (species, node_id) where depth > 0 and species in (select species from s_cov) group by 1, 2, 3, 4""",
+}
+
 
 def _table(limit: float | None, digits: int) -> str:
     """The strain report of the bound strains."""
@@ -182,6 +191,9 @@ _FINAL = {
     "opt1_lad_pair": """, line as (select distinct species, a, b, d from c_pair union all select distinct species, 1, 0, 0.0 from c_pair union all select distinct species, 0, 1, 0.0 from c_pair),
         meet as (select distinct p.species, (p.d * q.b - q.d * p.b) / (p.a * q.b - p.b * q.a) as x, (p.a * q.d - q.a * p.d) / (p.a * q.b - p.b * q.a) as y from line p join line q using (species) where p.a * q.b - p.b * q.a <> 0)
         select species, round(min(o), 6) as objective from (select species, x, y, sum(n * abs(a * x + b * y - d)) / sum(n) as o from meet join c_pair using (species) where x >= -1e-9 and y >= -1e-9 group by 1, 2, 3) group by 1""",
+    "ou3_shared_paths": """, line as (select distinct species, a, b, d from t_node union all select distinct species, 1, 0, 0.0 from t_node union all select distinct species, 0, 1, 0.0 from t_node),
+        meet as (select distinct p.species, (p.d * q.b - q.d * p.b) / (p.a * q.b - p.b * q.a) as x, (p.a * q.d - q.a * p.d) / (p.a * q.b - p.b * q.a) as y from line p join line q using (species) where p.a * q.b - p.b * q.a <> 0)
+        select species, any_value(haps) as haps, round(min(o), 6) as objective from (select species, count(*) as haps from t_possible group by 1) join (select species, x, y, sum(n * abs(a * x + b * y - d)) / sum(n) as o from meet join t_node using (species) where x >= -1e-9 and y >= -1e-9 group by 1, 2, 3) using (species) group by 1""",
     "opt1_lad_refined": """, line as (select distinct species, a, b, d from c_pair union all select distinct species, 1, 0, 0.0 from c_pair union all select distinct species, 0, 1, 0.0 from c_pair),
         meet as (select distinct p.species, (p.d * q.b - q.d * p.b) / (p.a * q.b - p.b * q.a) as x, (p.a * q.d - q.a * p.d) / (p.a * q.b - p.b * q.a) as y from line p join line q using (species) where p.a * q.b - p.b * q.a <> 0)
         select species, round(min(o), 6) as objective, 0.0::double as gap from (select species, x, y, sum(n * abs(a * x + b * y - d)) / sum(n) as o from meet join c_pair using (species) where x >= -1e-9 and y >= -1e-9 group by 1, 2, 3) group by 1""",
@@ -239,6 +251,17 @@ _FINAL |= {
         k as (select label, [genome] as c from rep union all select * from k2 union all select * from k3 union all select * from k4 union all select * from k5),
         best as (select label, c, row_number() over (partition by label order by len(list_filter(c, lambda x: list_contains(refs, x))) > 0 desc, len(c) desc, c) as r from k join (select label, list(genome) filter (where is_ref) as refs from rep group by 1) using (label))
         select label, unnest(c) as genome from best where r = 1""",
+    "lc_thin_out": """, rep as (select label, genome, is_ref from c_reps join b_genome using (label, genome)), edge as (select label, query as a, refer as b from b_sim where ani >= 20
+            and query in (select genome from rep) and refer in (select genome from rep)),
+        k2 as (select label, [a, b] as c from edge), k3 as (select k.label, list_append(c, y.b) as c from k2 k join edge x on x.a = c[1] join edge y on y.a = c[2] and y.b = x.b),
+        k4 as (select k.label, list_append(c, z.b) as c from k3 k join edge x on x.a = c[1] join edge y on y.a = c[2] and y.b = x.b join edge z on z.a = c[3] and z.b = x.b),
+        k5 as (select k.label, list_append(c, z.b) as c from k4 k join edge x on x.a = c[1] join edge y on y.a = c[2] and y.b = x.b join edge z on z.a = c[3] and z.b = x.b join edge w on w.a = c[4] and w.b = x.b),
+        k as (select label, [genome] as c from rep union all select * from k2 union all select * from k3 union all select * from k4 union all select * from k5),
+        best as (select label, c, row_number() over (partition by label order by len(list_filter(c, lambda x: list_contains(refs, x))) > 0 desc, len(c) desc, c) as r from k join (select label, list(genome) filter (where is_ref) as refs from rep group by 1) using (label))
+        select 'G' || lpad(genome::varchar, 8, '0') as "genome_ID", label::varchar as species_taxid from (select label, unnest(c) as genome from best where r = 1)""",
+    "lc_linkage": """select 'G' || lpad(genome::varchar, 8, '0') as "genome_ID", label::varchar as species_taxid from c_medoid""",
+    "lc_profile_sample": _table(0.2, 4),
+    "lc_merge_databases": """, t as (select max("end") as t from b_range) select species, "start", "end", is_pan from b_range union all select species, "start" + t, "end" + t, is_pan from b_range, t where species in ('S1', 'S2', 'S5')""",
     "gr16_linkage_conditions": "select label, count(*) as genomes, true as compact, 0::bigint as mergeable from b_genome group by 1",
     "ag24_cluster_lists": "select label, component as cluster, array_to_string(list(genome order by genome), ',') as genomes, count(*)::int as size from c_comp group by 1, 2",
     "jn15_reference": "select label, min(genome) filter (where is_ref and label % 3 > 0) as reference from b_genome group by 1",
@@ -296,7 +319,7 @@ def _compose(final: str) -> str:
     needed: set[str] = set()
 
     def add(text: str) -> None:
-        for name in re.findall(r"\b[bcs]_\w+", text):
+        for name in re.findall(r"\b[bcst]_\w+", text):
             if name in PARTS and name not in needed:
                 needed.add(name)
                 add(PARTS[name])
