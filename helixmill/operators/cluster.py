@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from helixmill.operators.cliques import best_cliques
 from helixmill.operators.cut import cut
 from helixmill.shipping import ensure_shipped
 
@@ -73,28 +74,6 @@ def top_by_n50(genomes: DataFrame, most: int) -> DataFrame:
     return genomes.withColumn("_r", rank).filter(F.col("_r") <= most).drop("_r")
 
 
-def maximal_cliques(edges: list[tuple], vertices: list) -> list[list]:
-    """Maximal cliques by the Bron-Kerbosch method with pivots, without recursion; large ones first."""
-    near: dict = {v: set() for v in vertices}
-    for a, b in edges:
-        near[a].add(b)
-        near[b].add(a)
-    found, stack = [], [(set(), set(vertices), set())]
-    while stack:
-        clique, open_, done = stack.pop()
-        if not open_ and not done:
-            found.append(sorted(clique))
-            continue
-        if not open_:
-            continue
-        pivot = max(open_ | done, key=lambda v: (len(near[v] & open_), v))
-        for v in sorted(open_ - near[pivot]):
-            stack.append((clique | {v}, open_ & near[v], done & near[v]))
-            open_ = open_ - {v}
-            done = done | {v}
-    return sorted(found, key=lambda c: (-len(c), c))
-
-
 def clique_selection(reps: DataFrame, edges: DataFrame, least: float) -> DataFrame:
     """(label, genome): per label the largest clique of representatives whose pairs reach ``least``, of those with the
     reference genome if there is one. A clique lies in one connected component, so a task holds one component of a label."""
@@ -111,8 +90,7 @@ def clique_selection(reps: DataFrame, edges: DataFrame, least: float) -> DataFra
         alone = frame[frame.other.isna()]
         links = [(int(a), int(b)) for a, b in frame[frame.other.notna()][["genome", "other"]].itertuples(index=False)]
         refs = set(alone[alone.is_ref].genome.astype(int))
-        cliques = maximal_cliques(links, sorted(alone.genome.astype(int)))
-        best = [cliques[0]] + [c for c in cliques if refs & set(c)][:1]
+        best = best_cliques(links, list(alone.genome.astype(int)), refs)
         return pd.DataFrame({"label": frame.label.iloc[0], "with_ref": [False, True][: len(best)], "clique": best})
 
     ensure_shipped(rows.sparkSession)
@@ -122,23 +100,38 @@ def clique_selection(reps: DataFrame, edges: DataFrame, least: float) -> DataFra
 
 
 def linkage_clusters(dist: np.ndarray, height: float, method: str = "complete") -> np.ndarray:
-    """Agglomerative clusters of a distance matrix cut at a height, by Lance-Williams updates; numbered by first member."""
+    """Agglomerative clusters of a distance matrix cut at a height; numbered by first member.
+
+    A chain goes from a cluster to its nearest, on to that one's nearest, until two are nearest to each other; these are
+    merged and the chain goes on, so that all merges take time quadratic in the number of members.
+    """
     n = len(dist)
     d = dist.astype(float).copy()
     np.fill_diagonal(d, np.inf)
-    size, group = np.ones(n), np.arange(n)
+    size, root, live = np.ones(n), np.arange(n), np.ones(n, bool)
+    chain: list[int] = []
     for _ in range(n - 1):
-        i, j = np.unravel_index(np.argmin(d), d.shape)
-        if d[i, j] > height:
-            break
-        i, j = min(i, j), max(i, j)
+        if not chain:
+            chain.append(int(np.argmax(live)))
+        while True:
+            i = chain[-1]
+            row = np.where(live, d[i], np.inf)
+            j = int(np.argmin(row))
+            if len(chain) > 1 and row[chain[-2]] <= row[j]:
+                j = chain[-2]
+                break
+            chain.append(j)
+        del chain[-2:]
+        i, j, gap = min(i, j), max(i, j), d[i, j]
         merged = {"single": np.minimum(d[i], d[j]), "complete": np.maximum(d[i], d[j]), "average": (size[i] * d[i] + size[j] * d[j]) / (size[i] + size[j])}[method]
         d[i], d[:, i] = merged, merged
         d[i, i] = np.inf
-        d[j], d[:, j] = np.inf, np.inf
+        live[j] = False
         size[i] += size[j]
-        group[group == j] = i
-    return np.unique(group, return_inverse=True)[1]
+        if gap <= height:
+            root[root == root[j]] = root[i]
+    first = {}
+    return np.unique([first.setdefault(r, k) for k, r in enumerate(root)], return_inverse=True)[1]
 
 
 def hierarchical(genomes: DataFrame, edges: DataFrame, cutoff: float, method: str = "complete") -> DataFrame:

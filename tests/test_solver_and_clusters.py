@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from helixmill.operators import cluster, lad, refine, scan
+from helixmill.operators import cliques, cluster, lad, refine, scan
 
 
 def best_objective(a, d, w):
@@ -129,15 +129,30 @@ def test_running_totals(spark, parts):
     assert scan.running_total(frame.limit(0), [F.asc("k")], "v", "before").count() == 0
 
 
-@pytest.mark.parametrize("seed", range(10))
+@pytest.mark.parametrize("seed", range(30))
 def test_cliques(seed):
     rng = np.random.default_rng(seed)
-    n = int(rng.integers(1, 9))
-    edges = [(i, j) for i, j in combinations(range(n), 2) if rng.random() < 0.5]
+    n = int(rng.integers(1, 10))
+    edges = [(i, j) for i, j in combinations(range(n), 2) if rng.random() < rng.choice([0.3, 0.6, 0.9])]
     linked = set(edges)
-    every = [c for size in range(1, n + 1) for c in combinations(range(n), size) if all(e in linked for e in combinations(c, 2))]
-    largest = [list(c) for c in every if not any(set(c) < set(o) for o in every)]
-    assert sorted(cluster.maximal_cliques(edges, list(range(n)))) == sorted(largest)
+    every = [list(c) for size in range(n, 0, -1) for c in combinations(range(n), size) if all(e in linked for e in combinations(c, 2))]
+    wanted = {int(v) for v in rng.integers(0, n, rng.integers(0, 3))}
+    want = every[:1] + [c for c in every if wanted & set(c)][:1]
+    assert cliques.best_cliques(edges, list(range(n)), wanted) == want
+
+
+def test_a_dense_group_of_genomes_ends_in_seconds():
+    import time
+
+    rng = np.random.default_rng(4)
+    linked = rng.random((300, 300)) < 0.7
+    inside = rng.choice(300, 60, replace=False)
+    linked[np.ix_(inside, inside)] = True
+    edges = [(i, j) for i, j in combinations(range(300), 2) if linked[i, j]]
+    began = time.perf_counter()
+    found = cliques.best_cliques(edges, list(range(300)), {int(inside[0])})
+    assert time.perf_counter() - began < 60
+    assert all(set(map(int, inside)) <= set(c) for c in found) and len(found) == 2
 
 
 @pytest.mark.parametrize(("method", "seed"), list(product(("single", "complete", "average"), range(5))))
