@@ -8,7 +8,8 @@ surroundings blanked, and in the surroundings of look-alikes, so that the token
 
 Documents set aside, by a hash of their text, calibrate: a logistic curve turns the network's output into a probability,
 and the threshold recalls at least ``recall`` of their findings with the fewest false alarms, none next to what gave it
-away, since outside the patterns' reach there is no 'password=' to go by. Candidates that reach the threshold and lie in
+away, since outside the patterns' reach there is no 'password=' to go by. Where few findings would be set aside, each
+fourth of the documents is scored by a network that learned from the rest, and the network learns from all. Candidates that reach the threshold and lie in
 no pattern match are findings of kind ``cnn``.
 """
 
@@ -172,28 +173,28 @@ class Labelled:
     plain: np.ndarray
     blanked: np.ndarray
     found: bool
-    aside: bool
+    fold: int
 
 
 def labelled_candidates(texts: list[str], per_class: int) -> list[Labelled]:
     """Candidates of the texts, equal ones once, of either class the ``per_class`` with the smallest hashes.
 
-    Every fourth text by its hash is set aside, so that copies of a text are on one side.
+    Texts are dealt to FOLDS by their hash, so that copies of a text are on one side.
     """
-    seen: dict[bytes, tuple[int, str, tuple[int, int], bool, bool]] = {}
+    seen: dict[bytes, tuple[int, str, tuple[int, int], bool, int]] = {}
     for text in sorted(set(texts)):
         spans = candidates(text)
-        aside = zlib.crc32(text.encode("utf-8", "surrogatepass")) % 4 == 3
+        fold = zlib.crc32(text.encode("utf-8", "surrogatepass")) % FOLDS
         for (s, e), found in zip(spans, covered(spans, base_spans(text)).tolist()):
             around = text[max(0, s - BEFORE) : e + AFTER].encode("utf-8", "surrogatepass") + bytes([found])
-            seen.setdefault(around, (zlib.crc32(around, 7), text, (s, e), found, aside))
+            seen.setdefault(around, (zlib.crc32(around, 7), text, (s, e), found, fold))
     out = []
     for found in (True, False):
-        for _, text, (s, e), _, aside in sorted(c for c in seen.values() if c[3] == found)[:per_class]:
+        for _, text, (s, e), _, fold in sorted(c for c in seen.values() if c[3] == found)[:per_class]:
             low = max(0, s - BEFORE)
             near = text[low : e + AFTER]
             at = [(s - low, e - low)]
-            out.append(Labelled(frames(near, at)[0][0], frames(near, at, blank=True)[0][0], found, aside))
+            out.append(Labelled(frames(near, at)[0][0], frames(near, at, blank=True)[0][0], found, fold))
     return out
 
 
@@ -211,16 +212,33 @@ def variants(rows: list[Labelled], cues: bool) -> tuple[np.ndarray, np.ndarray]:
     return np.stack(x), np.r_[np.zeros(len(others)), np.ones(len(x) - len(others))]
 
 
+#: Folds of the documents; findings of either class at least; findings of the last fold with which it alone is set aside.
+FOLDS, LEAST, ASIDE = 4, 4, 20
+
+
 def train(texts: list[str], recall: float = 0.95, per_class: int = 4000) -> CharNet | None:
-    """Net, calibration and threshold from labelled candidates; None if either class has fewer than ten, or the findings set aside fewer than three."""
+    """Net, calibration and threshold from labelled candidates.
+
+    The last fold is set aside if it has ASIDE findings; else all folds take their turn, and the net learns from all.
+    None if either class has fewer than LEAST candidates, or only one fold has findings.
+    """
     rows = labelled_candidates(texts, per_class)
-    learn, aside = [r for r in rows if not r.aside], [r for r in rows if r.aside]
-    n = sum(r.found for r in learn)
-    if min(n, len(learn) - n) < 10 or sum(r.found for r in aside) < 3:
+    n = sum(r.found for r in rows)
+    if min(n, len(rows) - n) < LEAST:
+        return None
+    parts = [([r for r in rows if r.fold != k], [r for r in rows if r.fold == k]) for k in range(FOLDS)]
+    parts = [(learn, held) for learn, held in parts if all(any(r.found for r in side) for side in (learn, held))]
+    if not parts:
         return None
-    net = train_net(*variants(learn, True))
-    x, found = variants(aside, False)
-    raw = net.raw(x)
+    alone = sum(r.found for r in rows if r.fold == FOLDS - 1) >= ASIDE and len(parts) > 1
+    told = []
+    for learn, held in parts[-1:] if alone else parts:
+        net = train_net(*variants(learn, True))
+        x, found = variants(held, False)
+        told.append((net.raw(x), found))
+    if not alone:
+        net = train_net(*variants(rows, True))
+    raw, found = (np.concatenate(x) for x in zip(*told))
     if 0 < found.sum() < len(found):
         net.curve = fit_logistic(raw[:, None], found, ridge=1e-3)
         net.curve[1] = max(net.curve[1], 1e-6)  # the curve keeps the order
@@ -286,9 +304,10 @@ def scan_texts(texts: list[str | None], net: CharNet | None) -> Iterator[tuple[l
 
 
 def find_secrets(docs: DataFrame, net: CharNet | None) -> DataFrame:
-    """(doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_candidates, n_reached) of every whole text.
+    """(doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_candidates, n_reached, status) of every whole text.
 
-    ``n_candidates`` were scored and ``n_reached`` of them reach the threshold, those under a pattern too.
+    ``n_candidates`` were scored and ``n_reached`` of them reach the threshold, those under a pattern too; ``status`` is
+    'scored', or 'too few labelled findings' where there was nothing to learn a network from.
 
     Defined cases: a null text is empty and has no spans; spans that start together are ordered by kind; repeated rows
     get equal results; very long texts and tokens are read whole; without enough labelled findings only patterns count
@@ -304,8 +323,9 @@ def find_secrets(docs: DataFrame, net: CharNet | None) -> DataFrame:
                 column.append(value)
         kinds = [pa.int64()] * 3 + [pa.string()] * 2 + [pa.int64()] * 2
         names = ("n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_candidates", "n_reached")
-        return pa.record_batch({"doc_id": batch.column(0), **{n: pa.array(v, t) for n, v, t in zip(names, out, kinds)}})
+        return pa.record_batch({"doc_id": batch.column(0), **{n: pa.array(v, t) for n, v, t in zip(names, out, kinds)}, "status": pa.array([status] * batch.num_rows, pa.string())})
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    fields = f"doc_id {kind}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_candidates long, n_reached long"
+    fields = f"doc_id {kind}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_candidates long, n_reached long, status string"
+    status = "scored" if net else "too few labelled findings"
     return map_arrow(docs.select("doc_id", "text"), run, fields)

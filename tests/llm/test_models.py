@@ -279,7 +279,7 @@ def test_secret_net(spark):
         assert got[i].n_candidates == len(secrets.candidates(t or ""))
     assert sum(got[700 + i].spans == f"cnn:8:{8 + len(x)}" for i, x in enumerate(bare)) >= 18
     assert sum("cnn" in got[i].spans for i in range(400)) <= 20
-    aside = [r for r in secrets.labelled_candidates([t for i, t in rows if t and not 700 <= (i or 0) < 900], 4000) if r.aside and r.found]
+    aside = [r for r in secrets.labelled_candidates([t for i, t in rows if t and not 700 <= (i or 0) < 900], 4000) if r.fold == secrets.FOLDS - 1 and r.found]
     x, _ = secrets.variants(aside, False)
     scores = net.score(x, np.arange(len(x)), len(x))
     assert (scores >= net.threshold).mean() >= 0.95  # the recall it was set for
@@ -287,10 +287,27 @@ def test_secret_net(spark):
     assert secrets.recall_threshold(np.arange(20.0), np.array([0.5, 3.5]), 0.95) == 0.75
     assert secrets.recall_threshold(np.array([1.0, 2]), np.zeros(0), 0.95) == 1
     assert secrets.train(["no secrets here"]) is None
-    assert all(r.n_candidates == 0 for r in secrets.find_secrets(docs, None).collect())
+    assert {r.status for r in secrets.find_secrets(docs, net).collect()} == {"scored"}
+    assert all(r.n_candidates == 0 and r.status == "too few labelled findings" for r in secrets.find_secrets(docs, None).collect())
     assert secrets.find_secrets(docs.limit(0), net).count() == 0
 
 
+def test_eleven_findings_are_enough_to_score_every_candidate():
+    rng = random.Random(5)
+    mixed = lambda n: "".join(rng.choice("0123456789abcdefGHIJKZ") for _ in range(n))
+    texts = [invented(rng, SYLLABLES["aa"], 60) + " " + "".join(rng.choice(SYLLABLES["aa"]) for _ in range(9)) for _ in range(120)]
+    for i in range(11):
+        texts[10 * i] += f" token = {mixed(30)} " + invented(rng, SYLLABLES["aa"], 10)
+    net = secrets.train(texts)
+    assert sum(r.found for r in secrets.labelled_candidates(texts, 4000)) == 11
+    bare = [mixed(30) for _ in range(20)]
+    got = list(secrets.scan_texts([*texts, *(f"the key {x} is bare" for x in bare)], net))
+    assert all(n == len(secrets.candidates(t)) for (_, _, n, _), t in zip(got, texts))
+    assert sum(reached for *_, reached in got[120:]) >= 15  # secrets that no pattern covers
+    assert sum(len(spans) - len(base) for base, spans, _, _ in got[:120]) <= 10
+    assert secrets.train(texts[1:10] + texts[:1]) is None  # one fold only has findings
+
+
 def test_a_scan_is_linear_in_the_text():
     import time
 
