@@ -110,7 +110,7 @@ def strain_metrics(reads: DataFrame, nodes: DataFrame, walks: DataFrame, coverag
     keys = ["species", "hap_id"]
     known = coverage.filter("coverage is not null").select("species", "coverage")
     nodes, walks = (cut(x.join(known.select("species"), "species", "left_semi")) for x in (nodes, walks))
-    node_sums, triple_sums = cov.visit_sums(cov.read_nodes(reads, nodes))
+    node_sums, triple_sums = cov.read_sums(reads, nodes)
     depth = cut(cov.depth_of_sums(node_sums, nodes))
     unique = cut(cov.triple_haps(cov.unique_triples(cov.walk_triples(walks)), nodes))
     few = cut(degenerate_filter(walks, depth, unique, min_depth).select(*keys, F.lit(None).cast("double").alias("fraction"), "mean"))

@@ -170,6 +170,14 @@ def _visits(s, d):
     return coverage.read_nodes(classified(s, d), b.nodes(s, d))
 
 
+def _sums(s, d):
+    return coverage.read_sums(classified(s, d), b.nodes(s, d))
+
+
+def _depth(s, d):
+    return coverage.depth_of_sums(_sums(s, d)[0], b.nodes(s, d))
+
+
 @query
 def gr4_read_nodes(s, d):
     return _visits(s, d)
@@ -177,16 +185,16 @@ def gr4_read_nodes(s, d):
 
 @query
 def ag9_node_depth(s, d):
-    return rounded(coverage.node_depth(_visits(s, d), b.nodes(s, d)))
+    return rounded(_depth(s, d))
 
 
 @query
 def ag10_node_breadth(s, d):
-    return coverage.node_breadth(_visits(s, d), b.nodes(s, d))
+    return coverage.breadth_of_sums(_sums(s, d)[0], b.nodes(s, d))
 
 
 def _trio_depth(s, d):
-    return coverage.triple_depth(_visits(s, d), coverage.triple_haps(_unique(s, d), b.nodes(s, d)))
+    return coverage.triple_depth_of_sums(_sums(s, d)[1], coverage.triple_haps(_unique(s, d), b.nodes(s, d)))
 
 
 @query
@@ -201,7 +209,7 @@ def gr7_incidence(s, d):
 
 @query
 def ag15_path_breadth(s, d):
-    return rounded(coverage.path_breadth(b.walks(s, d), b.nodes(s, d), coverage.node_breadth(_visits(s, d), b.nodes(s, d))))
+    return rounded(coverage.path_breadth(b.walks(s, d), b.nodes(s, d), coverage.breadth_of_sums(_sums(s, d)[0], b.nodes(s, d))))
 
 
 @query
@@ -239,13 +247,13 @@ def _plain_walks(s, d):
 @query
 def ff3_ff4_degenerate(s, d):
     walks = _plain_walks(s, d).drop("b")
-    depth = coverage.node_depth(_visits(s, d), b.nodes(s, d))
+    depth = _depth(s, d)
     return rounded(strain.degenerate_filter(walks, depth, coverage.unique_triples(coverage.walk_triples(walks))))
 
 
 @query
 def opt1_single_path_median(s, d):
-    return rounded(lad.single_path(b.walks(s, d), coverage.node_depth(_visits(s, d), b.nodes(s, d))))
+    return rounded(lad.single_path(b.walks(s, d), _depth(s, d)))
 
 
 def _proved(fits):
@@ -255,19 +263,19 @@ def _proved(fits):
 
 @query
 def opt1_lad_multi(s, d):
-    return _proved(lad.fit_species(b.walks(s, d), coverage.node_depth(_visits(s, d), b.nodes(s, d))))
+    return _proved(lad.fit_species(b.walks(s, d), _depth(s, d)))
 
 
 @query
 def opt1_lad_pair(s, d):
-    fits = lad.fit_species(b.walks(s, d).filter("hap_id in ('H0', 'H1')"), coverage.node_depth(_visits(s, d), b.nodes(s, d)))
+    fits = lad.fit_species(b.walks(s, d).filter("hap_id in ('H0', 'H1')"), _depth(s, d))
     return rounded(fits.groupBy("species").agg(F.max("objective").alias("objective")))
 
 
 @query
 def opt1_lad_refined(s, d):
     """The fit of two haplotypes per species with no species in one task: intervals of depth, refined until none is open."""
-    cells = lad.path_cells(b.walks(s, d).filter("hap_id in ('H0', 'H1')"), coverage.node_depth(_visits(s, d), b.nodes(s, d)))
+    cells = lad.path_cells(b.walks(s, d).filter("hap_id in ('H0', 'H1')"), _depth(s, d))
     fits = refine.fit_large(cells)
     return rounded(fits.groupBy("species").agg(F.max("objective").alias("objective"), F.abs(F.round(F.max("gap"), 6)).alias("gap")))
 
@@ -275,15 +283,15 @@ def opt1_lad_refined(s, d):
 @query
 def opt2_refit(s, d):
     kept = strain.first_filter(_trio_depth(s, d)).filter("keep").select("species", "hap_id")
-    return _proved(lad.fit_species(b.walks(s, d).join(kept, ["species", "hap_id"], "left_semi"), coverage.node_depth(_visits(s, d), b.nodes(s, d))))
+    return _proved(lad.fit_species(b.walks(s, d).join(kept, ["species", "hap_id"], "left_semi"), _depth(s, d)))
 
 
 def _metrics(s, d):
     """Measures of the haplotypes, with the median of a path as its first solution."""
-    visits, nodes, walks = _visits(s, d), b.nodes(s, d), b.walks(s, d)
-    first = strain.first_filter(coverage.triple_depth(visits, coverage.triple_haps(_unique(s, d), nodes))).filter("keep").drop("keep")
-    breadth = coverage.path_breadth(walks, nodes, coverage.node_breadth(visits, nodes))
-    solved = lad.single_path(walks, coverage.node_depth(visits, nodes))
+    (node_sums, triple_sums), nodes, walks = _sums(s, d), b.nodes(s, d), b.walks(s, d)
+    first = strain.first_filter(coverage.triple_depth_of_sums(triple_sums, coverage.triple_haps(_unique(s, d), nodes))).filter("keep").drop("keep")
+    breadth = coverage.path_breadth(walks, nodes, coverage.breadth_of_sums(node_sums, nodes))
+    solved = lad.single_path(walks, coverage.depth_of_sums(node_sums, nodes))
     keys = ["species", "hap_id"]
     return first.join(breadth, keys).join(solved, keys).select("species", "hap_id", "fraction", "mean", "path_base_cov", "first_sol")
 
@@ -337,7 +345,7 @@ def ou3_shared_paths(s, d):
     first = strain.strain_metrics(reads, nodes, walks, cov).filter("first_sol is not null").select("species", "hap_id", "first_sol")
     haps = first.groupBy("species").agg(F.count(F.lit(1)).alias("haps"))
     fitted = walks.join(first, ["species", "hap_id"]).groupBy("species", "node_id").agg(F.sum("first_sol").alias("x"))
-    depth = coverage.node_depth(_visits(s, d), nodes).filter("depth > 0")
+    depth = _depth(s, d).filter("depth > 0")
     gaps = fitted.join(depth, ["species", "node_id"]).groupBy("species").agg(F.avg(F.abs(F.col("x") - F.col("depth"))).alias("objective"))
     return rounded(haps.join(gaps, "species"))
 
@@ -360,7 +368,7 @@ def sk4_unfiltered(s, d):
 @query
 def pf10_min_depth(s, d):
     walks = _strain_walks(s, d)
-    depth = coverage.node_depth(_visits(s, d), b.nodes(s, d))
+    depth = _depth(s, d)
     return rounded(strain.degenerate_filter(walks, depth, coverage.unique_triples(coverage.walk_triples(walks)), min_depth=2.0))
 
 
@@ -582,7 +590,7 @@ def pf14_case(s, d):
 
 @query
 def so4_sample(s, d):
-    return rounded(strain.sample_nodes(coverage.node_depth(_visits(s, d), b.nodes(s, d)), most=20).select("species", "node_id", "depth"))
+    return rounded(strain.sample_nodes(_depth(s, d), most=20).select("species", "node_id", "depth"))
 
 
 @query
