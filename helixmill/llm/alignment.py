@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -36,7 +37,7 @@ PAIRS = 2_000_000
 #: Pairs that a worker holds before it sums them, and bytes of rows that it passes on at a time.
 HELD, PASSED = 1 << 21, 1 << 21
 #: What a worker remembers of words that B has encoded.
-CACHE_BYTES = 96 << 20
+CACHE_BYTES = 224 << 20
 
 
 def byte_letters() -> dict[str, int]:
@@ -84,6 +85,24 @@ def piece_bytes(model: bytes) -> list[bytes]:
     return [bytes([int(p.piece[3:-1], 16)]) if p.type == BYTE else p.piece.replace(META, " ").encode() for p in proto.pieces]
 
 
+class Spelling:
+    """The bytes of a vocabulary's tokens in one array, to spell many tokens at once."""
+
+    def __init__(self, tokens: list[bytes]):
+        self.lengths = np.fromiter(map(len, tokens), np.int64, len(tokens))
+        self.starts = np.cumsum(self.lengths) - self.lengths
+        self.bytes = np.frombuffer(b"".join(tokens), np.uint8)
+
+    def spells(self, ids: np.ndarray, ends: np.ndarray, raw: np.ndarray) -> bool:
+        """Whether tokens that end at ``ends`` spell the bytes of a text."""
+        if not len(ends) or ends[-1] != len(raw):
+            return False
+        lengths = self.lengths[ids]
+        at = np.repeat(self.starts[ids] - ends + lengths, lengths)
+        at += np.arange(len(raw))
+        return bool((self.bytes[at] == raw).all())
+
+
 def id_kind(*vocabularies: list[bytes]) -> np.dtype:
     return np.dtype("<u2" if max(map(len, vocabularies)) <= 1 << 16 else "<u4")
 
@@ -98,7 +117,7 @@ def _events(tokens: list[bytes], pattern: str, model: bytes):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, other, pieces = _byte_encoder(kept, pattern).encode_ordinary, codec(model, CACHE_BYTES), piece_bytes(model)
         kind = id_kind(kept, pieces)
-        lengths = [np.fromiter(map(len, v), np.int64, len(v)) for v in (kept, pieces)]
+        spelling = (Spelling(kept), Spelling(pieces))
         made: list[tuple] = []
         size = 0
 
@@ -111,15 +130,15 @@ def _events(tokens: list[bytes], pattern: str, model: bytes):
                 text = text.as_py()
                 both = []
                 if text:
-                    raw = b" " + text.encode("utf-8")
-                    for ids, vocabulary in ((encode(" " + text), kept), (np.frombuffer(other.encode(text), "<u4")[1:-1].tolist(), pieces)):
-                        if b"".join(map(vocabulary.__getitem__, ids)) == raw:
-                            both.append(np.array(ids, np.int64))
+                    raw = np.frombuffer(b" " + text.encode("utf-8"), np.uint8)
+                    for side, ids in enumerate((np.frombuffer(array("I", encode(" " + text)), np.uintc), np.frombuffer(other.encode(text), "<u4")[1:-1])):
+                        ends = np.cumsum(spelling[side].lengths[ids])
+                        if spelling[side].spells(ids, ends, raw):
+                            both.append((side, ids, ends))
                 if len(both) < 2:
                     made.append((row, doc_id, 0, NONE, 0, b""))
                     continue
-                for side, ids in enumerate(both):
-                    ends = np.cumsum(lengths[side][ids])
+                for side, ids, ends in both:
                     first = np.flatnonzero(np.diff((ends - 1) // SPAN, prepend=-1))
                     for s, e in zip(first, [*first[1:], len(ids)]):
                         made.append((row, doc_id, int((ends[s] - 1) // SPAN), side, int(ends[s - 1]) if s else 0, ids[s:e].astype(kind).tobytes()))
