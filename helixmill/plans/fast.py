@@ -53,3 +53,12 @@ def fast_filter(s, d):
     item = b.table(s, d, "benchmark")
     info = item.select(F.concat(F.lit("G"), "item_id").alias("genome_ID"), F.concat(F.lit("/g/"), "item_id", F.lit(".fna")).alias("id"))
     return index.retained(info, _found(s, d, broadcast=0), LEAST)
+
+
+@query
+def gr20_banded_pairs(s, d):
+    """Similar documents of a language by whole sketches, one of equal ones, candidates by min-hash bands."""
+    docs = b.table(s, d, "documents").select(F.col("lang").alias("label"), F.col("doc_id").alias("genome"), "text")
+    sketches = index.sketch(docs, sketch.word_grams(F.col("text"), WORDS)).select("label", "genome", "gram")
+    pairs, _ = sketch.banded_pairs(sketches, WORDS, 95.0)
+    return pairs.select("label", "query", "refer", "shared", F.round("ani", 6).alias("ani"))

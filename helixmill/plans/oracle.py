@@ -232,6 +232,12 @@ _FINAL = {
     "pf5_pangenomes": """select species, round(predicted_abundance, 9) as predicted_abundance, round(predicted_coverage, 9) as predicted_coverage, "start", "end" from c_every join b_range using (species) where predicted_abundance > 1e-4 and is_pan = 1""",
     "pf5_all_species": """select species, round(predicted_abundance, 9) as predicted_abundance, round(predicted_coverage, 9) as predicted_coverage, "start", "end" from c_every join b_range using (species) where predicted_abundance > 0.05""",
     "gr19_stored_index": "select genome, grams, shared, round(containment, 6) as containment, round(100 * pow(containment, 0.2), 6) as ani from c_sketched",
+    "gr20_banded_pairs": """with g as (select distinct lang as label, doc_id as genome, array_to_string(w[i : i + 4], ' ') as gram from (select lang, doc_id, w, unnest(range(1, len(w) - 3)) as i from (select lang, doc_id, string_split(text, ' ') as w from documents))),
+        e as (select label, min(genome) as genome, any_value(n) as n from (select label, genome, count(*) as n, list(gram order by gram) as grams from g group by 1, 2) group by label, grams),
+        r as (select g.* from g semi join e using (label, genome)),
+        p as (select x.label, x.genome as query, y.genome as refer, count(*) as shared from r x join r y on x.label = y.label and x.gram = y.gram and x.genome < y.genome group by 1, 2, 3),
+        q as (select p.*, shared / (x.n + y.n - shared) as j from p join e x on x.label = p.label and x.genome = query join e y on y.label = p.label and y.genome = refer)
+        select label, query, refer, shared, round(100 * (1 + ln(2 * j / (1 + j)) / 5), 6) as ani from q where 100 * (1 + ln(2 * j / (1 + j)) / 5) >= 95""",
     "fast_filter": """select 'G' || item_id as "genome_ID", genome as id from benchmark join c_sketched on genome = '/g/' || item_id || '.fna' where 100 * pow(containment, 0.2) >= 60""",
     "fn12_strain_suffix": """select s_suppkey, case when count(*) over (partition by t) > 1 then t || '.' || row_number() over (partition by t order by s_suppkey) else t::varchar end as strain_taxid
         from (select s_suppkey, s_nationkey * 3 + s_suppkey % 2 as t from supplier)""",

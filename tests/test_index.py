@@ -112,3 +112,33 @@ def test_queries_leave_one_table_at_most(spark):
         frame = catalog.QUERIES[name](spark, "/root/testdata/sf0.001")
         assert len(cut._written) <= 1
         assert frame.agg(F.count(F.lit(1))).first()[0] > 0
+
+
+def test_banded_pairs_find_all_similar_genomes(spark, monkeypatch):
+    from itertools import combinations
+    from math import log
+
+    from helixmill.operators import sketch
+
+    monkeypatch.setattr(sketch, "BAND_BLOCK", 16)  # a band of 60 is dealt out by blocks
+    rng = random.Random(7)
+    sets = {}
+    for family in range(12):
+        base = [rng.randrange(1 << 62) for _ in range(150)]
+        for member in range(60 if family == 0 else 4):
+            kept = [x if rng.random() > 0.06 else rng.randrange(1 << 62) for x in base]
+            sets[100 * family + member] = frozenset(kept if member != 3 else base)
+    for copy in range(40):
+        sets[2000 + copy] = sets[103]
+    rows = [(1, g, x) for g, grams in sets.items() for x in grams] + [(2, 5000, x) for x in sets[103]]
+    pairs, members = sketch.banded_pairs(spark.createDataFrame(rows, "label int, genome bigint, gram bigint"), 5, 95.0)
+    assert {(r.label, r.genome): r.rep for r in members.collect() if r.genome >= 2000} == {(1, 2000 + i): 103 for i in range(40)} | {(2, 5000): 5000}
+    want = set()
+    for a, b in combinations(sorted(g for g in sets if g < 2000), 2):
+        j = len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+        if j and 100 * (1 + log(2 * j / (1 + j)) / 5) >= 95:
+            want.add((1, a, b, len(sets[a] & sets[b])))
+    assert len(want) > 1500
+    got = {(r.label, r.query, r.refer, r.shared) for r in pairs.collect()}
+    assert got <= want
+    assert len(got) >= 0.999 * len(want)
