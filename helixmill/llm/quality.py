@@ -22,12 +22,17 @@ def _norm(line: Column) -> Column:
     return F.lower(F.trim(F.regexp_replace(F.regexp_replace(line, r"[0-9]+", "0"), r"[\x20\x09\x0B-\x0D]+", " ")))
 
 
+def line_key(host: Column, line: Column) -> Column:
+    """128 bits of a host and a normalised line, in two halves."""
+    parts = (F.coalesce(host, F.lit("")), host.isNull(), line)
+    return F.struct(F.xxhash64(*parts).alias("h1"), F.xxhash64(F.lit(1), *parts).alias("h2"))
+
+
 def line_keys(text: Column, host: Column) -> Column:
     """Array of (key, chars) of the distinct normalised lines that hold a word; key hashes host and line."""
     lines = F.transform(F.split(_norm_text(text), "\n"), lambda x: F.trim(x))
     lines = F.filter(F.array_distinct(lines), lambda x: F.length(x) > 0)
-    key = lambda x: F.xxhash64(F.coalesce(host, F.lit("")), host.isNull(), x)
-    return F.transform(lines, lambda x: F.struct(key(x).alias("key"), F.length(x).alias("chars")))
+    return F.transform(lines, lambda x: F.struct(line_key(host, x).alias("key"), F.length(x).alias("chars")))
 
 
 def _norm_text(text: Column) -> Column:
@@ -125,8 +130,7 @@ def clean_documents(docs: DataFrame, max_docs: int = 20, least_left: float = 0.5
     shared = materialize(frequent_lines(counted, max_docs), "frequent")
     good = counted.join(_removed(counted, shared), "row", "left").filter(_kept(least_left)).select("row", "keys")
     host, text = F.col("own.source"), F.col("own.text")
-    key = lambda x: F.xxhash64(F.coalesce(host, F.lit("")), host.isNull(), _norm(x))
-    left = F.array_join(F.filter(F.split(text, "\n"), lambda x: ~F.array_contains(F.col("keys"), key(x))), "\n")
+    left = F.array_join(F.filter(F.split(text, "\n"), lambda x: ~F.array_contains(F.col("keys"), line_key(host, _norm(x)))), "\n")
     cleaned = F.when(F.col("keys").isNull(), text).otherwise(left)
     joined = whole.join(good, "row").select(F.col("own").withField("text", cleaned).alias("own"))
     return joined.select("own.*")
