@@ -3,17 +3,29 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_bucket
+from .common import crc_bucket, settled
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tidy(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """A query that leaves one table, its result: those it needs on the way are deleted once that is written."""
+
+    @wraps(query)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return settled(spark, query.__name__, lambda: query(spark, sf_dir))
+
+    return run
+
+
+@tidy
 def op1_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import quality_report
 
@@ -26,6 +38,7 @@ def op2_compact_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_passages(_table(spark, sf_dir, "documents"))
 
 
+@tidy
 def op3_char_cnn_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .secrets import find_secrets, train_from_documents
 
@@ -53,6 +66,7 @@ def op5_kneser_ney_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", _held_out("doc_id", 5, 0).alias("held_out"), "lang_pred", "score", "rejected")
 
 
+@tidy
 def op6_simhash_bktree(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .simhash import hex_digits, near_duplicates
 
@@ -60,6 +74,7 @@ def op6_simhash_bktree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", hex_digits(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+@tidy
 def op7_pivot_permutations(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .pivots import near_duplicates
 
@@ -73,6 +88,7 @@ def op8_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
+@tidy
 def op9_disclosing_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .pii import KINDS, find_personal_data, joined
 

@@ -254,3 +254,15 @@ def test_personal_data_matches_its_sql(spark, tmp_path):
     got = [tuple(r) for r in entry.queries()["op9_disclosing_terms"](spark, f"{tmp_path}/sf").collect()]
     assert sorted(got) == sorted(con.sql(entry.oracle_sql()["op9_disclosing_terms"]).fetchall())
     assert sum("term:" in r[-1] for r in got) >= 4
+
+
+def test_queries_leave_one_table_at_most(spark):
+    from helixmill.llm import common, queries
+
+    for name, query in queries.QUERIES.items():
+        if name.split("_")[0] in ("op1", "op3", "op6", "op7", "op9", "op11", "op13"):
+            common.remove_materialized(spark)
+            frame = query(spark, "/root/testdata/sf0.001")
+            assert len(common._written) <= 1, name
+            assert frame.limit(1).count() == 1
+    common.remove_materialized(spark)
