@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
@@ -76,6 +77,23 @@ def _byte_encoder(tokens: tuple[bytes, ...], pattern: str):
     return tiktoken.Encoding("byte level", pat_str=pattern, mergeable_ranks={t: i for i, t in enumerate(tokens)}, special_tokens={})
 
 
+#: White space, of which the byte tokenizer's pattern can't match runs of hundreds of thousands.
+LONG_SPACE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{10000,}")
+
+
+def encode_bytes(encoder, text: str) -> list[int]:
+    """Ids of a text without special tokens. A long run of white space is one piece, but for its last character if text follows."""
+    out: list[int] = []
+    at = 0
+    for run in LONG_SPACE.finditer(text):
+        start, end = run.span()
+        end -= end < len(text)
+        out += encoder.encode_ordinary(text[at:start])
+        out += encoder._encode_single_piece(text[start:end])
+        at = end
+    return out + encoder.encode_ordinary(text[at:]) if at else encoder.encode_ordinary(text)
+
+
 def piece_bytes(model: bytes) -> list[bytes]:
     """The bytes of each piece: its text with U+2581 as a space, or the byte that it names."""
     from sentencepiece import sentencepiece_model_pb2
@@ -115,7 +133,7 @@ def _events(tokens: list[bytes], pattern: str, model: bytes):
     kept = tuple(tokens)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, other, pieces = _byte_encoder(kept, pattern).encode_ordinary, codec(model, CACHE_BYTES), piece_bytes(model)
+        encoder, other, pieces = _byte_encoder(kept, pattern), codec(model, CACHE_BYTES), piece_bytes(model)
         kind = id_kind(kept, pieces)
         spelling = (Spelling(kept), Spelling(pieces))
         made: list[tuple] = []
@@ -131,7 +149,7 @@ def _events(tokens: list[bytes], pattern: str, model: bytes):
                 both = []
                 if text:
                     raw = np.frombuffer(b" " + text.encode("utf-8"), np.uint8)
-                    for side, ids in enumerate((np.frombuffer(array("I", encode(" " + text)), np.uintc), np.frombuffer(other.encode(text), "<u4")[1:-1])):
+                    for side, ids in enumerate((np.frombuffer(array("I", encode_bytes(encoder, " " + text)), np.uintc), np.frombuffer(other.encode(text), "<u4")[1:-1])):
                         ends = np.cumsum(spelling[side].lengths[ids])
                         if spelling[side].spells(ids, ends, raw):
                             both.append((side, ids, ends))

@@ -89,6 +89,13 @@ def test_long_texts_are_swept_stretch_by_stretch(spark, libraries):
         assert row.n_links == row.n_a + row.n_b - row.n_groups
 
 
+def test_long_runs_of_white_space(libraries):
+    encoder = alignment._byte_encoder(tuple(alignment.byte_level_tokens()), alignment.default_pattern())
+    for text in (" " * 12000 + "x", "a" + " " * 12000, "a" + "\n" * 12000 + "b", " \t\n" * 5000 + "word x", "a " + "　" * 11000 + " end", " " * 12000 + "\nx" + " " * 10001 + "'s", "\x1c" * 12000 + "a"):
+        assert alignment.encode_bytes(encoder, " " + text) == libraries[0].encode(" " + text, add_special_tokens=False).ids
+    assert len(alignment.encode_bytes(encoder, " " * 1_000_000)) > 0  # too long a run for the pattern
+
+
 def test_the_machine_closes_groups_wherever_a_stretch_is_cut():
     lengths = (np.array([1, 2, 3, 5]), np.array([1, 2, 4]))
     a, b = np.array([1, 2, 0, 3, 1, 0]), np.array([2, 0, 1, 1, 2, 0])
