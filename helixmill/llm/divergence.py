@@ -57,11 +57,11 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for lang, source, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
             text = text.as_py()
-            of = Counter(terms(text))
+            words = terms(text)
             n, docs = held.setdefault((lang, source), (Counter(), Counter()))
             before = len(n)
-            n.update(of)
-            docs.update(of.keys())
+            n.update(words)
+            docs.update(set(words))
             size += len(n) - before
             weight += len(text) if len(n) > before else 0
             if size >= HELD or weight >= HELD_BYTES:
