@@ -86,34 +86,41 @@ def _reduced(keys: list[np.ndarray], added: np.ndarray, highest: np.ndarray) ->
     return [k[at] for k in keys], np.add.reduceat(added[order], at), np.maximum.reduceat(highest[order], at)
 
 
-def sums_of_reads(ids: np.ndarray, offsets: np.ndarray, start: np.ndarray, end: np.ndarray, node_ids: np.ndarray, node_lens: np.ndarray) -> pa.RecordBatch:
-    """What ``visit_sums`` says of some reads of a species: their nodes one after the other, and the lengths of its nodes."""
+def sums_of_reads(read: np.ndarray, ids: np.ndarray, offsets: np.ndarray, start: np.ndarray, end: np.ndarray, node_ids: np.ndarray, node_lens: np.ndarray) -> pa.RecordBatch:
+    """What ``visit_sums`` says of some reads of a species: their nodes one after the other, and the lengths of its nodes.
+
+    ``read`` numbers the reads; rows of one number, next to each other, are one read, whose visits go by their places.
+    """
     steps = np.diff(offsets)
     row = np.repeat(np.arange(len(steps)), steps)
     pos = np.arange(len(ids)) - np.repeat(offsets[:-1] - offsets[0], steps)
     at = np.minimum(np.searchsorted(node_ids, ids), max(len(node_ids) - 1, 0))
     known = node_ids[at] == ids if len(node_ids) else np.zeros(len(ids), bool)
     row, pos, ids, size = row[known], pos[known], ids[known], node_lens[at[known]] if len(node_ids) else node_lens
+    if (read[1:] == read[:-1]).any():
+        by = np.lexsort((pos, read[row]))
+        row, pos, ids, size = row[by], pos[by], ids[by], size[by]
+    of = read[row]
     span, n = (end - start)[row], steps[row]
     lone, last, head = n == 1, pos == n - 1, pos == 0
     ahead = np.where(head, size - start[row], size)
     before = np.cumsum(ahead) - ahead
-    begins = np.flatnonzero(np.r_[True, row[1:] != row[:-1]][: len(row)])
+    begins = np.flatnonzero(np.r_[True, of[1:] != of[:-1]][: len(of)])
     seen = before - np.repeat(before[begins], np.diff(np.r_[begins, len(row)]))
     bases = np.where(lone, span, np.where(last, np.maximum(span, seen) - seen, ahead))
     low = np.where(head, start[row], 0)
     fits = (start[row] < end[row]) & (end[row] <= size)
     high = np.where(lone, np.where(fits, end[row], -1), np.where(last, np.minimum(bases, size), size))
     spans = (high > low) & (~lone | fits)
-    order = np.lexsort((pos, ids, row))
+    order = np.lexsort((ids, of))
     first = np.ones(len(order), bool)
-    first[1:] = (row[order][1:] != row[order][:-1]) | (ids[order][1:] != ids[order][:-1])
+    first[1:] = (of[order][1:] != of[order][:-1]) | (ids[order][1:] != ids[order][:-1])
     own, visit = np.zeros(len(order), np.int64), np.zeros(len(order), bool)
     own[order] = bases[order][np.flatnonzero(first)[np.cumsum(first) - 1]] if len(order) else 0
     visit[order] = first
     none = np.iinfo(np.int64).min
     (node, begin), added, highest = _reduced([ids, np.where(spans, low, none)], np.where(visit, bases, 0), np.where(spans, high, none))
-    k = np.flatnonzero(row[2:] == row[:-2]) if len(row) > 2 else np.zeros(0, np.int64)
+    k = np.flatnonzero(of[2:] == of[:-2]) if len(of) > 2 else np.zeros(0, np.int64)
     three, total, _ = _reduced([np.minimum(ids[k], ids[k + 2]), ids[k + 1], np.maximum(ids[k], ids[k + 2])], own[k] + own[k + 1] + own[k + 2], k)
     nulls = lambda x, y, where=None: pa.array(np.r_[x, y], pa.int64(), mask=where)
     m, t = len(node), len(total)
@@ -125,28 +132,48 @@ def sums_of_reads(ids: np.ndarray, offsets: np.ndarray, start: np.ndarray, end:
 
 
 def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (species, salt, reads last, block), (species, salt, block, ids, lens, read_start, read_end) -> sums of reads."""
+    """Rows sorted by (species, salt, reads last, block, rid), (species, salt, block, ids, lens, read_start, read_end, rid) -> sums of reads."""
     now: tuple | None = None
     nodes: list[tuple[np.ndarray, np.ndarray]] = []
+    waiting: list[pa.RecordBatch] = []  # rows of the last read, which may go on
+
+    def told(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
+        nonlocal nodes
+        if len(nodes) != 1:
+            nodes = [tuple(np.concatenate(x) for x in zip(*nodes))] if nodes else [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+        table = pa.Table.from_batches(rows).combine_chunks()
+        column = lambda i: table.column(i).chunk(0) if table.num_rows else table.column(i).combine_chunks()
+        rid = np.array(column(7).to_pylist(), object)
+        read = np.cumsum(np.r_[0, rid[1:] != rid[:-1]].astype(np.int64))
+        start, end = (np.asarray(column(i), np.int64) for i in (5, 6))
+        made = sums_of_reads(read, np.asarray(column(3).flatten(), np.int64), np.asarray(column(3).offsets, np.int64), start, end, *nodes[0])
+        return pa.record_batch({"species": pa.array([now[0]] * made.num_rows, table.schema.field(0).type)} | {n: made.column(n) for n in made.schema.names})
+
     for batch in batches:
         if not batch.num_rows:
             continue
         keys = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
+        rid = batch.column(7).to_pylist()
         is_read = np.asarray(batch.column(2).is_null())
         cuts = [i for i in range(1, len(keys)) if keys[i] != keys[i - 1] or is_read[i] != is_read[i - 1]]
         for s, e in zip([0, *cuts], [*cuts, len(keys)]):
             if keys[s] != now:
-                now, nodes = keys[s], []
-            part = batch.slice(s, e - s)
-            flat = np.asarray(part.column(3).flatten(), np.int64)
+                if waiting:
+                    yield told(waiting)
+                now, nodes, waiting = keys[s], [], []
             if not is_read[s]:
-                nodes.append((flat, np.asarray(part.column(4).flatten(), np.int64)))
+                part = batch.slice(s, e - s)
+                nodes.append(tuple(np.asarray(part.column(i).flatten(), np.int64) for i in (3, 4)))
                 continue
-            if len(nodes) != 1:
-                nodes = [tuple(np.concatenate(x) for x in zip(*nodes))] if nodes else [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
-            start, end = (np.asarray(part.column(i), np.int64) for i in (5, 6))
-            made = sums_of_reads(flat, np.asarray(part.column(3).offsets, np.int64), start, end, *nodes[0])
-            yield pa.record_batch({"species": pa.array([now[0]] * made.num_rows, batch.schema.field(0).type)} | {n: made.column(n) for n in made.schema.names})
+            last = e - 1
+            while last > s and rid[last - 1] == rid[e - 1]:
+                last -= 1
+            if last > s or (waiting and waiting[-1].column(7)[-1].as_py() != rid[s]):
+                yield told([*waiting, batch.slice(s, last - s)])
+                waiting = []
+            waiting.append(batch.slice(last, e - last))
+    if waiting:
+        yield told(waiting)
 
 
 def read_sums(reads: DataFrame, nodes: DataFrame, most_reads: int = MOST_READS) -> tuple[DataFrame, DataFrame]:
@@ -158,19 +185,19 @@ def read_sums(reads: DataFrame, nodes: DataFrame, most_reads: int = MOST_READS)
     """
     spark = reads.sparkSession
     ensure_shipped(spark)
-    whole = reads.dropna(subset=[c for c in USED if c != "rid"]).filter(F.col("species") != "U")
-    whole = whole.select("species", path_nodes(F.col("path")).alias("ids"), F.col("read_start").cast("long").alias("read_start"), F.col("read_end").cast("long").alias("read_end"))
+    whole = reads.dropna(subset=list(USED)).filter(F.col("species") != "U")
+    whole = whole.select("rid", "species", path_nodes(F.col("path")).alias("ids"), F.col("read_start").cast("long").alias("read_start"), F.col("read_end").cast("long").alias("read_end"))
     kept = cut(whole.filter((F.size("ids") > 1) | (F.col("read_end") >= F.col("read_start"))))
     shares = cut(kept.groupBy("species").agg(F.ceil(F.count(F.lit(1)) / most_reads).cast("int").alias("salts")))
     few = shares.limit(BROADCAST_SPECIES + 1).count() <= BROADCAST_SPECIES
     of = F.broadcast(shares) if few else shares
     none = F.lit(None).cast("long")
-    salted = kept.join(of, "species").select("species", F.pmod(F.monotonically_increasing_id(), F.col("salts")).cast("int").alias("salt"), none.alias("block"), "ids", F.lit(None).cast("array<bigint>").alias("lens"), "read_start", "read_end")
+    salted = kept.join(of, "species").select("species", F.pmod(F.xxhash64("rid"), F.col("salts")).cast("int").alias("salt"), none.alias("block"), "ids", F.lit(None).cast("array<bigint>").alias("lens"), "read_start", "read_end", "rid")
     pairs = F.array_sort(F.collect_list(F.struct(F.col("node_id").cast("long").alias("id"), F.col("node_len").cast("long").alias("len"))))
     packed = nodes.filter("node_len is not null").join(of, "species").groupBy("species", "salts", F.expr(f"node_id div {NODE_BLOCK}").alias("block")).agg(pairs.alias("p"))
-    packed = packed.select("species", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("block").cast("long").alias("block"), F.col("p.id").alias("ids"), F.col("p.len").alias("lens"), none.alias("read_start"), none.alias("read_end"))
+    packed = packed.select("species", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("block").cast("long").alias("block"), F.col("p.id").alias("ids"), F.col("p.len").alias("lens"), none.alias("read_start"), none.alias("read_end"), F.lit(None).cast(reads.schema["rid"].dataType).alias("rid"))
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = packed.union(salted).repartition(tasks, "species", "salt").sortWithinPartitions("species", "salt", F.col("block").asc_nulls_last())
+    dealt = packed.union(salted).repartition(tasks, "species", "salt").sortWithinPartitions("species", "salt", F.col("block").asc_nulls_last(), "rid")
     kind = reads.schema["species"].dataType.simpleString()
     rows = dealt.mapInArrow(_summed, f"species {kind}, {SUMS}")
     sums = cut(rows.groupBy("species", "three", "a", "b", "c", "low").agg(F.sum("bases").alias("bases"), F.max("high").alias("high")))

@@ -31,6 +31,30 @@ def test_against_visits(spark, most_reads):
     assert sorted(map(tuple, threes_got.collect())) == sorted(map(tuple, want_threes.collect()))
 
 
+def test_rows_of_one_read_are_one_read(spark):
+    rows = [("r1", "A", ">1>2>3", 1, 9), ("r1", "A", ">1>2>3", 1, 30), ("r2", "A", ">2>2", 0, 5), ("r1", "B", ">1", 0, 2), ("r3", "A", ">3", 0, 3)]
+    reads = spark.createDataFrame(rows, "rid string, species string, path string, read_start bigint, read_end bigint").repartition(2)
+    nodes = spark.createDataFrame([(s, i, 20) for s in "AB" for i in (1, 2, 3)], "species string, node_id bigint, node_len bigint")
+    want_nodes, want_threes = coverage.visit_sums(coverage.read_nodes(reads, nodes))
+    for most in (coverage.MOST_READS, 1):
+        got_nodes, got_threes = coverage.read_sums(reads, nodes, most)
+        zero = lambda x: sorted((r.species, r.node_id, -1 if r.low is None else r.low, r.bases or 0, r.high or 0) for r in x.collect())
+        assert zero(got_nodes) == zero(want_nodes)
+        assert sorted(map(tuple, got_threes.collect())) == sorted(map(tuple, want_threes.collect()))
+
+
+def test_reads_that_go_on_in_the_next_batch(spark):
+    rng = np.random.default_rng(6)
+    reads = spark.createDataFrame([(f"r{i % 90}", "A", "".join(f">{int(x)}" for x in rng.integers(1, 9, 3)), 0, 50) for i in range(90)], "rid string, species string, path string, read_start bigint, read_end bigint")
+    nodes = spark.createDataFrame([("A", i, 7) for i in range(1, 9)], "species string, node_id bigint, node_len bigint")
+    want = sorted(map(tuple, coverage.read_sums(reads, nodes)[1].collect()))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")
+    try:
+        assert sorted(map(tuple, coverage.read_sums(reads, nodes)[1].collect())) == want
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def test_no_reads_and_no_nodes(spark):
     reads = spark.createDataFrame([("r", "A", ">1>2>3", 0, 5)], "rid string, species string, path string, read_start bigint, read_end bigint")
     nodes = spark.createDataFrame([("A", 1, 5)], "species string, node_id bigint, node_len bigint")
