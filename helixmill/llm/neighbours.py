@@ -264,8 +264,8 @@ def nearest(embeddings: DataFrame, queries: DataFrame, top: int = TOP, shard: in
 
     Defined cases: null and zero vectors, vectors that hold a null or a non-finite component and rows without vec_id
     take no part; vectors of another length are no candidates; equal vectors are at distance 0; rows that repeat id and
-    vector are one; rows that share their id with a query are never its candidates; fewer candidates than ``top`` give
-    fewer rows; an empty table gives an empty result. Other columns are ignored.
+    vector are one; an id with several vectors is as near as the nearest of them; rows that share their id with a query
+    are never its candidates; fewer candidates than ``top`` give fewer rows; an empty table gives an empty result. Other columns are ignored.
     """
     return settled(embeddings.sparkSession, "nearest", lambda: _nearest(embeddings, queries, top, shard, beam))
 

@@ -14,13 +14,12 @@ def exact(rows, top=10):
     out = {}
     for q, x in good:
         if q % 100 == 0:
-            near = {}
+            near = out.setdefault(q, {})  # an id with several vectors is as near as the nearest of them
             for i, y in good:
                 if i != q and len(x) == len(y):
                     score = float(np.sqrt(np.cumsum((np.array(y, float) - np.array(x, float)) ** 2)[-1]))
                     near[i] = min(score, near.get(i, np.inf))
-            out[q] = sorted((s, i) for i, s in near.items())[:top]
-    return out
+    return {q: sorted((s, i) for i, s in near.items())[:top] for q, near in out.items()}
 
 
 def search(spark, rows, **options):
