@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from helixmill.functions.paths import node_bounds
 
 UNCLASSIFIED = "U"
-#: Ranges up to this many rows are broadcast, and only after a count.
-BROADCAST_ROWS = 20_000
+#: Node ids per bucket, and bucket rows of ranges up to which they are broadcast, and only after a count.
+WIDTH, BROADCAST_ROWS = 128, 200_000
 
 
 def _bounded(reads: DataFrame) -> DataFrame:
@@ -17,29 +17,36 @@ def _bounded(reads: DataFrame) -> DataFrame:
     return reads.withColumn("_low", low).withColumn("_high", high)
 
 
+def _bucketed(ranges: DataFrame, width: int) -> DataFrame:
+    """Ranges once for each bucket of node ids that they touch."""
+    buckets = F.explode(F.sequence(F.expr(f"start div {width}"), F.expr(f"end div {width}")))
+    return ranges.select(F.col("species").alias("_species"), F.col("start").alias("_start"), F.col("end").alias("_end"), buckets.alias("_bucket"))
+
+
+def _contained(reads: DataFrame, held: DataFrame, width: int) -> DataFrame:
+    """``reads`` with the species of the bucketed range that holds all nodes: a read meets the ranges of its first bucket only."""
+    asked = _bounded(reads).withColumn("_bucket", F.expr(f"_low div {width}"))
+    inside = (asked["_bucket"] == held["_bucket"]) & (F.col("_low") >= F.col("_start")) & (F.col("_high") <= F.col("_end"))
+    return asked.join(held, inside, "left").select(*reads.columns, F.coalesce("_species", F.lit(UNCLASSIFIED)).alias("species"))
+
+
 def classify_by_range(reads: DataFrame, ranges: DataFrame) -> DataFrame:
     """``reads`` (path, ...) with the species whose node range holds all of a path's nodes, else ``U``.
 
-    Ranges (species, start, end) are disjoint. Few of them are broadcast; more go through buckets.
+    Ranges (species, start, end) are disjoint. They are dealt to buckets of node ids, so that a read isn't compared with
+    all of them; few bucket rows are broadcast, and reads then stay where they are.
     """
-    if ranges.limit(BROADCAST_ROWS + 1).count() > BROADCAST_ROWS:
-        return classify_by_bucket(reads, ranges)
-    held = ranges.select(F.col("species").alias("_species"), F.col("start").alias("_start"), F.col("end").alias("_end"))
-    inside = (F.col("_low") >= F.col("_start")) & (F.col("_high") <= F.col("_end"))
-    found = _bounded(reads).join(F.broadcast(held), inside, "left")
-    return found.select(*reads.columns, F.coalesce("_species", F.lit(UNCLASSIFIED)).alias("species"))
+    held = _bucketed(ranges, WIDTH)
+    few = held.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    return _contained(reads, F.broadcast(held) if few else held, WIDTH)
 
 
-def classify_by_bucket(reads: DataFrame, ranges: DataFrame, width: int = 128) -> DataFrame:
-    """The same as an equi-join: each range is dealt to the buckets of node ids it touches."""
-    buckets = F.explode(F.sequence(F.expr(f"start div {width}"), F.expr(f"end div {width}")))
-    held = ranges.select(F.col("species").alias("_species"), F.col("start").alias("_start"), F.col("end").alias("_end"), buckets.alias("_bucket"))
-    asked = _bounded(reads).withColumn("_bucket", F.expr(f"_low div {width}"))
-    inside = (asked["_bucket"] == held["_bucket"]) & (F.col("_low") >= F.col("_start")) & (F.col("_high") <= F.col("_end"))
-    return asked.join(held, inside, "left").select(*reads.columns, F.coalesce("_species", F.lit(UNCLASSIFIED)).alias("species"))
+def classify_by_bucket(reads: DataFrame, ranges: DataFrame, width: int = WIDTH) -> DataFrame:
+    """The same with both sides dealt by bucket, whatever the number of ranges."""
+    return _contained(reads, _bucketed(ranges, width), width)
 
 
-def overlap_any(reads: DataFrame, ranges: DataFrame, width: int = 128) -> DataFrame:
+def overlap_any(reads: DataFrame, ranges: DataFrame, width: int = WIDTH) -> DataFrame:
     """The first range, by ``ord``, that holds a path's smallest or largest node; null if none does."""
     buckets = F.explode(F.sequence(F.expr(f"start div {width}"), F.expr(f"end div {width}")))
     held = ranges.select("species", "start", "end", "ord", buckets.alias("_bucket"))

@@ -21,6 +21,18 @@ def test_classification(spark):
     assert sorted(map(str, rows(classify.overlap_any(reads, held)))) == sorted(map(str, [("r1", "A"), ("r2", "B"), ("r3", "A"), ("r4", None)]))
 
 
+@pytest.mark.parametrize("most", [classify.BROADCAST_ROWS, 10])
+def test_no_read_is_compared_with_all_ranges(spark, monkeypatch, most):
+    monkeypatch.setattr(classify, "BROADCAST_ROWS", most)
+    held = spark.range(300).selectExpr("concat('S', id) as species", "id * 100 + 1 as start", "id * 100 + if(id % 50 = 0, 100, 90) as end")
+    reads = spark.range(0, 30_200, 7).selectExpr("cast(id as string) as rid", "concat('>', id, '<', id + id % 5) as path")
+    found = classify.classify_by_range(reads, held)
+    spans = {b: (b * 100 + 1, b * 100 + (100 if b % 50 == 0 else 90)) for b in range(300)}
+    want = {str(i): next((f"S{b}" for b in {i // 100, (i - 1) // 100} & spans.keys() if spans[b][0] <= i and i + i % 5 <= spans[b][1]), "U") for i in range(0, 30_200, 7)}
+    assert dict(rows(found, "rid", "species")) == want
+    assert "NestedLoop" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 @pytest.mark.parametrize(("quality", "kept"), [([60] + [3] * 2 + [0] * 17, True), ([60, 3] + [0] * 18, False), ([3] * 20, False)])
 def test_species_filter(spark, quality, kept):
     reads = spark.createDataFrame([("A", q, 10) for q in quality] + [("U", 60, 10)], "species string, mapq int, read_len bigint")
