@@ -12,6 +12,19 @@ from helixmill.operators.cut import cut
 from helixmill.shipping import ensure_shipped
 
 WEAK_ANI, STRONG_ANI = 95.0, 99.9
+#: Genomes up to this many are broadcast to their pairs, and only after a count: pairs are many more.
+BROADCAST_GENOMES = 500_000
+
+
+def beside_pairs(genomes: DataFrame) -> DataFrame:
+    """Rows by genome, broadcast if they are few, so that pairs needn't move."""
+    return F.broadcast(genomes) if genomes.limit(BROADCAST_GENOMES + 1).count() <= BROADCAST_GENOMES else genomes
+
+
+def _both_ways(edges: DataFrame) -> DataFrame:
+    """Each pair from either side, read once."""
+    sides = F.array(F.struct("query", "refer"), F.struct(F.col("refer").alias("query"), F.col("query").alias("refer")))
+    return edges.select("label", F.explode(sides).alias("_s"), "ani").select("label", "_s.query", "_s.refer", "ani")
 
 
 def pair_max(edges: DataFrame) -> DataFrame:
@@ -134,11 +147,52 @@ def linkage_clusters(dist: np.ndarray, height: float, method: str = "complete")
     return np.unique([first.setdefault(r, k) for k, r in enumerate(root)], return_inverse=True)[1]
 
 
+def complete_clusters(n: int, left: np.ndarray, right: np.ndarray, gap: np.ndarray) -> np.ndarray:
+    """Complete linkage of n members from the pairs within the height alone; numbered by first member.
+
+    The chain of ``linkage_clusters`` over lists of neighbours: two clusters are neighbours while all pairs across are
+    within the height, so a merged one keeps what both were near to, at the larger distance. Room and time go with the pairs.
+    """
+    near: list[dict[int, float]] = [{} for _ in range(n)]
+    for i, j, d in zip(left.tolist(), right.tolist(), gap.tolist()):
+        near[i][j] = near[j][i] = d
+    root = np.arange(n)
+    chain: list[int] = []
+    for start in range(n):
+        while chain or near[start]:
+            if not chain:
+                chain.append(start)
+            i = chain[-1]
+            if not near[i]:  # as large as it gets
+                chain.pop()
+                continue
+            j = min(near[i], key=lambda x: (near[i][x], x))
+            if len(chain) < 2 or near[i].get(chain[-2], np.inf) > near[i][j]:
+                chain.append(j)
+                continue
+            j = chain[-2]
+            del chain[-2:]
+            i, j = min(i, j), max(i, j)
+            small, large = sorted((near[i], near[j]), key=len)
+            both = {k: max(d, large[k]) for k, d in small.items() if k in large}
+            for x in (i, j):
+                for k in near[x]:
+                    near[k].pop(x, None)
+            near[i], near[j] = both, {}
+            for k, d in both.items():
+                near[k][i] = d
+            root[j] = i
+    for k in range(n):  # a cluster's root has the smallest number, so roots of smaller members are final
+        root[k] = root[root[k]]
+    first = {}
+    return np.unique([first.setdefault(r, k) for k, r in enumerate(root)], return_inverse=True)[1]
+
+
 def hierarchical(genomes: DataFrame, edges: DataFrame, cutoff: float, method: str = "complete") -> DataFrame:
     """(label, genome, cluster): linkage clusters cut at distance 100 - cutoff, each named by its smallest genome; pairs without a similarity are 100 apart.
 
     Complete linkage joins only genomes that are all within the cutoff, so its clusters lie inside the components of such
-    pairs, and a task holds one component's matrix; single linkage is ``components`` at the cutoff, at any size. Average
+    pairs, and a task holds one component's pairs within the cutoff; single linkage is ``components`` at the cutoff, at any size. Average
     linkage may join components, and a task holds a label's matrix.
     """
     if method == "single":
@@ -147,18 +201,25 @@ def hierarchical(genomes: DataFrame, edges: DataFrame, cutoff: float, method: st
     member = cut(member.select("label", "genome", "component"))
     alone = member.groupBy("label", "component").agg(F.count(F.lit(1)).alias("n")).filter("n > 1" if method == "complete" else "n > 0")
     member = member.join(alone.select("label", "component"), ["label", "component"], "left_semi")
-    side = lambda name: member.select("label", F.col("genome").alias(name), F.col("component").alias(f"{name}_c"))
+    if method == "complete":  # clusters that hold a pair beyond the cutoff stay apart, however far it is
+        edges = edges.filter(F.col("ani") >= cutoff)
+    held = beside_pairs(member)
+    side = lambda name: held.select("label", F.col("genome").alias(name), F.col("component").alias(f"{name}_c"))
     inside = edges.join(side("query"), ["label", "query"]).join(side("refer"), ["label", "refer"]).filter("query_c = refer_c")
     rows = member.select("label", "component", "genome", F.lit(None).cast("bigint").alias("other"), F.lit(None).cast("double").alias("ani"))
     rows = rows.union(inside.select("label", "query_c", "query", "refer", "ani"))
 
     def cluster(frame: pd.DataFrame) -> pd.DataFrame:
         names = np.sort(frame[frame.other.isna()].genome.to_numpy(np.int64))
-        dist = np.full((len(names), len(names)), 100.0)
         pairs = frame[frame.other.notna()]
         a, b = np.searchsorted(names, pairs.genome.to_numpy(np.int64)), np.searchsorted(names, pairs.other.to_numpy(np.int64))
-        dist[a, b] = dist[b, a] = 100 - pairs.ani.to_numpy(float)
-        number = linkage_clusters(dist, 100 - cutoff, method)
+        gap = 100 - pairs.ani.to_numpy(float)
+        if method == "complete":
+            number = complete_clusters(len(names), a, b, gap)
+        else:
+            dist = np.full((len(names), len(names)), 100.0)
+            dist[a, b] = dist[b, a] = gap
+            number = linkage_clusters(dist, 100 - cutoff, method)
         return pd.DataFrame({"label": frame.label.iloc[0], "genome": names, "cluster": names[np.unique(number, return_index=True)[1]][number]})
 
     ensure_shipped(rows.sparkSession)
@@ -169,10 +230,12 @@ def hierarchical(genomes: DataFrame, edges: DataFrame, cutoff: float, method: st
 
 def medoids(members: DataFrame, edges: DataFrame) -> DataFrame:
     """(label, cluster, genome): of one or two members the first, else the one with the least mean distance to the others; pairs without a similarity are 100 apart."""
-    both = edges.select("label", "query", "refer", "ani").union(edges.select("label", "refer", "query", "ani"))
-    own = members.select("label", F.col("genome").alias("query"), "cluster")
-    other = members.select("label", F.col("genome").alias("refer"), F.col("cluster").alias("_c"))
-    inside = both.join(own, ["label", "query"]).join(other, ["label", "refer"]).filter("cluster = _c")
+    members = cut(members.select("label", "genome", "cluster"))
+    held = beside_pairs(members)
+    own = held.select("label", F.col("genome").alias("query"), "cluster")
+    other = held.select("label", F.col("genome").alias("refer"), F.col("cluster").alias("_c"))
+    inside = _both_ways(edges.join(own, ["label", "query"]).join(other, ["label", "refer"]).filter("cluster = _c").select("label", "query", "refer", "ani"))
+    inside = inside.join(own, ["label", "query"])
     known = inside.groupBy("label", "cluster", "query").agg(F.sum(100 - F.col("ani")).alias("_sum"), F.count(F.lit(1)).alias("_k"))
     sizes = members.groupBy("label", "cluster").agg(F.count(F.lit(1)).alias("_n"), F.min("genome").alias("_first"))
     others = F.col("_n") - 1
@@ -183,9 +246,10 @@ def medoids(members: DataFrame, edges: DataFrame) -> DataFrame:
 
 def reassign(genomes: DataFrame, reps: DataFrame, edges: DataFrame) -> DataFrame:
     """(label, genome, rep): each genome with the representative of its label nearest to it; a representative with itself."""
-    both = edges.select("label", "query", "refer", "ani").union(edges.select("label", "refer", "query", "ani"))
-    near = both.join(reps.select("label", F.col("genome").alias("refer")), ["label", "refer"]).withColumnRenamed("query", "genome")
-    near = near.join(reps.select("label", "genome"), ["label", "genome"], "left_anti").groupBy("label", "genome").agg(F.max_by("refer", F.struct("ani", -F.col("refer"))).alias("rep"))
+    reps = cut(reps.select("label", "genome"))
+    held = beside_pairs(reps)
+    near = _both_ways(edges).join(held.select("label", F.col("genome").alias("refer")), ["label", "refer"]).withColumnRenamed("query", "genome")
+    near = near.join(held, ["label", "genome"], "left_anti").groupBy("label", "genome").agg(F.max_by("refer", F.struct("ani", -F.col("refer"))).alias("rep"))
     return near.select("label", "genome", "rep").union(reps.select("label", "genome", F.col("genome").alias("rep")))
 
 
