@@ -197,12 +197,12 @@ def hierarchical(genomes: DataFrame, edges: DataFrame, cutoff: float, method: st
     """
     if method == "single":
         return components(genomes, edges, cutoff).withColumnRenamed("component", "cluster")
+    if method == "complete":  # clusters that hold a pair beyond the cutoff stay apart, however far it is
+        edges = cut(edges.filter(F.col("ani") >= cutoff))
     member = components(genomes, edges, cutoff) if method == "complete" else genomes.withColumn("component", F.lit(0).cast("bigint"))
     member = cut(member.select("label", "genome", "component"))
     alone = member.groupBy("label", "component").agg(F.count(F.lit(1)).alias("n")).filter("n > 1" if method == "complete" else "n > 0")
     member = member.join(alone.select("label", "component"), ["label", "component"], "left_semi")
-    if method == "complete":  # clusters that hold a pair beyond the cutoff stay apart, however far it is
-        edges = edges.filter(F.col("ani") >= cutoff)
     held = beside_pairs(member)
     side = lambda name: held.select("label", F.col("genome").alias(name), F.col("component").alias(f"{name}_c"))
     inside = edges.join(side("query"), ["label", "query"]).join(side("refer"), ["label", "refer"]).filter("query_c = refer_c")
@@ -268,10 +268,10 @@ def with_reference(labels: DataFrame, genomes: DataFrame) -> DataFrame:
 def linkage_conditions(members: DataFrame, edges: DataFrame, cutoff: float) -> DataFrame:
     """(label, genomes, compact, mergeable): whether all pairs inside clusters reach the cutoff, and how many pairs of
     clusters could still be joined because all pairs across reach it; what complete linkage must leave is true and 0."""
-    strong = edges.filter(F.col("ani") >= cutoff)
+    strong, members = edges.filter(F.col("ani") >= cutoff), cut(members.select("label", "genome", "cluster"))
     side = lambda name: members.select("label", F.col("genome").alias(name), F.col("cluster").alias(f"{name}_c"))
     known = strong.join(side("query"), ["label", "query"]).join(side("refer"), ["label", "refer"])
-    between = known.groupBy("label", F.least("query_c", "refer_c").alias("a"), F.greatest("query_c", "refer_c").alias("b")).agg(F.count(F.lit(1)).alias("n"))
+    between = cut(known.groupBy("label", F.least("query_c", "refer_c").alias("a"), F.greatest("query_c", "refer_c").alias("b")).agg(F.count(F.lit(1)).alias("n")))
     sizes = members.groupBy("label", "cluster").agg(F.count(F.lit(1)).alias("size"))
     inside = sizes.join(between.filter("a = b").select("label", F.col("a").alias("cluster"), "n"), ["label", "cluster"], "left")
     told = inside.groupBy("label").agg(F.sum("size").alias("genomes"), F.every(F.coalesce("n", F.lit(0)) * 2 == F.col("size") * (F.col("size") - 1)).alias("compact"))

@@ -72,9 +72,17 @@ def genomes(spark, sf_dir) -> DataFrame:
     return table(spark, sf_dir, "embeddings").selectExpr("label", "vec_id as genome", "cast((vec_id * 37) % 1000 as bigint) as n50", "vec_id % 50 = 0 as is_ref")
 
 
-def similarities(spark, sf_dir, least: float | None = None) -> DataFrame:
-    """label, query, refer, ani: cosine in percent, each unordered pair of a label once; with ``least`` those that reach it"""
-    return cosines(table(spark, sf_dir, "embeddings").selectExpr("label", "vec_id as id", "embedding as e"), least)
+def vectors(spark, sf_dir) -> DataFrame:
+    """label, id, e: the vectors of the genomes"""
+    return table(spark, sf_dir, "embeddings").selectExpr("label", "vec_id as id", "embedding as e")
+
+
+def similarities(spark, sf_dir, least: float | None = None, among: DataFrame | None = None) -> DataFrame:
+    """label, query, refer, ani: cosine in percent, each unordered pair of a label once; with ``least`` those that reach it, with ``among`` those of these genomes"""
+    held = vectors(spark, sf_dir)
+    if among is not None:
+        held = held.join(among.select("label", F.col("genome").alias("id")), ["label", "id"], "left_semi")
+    return cosines(held, least)
 
 
 #: The same views in DuckDB, each using those before it.

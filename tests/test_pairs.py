@@ -42,3 +42,42 @@ def test_complete_linkage_holds_no_matrix():
     a = np.arange(n - 1)
     got = cluster.complete_clusters(n, a, a + 1, np.where(a % 2 == 0, 1.0, 2.0))
     assert (got == np.arange(n) // 2).all()
+
+
+def test_medoids_and_nearest_representatives_are_those_of_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(pairs, "BLOCK", 7)
+    rng = np.random.default_rng(3)
+    points = [[float(x) for x in rng.normal(size=4)] for _ in range(70)]
+    points[20:26] = [points[20]] * 6  # equal vectors tie
+    points += [[-x for x in points[0]], None, [0.0] * 4, [1.0, None, 0.0, 0.0]]
+    rows = [(i, i // 2 % 2, e) for i, e in enumerate(points)]
+    vectors = spark.createDataFrame(rows, "id bigint, label int, e array<float>")
+    genomes = vectors.select("label", "id").withColumnRenamed("id", "genome")
+    edges = pairs.cosines(vectors)
+    members = cluster.components(genomes, edges, 95.0).withColumnRenamed("component", "cluster")
+    odd = genomes.selectExpr("label", "genome", "0L as cluster")  # with vectors that have no cosine
+    for clusters in (odd, members):
+        got, want = pairs.medoids(vectors, clusters), cluster.medoids(clusters, edges)
+        assert sorted(got.collect()) == sorted(want.select(got.columns).collect())
+    assert sorted(pairs.reassign(vectors, want).collect()) == sorted(cluster.reassign(genomes, want, edges).collect())
+
+
+def test_medoids_compare_few_members_with_all(spark):
+    rng = np.random.default_rng(4)
+    n = 1500
+    points = rng.normal(size=(n, 3)) + 3
+    vectors = spark.createDataFrame([(i, 1, [float(x) for x in p]) for i, p in enumerate(points)], "id bigint, label int, e array<double>")
+    members = vectors.selectExpr("label", "id as genome", "0L as cluster")
+    asked = []
+
+    def between(some, others, **options):
+        asked.append(some.count() * others.count())
+        return found(some, others, **options)
+
+    found = pairs.cosines_between
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(pairs, "cosines_between", between)
+        got = pairs.medoids(vectors, members).first().genome
+    unit = points / np.linalg.norm(points, axis=1)[:, None]
+    assert got == int(np.argmax((unit @ unit.T).sum(axis=1)))
+    assert sum(asked) <= 20 * n
