@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -131,6 +132,11 @@ def sums_of_reads(read: np.ndarray, ids: np.ndarray, offsets: np.ndarray, start:
     })
 
 
+def _changes(column: pa.Array) -> np.ndarray:
+    """Which values, from the second on, differ from the one before."""
+    return pc.not_equal(column.slice(1), column.slice(0, max(len(column) - 1, 0))).fill_null(True).to_numpy(zero_copy_only=False)
+
+
 def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by (species, salt, reads last, block, rid), (species, salt, block, ids, lens, read_start, read_end, rid) -> sums of reads."""
     now: tuple | None = None
@@ -143,8 +149,7 @@ def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             nodes = [tuple(np.concatenate(x) for x in zip(*nodes))] if nodes else [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
         table = pa.Table.from_batches(rows).combine_chunks()
         column = lambda i: table.column(i).chunk(0) if table.num_rows else table.column(i).combine_chunks()
-        rid = np.array(column(7).to_pylist(), object)
-        read = np.cumsum(np.r_[0, rid[1:] != rid[:-1]].astype(np.int64))
+        read = np.cumsum(np.r_[0, _changes(column(7))].astype(np.int64))
         start, end = (np.asarray(column(i), np.int64) for i in (5, 6))
         made = sums_of_reads(read, np.asarray(column(3).flatten(), np.int64), np.asarray(column(3).offsets, np.int64), start, end, *nodes[0])
         return pa.record_batch({"species": pa.array([now[0]] * made.num_rows, table.schema.field(0).type)} | {n: made.column(n) for n in made.schema.names})
@@ -152,23 +157,21 @@ def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if not batch.num_rows:
             continue
-        keys = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
-        rid = batch.column(7).to_pylist()
-        is_read = np.asarray(batch.column(2).is_null())
-        cuts = [i for i in range(1, len(keys)) if keys[i] != keys[i - 1] or is_read[i] != is_read[i - 1]]
-        for s, e in zip([0, *cuts], [*cuts, len(keys)]):
-            if keys[s] != now:
+        rid, is_read = batch.column(7), batch.column(2).is_null().to_numpy(zero_copy_only=False)
+        cuts = np.flatnonzero(_changes(batch.column(0)) | _changes(batch.column(1)) | (is_read[1:] != is_read[:-1])) + 1
+        begins = np.flatnonzero(np.r_[True, _changes(rid)])
+        for s, e in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows]):
+            key = (batch.column(0)[s].as_py(), batch.column(1)[s].as_py())
+            if key != now:
                 if waiting:
                     yield told(waiting)
-                now, nodes, waiting = keys[s], [], []
+                now, nodes, waiting = key, [], []
             if not is_read[s]:
                 part = batch.slice(s, e - s)
                 nodes.append(tuple(np.asarray(part.column(i).flatten(), np.int64) for i in (3, 4)))
                 continue
-            last = e - 1
-            while last > s and rid[last - 1] == rid[e - 1]:
-                last -= 1
-            if last > s or (waiting and waiting[-1].column(7)[-1].as_py() != rid[s]):
+            last = max(s, int(begins[np.searchsorted(begins, e) - 1]))
+            if last > s or (waiting and waiting[-1].column(7)[-1].as_py() != rid[s].as_py()):
                 yield told([*waiting, batch.slice(s, last - s)])
                 waiting = []
             waiting.append(batch.slice(last, e - last))

@@ -60,3 +60,45 @@ def test_no_reads_and_no_nodes(spark):
     nodes = spark.createDataFrame([("A", 1, 5)], "species string, node_id bigint, node_len bigint")
     for r, n in ((reads.limit(0), nodes), (reads, nodes.limit(0))):
         assert [x.count() for x in coverage.read_sums(r, n)] == [0, 0]
+
+
+def test_reads_are_not_taken_apart_one_by_one():
+    """Rows of a batch are told apart in columns: no object of Python per row."""
+    import pyarrow as pa
+
+    from helixmill.operators import coverage
+
+    n = 20_000
+    at = [None] * n
+    column = {"species": pa.array(["S"] * (n + 1)), "salt": pa.array([0] * (n + 1), pa.int32()), "block": pa.array([0, *at], pa.int64())}
+    column |= {"ids": pa.array([[1, 2]] * (n + 1)), "lens": pa.array([[5, 5], *at], pa.list_(pa.int64()))}
+    column |= {x: pa.array([None, *[v] * n], pa.int64()) for x, v in (("start", 1), ("end", 8))}
+    batch = pa.record_batch(column | {"rid": pa.array([None, *(str(i) for i in range(n))])})
+
+    class Columns:
+        num_rows = batch.num_rows
+
+        def slice(self, *args):
+            return batch.slice(*args)
+
+        def column(self, i):
+            asked.append(i)
+            return Listless(batch.column(i))
+
+    class Listless:
+        def __init__(self, held):
+            self.held = held
+
+        def __getattr__(self, name):
+            assert name != "to_pylist"
+            return getattr(self.held, name)
+
+        def __getitem__(self, i):
+            return self.held[i]
+
+        def __len__(self):
+            return len(self.held)
+
+    asked: list[int] = []
+    rows = [r for part in coverage._summed(iter([Columns()])) for r in part.to_pylist()]
+    assert asked and sum(r["bases"] for r in rows if not r["three"]) == 7 * n
