@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from helixmill.operators.cliques import best_cliques
 from helixmill.operators.cut import cut
+from helixmill.operators.pairs import forest
 from helixmill.shipping import ensure_shipped
 
 WEAK_ANI, STRONG_ANI = 95.0, 99.9
@@ -33,15 +37,40 @@ def pair_max(edges: DataFrame) -> DataFrame:
     return edges.filter("query <> refer").groupBy("label", *pair).agg(F.max("ani").alias("ani"))
 
 
+#: Edges that a task joins to trees before rounds over all edges; many more take many tasks.
+TREE_EDGES = 1_000_000
+
+
+def _trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges (a, b) -> an edge (smallest, b) for each other node b of a tree that they make."""
+    held = [(np.asarray(x.column(0), np.int64), np.asarray(x.column(1), np.int64)) for x in batches if x.num_rows]
+    if held:
+        names, at = np.unique(np.concatenate([np.concatenate(x) for x in zip(*held)]), return_inverse=True)
+        x, y = np.split(at, 2)
+        root = np.arange(len(names))
+        forest(root, x, y)
+        far = np.flatnonzero(root != np.arange(len(root)))
+        for start in range(0, len(far), 1 << 16):
+            part = far[start : start + (1 << 16)]
+            yield pa.record_batch({"a": pa.array(names[root[part]]), "b": pa.array(names[part])})
+
+
+def _joined(edges: DataFrame) -> DataFrame:
+    """Edges (a, b), a before b, that connect what all of them connect: those of a task become stars."""
+    ensure_shipped(edges.sparkSession)
+    held = cut(edges)
+    return cut(held.repartition(-(-held.count() // TREE_EDGES) or 1).mapInArrow(_trees, "a bigint, b bigint"))
+
+
 def components(genomes: DataFrame, edges: DataFrame, least: float) -> DataFrame:
     """(label, genome, component): connected components of the edges of at least ``least``; the smallest genome names one.
 
-    Each round points a genome to the smallest among itself and its neighbours and rewrites the edges over the genomes
+    Edges are first joined to trees task by task. Each round points a genome to the smallest among itself and its neighbours and rewrites the edges over the genomes
     pointed to, so the graph shrinks until no edge is left; every other later round orders by a hash of the id, which
     keeps chains short. Genomes without edges take no part.
     """
     strong = edges.filter((F.col("ani") >= least) & (F.col("query") != F.col("refer")))
-    left = cut(strong.select(F.least("query", "refer").alias("a"), F.greatest("query", "refer").alias("b")).distinct())
+    left = _joined(strong.select(F.least("query", "refer").alias("a"), F.greatest("query", "refer").alias("b")))
     found: DataFrame | None = None
     turn = 0
     while left.limit(1).count():
@@ -57,7 +86,7 @@ def components(genomes: DataFrame, edges: DataFrame, least: float) -> DataFrame:
             found = found.join(step.withColumnRenamed("genome", "_g").withColumnRenamed("to", "_to"), F.col("to") == F.col("_g"), "left").select("genome", F.coalesce("_to", "to").alias("to"))
         ends = {x: step.select(F.col("genome").alias(x), F.col("to").alias(f"to_{x}")) for x in "ab"}
         moved = left.join(ends["a"], "a").join(ends["b"], "b").filter("to_a <> to_b")
-        left = cut(moved.select(F.least("to_a", "to_b").alias("a"), F.greatest("to_a", "to_b").alias("b")).distinct())
+        left = _joined(moved.select(F.least("to_a", "to_b").alias("a"), F.greatest("to_a", "to_b").alias("b")).distinct())
         turn += 1
     if found is None:
         return genomes.select("label", "genome", F.col("genome").alias("component"))
@@ -188,18 +217,24 @@ def complete_clusters(n: int, left: np.ndarray, right: np.ndarray, gap: np.ndarr
     return np.unique([first.setdefault(r, k) for k, r in enumerate(root)], return_inverse=True)[1]
 
 
-def hierarchical(genomes: DataFrame, edges: DataFrame, cutoff: float, method: str = "complete") -> DataFrame:
+def hierarchical(genomes: DataFrame, edges: DataFrame, cutoff: float, method: str = "complete", connected: DataFrame | None = None) -> DataFrame:
     """(label, genome, cluster): linkage clusters cut at distance 100 - cutoff, each named by its smallest genome; pairs without a similarity are 100 apart.
 
     Complete linkage joins only genomes that are all within the cutoff, so its clusters lie inside the components of such
     pairs, and a task holds one component's pairs within the cutoff; single linkage is ``components`` at the cutoff, at any size. Average
-    linkage may join components, and a task holds a label's matrix.
+    linkage may join components, and a task holds a label's matrix. ``connected`` (label, genome, component) are the
+    components at the cutoff, if they are known from fewer pairs.
     """
     if method == "single":
-        return components(genomes, edges, cutoff).withColumnRenamed("component", "cluster")
+        return (components(genomes, edges, cutoff) if connected is None else connected).withColumnRenamed("component", "cluster")
     if method == "complete":  # clusters that hold a pair beyond the cutoff stay apart, however far it is
-        edges = cut(edges.filter(F.col("ani") >= cutoff))
-    member = components(genomes, edges, cutoff) if method == "complete" else genomes.withColumn("component", F.lit(0).cast("bigint"))
+        edges = edges.filter(F.col("ani") >= cutoff)
+        if connected is None:
+            edges = cut(edges)
+            connected = components(genomes, edges, cutoff)
+        member = connected
+    else:
+        member = genomes.withColumn("component", F.lit(0).cast("bigint"))
     member = cut(member.select("label", "genome", "component"))
     alone = member.groupBy("label", "component").agg(F.count(F.lit(1)).alias("n")).filter("n > 1" if method == "complete" else "n > 0")
     member = member.join(alone.select("label", "component"), ["label", "component"], "left_semi")

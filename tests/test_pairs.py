@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from helixmill.operators import cluster, pairs
 
@@ -81,3 +82,52 @@ def test_medoids_compare_few_members_with_all(spark):
     unit = points / np.linalg.norm(points, axis=1)[:, None]
     assert got == int(np.argmax((unit @ unit.T).sum(axis=1)))
     assert sum(asked) <= 20 * n
+
+
+def test_spanning_pairs_connect_what_all_pairs_do(spark, monkeypatch):
+    monkeypatch.setattr(pairs, "BLOCK", 200)
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(9, 6))
+    rows = [(i, i % 2, [float(x) for x in centres[i % 9] + 0.05 * rng.normal(size=6)]) for i in range(300)]
+    rows += [(300, 0, None), (301, 1, [0.0] * 6), (302, 0, [1.0, None, 0.0, 0.0, 0.0, 0.0])]
+    vectors = spark.createDataFrame(rows, "id bigint, label int, e array<double>")
+    genomes = vectors.select("label", F.col("id").alias("genome"))
+    every, few = pairs.cosines(vectors, 90.0), pairs.cosines(vectors, 90.0, spanning=True)
+    told = {tuple(r) for r in few.collect()}
+    assert told <= {tuple(r) for r in every.collect()}
+    assert len(told) < len(rows) < every.count() / 3  # all pairs grow with the square
+    assert sorted(cluster.components(genomes, few, 90.0).collect()) == sorted(cluster.components(genomes, every, 90.0).collect())
+
+
+def test_only_pairs_near_a_bound_are_summed_in_order(monkeypatch):
+    rng = np.random.default_rng(6)
+    a, b = rng.normal(size=(200, 16)), rng.normal(size=(300, 16))
+    b[7] = 0
+    asked = []
+    told = pairs._told
+    monkeypatch.setattr(pairs, "_told", lambda a, b, i, j: asked.append(len(i)) or told(a, b, i, j))
+    monkeypatch.setattr(pairs, "STRIPE", 64)
+    ids = [np.arange(200), np.arange(1000, 1300)]
+    sides, norms = [(np.arange(len(v)), v) for v in (a, b)], [pairs._own(v) for v in (a, b)]
+    plain = list(pairs._every(ids, [[s] for s in sides], [[n] for n in norms], False, 60.0, False))
+    found = list(pairs._chosen(ids, *sides, *norms, False, 60.0, False, False))
+    for want, got in zip(plain, found, strict=True):
+        assert all((x == y).all() for x, y in zip(want, got))  # the values to the last bit
+    assert sum(asked) < 0.05 * 200 * 300
+    nearest = list(pairs._chosen(ids, *sides, *norms, False, None, True, False))
+    for want, got in zip(pairs._every(ids, [[s] for s in sides], [[n] for n in norms], False, None, True), nearest, strict=True):
+        assert all((x == y).all() for x, y in zip(want, got))
+
+
+@pytest.mark.parametrize("edges", [5, 1_000_000])
+def test_components_take_few_rounds(spark, monkeypatch, edges):
+    monkeypatch.setattr(cluster, "TREE_EDGES", edges)
+    chain = [(int(a), int(b)) for a, b in zip(*(lambda p: (p[:-1], p[1:]))(np.random.default_rng(7).permutation(60)))]
+    frame = spark.createDataFrame([(1, a, b, 99.0) for a, b in [*chain, (70, 71), (71, 70), (72, 72)]], "label int, query bigint, refer bigint, ani double")
+    genomes = spark.range(74).selectExpr("1 as label", "id as genome")
+    rounds = []
+    joined = cluster._joined
+    monkeypatch.setattr(cluster, "_joined", lambda x: rounds.append(1) or joined(x))
+    got = {r.genome: r.component for r in cluster.components(genomes, frame, 95.0).collect()}
+    assert got == {i: 0 if i < 60 else 70 if i == 71 else i for i in range(74)}
+    assert len(rounds) <= (2 if edges > 100 else 8)
