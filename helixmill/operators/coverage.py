@@ -251,8 +251,13 @@ def walk_triples(walks: DataFrame) -> DataFrame:
 
 
 def incidence(walks: DataFrame) -> DataFrame:
-    """(species, hap_id, node_id): which nodes a haplotype visits, however often."""
-    return walks.select("species", "hap_id", "node_id").distinct()
+    """(species, hap_id, node_id): which nodes a haplotype visits, however often.
+
+    Rows are dealt out before equal ones are dropped: few are equal, and a task of the input would hold almost all of its own.
+    """
+    keys = ["species", "hap_id", "node_id"]
+    tasks = int(walks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return walks.select(*keys).repartition(tasks, *keys).distinct()
 
 
 def path_index(walks: DataFrame) -> DataFrame:
