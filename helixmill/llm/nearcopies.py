@@ -3,21 +3,23 @@
 64-bit SimHashes of such texts differ in some ten bits, and values so far apart need share no block of bits that selects.
 So the BK-trees' shards are dealt by min-hashes instead: a text is in one shard per band, whose key holds ROWS min-hashes
 of its shingles, and two texts of similarity 0.8 meet in one of the BANDS shards with a probability of 0.9993, more
-similar ones sooner. Links are found in two rounds, both verified on whole sets:
+similar ones sooner. All pairs come from searches of the shards' BK-trees of SimHashes within RADIUS bits, in two rounds,
+and are verified on whole sets:
 
-* in every shard the members are compared with its first one (the hub), which ties dense groups together in linear work;
+* in every shard members search the tree in turn, the first one (the hub) before the others; who is found by one that
+  searched needn't search any more, so that a dense group is tied together in linear work;
 * where a shard's members are not all tied to the hub after that, over whatever chain of links, those that aren't search
-  the shard's BK-tree of SimHashes for members of other groups within RADIUS bits.
+  the tree for all members of other groups.
 
 Before whole sets are read, two bounds drop pairs: the sizes, and parities of the shingles per bucket, which two sets
-can't have differ in more buckets than they differ in shingles. A pair of a tied group is never listed, and shards of
-very many members are searched in parts.
+can't have differ in more buckets than they differ in shingles. A pair of a tied group is never listed. A shard of
+very many members is several trees, each with the hub as its root.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -165,13 +167,64 @@ def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select(["a", "b"]).filter(pa.array(keep))
 
 
+def _by_cell(batches: Iterator[pa.RecordBatch], found: Callable[[pa.Table], pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What is found in rows by cell (key, part, ...), which get a column ``cell``; a cell cut by the end of a batch waits for the next."""
+    held: pa.Table | None = None
+
+    def numbered(table: pa.Table) -> pa.Table:
+        key, part = (np.asarray(table.column(n).combine_chunks()) for n in ("key", "part"))
+        new = np.r_[False, (key[1:] != key[:-1]) | (part[1:] != part[:-1])]
+        return table.append_column("cell", pa.array(np.cumsum(new), pa.int64()))
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        table = pa.Table.from_batches([batch])
+        table = numbered(table if held is None else pa.concat_tables([held, table]))
+        cell = np.asarray(table.column("cell").combine_chunks())
+        end = int(np.searchsorted(cell, cell[-1]))
+        if end:
+            yield found(table.slice(0, end))
+        held = table.slice(end).drop_columns(["cell"])
+    if held is not None:
+        yield found(numbered(held))
+
+
+def _lead(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows by cell (key, part, row, fp), the hub first -> pairs (a, b) within RADIUS that the members' searches of their cell's BK-tree give.
+
+    Members search in their order, twice as many of a cell at each turn, but none that an earlier turn has found.
+    """
+
+    def found(table: pa.Table) -> pa.RecordBatch:
+        row, fp, cell = (np.asarray(table.column(n).combine_chunks()) for n in ("row", "fp", "cell"))
+        fp = fp.view(np.uint64)
+        forest = Forest(cell, fp)
+        free, most = np.arange(len(row)), 1
+        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        while len(free):
+            first = np.r_[True, cell[free[1:]] != cell[free[:-1]]]
+            asks = np.arange(len(free)) - np.flatnonzero(first)[np.cumsum(first) - 1] < most
+            asking, met = free[asks], np.zeros(len(row), bool)
+            for start in range(0, len(asking), 256):  # so that the pairs held at a time stay few
+                own = asking[start : start + 256]
+                who, node = forest.search(fp[own], forest.root[own], RADIUS)
+                met[node] = True
+                x, y = row[own[who]], row[node]
+                a.append(np.minimum(x, y)[x != y])
+                b.append(np.maximum(x, y)[x != y])
+            free, most = free[~asks & ~met[free]], 2 * most
+        return pa.record_batch({"a": pa.array(np.concatenate(a), pa.int64()), "b": pa.array(np.concatenate(b), pa.int64())})
+
+    return _by_cell(batches, found)
+
+
 def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows by cell (key, part, row, root, asks, member, fp, size, parities, keys) -> pairs (a, b) of different roots near each other.
 
-    A cell's members are a BK-tree, which the rows that ask search; a cell cut by the end of a batch waits for the next.
+    A cell's members are a BK-tree, which the rows that ask search.
     A pair is given once: of the shards it shares by the first, and if both ask by the smaller.
     """
-    held: pa.Table | None = None
 
     def found(table: pa.Table) -> pa.RecordBatch:
         col = {n: table.column(n).combine_chunks() for n in ("row", "root", "asks", "member", "fp", "size", "cell")}
@@ -201,23 +254,7 @@ def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             b.append(np.maximum(row[x[ok]], row[y[ok]]))
         return pa.record_batch({"a": pa.array(np.concatenate(a), pa.int64()), "b": pa.array(np.concatenate(b), pa.int64())})
 
-    def numbered(table: pa.Table) -> pa.Table:
-        key, part = (np.asarray(table.column(n).combine_chunks()) for n in ("key", "part"))
-        new = np.r_[False, (key[1:] != key[:-1]) | (part[1:] != part[:-1])]
-        return table.append_column("cell", pa.array(np.cumsum(new), pa.int64()))
-
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        table = pa.Table.from_batches([batch])
-        table = numbered(table if held is None else pa.concat_tables([held, table]))
-        cell = np.asarray(table.column("cell").combine_chunks())
-        end = int(np.searchsorted(cell, cell[-1]))
-        if end:
-            yield found(table.slice(0, end))
-        held = table.slice(end).drop_columns(["cell"])
-    if held is not None:
-        yield found(numbered(held))
+    return _by_cell(batches, found)
 
 
 def _beside(pairs: DataFrame, of: DataFrame, *columns: str) -> DataFrame:
@@ -257,23 +294,27 @@ def _near_copies(docs: DataFrame) -> DataFrame:
     firsts = materialize(rows.groupBy("same").agg(F.min("row").alias("row")), "firsts")
     copies = materialize(rows.join(firsts, ["row", "same"], "left_anti").select("row"), "copies")
     sketches = join_checked(made.select("row", "fp", "size", "parities", "keys"), copies, "row", "left_anti")
-    in_shards = sketches.select("row", F.explode("keys").alias("key"))
+    in_shards = sketches.select("row", "fp", F.explode("keys").alias("key"))
     shards = in_shards.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("row").alias("hub")).filter("n > 1")
     members = materialize(join_checked(in_shards, materialize(shards, "shards"), "key"), "members")
-    links = _verified(docs, sketches, members.filter("row <> hub").select(F.col("hub").alias("a"), F.col("row").alias("b")))
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = F.ceil(F.col("n") / TREE).cast("int")
+    own = F.pmod(F.xxhash64("row"), parts).cast("int")
+    # The hub is in every part of its shard.
+    inside = F.explode(F.when(F.col("row") == F.col("hub"), F.sequence(F.lit(0), parts - 1)).otherwise(F.array(own)))
+    trees = members.select("key", inside.alias("part"), "row", "fp").repartition(tasks, "key", "part").sortWithinPartitions("key", "part", "row")
+    links = _verified(docs, sketches, trees.mapInArrow(lean(_lead), "a long, b long"))
     roots = _roots(links)
     # Shards with members that no links tie to the hub.
     named = members.join(roots, "row", "left").select("key", "row", "hub", "n", F.coalesce("root", "row").alias("root"))
     at_hub = named.filter("row = hub").select("key", F.col("root").alias("hub_root"))
     named = materialize(join_checked(named, materialize(at_hub, "hubs"), "key"), "named")
     open_ = materialize(named.filter("root <> hub_root").select("key").distinct(), "open")
-    parts = F.ceil(F.col("n") / TREE).cast("int")
-    stray = named.select("*", (F.col("root") != F.col("hub_root")).alias("asks"), parts.alias("parts"), F.pmod(F.xxhash64("row"), parts).cast("int").alias("own"))
+    stray = named.select("*", (F.col("root") != F.col("hub_root")).alias("asks"), parts.alias("parts"), own.alias("own"))
     stray = join_checked(stray, open_, "key", "left_semi")
     every = F.when(F.col("asks"), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array("own"))
     cells = stray.select("key", "row", "root", "asks", "own", F.explode(every).alias("part")).withColumn("member", F.col("part") == F.col("own"))
     cells = cells.join(sketches, "row").select("key", "part", "row", "root", "asks", "member", "fp", "size", "parities", "keys")
-    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     cells = cells.repartition(tasks, "key", "part").sortWithinPartitions("key", "part", "row")
     late = _verified(docs, sketches, cells.mapInArrow(lean(_search), "a long, b long"))
     if late.limit(1).count():

@@ -125,3 +125,26 @@ def test_long_texts_are_cut_between_shingles(monkeypatch):
     want = [x.tolist() for x in nearcopies.shingle_sets(texts)]
     monkeypatch.setattr(nearcopies, "CHUNK", 64)
     assert [x.tolist() for x in nearcopies.shingle_sets(texts)] == want
+
+
+def test_all_pairs_come_from_searches_of_trees(spark, monkeypatch):
+    import pyarrow as pa
+
+    rng = np.random.default_rng(8)
+    rows = []
+    for key, groups in enumerate(([1], [1, 1], [40], [3, 1, 30, 1, 1, 20])):
+        for g, n in enumerate(groups):
+            base = int(rng.integers(0, 1 << 62))
+            rows += [(key, 0, key * 1000 + g * 100 + r, base ^ sum(1 << int(b) for b in rng.choice(62, rng.integers(0, 9), replace=False))) for r in range(n)]
+    near = lambda x, y: x[0] == y[0] and (x[3] ^ y[3]).bit_count() <= nearcopies.RADIUS
+    allowed = {(x[2], y[2]) for x in rows for y in rows if x[2] < y[2] and near(x, y)}
+    for step in (1, 7, 200):
+        made = nearcopies._lead(pa.record_batch([pa.array(c) for c in zip(*rows[i : i + step])], ["key", "part", "row", "fp"]) for i in range(0, len(rows), step))
+        got = [(p["a"], p["b"]) for b in made for p in b.to_pylist()]
+        assert set(got) <= allowed and classes(4000, got) == classes(4000, list(allowed))
+        assert len(got) < 4 * len(rows)  # a dense group isn't listed pair by pair
+    # Without its trees the stage finds nothing.
+    docs = spark.createDataFrame(list(enumerate(corpus())), "row bigint, text string")
+    same = {tuple(sorted(grams(t))) for t in corpus()}
+    monkeypatch.setattr(nearcopies, "lean", lambda func: lambda batches: iter(()) if func in (nearcopies._lead, nearcopies._search) else func(batches))
+    assert nearcopies.near_copies(docs).select("first").distinct().count() == len(same)
