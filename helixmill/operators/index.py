@@ -16,6 +16,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from helixmill.operators.cut import cut
+
 HASHES = 1 << 63
 BUCKETS = 64
 #: Hashes of a sample up to this many are broadcast.
@@ -86,10 +88,11 @@ def genomes_in_sample(index: Index, sample: DataFrame, scale: int | None = None,
     scale = index.scale if scale is None else scale
     if scale < index.scale:
         raise ValueError(f"an index of scale {index.scale} can't be asked at scale {scale}")
-    postings, asked = index.postings, sample.select("gram").distinct()
+    postings, asked = index.postings, sample.select("gram")
     if scale > 1:
         bound = F.col("gram") < F.lit(HASHES // scale)
         postings, asked = postings.filter(bound), asked.filter(bound)
+    asked = cut(asked.distinct())  # so that a sample is sketched once, not for the count and for the join
     few = asked.limit(broadcast + 1).count() <= broadcast
     hits = (F.broadcast(asked) if few else asked.hint("merge")).withColumn("_hit", F.lit(1))
     sums = postings.join(hits, "gram", "left").groupBy("genome").agg(F.count(F.lit(1)).alias("grams"), F.count("_hit").alias("shared"))

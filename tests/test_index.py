@@ -142,3 +142,17 @@ def test_banded_pairs_find_all_similar_genomes(spark, monkeypatch):
     got = {(r.label, r.query, r.refer, r.shared) for r in pairs.collect()}
     assert got <= want
     assert len(got) >= 0.999 * len(want)
+
+
+@pytest.mark.parametrize("broadcast", [0, index.BROADCAST_GRAMS])
+def test_a_sample_is_sketched_once(spark, stored, broadcast):
+    path, _ = stored
+    seen = spark.sparkContext.accumulator(0)
+
+    def of(x):
+        seen.add(1)
+        return (x,)
+
+    sample = spark.createDataFrame(spark.sparkContext.parallelize(range(100), 2).map(of), "gram bigint")
+    assert index.genomes_in_sample(index.open_index(spark, path), sample, broadcast=broadcast).count() == 4
+    assert seen.value == 100
