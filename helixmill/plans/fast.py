@@ -59,6 +59,6 @@ def fast_filter(s, d):
 def gr20_banded_pairs(s, d):
     """Similar documents of a language by whole sketches, one of equal ones, candidates by min-hash bands."""
     docs = b.table(s, d, "documents").select(F.col("lang").alias("label"), F.col("doc_id").alias("genome"), "text")
-    sketches = index.sketch(docs, sketch.word_grams(F.col("text"), WORDS)).select("label", "genome", "gram")
-    pairs, _ = sketch.banded_pairs(sketches, WORDS, 95.0)
+    grams = F.transform(sketch.word_grams(F.col("text"), WORDS), index.letter_hash)
+    pairs, _ = sketch.banded_pairs(sketch.packed(docs.select("label", "genome", grams.alias("grams"))), WORDS, 95.0)
     return pairs.select("label", "query", "refer", "shared", F.round("ani", 6).alias("ani"))

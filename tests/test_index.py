@@ -1,5 +1,6 @@
 """The stored sketch index: what it finds, what it reads, and that it isn't shuffled."""
 
+import os
 import random
 import re
 
@@ -156,3 +157,25 @@ def test_a_sample_is_sketched_once(spark, stored, broadcast):
     sample = spark.createDataFrame(spark.sparkContext.parallelize(range(100), 2).map(of), "gram bigint")
     assert index.genomes_in_sample(index.open_index(spark, path), sample, broadcast=broadcast).count() == 4
     assert seen.value == 100
+
+
+def test_banded_pairs_move_less_than_the_documents(spark):
+    from helixmill.plans import catalog
+
+    folder = "/root/testdata/sf0.01"
+    moved = lambda: spark.sparkContext._jsc.sc().statusStore().executorSummary("driver").totalShuffleWrite()
+    before = moved()
+    assert catalog.QUERIES["gr20_banded_pairs"](spark, folder).count() > 0
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    assert moved() - before < os.path.getsize(f"{folder}/documents.parquet")
+
+
+def test_whole_sketches_of_genomes_with_several_rows(spark):
+    from helixmill.operators import sketch
+
+    rows = [("a", 1, [1, 2, 2]), ("a", 1, [3]), ("a", 2, [1, 2, 3]), ("b", 1, [4]), ("b", 3, []), ("b", 4, None), (None, 5, [1]), ("a", None, [1])]
+    held = sketch.packed(spark.createDataFrame(rows, "label string, genome bigint, grams array<bigint>"))
+    assert {(r.label, r.genome): sorted(r.grams) for r in held.collect() if r.grams} == {("a", 1): [1, 2, 3], ("a", 2): [1, 2, 3], ("b", 1): [4]}
+    pairs, members = sketch.banded_pairs(held, 5, 95.0)
+    assert {(r.label, r.genome): r.rep for r in members.collect()} == {("a", 1): 1, ("a", 2): 1, ("b", 1): 1}
+    assert pairs.count() == 0
