@@ -185,3 +185,14 @@ def test_exactly_one_file(spark, tmp_path):
     for pattern in ("*.gfa", "*.bin"):
         with pytest.raises(ValueError):
             tables.only_file(spark, str(tmp_path), pattern)
+
+
+def test_similarity_files_are_packed_and_not_copied(spark):
+    from helixmill.operators import cut
+    from helixmill.plans import catalog
+
+    cut.remove_cuts(spark)
+    frame = catalog.QUERIES["sc17_ani_pairs"](spark, "/root/testdata/sf0.001")
+    assert frame.count() > 0
+    names = [r.path for p in cut._written for r in tables.list_files(spark, p, "part-*").collect()]
+    assert len(cut._written) == 1 and names and all(x.endswith(".txt.gz") for x in names)
