@@ -328,5 +328,6 @@ def expand_clusters(reps: DataFrame, members: DataFrame) -> DataFrame:
 
 def filter_matrix(long: DataFrame, keep: DataFrame) -> DataFrame:
     """Rows and columns of a long-form matrix (i, j, dist) whose names (genome) are kept."""
-    out = long.join(keep.select(F.col("genome").alias("i")), "i", "left_semi")
-    return out.join(keep.select(F.col("genome").alias("j")), "j", "left_semi").select("i", "j", "dist")
+    held = beside_pairs(keep.select("genome").distinct())
+    out = long.join(held.withColumnRenamed("genome", "i"), "i", "left_semi")
+    return out.join(held.withColumnRenamed("genome", "j"), "j", "left_semi").select("i", "j", "dist")

@@ -131,3 +131,38 @@ def test_components_take_few_rounds(spark, monkeypatch, edges):
     got = {r.genome: r.component for r in cluster.components(genomes, frame, 95.0).collect()}
     assert got == {i: 0 if i < 60 else 70 if i == 71 else i for i in range(74)}
     assert len(rounds) <= (2 if edges > 100 else 8)
+
+
+def test_blocks_of_a_large_label_travel_as_singles_to_few_others(spark, monkeypatch):
+    monkeypatch.setattr(pairs, "BLOCK", 4)
+    monkeypatch.setattr(pairs, "ROWS", 5)
+    rng = np.random.default_rng(9)
+    points = rng.normal(size=(200, 3)).astype(np.float32)
+    vectors = spark.createDataFrame([(i, 1, [float(x) for x in p]) for i, p in enumerate(points)], "id bigint, label int, e array<float>")
+    packed = pairs._packed(pairs._known(vectors))
+    assert packed.schema["es"].dataType.simpleString() == "array<array<float>>"
+    assert packed.first()._blocks == 13  # 50 would hold 4 each
+    told = pairs.cosines(vectors)
+    e = points.astype(float)
+    unit = e / np.linalg.norm(e, axis=1)[:, None]
+    got = {(r.query, r.refer): r.ani for r in told.collect()}
+    assert got == pytest.approx({(i, j): 100 * float(unit[i] @ unit[j]) for i in range(200) for j in range(i + 1, 200)}, abs=1e-6)
+    wide = spark.createDataFrame([(i, 1, [1.0] * 300) for i in range(60)], "id bigint, label int, e array<double>")
+    assert pairs._packed(pairs._known(wide)).first()._blocks == 15
+
+
+def test_filtered_matrix_compares_kept_genomes_and_keeps_no_rows(spark, monkeypatch):
+    from helixmill.operators import cut
+    from helixmill.plans import bindings, catalog
+
+    folder = "/root/testdata/sf0.001"
+    asked = []
+    cosines = bindings.cosines
+    monkeypatch.setattr(bindings, "cosines", lambda v, *a, **o: asked.append(v.count()) or cosines(v, *a, **o))
+    cut.remove_cuts(spark)
+    frame = catalog.QUERIES["sc19_filter_matrix"](spark, folder)
+    kept = bindings.genomes(spark, folder).filter("n50 >= 500").count()
+    assert asked == [kept]
+    assert [spark.read.parquet(p).columns[-1] for p in cut._written] == ["es"]  # the vectors, not the pairs
+    n = bindings.vectors(spark, folder).join(bindings.genomes(spark, folder).filter("n50 >= 500").selectExpr("label", "genome as id"), ["label", "id"]).groupBy("label").count()
+    assert frame.count() == n.selectExpr("sum(count * (count - 1) div 2)").first()[0]
