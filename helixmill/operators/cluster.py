@@ -217,11 +217,72 @@ def complete_clusters(n: int, left: np.ndarray, right: np.ndarray, gap: np.ndarr
     return np.unique([first.setdefault(r, k) for k, r in enumerate(root)], return_inverse=True)[1]
 
 
+#: Pairs within the cutoff of a component that one task links; larger components are first merged by all tasks, round by round.
+LINKAGE_PAIRS = 500_000
+#: Pairs of which a task tells the nearest at a time.
+NEAREST_PAIRS = 1 << 19
+
+
+def _nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs (query, refer, ani) -> (genome, ani, low, high): of each genome the pair of the largest value, of equal ones the first."""
+    best: list[np.ndarray] = [np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64), np.zeros(0, np.int64)]
+    held: list[list[np.ndarray]] = []
+
+    def told() -> None:
+        q, r, ani = (np.concatenate(x) for x in zip(*held))
+        low, high = np.minimum(q, r), np.maximum(q, r)
+        every = [np.concatenate([b, *x]) for b, x in zip(best, ((q, r), (ani, ani), (low, low), (high, high)))]
+        order = np.lexsort((every[3], every[2], -every[1], every[0]))
+        first = order[np.r_[True, np.diff(every[0][order]) != 0]]
+        best[:] = [x[first] for x in every]
+        held.clear()
+
+    for batch in batches:
+        if batch.num_rows:
+            held.append([np.asarray(batch.column(k)) for k in range(3)])
+        if sum(len(x[0]) for x in held) >= NEAREST_PAIRS:
+            told()
+    if held:
+        told()
+    for start in range(0, len(best[0]), 1 << 16):
+        yield pa.record_batch({k: pa.array(x[start : start + (1 << 16)]) for k, x in zip(("genome", "ani", "low", "high"), best)})
+
+
+def _largest(edges: DataFrame, member: DataFrame) -> int:
+    """Pairs of the component (label, genome, component) that has most."""
+    sizes = edges.groupBy("label", F.col("query").alias("genome")).count().join(member, ["label", "genome"])
+    return sizes.groupBy("label", "component").agg(F.sum("count").alias("n")).agg(F.max("n")).first()[0] or 0
+
+
+def _merged(edges: DataFrame) -> tuple[DataFrame, DataFrame] | None:
+    """A round of complete linkage over pairs (label, query, refer, ani), each unordered pair once: all genomes that are each other's nearest are one.
+
+    Returns which genomes become which (genome, to), and the pairs of what is then: one is near to another while all pairs
+    across are, at the least value. None if no two are each other's nearest, which numbers rule out.
+    """
+    ensure_shipped(edges.sparkSession)
+    near = edges.select("query", "refer", "ani").mapInArrow(_nearest, "genome bigint, ani double, low bigint, high bigint")
+    best = near.groupBy("genome").agg(F.max(F.struct("ani", -F.col("low"), -F.col("high"))).alias("b"))
+    both = best.groupBy((-F.col("b.col2")).alias("low"), (-F.col("b.col3")).alias("high")).count().filter("count = 2")
+    step = cut(both.select(F.explode(F.array("low", "high")).alias("genome"), F.col("low").alias("to")))
+    if not step.limit(1).count():
+        return None
+    held = beside_pairs(step)
+    side = lambda x: held.select(F.col("genome").alias(x), F.col("to").alias(f"{x}_to"))
+    moved = edges.join(side("query"), "query", "left").join(side("refer"), "refer", "left")
+    part = lambda x: F.when(F.col(f"{x}_to").isNull(), 1).otherwise(2)
+    moved = moved.select("label", F.coalesce("query_to", "query").alias("q"), F.coalesce("refer_to", "refer").alias("r"), "ani", (part("query") * part("refer")).alias("parts")).filter("q <> r")
+    joined = moved.filter("parts > 1").groupBy("label", F.least("q", "r").alias("query"), F.greatest("q", "r").alias("refer"), "parts").agg(F.min("ani").alias("ani"), F.count(F.lit(1)).alias("n"))
+    left = moved.filter("parts = 1").select("label", F.col("q").alias("query"), F.col("r").alias("refer"), "ani")
+    return step, cut(left.union(joined.filter("n = parts").select("label", "query", "refer", "ani")))
+
+
 def hierarchical(genomes: DataFrame, edges: DataFrame, cutoff: float, method: str = "complete", connected: DataFrame | None = None) -> DataFrame:
     """(label, genome, cluster): linkage clusters cut at distance 100 - cutoff, each named by its smallest genome; pairs without a similarity are 100 apart.
 
     Complete linkage joins only genomes that are all within the cutoff, so its clusters lie inside the components of such
-    pairs, and a task holds one component's pairs within the cutoff; single linkage is ``components`` at the cutoff, at any size. Average
+    pairs, and a task holds one component's pairs within the cutoff, up to LINKAGE_PAIRS: larger components are first merged by
+    all tasks until no more pairs are left. That needs each unordered pair once; of equal values either may be merged first. Single linkage is ``components`` at the cutoff, at any size. Average
     linkage may join components, and a task holds a label's matrix. ``connected`` (label, genome, component) are the
     components at the cutoff, if they are known from fewer pairs.
     """
@@ -238,6 +299,17 @@ def hierarchical(genomes: DataFrame, edges: DataFrame, cutoff: float, method: st
     member = cut(member.select("label", "genome", "component"))
     alone = member.groupBy("label", "component").agg(F.count(F.lit(1)).alias("n")).filter("n > 1" if method == "complete" else "n > 0")
     member = member.join(alone.select("label", "component"), ["label", "component"], "left_semi")
+    whole, found = member, None
+    if method == "complete":
+        member = cut(member)
+        while _largest(edges, member) > LINKAGE_PAIRS and (merged := _merged(edges)):
+            step, edges = merged
+            if found is None:
+                found = member.select("label", "genome", F.col("genome").alias("to"))
+            named = step.filter("genome <> to").select(F.col("genome").alias("_g"), F.col("to").alias("_to"))
+            found = cut(found.join(beside_pairs(named), F.col("to") == F.col("_g"), "left").select("label", "genome", F.coalesce("_to", "to").alias("to")))
+        if found is not None:  # what was merged is named by its smallest genome
+            whole, member = member, cut(member.join(found.filter("genome = to").select("label", "genome"), ["label", "genome"], "left_semi"))
     held = beside_pairs(member)
     side = lambda name: held.select("label", F.col("genome").alias(name), F.col("component").alias(f"{name}_c"))
     inside = edges.join(side("query"), ["label", "query"]).join(side("refer"), ["label", "refer"]).filter("query_c = refer_c")
@@ -258,9 +330,11 @@ def hierarchical(genomes: DataFrame, edges: DataFrame, cutoff: float, method: st
         return pd.DataFrame({"label": frame.label.iloc[0], "genome": names, "cluster": names[np.unique(number, return_index=True)[1]][number]})
 
     ensure_shipped(rows.sparkSession)
-    found = rows.groupBy("label", "component").applyInPandas(cluster, "label int, genome bigint, cluster bigint")
-    rest = genomes.select("label", "genome", F.col("genome").alias("cluster")).join(member, ["label", "genome"], "left_anti")
-    return found.union(rest)
+    linked = rows.groupBy("label", "component").applyInPandas(cluster, "label int, genome bigint, cluster bigint")
+    if found is not None:
+        linked = found.join(linked.withColumnRenamed("genome", "to"), ["label", "to"]).select("label", "genome", "cluster")
+    rest = genomes.select("label", "genome", F.col("genome").alias("cluster")).join(whole, ["label", "genome"], "left_anti")
+    return linked.union(rest)
 
 
 def medoids(members: DataFrame, edges: DataFrame) -> DataFrame:
@@ -304,7 +378,8 @@ def linkage_conditions(members: DataFrame, edges: DataFrame, cutoff: float) -> D
     """(label, genomes, compact, mergeable): whether all pairs inside clusters reach the cutoff, and how many pairs of
     clusters could still be joined because all pairs across reach it; what complete linkage must leave is true and 0."""
     strong, members = edges.filter(F.col("ani") >= cutoff), cut(members.select("label", "genome", "cluster"))
-    side = lambda name: members.select("label", F.col("genome").alias(name), F.col("cluster").alias(f"{name}_c"))
+    held = beside_pairs(members)
+    side = lambda name: held.select("label", F.col("genome").alias(name), F.col("cluster").alias(f"{name}_c"))
     known = strong.join(side("query"), ["label", "query"]).join(side("refer"), ["label", "refer"])
     between = cut(known.groupBy("label", F.least("query_c", "refer_c").alias("a"), F.greatest("query_c", "refer_c").alias("b")).agg(F.count(F.lit(1)).alias("n")))
     sizes = members.groupBy("label", "cluster").agg(F.count(F.lit(1)).alias("size"))

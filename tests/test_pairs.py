@@ -166,3 +166,26 @@ def test_filtered_matrix_compares_kept_genomes_and_keeps_no_rows(spark, monkeypa
     assert [spark.read.parquet(p).columns[-1] for p in cut._written] == ["es"]  # the vectors, not the pairs
     n = bindings.vectors(spark, folder).join(bindings.genomes(spark, folder).filter("n50 >= 500").selectExpr("label", "genome as id"), ["label", "id"]).groupBy("label").count()
     assert frame.count() == n.selectExpr("sum(count * (count - 1) div 2)").first()[0]
+
+
+def test_complete_linkage_of_a_large_component_goes_round_by_round(spark, monkeypatch):
+    rng = np.random.default_rng(10)
+    points = rng.random((150, 2))
+    dist = np.linalg.norm(points[:, None] - points[None], axis=2) * 100
+    rows = [(1 + i % 2, i, j, float(100 - dist[i, j])) for i in range(150) for j in range(i + 1, 150) if i % 2 == j % 2]
+    edges = spark.createDataFrame(rows, "label int, query bigint, refer bigint, ani double")
+    genomes = spark.createDataFrame([(1 + i % 2, i) for i in range(150)] + [(1, 200), (2, 201)], "label int, genome bigint")
+    want = {200: 200, 201: 201}
+    for k in (0, 1):
+        own = np.arange(k, 150, 2)
+        number = cluster.linkage_clusters(dist[np.ix_(own, own)], 40.0)
+        want |= {int(g): int(own[number == c].min()) for g, c in zip(own, number)}
+    assert 4 < len(set(want.values())) < 30
+    seen = []
+    monkeypatch.setattr(cluster, "_merged", lambda e, merged=cluster._merged: seen.append(e.count()) or merged(e))
+    for most in (10**6, 300, 0):
+        monkeypatch.setattr(cluster, "LINKAGE_PAIRS", most)
+        got = {r.genome: r.cluster for r in cluster.hierarchical(genomes, edges, 60.0).collect()}
+        assert got == want
+        assert bool(seen) == (most < 10**6)
+    assert len(seen) < 30  # rounds of both
